@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from catalogue import scoring  # noqa: F401
+from catalogue import classification, scoring, texts  # noqa: F401
 from catalogue.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

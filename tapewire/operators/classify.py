@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.fixed_values import CATEGORY_LABELS, CATEGORY_LETTERS, DEFAULT_CATEGORY
+from tapewire.functions.patterns import once
 from tapewire.functions.text import long_enough
 from tapewire.operators.keywords import (
     Dictionary,
@@ -202,7 +203,12 @@ def classify(
         ),
     )
     return staged.withColumns(
-        {"category": category, "category_confidence": confidence, "method": method, "breakdown": breakdown}
+        {
+            "category": once(category),
+            "category_confidence": once(confidence),
+            "method": once(method),
+            "breakdown": once(breakdown),
+        }
     ).drop("_entries", "_kw", "_ml", "_all", "_best_kw", "_ranked", "_best", "_chosen")
 
 

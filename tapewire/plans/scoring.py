@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewire.fixed_values import COMMODITY_WORDS, MA_WORDS, RISK_WORDS, SCORING_DEFAULTS
 from tapewire.functions import identity, scoring
-from tapewire.functions.patterns import keyword_flag
+from tapewire.functions.patterns import keyword_flag, once
 from tapewire.schemas import SCORED
 
 
@@ -35,7 +35,7 @@ def add_scores(
     df = df.withColumns(
         {
             "conf_norm": scoring.conf_norm(F.col("confidence")),
-            "risk_level": scoring.risk_level(sentiment, alarm, deal),
+            "risk_level": once(scoring.risk_level(sentiment, alarm, deal)),
             "impact_sentiment": scoring.impact_from_sentiment(sentiment, F.col("confidence")),
             "extract_id": F.col("doc_id"),
             "doc_id": identity.index_doc_id(
