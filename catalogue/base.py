@@ -144,7 +144,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "archive": (("raw",), "SELECT DISTINCT r.doc_id FROM raw r JOIN labels l ON l.doc_id = r.n"),
     "model": ((), """SELECT doc_id AS n, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'POSITIVE'
         ELSE 'neutral' END AS label, 0.9e0 AS score FROM labels"""),
-    "ev": ((), """SELECT event_id, event_type AS pipeline, epoch_ms(ts) AS ts_ms, value AS latency_ms,
+    "ev": ((), """SELECT event_id, event_type AS pipeline, epoch_us(ts) // 1000 AS ts_ms, value AS latency_ms,
         CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 = 0 THEN 500 ELSE 200 END AS status FROM events"""),
 }
 
