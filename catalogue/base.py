@@ -149,6 +149,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def chain(*names: str) -> str:
+    """The named shared tables alone, to follow a table of another origin."""
+    return ",\n".join(f"{name} AS ({CTES[name][1]})" for name in names)
+
+
 def with_ctes(names: str, body: str) -> str:
     """``WITH`` clause of the named shared tables and everything they build on."""
     order: list[str] = []

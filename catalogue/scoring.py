@@ -187,10 +187,11 @@ def unpack_entities(spark, d):
 
 # --- sentiment ----------------------------------------------------------------------------------
 
-FUSED = """, pair AS (SELECT n, api_sentiment AS a, api_confidence AS ac,
+def fused_ctes(source: str = "raw", join: str = "LEFT JOIN model USING (n)") -> str:
+    return f""", pair AS (SELECT n, api_sentiment AS a, api_confidence AS ac,
       CASE WHEN length(snippet) >= 10 THEN CASE lower(label) WHEN 'positive' THEN score WHEN 'negative' THEN -score
         ELSE CASE WHEN label IS NOT NULL THEN 0e0 END END END AS m,
-      CASE WHEN length(snippet) >= 10 THEN score END AS mc FROM raw LEFT JOIN model USING (n)),
+      CASE WHEN length(snippet) >= 10 THEN score END AS mc FROM {source} {join}),
     fused AS (SELECT *, CASE WHEN a IS NOT NULL AND m IS NOT NULL AND a * m >= 0 AND abs(a - m) < 0.5 THEN 'HYBRID_AGREEMENT'
       WHEN a IS NOT NULL AND m IS NOT NULL AND coalesce(mc, 0) > coalesce(ac, 0) THEN 'FINBERT_DOMINANT'
       WHEN a IS NOT NULL AND m IS NOT NULL THEN 'MARKETAUX_DOMINANT'
@@ -205,7 +206,7 @@ FUSED = """, pair AS (SELECT n, api_sentiment AS a, api_confidence AS ac,
 
 
 def fused_sql(body: str) -> str:
-    return with_ctes("raw model", FUSED + "\n" + body)
+    return with_ctes("raw model", fused_ctes() + "\n" + body)
 
 
 def _fused(spark, d):

@@ -18,6 +18,7 @@ from tapewire.sources.sinks import (
     ensure_table,
     export_keywords,
     publish,
+    read_last_batch,
     read_upserted,
     sentiment_audit,
     to_messages,

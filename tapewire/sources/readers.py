@@ -16,12 +16,12 @@ from tapewire.schemas import MESSAGE, METRIC_EVENT, PAYLOAD, RAW_RESPONSE, SCORE
 CORRUPT = "_malformed"
 
 
-def read_raw_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of landed response objects, one object per file.
+def read_raw_articles(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Articles of landed response objects, one object per file or per line.
 
     A body that is not JSON, or has no ``data``, yields no rows.
     """
-    responses = spark.read.schema(RAW_RESPONSE).json(path, multiLine=True)
+    responses = spark.read.schema(RAW_RESPONSE).json(path, multiLine=not one_per_line)
     return responses.select(F.inline("data"))
 
 
@@ -32,17 +32,19 @@ def where_requested(df: DataFrame, **wanted: str) -> DataFrame:
     return df
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archived payloads; bad lines and lines without an id are skipped.
-
-    Empty when there is no archive yet.
+def read_archive(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
+    """Archived payloads of all files below ``path``; bad lines and lines without an id are
+    skipped.  Empty when there is no archive yet.  ``without`` leaves out one subfolder.
     """
+    reader = spark.read.schema(PAYLOAD).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
     try:
-        lines = spark.read.schema(PAYLOAD).option("mode", "DROPMALFORMED").json(path)
+        lines = reader.json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], PAYLOAD)
+    if without:
+        lines = lines.where(~F.contains(F.col("_metadata.file_path"), F.lit(f"/{without}/")))
     return lines.where(F.col("doc_id").isNotNull())
 
 

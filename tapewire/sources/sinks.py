@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tapewire.operators.keywords import MAX_KEYWORDS, sorted_keywords
-from tapewire.operators.topn import latest_per_id
+from tapewire.operators.topn import top_n_per_key
 from tapewire.schemas import PAYLOAD, SCORED
 
 BATCH = "batch_id"
@@ -61,30 +61,49 @@ def publish(df: DataFrame, sink: str, location: str, **options: str) -> None:
 # costs what the batch costs, whatever the table holds, and writing a batch again changes nothing.
 
 
-def upsert(df: DataFrame, path: str, batch_id: int, key: str = "doc_id") -> None:
+def upsert(df: DataFrame, path: str, batch_id: int, key: str | list[str] = "doc_id") -> None:
     """Insert or replace by ``key``.  Copies inside the batch are reduced to one row."""
     content = F.xxhash64(*[F.col(c) for c in df.columns])
-    one = latest_per_id(df.withColumn("_h", content), key, [F.desc("_h")]).drop("_h")
+    one = top_n_per_key(df.withColumn("_h", content), _keys(key), [F.desc("_h")], 1).drop("_h")
     one.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def read_upserted(spark: SparkSession, path: str, key: str = "doc_id", schema: StructType = SCORED) -> DataFrame:
-    """The current row of every id; empty before the first batch."""
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     full = StructType([*schema.fields, StructField(BATCH, LongType())])
     try:
-        rows = spark.read.schema(full).parquet(path)
+        return spark.read.schema(full).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return latest_per_id(rows, key, [F.desc(BATCH)]).drop(BATCH)
+        return spark.createDataFrame([], full)
+
+
+def read_upserted(
+    spark: SparkSession, path: str, key: str | list[str] = "doc_id", schema: StructType = SCORED
+) -> DataFrame:
+    """The current row of every id; empty before the first batch."""
+    return top_n_per_key(_versions(spark, path, schema), _keys(key), [F.desc(BATCH)], 1).drop(BATCH)
+
+
+def read_last_batch(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The rows of the newest batch, or of the newest one older than ``before``."""
+    rows = _versions(spark, path, schema)
+    if before is not None:
+        rows = rows.where(F.col(BATCH) < before)
+    return rows.where(F.col(BATCH) == rows.agg(F.max(BATCH)).scalar()).drop(BATCH)
 
 
-def compact(spark: SparkSession, path: str, target: str, key: str = "doc_id", schema: StructType = SCORED) -> None:
+def compact(
+    spark: SparkSession, path: str, target: str, key: str | list[str] = "doc_id", schema: StructType = SCORED
+) -> None:
     """Writes the current rows as one batch of a new table, leaving the old one alone."""
-    last = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(path)
-    number = last.agg(F.max(BATCH)).first()[0]
-    read_upserted(spark, path, key, schema).write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
+    number = _versions(spark, path, schema).agg(F.max(BATCH)).first()[0]
+    if number is not None:
+        read_upserted(spark, path, key, schema).write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
 
 
 def ensure_table(spark: SparkSession, name: str, schema: StructType = SCORED) -> str:
@@ -99,11 +118,16 @@ def ensure_table(spark: SparkSession, name: str, schema: StructType = SCORED) ->
 
 
 def export_keywords(table: DataFrame, path: str) -> DataFrame:
-    """Writes the sorted keywords per category as JSON lines; returns the counts written."""
+    """Writes one object ``{category: [sorted keywords]}``; returns the counts written.
+
+    It is what `read_category_json` reads.  A table too large to be a dictionary is refused.
+    """
     if table.limit(MAX_KEYWORDS + 1).count() > MAX_KEYWORDS:
         raise ValueError(f"dictionary has more than {MAX_KEYWORDS} keywords")
     lists = sorted_keywords(table)
-    lists.orderBy("category").write.mode("overwrite").json(path)
+    entries = F.sort_array(F.collect_list(F.struct("category", "keywords")))
+    whole = lists.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
     return lists.rollup("category").agg(F.sum("n").alias("keywords"))
 
 

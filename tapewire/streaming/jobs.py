@@ -8,22 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tapewire.operators.dedup import archived_ids
-from tapewire.operators.metrics import SAMPLES, last_samples
+from tapewire.operators.metrics import SAMPLES, last_samples, round_half_up
 from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import score_articles
 from tapewire.sources.readers import read_archive
-from tapewire.sources.sinks import BATCH, append_archive, upsert
+from tapewire.sources.sinks import BATCH, read_last_batch, upsert
 
 POLL = "10 minutes"
 
 
-def upsert_batch(path: str, key: str = "doc_id") -> Callable[[DataFrame, int], None]:
+def upsert_batch(path: str, key: str | list[str] = "doc_id") -> Callable[[DataFrame, int], None]:
     """Per-batch function: skip an empty batch, else insert or replace its rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -65,14 +64,11 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        spark = batch.sparkSession
-        own = f"{archive_path}/{BATCH}={batch_id}"
-        known = read_archive(spark, archive_path)
-        if BATCH in known.columns:
-            known = known.where(F.col(BATCH) < batch_id)
+        own = f"batch-{batch_id:09d}"
+        known = read_archive(batch.sparkSession, archive_path, without=own)
         order = [F.desc(seq)] if seq else [F.desc(F.xxhash64(*batch.columns))]
         fresh = latest_per_id(batch, "doc_id", order).join(archived_ids(known), "doc_id", "left_anti")
-        fresh.write.mode("overwrite").json(own)
+        fresh.write.mode("overwrite").json(f"{archive_path}/{own}")
 
     writer = payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
@@ -97,6 +93,17 @@ def stream_minute_counts(events: DataFrame, expiry: str = "1 hour") -> DataFrame
     )
 
 
+def start_minute_counts(events: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keeps the counts of open and closed minutes current under ``path``."""
+    writer = (
+        stream_minute_counts(events)
+        .writeStream.outputMode("update")
+        .foreachBatch(upsert_batch(path, ["pipeline", "start_ms"]))
+        .option("checkpointLocation", checkpoint)
+    )
+    return _trigger(writer, every).start()
+
+
 def stream_throughput(events: DataFrame, expiry: str = "1 hour") -> DataFrame:
     """Successful requests per minute over sliding five minutes."""
     return (
@@ -107,7 +114,7 @@ def stream_throughput(events: DataFrame, expiry: str = "1 hour") -> DataFrame:
         .select(
             "pipeline",
             F.unix_millis("w.end").alias("end_ms"),
-            (F.floor(F.col("processed") / 5 * 100 + 0.5) / 100).alias("throughput"),
+            round_half_up(F.col("processed") / 5, 2).alias("throughput"),
         )
     )
 
@@ -118,39 +125,16 @@ def start_last_samples(
     """Keeps the latest ``n`` latency samples per pipeline under ``path``.
 
     Each batch joins the samples kept so far and is cut back to ``n`` per pipeline
-    before and after the shuffle, so neither the state nor any task outgrows it.
+    before and after the shuffle, so neither the state nor any task outgrows it.  Read
+    them with `sources.read_last_batch`.
     """
     plain = events.select("event_id", "pipeline", "ts_ms", "latency_ms", "status")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        kept = read_last_samples(batch.sparkSession, path, plain.schema, before=batch_id)
+        kept = read_last_batch(batch.sparkSession, path, plain.schema, before=batch_id)
         last_samples(batch.unionByName(kept), n).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
     writer = plain.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
-
-
-def read_last_samples(
-    spark: SparkSession, path: str, schema: StructType, before: int | None = None
-) -> DataFrame:
-    """The samples of the newest batch, or of the newest one older than ``before``."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    if before is not None:
-        rows = rows.where(F.col(BATCH) < before)
-    newest = rows.agg(F.max(BATCH)).scalar()
-    return rows.where(F.col(BATCH) == newest).drop(BATCH)
-
-
-__all__ = [
-    "append_archive", "read_last_samples", "start_ingest", "start_last_samples", "start_scoring",
-    "stream_dedup", "stream_minute_counts", "stream_throughput", "upsert_batch", "Window",
-]
