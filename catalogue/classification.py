@@ -11,7 +11,7 @@ from tapewire.functions.text import classification_text
 from tapewire.operators import classify, keywords
 from tapewire.plans import driver_tables as tables
 from tapewire.plans.driver_tables import DICTIONARY_EXAMPLE
-from tapewire.sources import export_keywords, work_dir
+from tapewire.sources import export_keywords, spread, work_dir
 
 _HITS = ", ".join(
     f"{{c: '{c}', k: {len(set(words))}, m: regexp_extract_all(low, {text(alternation(words))}, 0)}}"
@@ -41,7 +41,8 @@ MODEL = f""", labels15 AS (SELECT unnest([{_LABELS}, {{label: 'something else',
 
 def _texts(spark, d):
     body = classification_text(F.col("content"), F.col("description"), F.col("title"))
-    return tables.messages(spark, d).select(F.col("doc_id").cast("bigint").alias("doc_id"), "confidence", body.alias("text"))
+    docs = spread(tables.table(spark, d, "documents"))
+    return tables.messages(spark, documents=docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "confidence", body.alias("text"))
 
 
 @query(with_ctes("msg", KEYWORDS + """ SELECT n AS doc_id, category, unique_matches, occurrences,
@@ -127,18 +128,18 @@ def classification_counts(spark, d):
 
 
 @query(with_ctes("docs msg", KEYWORDS + MODEL + DECISION + """,
-    tops AS (SELECT n, string_agg(category || '=' || printf('%.6f', combined), ' ' ORDER BY combined DESC, category) AS t FROM (
+    tops AS (SELECT n, string_agg(category || '=' || printf('%.9f', combined), ' ' ORDER BY combined DESC, category) AS t FROM (
       SELECT * FROM comb QUALIFY row_number() OVER (PARTITION BY n ORDER BY combined DESC, category) <= 3) GROUP BY n)
     SELECT n AS doc_id, round(CASE WHEN ks >= 0.6 THEN 0 ELSE bm END, 9) AS ml_score,
       round(CASE WHEN ks >= 0.6 THEN ks ELSE bk END, 9) AS keyword_score,
       round(CASE WHEN ks >= 0.6 THEN ks ELSE bs END, 9) AS combined_score,
       round(CASE WHEN ks >= 0.6 OR NOT usable THEN 0 ELSE s.score END, 9) AS model_confidence,
       confidence AS api_confidence,
-      CASE WHEN ks >= 0.6 THEN kc || '=' || printf('%.6f', ks) ELSE t END AS top_3
+      CASE WHEN ks >= 0.6 THEN kc || '=' || printf('%.9f', ks) ELSE t END AS top_3
     FROM decided JOIN tops USING (n) JOIN (SELECT n, score FROM top3 WHERE rank = 1) s USING (n) WHERE confidence IS NOT NULL"""))
 def score_breakdown(spark, d):
     b = F.col("breakdown")
-    shown = F.transform(b["top_3_combined"], lambda e: F.concat(e["category"], F.lit("="), F.format_string("%.6f", e["score"])))
+    shown = F.transform(b["top_3_combined"], lambda e: F.concat(e["category"], F.lit("="), F.format_string("%.9f", e["score"])))
     return _classified(spark, d).where(b.isNotNull()).select(
         "doc_id", r9(b["ml_score"]).alias("ml_score"), r9(b["keyword_score"]).alias("keyword_score"),
         r9(b["combined_score"]).alias("combined_score"), r9(b["model_confidence"]).alias("model_confidence"),

@@ -14,7 +14,8 @@ from tapewire.fixed_values import SEARCH_BOOSTS, SIMILAR_BOOSTS
 from tapewire.operators import search
 from tapewire.operators.search_spec import SearchSpec
 from tapewire.plans import driver_tables as tables
-from tapewire.sources import work_dir
+from tapewire.plans.scoring import score_articles
+from tapewire.sources import spread, work_dir
 
 QUERY = "worthles licens of the thor"
 FIELDS = list(search.TEXT_FIELDS)
@@ -59,13 +60,18 @@ def weights_sql(boosts: dict[str, float]) -> str:
 _FUZZY = INDEX + ", " + fuzzy_sql(QUERY.split()) + ", " + weights_sql(SEARCH_BOOSTS)
 
 
+def _articles(spark, d):
+    docs = spread(tables.table(spark, d, "documents"))
+    return score_articles(tables.messages(spark, documents=docs), **tables.word_lists())
+
+
 def _index(spark, d, fields=search.TEXT_FIELDS, keyword_fields=search.KEYWORD_FIELDS):
-    return search.build_index(tables.scored(spark, d), fields, keyword_fields)
+    return search.build_index(_articles(spark, d), fields, keyword_fields)
 
 
 @query(with_ctes("scored", INDEX + " SELECT doc_id, field, count(*) AS tokens, count(DISTINCT term) AS terms FROM (SELECT doc_id, field, unnest(ts) AS term FROM fl) WHERE field <> 'source' GROUP BY ALL"))
 def tokenize(spark, d):
-    return search.tokenize(tables.scored(spark, d)).groupBy("doc_id", "field").agg(
+    return search.tokenize(_articles(spark, d)).groupBy("doc_id", "field").agg(
         F.count(F.lit(1)).alias("tokens"), F.count_distinct("term").alias("terms")
     )
 

@@ -8,6 +8,7 @@ from tapewire.sources.readers import (
     read_metric_events,
     read_raw_articles,
     read_scored,
+    spread,
     stream_articles,
     where_requested,
 )

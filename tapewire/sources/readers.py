@@ -25,6 +25,17 @@ def read_raw_articles(spark: SparkSession, path: str, one_per_line: bool = False
     return responses.select(F.inline("data"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a scan of too few splits over the cores, for heavy work per row.
+
+    A small file of one row group is one task however many cores are idle.  Inputs with
+    at least half as many splits as there are cores, which is any large table, are left
+    as they are and never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def where_requested(df: DataFrame, **wanted: str) -> DataFrame:
     """Filters the vendor applies on its side, for example ``language="en"``."""
     for column, value in wanted.items():
