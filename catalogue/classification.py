@@ -11,7 +11,7 @@ from tapewire.functions.text import classification_text
 from tapewire.operators import classify, keywords
 from tapewire.plans import driver_tables as tables
 from tapewire.plans.driver_tables import DICTIONARY_EXAMPLE
-from tapewire.sources import export_keywords, spread, work_dir
+from tapewire.sources import export_keywords, work_dir
 
 _HITS = ", ".join(
     f"{{c: '{c}', k: {len(set(words))}, m: regexp_extract_all(low, {text(alternation(words))}, 0)}}"
@@ -41,8 +41,7 @@ MODEL = f""", labels15 AS (SELECT unnest([{_LABELS}, {{label: 'something else',
 
 def _texts(spark, d):
     body = classification_text(F.col("content"), F.col("description"), F.col("title"))
-    docs = spread(tables.table(spark, d, "documents"))
-    return tables.messages(spark, documents=docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "confidence", body.alias("text"))
+    return tables.messages(spark, d).select(F.col("doc_id").cast("bigint").alias("doc_id"), "confidence", body.alias("text"))
 
 
 @query(with_ctes("msg", KEYWORDS + """ SELECT n AS doc_id, category, unique_matches, occurrences,
@@ -190,6 +189,18 @@ def keyword_counts(spark, d):
     return keywords.keyword_counts(tables.keyword_tables(spark, d)[0])
 
 
+@query(_DICT + """, pats AS (SELECT category, string_agg(keyword, '|' ORDER BY length(keyword) DESC, keyword) AS p FROM existing GROUP BY category),
+    found AS (SELECT category, len(regexp_extract_all(lower(text), p, 0)) AS k FROM documents, pats)
+    SELECT category, count(*) AS docs, sum(k)::BIGINT AS occurrences FROM found WHERE k > 0 GROUP BY category""")
+def dictionary_table_hits(spark, d):
+    """Matching with a dictionary that is itself a table."""
+    dictionary = keywords.to_dictionary(tables.keyword_tables(spark, d)[0])
+    texts = tables.messages(spark, d).select("doc_id", F.col("content").alias("text"))
+    return keywords.keyword_stats(texts, dictionary, "text").groupBy("category").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("occurrences").alias("occurrences")
+    )
+
+
 @query(_DICT + "SELECT category, keyword, is_new FROM diff")
 def keyword_additions(spark, d):
     return keywords.keyword_diff(*tables.keyword_tables(spark, d))

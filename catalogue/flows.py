@@ -110,7 +110,7 @@ def upsert_latest(spark, d):
     path = work_dir(spark, "articles")
     upsert(tables.scored(spark, d), path, 0)
     labelled = tables.table(spark, d, "documents").join(tables.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    again = score_articles(tables.messages(spark, documents=labelled), **tables.word_lists())
+    again = score_articles(tables.messages(spark, source=labelled), **tables.word_lists())
     for _ in range(2):  # a retried batch changes nothing
         upsert(again.withColumn("final_score", F.col("final_score") + 1), path, 1)
     compact(spark, path, f"{path}-compact")

@@ -63,8 +63,8 @@ def last_samples(events: DataFrame, n: int = SAMPLES, as_of: Column | None = Non
     kept = top_n_per_key(events, ["pipeline"], [F.desc("ts_ms"), F.desc("event_id")], n)
     if as_of is None:
         return kept
-    alive = kept.groupBy("pipeline").agg(F.max("ts_ms").alias("_last")).where(F.col("_last") > as_of - HOUR_MS)
-    return kept.join(alive.select("pipeline"), "pipeline", "left_semi")
+    last = F.max("ts_ms").over(Window.partitionBy("pipeline"))
+    return kept.withColumn("_last", last).where(F.col("_last") > as_of - HOUR_MS).drop("_last")
 
 
 def latency_of_samples(samples: DataFrame) -> DataFrame:
@@ -79,45 +79,45 @@ def latency_of_samples(samples: DataFrame) -> DataFrame:
 
 def exact_percentiles(
     df: DataFrame, key: str, keys: list[str], value: str,
-    probabilities: dict[str, float] = PERCENTILES, accuracy: int = 10_000,
+    probabilities: dict[str, float] = PERCENTILES, levels: int = 2, buckets: int = 1024,
 ) -> DataFrame:
     """Nearest-rank percentiles of the named ``keys``, exact for groups of any size.
 
-    A sketch of fixed size first brackets each wanted rank.  The second pass counts
-    what lies below a bracket and keeps only the distinct values inside it, about
-    ``6 / accuracy`` of the group, so no task ever holds or sorts a whole group.
+    Each wanted rank is narrowed down: a pass counts the values in equal buckets between
+    two bounds, and the smallest and largest value of the bucket that holds the rank are
+    the next bounds.  After ``levels`` passes the few distinct values left are counted.
+    Every pass is one scan with partial aggregation; no group is sorted or gathered.
     """
-    data = df.select(key, F.col(value).alias("v")).where(F.col(key).isin(keys) & F.col("v").isNotNull())
-    slack = 3.0 / accuracy  # the sketch is off by at most 1 / accuracy
-    bounds = [b for p in probabilities.values() for b in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = data.groupBy(key).agg(
-        F.percentile_approx("v", bounds, accuracy).alias("b"), F.count(F.lit(1)).alias("n")
-    )
-    wanted = F.array(
+    v = F.col("v")
+    data = df.select(key, F.col(value).alias("v")).where(F.col(key).isin(keys) & ~F.isnan(value))
+    ranks = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1)).alias("rank"),
-                F.get(F.col("b"), F.lit(2 * i)).alias("low"),
-                F.get(F.col("b"), F.lit(2 * i + 1)).alias("high"),
-            )
-            for i, (name, p) in enumerate(probabilities.items())
+            F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1)).alias("rank"))
+            for name, p in probabilities.items()
         ]
     )
-    # One row per named key, so at most len(keys) rows.
-    brackets = F.broadcast(sketch.select(key, wanted.alias("w")))
-    tagged = data.join(brackets, key).select(key, F.explode("w").alias("w"), "v")
-    tagged = tagged.where(F.col("v") <= F.col("w.high"))
-    counted = tagged.groupBy(
-        key, F.col("w.name").alias("name"), F.col("w.rank").alias("rank"),
-        F.when(F.col("v") >= F.col("w.low"), F.col("v")).alias("v"),
-    ).agg(F.count(F.lit(1)).alias("c"))
-    below_first = Window.partitionBy(key, "name").orderBy(F.asc_nulls_first("v"))
-    running = F.sum("c").over(below_first.rowsBetween(Window.unboundedPreceding, 0))
-    hit = counted.withColumn("upto", running).where((F.col("upto") >= F.col("rank")) & F.col("v").isNotNull())
-    picked = hit.groupBy(key, "name").agg(F.min("v").alias("v"))
-    return picked.groupBy(key).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in probabilities]
+    bounds = data.groupBy(key).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    bounds = bounds.select(key, F.inline(ranks), "low", "high")
+
+    def narrow(bounds: DataFrame, bucket: Column) -> DataFrame:
+        # One row per named key and probability.
+        inside = data.join(F.broadcast(bounds), key).where(v.between(F.col("low"), F.col("high")))
+        counted = inside.groupBy(key, "name", "rank", bucket.alias("bucket")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        order = Window.partitionBy(key, "name").orderBy("bucket")
+        upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        before = F.col("upto") - F.col("c")
+        hit = counted.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (before < F.col("rank")))
+        return hit.select(key, "name", (F.col("rank") - before).alias("rank"), "low", "high")
+
+    width = F.col("high") - F.col("low")
+    share = F.when(width > 0, (v - F.col("low")) / width).otherwise(0.0)
+    for _ in range(levels):
+        bounds = narrow(bounds, F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    found = narrow(bounds, v)
+    return found.groupBy(key).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in probabilities]
     )
 
 

@@ -84,9 +84,10 @@ def fill_hour_grid(counts: DataFrame) -> DataFrame:
     The grid is made from one row per hour that holds the category list, so it
     grows with hours times categories, not with articles.
     """
-    names = counts.agg(F.collect_set("category").alias("names"))
-    slots = counts.select("hour").distinct()
-    grid = slots.withColumn("category", F.explode(names.scalar()))
+    # All three uses keep n, so they share the one aggregation of the articles.
+    present = counts.where(F.col("n") > 0)
+    names = present.agg(F.collect_set("category")).scalar()
+    grid = present.select("hour").distinct().withColumn("category", F.explode(names))
     return grid.join(counts, ["hour", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -117,7 +118,7 @@ def coverage(df: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, value: Column) -> DataFrame:
     """Count and share of each value."""
     counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total)
 
 

@@ -14,6 +14,7 @@ from tapewire.fixed_values import CATEGORY_LABELS, COMMODITY_WORDS
 from tapewire.functions import identity
 from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import add_scores, score_articles
+from tapewire.sources import spread
 
 START_DAY = "2024-01-01"
 
@@ -42,6 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _two(c: Column) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 
@@ -85,7 +90,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed articles: ``ingest_seq`` and the vendor's fields."""
     n, count = F.col("doc_id"), F.pmod(F.col("doc_id"), F.lit(3))
     entities = F.slice(F.array(_entity(n, 0), _entity(n, 1)), F.lit(1), count.cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         n.alias("ingest_seq"),
         F.substring("text", 1, 80).alias("title"),
         F.substring("text", 1, 200).alias("description"),
@@ -99,9 +104,9 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str | None = None, documents: DataFrame | None = None) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Decoded messages: the 18 fields with first symbol and first entity name."""
-    docs = table(spark, sf_dir, "documents") if documents is None else documents
+    docs = documents(spark, sf_dir) if source is None else source
     n = F.col("doc_id")
     words = F.filter(F.split(F.substring("text", 1, 200), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     letter = F.substr(F.lit("ABCDEFGHIJKLMN"), (F.pmod(n, F.lit(15)) + 1).cast("int"), F.lit(1))

@@ -85,8 +85,17 @@ def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def read_upserted(
     spark: SparkSession, path: str, key: str | list[str] = "doc_id", schema: StructType = SCORED
 ) -> DataFrame:
-    """The current row of every id; empty before the first batch."""
-    return top_n_per_key(_versions(spark, path, schema), _keys(key), [F.desc(BATCH)], 1).drop(BATCH)
+    """The current row of every id; empty before the first batch.
+
+    Rows of the first batch, after `compact` nearly all there are, stay where they are:
+    they are only checked against the ids of later batches, a set small enough to be
+    sent to them unless much has changed.  Only the later batches are sorted out by id.
+    """
+    keys, rows = _keys(key), _versions(spark, path, schema)
+    first = rows.agg(F.min(BATCH)).scalar()
+    base, later = rows.where(F.col(BATCH) == first), rows.where(F.col(BATCH) > first)
+    kept = base.join(later.select(*keys).distinct(), keys, "left_anti")
+    return kept.unionByName(top_n_per_key(later, keys, [F.desc(BATCH)], 1)).drop(BATCH)
 
 
 def read_last_batch(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:

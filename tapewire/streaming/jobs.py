@@ -20,6 +20,7 @@ from tapewire.sources.readers import read_archive
 from tapewire.sources.sinks import BATCH, read_last_batch, upsert
 
 POLL = "10 minutes"
+DEDUP_SPLITS = 32
 
 
 def upsert_batch(path: str, key: str | list[str] = "doc_id") -> Callable[[DataFrame, int], None]:
@@ -77,9 +78,13 @@ def start_ingest(
 def stream_dedup(stream: DataFrame, ts: str, horizon: str, key: str = "doc_id") -> DataFrame:
     """Drops copies that arrive within ``horizon`` of the first; state stays bounded by it.
 
-    For a dedup against everything ever seen use `start_ingest`.
+    Copies are first dropped per group of input partitions, so that a text sent over and
+    over does not meet in one task.  For a dedup against everything ever seen use
+    `start_ingest`.
     """
-    return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
+    spread = stream.withWatermark(ts, horizon).withColumn("_split", F.pmod(F.spark_partition_id(), F.lit(DEDUP_SPLITS)))
+    fewer = spread.dropDuplicatesWithinWatermark([key, "_split"]).drop("_split")
+    return fewer.dropDuplicatesWithinWatermark([key])
 
 
 def stream_minute_counts(events: DataFrame, expiry: str = "1 hour") -> DataFrame:
