@@ -95,7 +95,7 @@ def read_upserted(
     first = rows.agg(F.min(BATCH)).scalar()
     base, later = rows.where(F.col(BATCH) == first), rows.where(F.col(BATCH) > first)
     kept = base.join(later.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(top_n_per_key(later, keys, [F.desc(BATCH)], 1)).drop(BATCH)
+    return kept.unionByName(top_n_per_key(later, keys, [F.desc(BATCH)], 1)).select(*schema.names)
 
 
 def read_last_batch(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
