@@ -81,10 +81,11 @@ def ml_top3_normalised(spark, d):
     return classify.normalised_top_labels(tables.model_scores(spark, d)).withColumn("share", r9("share"))
 
 
-@query(with_ctes("docs", MODEL + """ SELECT n AS doc_id, label, category FROM ms WHERE score >= 0.9"""))
+@query(with_ctes("docs", MODEL + """ SELECT label, category, count(*) AS n, round(avg(score), 9) AS avg_score FROM ms GROUP BY ALL"""))
 def label_categories(spark, d):
-    return tables.model_scores(spark, d).where(F.col("score") >= 0.9).select(
-        "doc_id", "label", classify.label_to_category(F.col("label")).alias("category")
+    category = classify.label_to_category(F.col("label")).alias("category")
+    return tables.model_scores(spark, d).groupBy("label", category).agg(
+        F.count(F.lit(1)).alias("n"), r9(F.avg("score")).alias("avg_score")
     )
 
 

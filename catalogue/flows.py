@@ -16,11 +16,12 @@ from tapewire.functions.identity import first_or_null
 from tapewire.operators.classify import model_table
 from tapewire.operators.metrics import SAMPLES
 from tapewire.plans import driver_tables as tables
-from tapewire.plans.enrich import enrich, payload, with_ids
+from tapewire.plans.enrich import enrich, payload, with_generated, with_ids
 from tapewire.plans.scoring import score_articles
 from tapewire.schemas import PAYLOAD
 from tapewire.sources import (
     append_archive,
+    append_audit,
     compact,
     decode_articles,
     export_keywords,
@@ -30,8 +31,11 @@ from tapewire.sources import (
     read_category_commands,
     read_category_json,
     read_last_batch,
+    read_metric_events,
     read_raw_articles,
+    read_scored,
     read_upserted,
+    sentiment_audit,
     stream_articles,
     to_messages,
     upsert,
@@ -134,6 +138,32 @@ def category_commands_scan(spark, d):
     return read_category_commands(spark, path)
 
 
+@query(with_ctes("scored", """SELECT "publishedAt" AS ts, round(final_score, 9) AS final_score FROM scored"""))
+def scored_scan(spark, d):
+    """Two columns of a stored article table: the scan reads no others."""
+    path = f"{work_dir(spark, 'scored')}/articles"
+    tables.scored(spark, d).write.parquet(path)
+    return read_scored(spark, path, ["publishedAt", "final_score"]).select(
+        F.col("publishedAt").alias("ts"), r9("final_score").alias("final_score")
+    )
+
+
+@query(with_ctes("ev", "SELECT event_id, pipeline, ts_ms, latency_ms, status FROM ev"))
+def metric_event_scan(spark, d):
+    path = work_dir(spark, "metric-events")
+    tables.metric_events(spark, d).drop("ts_ms").write.parquet(path)
+    return read_metric_events(spark, path).drop("ts")
+
+
+@query(fused_sql("""SELECT doc_id, 'sentiment' AS log, sentiment_source AS decision FROM (SELECT r.doc_id, sentiment_source FROM raw r JOIN chosen USING (n))"""))
+def audit_log(spark, d):
+    """Appends one decision row per article to a log directory and reads it."""
+    path = work_dir(spark, "audit")
+    fused = with_ids(_fused(spark, d).drop("doc_id")).withColumnRenamed("model_sentiment_confidence", "model_confidence")
+    append_audit(sentiment_audit(fused).select("doc_id", F.lit("sentiment").alias("log"), "sentiment_source"), path)
+    return spark.read.schema("doc_id string, log string, decision string").csv(path)
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 
@@ -271,3 +301,28 @@ def enrich_and_score(spark, d):
          "content_quality": F.lit(None).cast("string")}
     )
     return rounded(score_articles(df, **tables.word_lists()))
+
+
+_WORDS = "list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 3)"
+
+
+@query(f"""WITH g AS (SELECT doc_id, substring(text, 1, 80) AS title, substring(text, 1, 200) AS description, {_WORDS} AS ws,
+      ltrim(regexp_replace(substring(text, 1, 90), '[\\s]+', ' ', 'g')) AS s FROM documents SEMI JOIN labels USING (doc_id)),
+    src AS (SELECT *, lower(rtrim(regexp_replace(title, '\\s+$', '')) || '. ' || description) AS low FROM g),
+    ph AS (SELECT doc_id, low, s, list_slice(ws, 1, 3) AS ps FROM src)
+    SELECT d.doc_id, CASE WHEN ph.doc_id IS NULL THEN 'N/A' ELSE
+        coalesce(nullif(array_to_string(list_filter(ps, lambda p: contains(low, lower(p))), ', '), ''), 'N/A') END AS key_phrases,
+      CASE WHEN ph.doc_id IS NULL THEN 'Financial news update' ELSE coalesce(nullif(rtrim(s), ''), 'N/A') END AS summary
+    FROM documents d LEFT JOIN ph USING (doc_id)""")
+def generated_phrases(spark, d):
+    """Raw generator answers cleaned and checked against the article; only labelled articles have any."""
+    docs = tables.table(spark, d, "documents")
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
+    labelled = tables.table(spark, d, "labels").select("doc_id")
+    answers = docs.join(labelled, "doc_id", "left_semi").select(
+        "doc_id",
+        F.concat(F.lit("<think>hm,\nhm</think>"), F.array_join(F.slice(words, 1, 3), " , "), F.lit(", zzzzqqq")).alias("key_phrases"),
+        F.substring("text", 1, 90).alias("summary"),
+    )
+    articles = docs.select("doc_id", F.substring("text", 1, 80).alias("title"), F.substring("text", 1, 200).alias("description"))
+    return with_generated(articles, answers).select("doc_id", "key_phrases", "summary")

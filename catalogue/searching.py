@@ -143,7 +143,7 @@ def match_all(spark, d):
 def saved_index_search(spark, d):
     """The same search over an index written by term buckets and read back."""
     path = work_dir(spark, "index")
-    search.write_index(_index(spark, d), path, buckets=8, files_per_bucket=2)
+    search.write_index(_index(spark, d), path, buckets=8)
     return search.bm25(search.read_index(spark, path), QUERY)
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.fixed_values import CATEGORY_NAMES, DEFAULT_CATEGORY, OTHER_CATEGORY_NAME
 from tapewire.functions.text import non_empty
 
 
-def category_name(code: Column, missing_as_default: bool = False) -> Column:
-    """Display name of a category letter.
+def category_name(
+    code: Column, missing_as_default: bool = False, names: dict[str, str] = CATEGORY_NAMES
+) -> Column:
+    """Display name of a category letter: a lookup in a list this short needs no join.
 
     A missing code is ``General News`` in rollups; cards read it as the default
     category (``missing_as_default``).
@@ -18,7 +20,7 @@ def category_name(code: Column, missing_as_default: bool = False) -> Column:
     if missing_as_default:
         code = F.coalesce(non_empty(code), F.lit(DEFAULT_CATEGORY))
     chain = F
-    for letter, name in CATEGORY_NAMES.items():
+    for letter, name in names.items():
         chain = chain.when(code == letter, F.lit(name))
     return chain.otherwise(F.lit(OTHER_CATEGORY_NAME))
 
@@ -72,3 +74,7 @@ def signal_band(score: Column, detailed: bool = False) -> Column:
         .when(score >= -1.5, "sell")
         .when(score.isNotNull(), "strong sell")
     )
+
+
+def with_category_name(df: DataFrame, names: dict[str, str] = CATEGORY_NAMES) -> DataFrame:
+    return df.withColumn("category_name", category_name(F.col("category"), names=names))

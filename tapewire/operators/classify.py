@@ -24,10 +24,10 @@ DEFAULT_CONFIDENCE = 0.3
 MODEL_MIN_CHARS = 15
 
 
-def label_to_category(label: Column) -> Column:
+def label_to_category(label: Column, labels: dict[str, str] = CATEGORY_LABELS) -> Column:
     """Category letter of a label text, the default letter for an unknown one."""
     chain = F
-    for letter, text in CATEGORY_LABELS.items():
+    for letter, text in labels.items():
         chain = chain.when(label == text, F.lit(letter))
     return chain.otherwise(F.lit(DEFAULT_CATEGORY))
 

@@ -26,6 +26,8 @@ SAME_CATEGORY_SCORE = 1.0
 FRAGMENT, LEAD = 150, 60
 # More expanded terms than this are joined as a table instead of sent as literals.
 MAX_LITERAL_TERMS = 5_000
+# Terms from this length on share a folder of a saved vocabulary.
+LONGEST = 40
 
 TEXT_FIELDS = ("title", "description", "content", "key_phrases", "summary")
 KEYWORD_FIELDS = ("source",)
@@ -95,22 +97,23 @@ def build_index(
     return TextIndex(postings, vocabulary, field_stats)
 
 
-def write_index(index: TextIndex, path: str, buckets: int = 256, files_per_bucket: int = 4) -> None:
-    """Save an index with postings laid out by term.
+def write_index(index: TextIndex, path: str, buckets: int = 256) -> None:
+    """Save an index with postings laid out by term and the vocabulary by term length.
 
-    The postings of a very common term are spread over ``files_per_bucket`` tasks
-    by article, so no single task writes them all.
+    Rebalancing lets each folder be written by few tasks, and by many where a very
+    common term or length makes it large.
     """
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_bucket))
     (
         index.postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-        .withColumn("_spread", spread)
-        .repartition(buckets * files_per_bucket, "bucket", "_spread")
-        .drop("_spread")
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
-    index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    (
+        index.vocabulary.withColumn("len", F.least(F.length("term"), F.lit(LONGEST)))
+        .hint("rebalance", "len")
+        .write.mode("overwrite").partitionBy("len").parquet(f"{path}/vocabulary")
+    )
     stats = index.field_stats.withColumn("buckets", F.lit(buckets))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
 
@@ -139,12 +142,14 @@ def expand_terms(vocabulary: DataFrame, terms: list[str], fuzzy: bool = True) ->
     """Vocabulary entries the terms stand for: ``(query_term, term, edits, weight, ...)``.
 
     The few query terms are literals compared inside one scan of the vocabulary,
-    lengths first; nothing is joined.  An inexact hit weighs
-    ``1 - edits / shorter length``.
+    lengths first; nothing is joined, and of a saved vocabulary only the folders of the
+    possible lengths are read.  An inexact hit weighs ``1 - edits / shorter length``.
     """
-    hits = []
+    columns = [c for c in vocabulary.columns if c != "len"]
+    hits, lengths = [], set()
     for term, times in sorted(Counter(terms).items()):
         k = max_edits(term) if fuzzy else 0
+        lengths.update(min(n, LONGEST) for n in range(len(term) - k, len(term) + k + 1))
         found = F.col("term")
         if k == 0:
             edits, close = F.lit(0), found == term
@@ -152,21 +157,20 @@ def expand_terms(vocabulary: DataFrame, terms: list[str], fuzzy: bool = True) ->
             edits = F.levenshtein(found, F.lit(term), k)
             close = (F.abs(F.length(found) - len(term)) <= k) & (edits >= 0)
         weight = times * (1 - edits / F.least(F.length(found), F.lit(len(term))))
-        hits.append(
-            F.when(
-                close,
-                F.struct(F.lit(term).alias("query_term"), edits.alias("edits"), weight.cast("double").alias("weight")),
-            )
-        )
+        hit = F.struct(F.lit(term).alias("query_term"), edits.alias("edits"), weight.cast("double").alias("weight"))
+        hits.append(F.when(close, hit))
     if not hits:
-        return vocabulary.where(F.lit(False)).select(
-            F.lit("").alias("query_term"), *vocabulary.columns, F.lit(0).alias("edits"), F.lit(0.0).alias("weight")
-        )
+        none = [F.lit("").alias("query_term"), *columns, F.lit(0).alias("edits"), F.lit(0.0).alias("weight")]
+        return vocabulary.where(F.lit(False)).select(*none)
+    if "len" in vocabulary.columns:
+        vocabulary = vocabulary.where(F.col("len").isin(sorted(lengths)))
+    if not fuzzy:
+        vocabulary = vocabulary.where(F.col("term").isin(sorted(set(terms))))
     return (
         vocabulary.withColumn("_hits", F.array_compact(F.array(*hits)))
         .where(F.size("_hits") > 0)
-        .select(*vocabulary.columns, F.explode("_hits").alias("h"))
-        .select("h.query_term", *vocabulary.columns, "h.edits", "h.weight")
+        .select(*columns, F.explode("_hits").alias("h"))
+        .select("h.query_term", *columns, "h.edits", "h.weight")
     )
 
 

@@ -111,11 +111,13 @@ def test_many_terms_take_the_join_instead_of_literals(articles, docs, monkeypatc
 def test_saved_index(spark, articles, tmp_path):
     path = str(tmp_path / "index")
     index = search.build_index(articles)
-    search.write_index(index, path, buckets=16, files_per_bucket=2)
+    search.write_index(index, path, buckets=16)
     saved = search.read_index(spark, path)
     assert saved.buckets == 16
     result = search.bm25(saved, "pricey rally")
     assert dict(result.collect()) == dict(search.bm25(index, "pricey rally").collect())
+    exact = dict(search.bm25(saved, "rally market", fuzzy=False).collect())
+    assert exact == dict(search.bm25(index, "rally market", fuzzy=False).collect())
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
