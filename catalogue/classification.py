@@ -110,7 +110,7 @@ DECISION = f""", letters AS (SELECT unnest(string_split('{''.join(CATEGORY_LETTE
 
 def _classified(spark, d):
     model = classify.model_table(tables.model_scores(spark, d))
-    return classify.classify(classify.with_model_scores(_texts(spark, d), model), DICTIONARY_EXAMPLE)
+    return classify.classify(_texts(spark, d), DICTIONARY_EXAMPLE, model)
 
 
 @query(with_ctes("docs msg", KEYWORDS + MODEL + DECISION + """ SELECT n AS doc_id, category, method,

@@ -115,31 +115,40 @@ def best_category(pairs: Column, field: str = "score") -> Column:
 def classify(
     df: DataFrame,
     dictionary: Dictionary,
+    model: DataFrame | None = None,
+    key: str = "doc_id",
     text_col: str = "text",
     confidence_col: str = "confidence",
-    ml_col: str = "ml",
-    model_confidence_col: str = "model_confidence",
 ) -> DataFrame:
     """Adds ``category``, ``category_confidence``, ``method`` and ``breakdown``.
 
     A keyword score of 0.6 or more decides alone.  Otherwise the best weighted sum
     wins if it reaches 0.4, else the default category.  Articles without a vendor
     confidence get the first category with any keyword.
+
+    ``model`` is a table made by `model_table`.  It is joined after the text was
+    scanned, so a caller who does not keep the text does not shuffle it.
     """
-    text, conf = F.col(text_col), F.col(confidence_col)
-    usable = long_enough(text, MODEL_MIN_CHARS)
+    conf = F.col(confidence_col)
     staged = with_keyword_stats(df, dictionary, text_col, "_entries")
-    staged = staged.withColumn(
-        "_kw",
-        F.transform(
-            "_entries",
-            lambda e: F.struct(
-                e["category"].alias("category"),
-                F.coalesce(keyword_score(e["stats"]), F.lit(0.0)).alias("score"),
-            ),
+    scores = F.transform(
+        "_entries",
+        lambda e: F.struct(
+            e["category"].alias("category"),
+            F.coalesce(keyword_score(e["stats"]), F.lit(0.0)).alias("score"),
         ),
     )
-    staged = staged.withColumn("_ml", F.when(usable, F.col(ml_col)))
+    usable = F.col("_usable")
+    staged = staged.withColumns(
+        {"_kw": once(scores), "_usable": once(long_enough(F.col(text_col), MODEL_MIN_CHARS))}
+    ).drop("_entries")
+    if model is not None:
+        model = model.select(key, F.col("ml").alias("_ml"), F.col("model_confidence").alias("_model"))
+        staged = with_model_scores(staged, model, key)
+    else:
+        unknown = F.lit(None)
+        staged = staged.withColumns({"_ml": unknown.cast("map<string,double>"), "_model": unknown.cast("double")})
+    staged = staged.withColumn("_ml", F.when(usable, F.col("_ml")))
     staged = staged.withColumns(
         {
             "_all": align_scores(F.col("_kw"), F.col("_ml"), conf),
@@ -164,8 +173,7 @@ def classify(
     )
     # The fallback needs no second text scan: the first letter with any match.
     fallback = F.coalesce(
-        F.get(F.filter("_entries", lambda e: e["stats"].isNotNull()), F.lit(0))["category"],
-        F.lit(DEFAULT_CATEGORY),
+        F.get(F.filter("_kw", lambda k: k["score"] > 0), F.lit(0))["category"], F.lit(DEFAULT_CATEGORY)
     )
     category = (
         F.when(no_confidence, fallback)
@@ -194,7 +202,7 @@ def classify(
             F.when(override, F.col("_best_kw.score")).otherwise(F.col("_chosen.keyword")).alias("keyword_score"),
             F.when(override, F.col("_best_kw.score")).otherwise(F.col("_best.score")).alias("combined_score"),
             F.when(override | ~usable, 0.0)
-            .otherwise(F.coalesce(F.col(model_confidence_col), F.lit(0.0)))
+            .otherwise(F.coalesce(F.col("_model"), F.lit(0.0)))
             .alias("model_confidence"),
             conf.alias("api_confidence"),
             F.when(override, empty).otherwise(F.coalesce(scaled, empty)).alias("top_3_ml"),
@@ -209,7 +217,7 @@ def classify(
             "method": once(method),
             "breakdown": once(breakdown),
         }
-    ).drop("_entries", "_kw", "_ml", "_all", "_best_kw", "_ranked", "_best", "_chosen")
+    ).drop("_kw", "_usable", "_ml", "_model", "_all", "_best_kw", "_ranked", "_best", "_chosen")
 
 
 def needs_model(df: DataFrame, dictionary: Dictionary, text_col: str = "text") -> DataFrame:

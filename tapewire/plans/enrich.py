@@ -72,8 +72,8 @@ def enrich(
     fresh = new_articles(with_ids(raw), archive, [F.desc(seq)])
     scored = with_sentiment(unpack_entities(fresh), model_sentiment)
     body = text.classification_text(F.col("snippet"), F.col("description"), F.col("title"))
-    staged = with_model_scores(scored.withColumn("text", body), model_categories)
-    staged = with_generated(classify(staged, dictionary), generated)
+    classified = classify(scored.withColumn("text", body), dictionary, model_categories)
+    staged = with_generated(classified, generated)
     return staged.withColumns(
         {
             "title": F.coalesce("title", F.lit("")),

@@ -67,7 +67,7 @@ def test_decision_equals_the_rule(spark):
         want[str(i)] = decide(text, confidence, own)
     df = spark.createDataFrame(docs, "doc_id string, text string, confidence double")
     table = classify.model_table(spark.createDataFrame(scores, "doc_id string, label string, score double"))
-    out = classify.classify(classify.with_model_scores(df, table), DICTIONARY).collect()
+    out = classify.classify(df, DICTIONARY, table).collect()
     assert len({r["method"] for r in out}) >= 4
     for r in out:
         category, confidence, method = want[r["doc_id"]]
