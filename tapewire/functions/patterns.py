@@ -50,6 +50,24 @@ def word_pattern(words: Iterable[str]) -> str:
     return render(root) if root else NEVER
 
 
+def collisions(words: Iterable[str]) -> set[str]:
+    """The shortest texts in which one word begins inside another: ``net income`` for the
+    words ``net income`` and ``income``, ``dealing`` for ``deal`` and ``aling``."""
+    words = set(words)
+    beginnings: dict[str, list[str]] = {}
+    for word in words:
+        for n in range(1, len(word) + 1):
+            beginnings.setdefault(word[:n], []).append(word)
+    found = set()
+    for word in words:
+        for k in range(1, len(word)):
+            tail = word[k:]
+            found.update(word[:k] + other for other in beginnings.get(tail, ()))
+            if any(tail[:n] in words for n in range(1, len(tail))):
+                found.add(word)
+    return found
+
+
 def keyword_flag(words: Iterable[str], *cols: Column) -> Column:
     """True when any word occurs as a substring of any lower-cased column."""
     pattern = word_pattern(words)

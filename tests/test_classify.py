@@ -95,6 +95,20 @@ def test_keyword_score_range_and_first_category(spark):
         assert first[i] == min(keyword_score(text), default="J")
 
 
+@pytest.mark.parametrize("limit", [40_000, 0])
+def test_matches_equal_one_pattern_per_category(spark, monkeypatch, limit):
+    monkeypatch.setattr(keywords, "MAX_COLLISIONS", limit)
+    rng = random.Random(9)
+    own = {c: list({"".join(rng.choices("ab ", k=rng.randint(1, 4))).strip() or "a" for _ in range(6)}) for c in "ABCDEFG"}
+    texts = ["".join(rng.choices("ab c\n", k=rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    match = keywords.match_keywords(df, own, "text")
+    for r in match.df.collect():
+        for c, column in match.columns.items():
+            flat = "|".join(re.escape(w) for w in sorted(set(own[c]), key=lambda w: (-len(w), w)))
+            assert r[column] == re.findall(flat, texts[r["i"]]), (own[c], texts[r["i"]])
+
+
 def test_needs_model_leaves_out_decided_and_short_texts(spark):
     df = spark.createDataFrame([("1", "upgrade rating upgrade"), ("2", "ten chars!"), ("3", "a deal in the making")], "doc_id string, text string")
     assert [r["doc_id"] for r in classify.needs_model(df, DICTIONARY).collect()] == ["3"]

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapewire.functions import identity, text
-from tapewire.functions.patterns import keyword_flag, word_pattern
+from tapewire.functions.patterns import collisions, keyword_flag, word_pattern
 
 
 def clean_generated(response):
@@ -133,6 +133,14 @@ def test_prefix_tree_equals_longest_first_alternation(ws, sample):
     assert re.findall(word_pattern(ws), sample) == re.findall(flat, sample)
 
 
+@settings(max_examples=100, deadline=None)
+@given(words, st.text(alphabet="abc é&+-", max_size=40))
+def test_collisions_are_found(ws, sample):
+    at = [[w for w in set(ws) if sample.startswith(w, i)] for i in range(len(sample))]
+    overlap = any(at[j] for i in range(len(sample)) for w in at[i] for j in range(i + 1, min(i + len(w), len(sample))))
+    assert overlap == any(text in sample for text in collisions(ws))
+
+
 def test_keyword_flag(column):
     hits = column(lambda x: keyword_flag(["m&a", "opec+", "cut"], x), ["big M&A deal", "OPEC+ met", "shortCUTs", "opec", None])
     assert hits == [True, True, True, False, None]
