@@ -43,58 +43,85 @@ def query_tokens(text: str) -> list[str]:
 
 
 def _fields(df: DataFrame, key: str, text_fields, keyword_fields) -> DataFrame:
-    """One row per article and non-empty field with its tokens; keyword fields stay whole."""
+    """``(doc_id, field, dl, tokens)`` per article and non-empty field; keyword fields stay whole."""
     parts = [F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in text_fields]
     parts += [
         F.struct(F.lit(f).alias("field"), F.array(non_empty(F.col(f))).alias("tokens")) for f in keyword_fields
     ]
     return (
-        df.select(key, F.explode(F.array(*parts)).alias("f"))
-        .select(key, "f.field", F.array_compact("f.tokens").alias("tokens"))
+        df.select(F.col(key).alias("doc_id"), F.explode(F.array(*parts)).alias("f"))
+        .select("doc_id", "f.field", F.array_compact("f.tokens").alias("tokens"))
         .where(F.size("tokens") > 0)
+        .select("doc_id", "field", F.size("tokens").alias("dl"), "tokens")
     )
 
 
+def _postings(fields: DataFrame) -> DataFrame:
+    """``(term, field, doc_id, tf, dl)``, counted inside the row.
+
+    Sorted, equal tokens form runs that one pattern cuts apart, so occurrences are
+    counted without grouping, and without shuffling, the tokens of all articles.
+    """
+    keyword = F.col("field").isin(*KEYWORD_FIELDS)
+    line = F.concat(F.array_join(F.sort_array("tokens"), " "), F.lit(" "))
+    runs = F.when(keyword, F.col("tokens")).otherwise(F.regexp_extract_all(line, F.lit(r"(\S+ )\1*"), F.lit(0)))
+    exploded = fields.select("doc_id", "field", "dl", F.explode(runs).alias("run"))
+    term = F.when(keyword, F.col("run")).otherwise(F.substring_index("run", " ", 1))
+    tf = F.when(keyword, 1).otherwise(F.length("run") / (F.length("term") + 1)).cast("bigint")
+    return exploded.withColumn("term", term).select("term", "field", "doc_id", tf.alias("tf"), "dl")
+
+
 def tokenize(df: DataFrame, fields=TEXT_FIELDS, key: str = "doc_id") -> DataFrame:
     """``(key, field, pos, term)``."""
-    return _fields(df, key, fields, ()).select(key, "field", F.posexplode("tokens").alias("pos", "term"))
+    rows = _fields(df, key, fields, ())
+    return rows.select(F.col("doc_id").alias(key), "field", F.posexplode("tokens").alias("pos", "term"))
 
 
 @dataclass(frozen=True)
 class TextIndex:
     """``postings(term, field, doc_id, tf, dl)``, ``vocabulary(term, field, df)`` and
-    ``field_stats(field, n_docs, avg_dl)``."""
+    ``field_stats(field, n_docs, avg_dl)``.
+
+    ``fields`` are the tokenised articles of an index that is not saved, ``buckets``
+    the number of term folders of one that is.
+    """
 
     postings: DataFrame
     vocabulary: DataFrame
     field_stats: DataFrame
+    fields: DataFrame | None = None
     buckets: int | None = None
 
+    def postings_of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms, reading and counting as little else as possible."""
+        if self.fields is not None:
+            wanted = F.filter("tokens", lambda t: t.isin(terms))
+            return _postings(self.fields.withColumn("tokens", wanted).where(F.size("tokens") > 0))
+        postings = self.postings.where(F.col("term").isin(terms))
+        if self.buckets:
+            # Literal folder numbers, so that only these are listed and read.
+            of_terms = postings.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+            numbers = of_terms.select(_bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()
+            postings = postings.where(F.col("bucket").isin([r["b"] for r in numbers]))
+        return postings
+
 
 def build_index(
     df: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIELDS, key: str = "doc_id"
 ) -> TextIndex:
-    """Declares the index of a table.
+    """Declares the index of a table; its parts are independent plans.
 
-    The three parts are independent plans: asking for the vocabulary shuffles one
-    row per distinct term and input partition, and a term filter on the postings
-    moves below their aggregation, so a search over an unsaved index still only
-    shuffles the rows of its own terms.
+    Only the vocabulary and the field statistics shuffle: one row per distinct term, or
+    field, and input partition.
     """
     fields = _fields(df, key, text_fields, keyword_fields)
-    words = fields.select(key, "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = words.groupBy("term", "field", F.col(key).alias("doc_id"), "dl").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
     vocabulary = (
         fields.select("field", F.explode(F.array_distinct("tokens")).alias("term"))
         .groupBy("term", "field")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    field_stats = fields.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl")
-    )
-    return TextIndex(postings, vocabulary, field_stats)
+    field_stats = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return TextIndex(_postings(fields), vocabulary, field_stats, fields)
 
 
 def write_index(index: TextIndex, path: str, buckets: int = 256) -> None:
@@ -125,7 +152,7 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
         spark.read.parquet(f"{path}/postings"),
         spark.read.parquet(f"{path}/vocabulary"),
         stats.drop("buckets"),
-        layout["buckets"] if layout else None,
+        buckets=layout["buckets"] if layout else None,
     )
 
 
@@ -199,19 +226,12 @@ def bm25(
     """``(doc_id, score)`` of every article that any query term hits; best field counts."""
     weights = _weights(index, query, boosts, fuzzy)
     rows = weights.limit(MAX_LITERAL_TERMS + 1).collect()
-    postings = index.postings.where(F.col("field").isin(*boosts))
+    postings = index.postings
     if len(rows) <= MAX_LITERAL_TERMS:
-        spark = postings.sparkSession
-        weights = spark.createDataFrame(rows, weights.schema)
-        terms = sorted({r["term"] for r in rows})
-        postings = postings.where(F.col("term").isin(terms) if terms else F.lit(False))
-        if index.buckets and terms:
-            # Literal bucket numbers, so that only their directories are listed and read.
-            of_terms = spark.createDataFrame([(t,) for t in terms], "term string")
-            numbers = of_terms.select(_bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()
-            postings = postings.where(F.col("bucket").isin([r["b"] for r in numbers]))
+        postings = index.postings_of(sorted({r["term"] for r in rows}))
         # At most MAX_LITERAL_TERMS rows.
-        weights = F.broadcast(weights)
+        weights = F.broadcast(postings.sparkSession.createDataFrame(rows, weights.schema))
+    postings = postings.where(F.col("field").isin(*boosts))
     tf, dl = F.col("tf"), F.col("dl")
     saturation = tf / (tf + K1 * (1 - B + B * dl / F.col("avg_dl")))
     hits = postings.join(weights, ["term", "field"]).withColumn("part", F.col("weight") * saturation)
