@@ -90,8 +90,7 @@ def index_field_stats(spark, d):
 @query(with_ctes("scored", INDEX + ", " + fuzzy_sql(QUERY.split()) + """ SELECT query_term, term, field, df, edits::INTEGER AS edits,
     round(1 - edits / least(length(term), length(query_term)), 9) AS weight FROM ex"""))
 def fuzzy_vocabulary(spark, d):
-    vocabulary = _index(spark, d).vocabulary.where(F.col("field") != "source")
-    found = search.expand_terms(vocabulary, search.query_tokens(QUERY))
+    found = search.expand_terms(_index(spark, d).vocabulary, search.query_tokens(QUERY))
     return found.select("query_term", "term", "field", "df", "edits", r9("weight").alias("weight"))
 
 

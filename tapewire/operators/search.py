@@ -165,34 +165,42 @@ def max_edits(term: str) -> int:
     return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
 
 
-def expand_terms(vocabulary: DataFrame, terms: list[str], fuzzy: bool = True) -> DataFrame:
+def expand_terms(
+    vocabulary: DataFrame, terms: list[str], fuzzy: bool = True, whole: str | None = None
+) -> DataFrame:
     """Vocabulary entries the terms stand for: ``(query_term, term, edits, weight, ...)``.
 
-    The few query terms are literals compared inside one scan of the vocabulary,
-    lengths first; nothing is joined, and of a saved vocabulary only the folders of the
-    possible lengths are read.  An inexact hit weighs ``1 - edits / shorter length``.
+    ``whole`` is what entries of keyword fields are compared with.  The few query terms
+    are literals compared inside one scan of the vocabulary, lengths first; nothing is
+    joined, and of a saved vocabulary only the folders of the possible lengths are read.
+    An inexact hit weighs ``1 - edits / shorter length``.
     """
     columns = [c for c in vocabulary.columns if c != "len"]
+    found, keyword = F.col("term"), F.col("field").isin(*KEYWORD_FIELDS)
     hits, lengths = [], set()
-    for term, times in sorted(Counter(terms).items()):
-        k = max_edits(term) if fuzzy else 0
+
+    def add(term: str, times: int, k: int, applies: Column) -> None:
         lengths.update(min(n, LONGEST) for n in range(len(term) - k, len(term) + k + 1))
-        found = F.col("term")
         if k == 0:
-            edits, close = F.lit(0), found == term
+            edits, close = F.lit(0), applies & (found == term)
         else:
             edits = F.levenshtein(found, F.lit(term), k)
-            close = (F.abs(F.length(found) - len(term)) <= k) & (edits >= 0)
+            close = applies & (F.abs(F.length(found) - len(term)) <= k) & (edits >= 0)
         weight = times * (1 - edits / F.least(F.length(found), F.lit(len(term))))
         hit = F.struct(F.lit(term).alias("query_term"), edits.alias("edits"), weight.cast("double").alias("weight"))
         hits.append(F.when(close, hit))
+
+    for term, times in sorted(Counter(terms).items()):
+        add(term, times, max_edits(term) if fuzzy else 0, ~keyword)
+    if whole:
+        add(whole, 1, 0, keyword)
     if not hits:
         none = [F.lit("").alias("query_term"), *columns, F.lit(0).alias("edits"), F.lit(0.0).alias("weight")]
         return vocabulary.where(F.lit(False)).select(*none)
     if "len" in vocabulary.columns:
         vocabulary = vocabulary.where(F.col("len").isin(sorted(lengths)))
     if not fuzzy:
-        vocabulary = vocabulary.where(F.col("term").isin(sorted(set(terms))))
+        vocabulary = vocabulary.where(found.isin(sorted({*terms, *([whole] if whole else [])})))
     return (
         vocabulary.withColumn("_hits", F.array_compact(F.array(*hits)))
         .where(F.size("_hits") > 0)
@@ -203,18 +211,15 @@ def expand_terms(vocabulary: DataFrame, terms: list[str], fuzzy: bool = True) ->
 
 def _weights(index: TextIndex, query: str, boosts: dict[str, float], fuzzy: bool) -> DataFrame:
     """``(term, field, weight, avg_dl)``: idf, boost and closeness of every wanted term."""
-    is_keyword = F.col("field").isin(*KEYWORD_FIELDS)
     wanted = index.vocabulary.where(F.col("field").isin(*boosts))
-    words = expand_terms(wanted.where(~is_keyword), query_tokens(query), fuzzy)
-    whole = expand_terms(wanted.where(is_keyword), [query.strip()] if query.strip() else [], fuzzy)
+    found = expand_terms(wanted, query_tokens(query), fuzzy, query.strip())
     boost = F
     for field, value in boosts.items():
         boost = boost.when(F.col("field") == field, F.lit(float(value)))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # field_stats has one row per text field, at most six.
     return (
-        words.unionByName(whole)
-        .join(F.broadcast(index.field_stats), "field")
+        found.join(F.broadcast(index.field_stats), "field")
         .groupBy("term", "field")
         .agg(F.sum(F.col("weight") * idf * boost * (K1 + 1)).alias("weight"), F.first("avg_dl").alias("avg_dl"))
     )
