@@ -39,35 +39,34 @@ _SHOWN = """CASE WHEN conf_norm <> 0 THEN conf_norm WHEN confidence <> 0 AND con
     WHEN confidence <> 0 THEN confidence / 100 ELSE 0.8 END * 100"""
 
 
-@query(with_ctes("scored", f"""SELECT doc_id, 'category' AS kind FROM scored WHERE category = 'C'
-    UNION ALL SELECT doc_id, 'source' FROM scored WHERE source = 'src3'
-    UNION ALL SELECT doc_id, 'risk_level' FROM scored WHERE risk_level = 'medium_risk'
-    UNION ALL SELECT doc_id, 'impact' FROM scored WHERE impact_assessment = 'BULLISH'
-    UNION ALL SELECT doc_id, 'symbol' FROM scored WHERE symbol = 'S4'
-    UNION ALL SELECT doc_id, 'published' FROM scored WHERE "publishedAt" BETWEEN 1704153600000 AND 1704326400000
-    UNION ALL SELECT doc_id, 'risk' FROM scored WHERE risk_adj BETWEEN 0.5 AND 0.65
-    UNION ALL SELECT doc_id, 'confidence' FROM scored WHERE {_SHOWN} BETWEEN 40 AND 75
-    UNION ALL SELECT doc_id, 'ticker' FROM scored WHERE symbol <> '' AND entity_name <> ''
-    UNION ALL SELECT doc_id, 'history' FROM scored WHERE "publishedAt" IS NOT NULL"""))
-def single_filters(spark, d):
-    df = tables.scored(spark, d)
-    parts = {
-        "category": filters.where_category(df, "c"),
-        "source": filters.where_source(df, "src3"),
-        "risk_level": filters.where_risk_level(df, "medium_risk"),
-        "impact": filters.where_impact(df, "BULLISH"),
-        "symbol": filters.where_symbol(df, " s4 "),
-        "published": filters.where_published(df, 1704153600000, 1704326400000),
-        "risk": filters.where_risk_between(df, 0.5, 0.65),
-        "confidence": filters.where_confidence_between(df, 40, 75),
-        "ticker": filters.where_has_ticker(df),
-        "history": filters.valid_history(df),
-    }
-    union = None
-    for kind, part in parts.items():
-        rows = part.select("doc_id", F.lit(kind).alias("kind"))
-        union = rows if union is None else union.unionAll(rows)
-    return union
+# One query per filter: the condition as SQL and the operator call.
+_FILTERS = {
+    "category": ("category = 'C'", lambda df: filters.where_category(df, "c")),
+    "source": ("source = 'src3'", lambda df: filters.where_source(df, "src3")),
+    "risk_level": ("risk_level = 'medium_risk'", lambda df: filters.where_risk_level(df, "medium_risk")),
+    "impact": ("impact_assessment = 'BULLISH'", lambda df: filters.where_impact(df, "BULLISH")),
+    "symbol": ("symbol = 'S4'", lambda df: filters.where_symbol(df, " s4 ")),
+    "published": (
+        '"publishedAt" BETWEEN 1704153600000 AND 1704326400000',
+        lambda df: filters.where_published(df, 1704153600000, 1704326400000),
+    ),
+    "risk_score": ("risk_adj BETWEEN 0.5 AND 0.65", lambda df: filters.where_risk_between(df, 0.5, 0.65)),
+    "confidence": (f"{_SHOWN} BETWEEN 40 AND 75", lambda df: filters.where_confidence_between(df, 40, 75)),
+    "has_ticker": ("symbol <> '' AND entity_name <> ''", filters.where_has_ticker),
+    "valid_history": ('"publishedAt" IS NOT NULL', filters.valid_history),
+}
+
+
+def _register_filter(name, condition, apply):
+    def run(spark, d):
+        return apply(tables.scored(spark, d)).select("doc_id", "publishedAt")
+
+    run.__name__ = f"filter_{name}"
+    query(with_ctes("scored", f'SELECT doc_id, "publishedAt" FROM scored WHERE {condition}'))(run)
+
+
+for _name, (_condition, _apply) in _FILTERS.items():
+    _register_filter(_name, _condition, _apply)
 
 
 @query(with_ctes("scored", f"""SELECT doc_id FROM scored WHERE sentiment > 0 AND category = 'D' AND risk_adj BETWEEN 0 AND 0.2
@@ -175,12 +174,10 @@ def distinct_tickers(spark, d):
     return rollups.tickers(tables.scored(spark, d))
 
 
-@query(with_ctes("scored", """SELECT 'impact' AS kind, impact_assessment AS value FROM scored GROUP BY 2
+@query(with_ctes("scored", """SELECT 'impact_assessment' AS kind, impact_assessment AS value FROM scored GROUP BY 2
     UNION ALL SELECT 'category', category FROM scored WHERE category IS NOT NULL GROUP BY 2"""))
 def distinct_values(spark, d):
-    df = tables.scored(spark, d)
-    impact = rollups.distinct_values(df, "impact_assessment").select(F.lit("impact").alias("kind"), "value")
-    return impact.unionAll(rollups.distinct_values(df, "category").select(F.lit("category").alias("kind"), "value"))
+    return rollups.distinct_values(tables.scored(spark, d), ["impact_assessment", "category"])
 
 
 @query(with_ctes("scored", """SELECT count(*) AS articles, count(*) FILTER (symbol <> '') AS with_symbol,
@@ -199,14 +196,9 @@ def sentiment_distribution(spark, d):
 
 @query(with_ctes("scored", """SELECT kind, value, count(*) AS n, round(avg(final_score), 9) AS avg_score, max("publishedAt") AS latest
     FROM (SELECT 'source' AS kind, source AS value, * FROM scored UNION ALL SELECT 'symbol', symbol, * FROM scored
-      UNION ALL SELECT 'category', category, * FROM scored) GROUP BY kind, value"""))
+      UNION ALL SELECT 'category', category, * FROM scored) WHERE value IS NOT NULL GROUP BY kind, value"""))
 def breakdowns(spark, d):
-    df = tables.scored(spark, d)
-    out = None
-    for kind in ("source", "symbol", "category"):
-        part = rollups.breakdown(df, kind).select(F.lit(kind).alias("kind"), "value", "n", r9("avg_score").alias("avg_score"), "latest")
-        out = part if out is None else out.unionAll(part)
-    return out
+    return rollups.breakdown(tables.scored(spark, d), ["source", "symbol", "category"]).withColumn("avg_score", r9("avg_score"))
 
 
 # --- series -------------------------------------------------------------------------------------
@@ -252,17 +244,16 @@ _CARD = {
 }
 
 
-@query(with_ctes("scored", " UNION ALL ".join(
-    f"SELECT '{name}' AS sort, doc_id FROM (SELECT doc_id FROM scored ORDER BY {order}, doc_id LIMIT 20)"
-    for name, order in _CARD.items())))
-def card_sorts(spark, d):
-    """The first 20 of each card order."""
-    df = tables.scored(spark, d)
-    out = None
-    for name in _CARD:
-        top = rollups.sort_articles(df, name).limit(20).select(F.lit(name).alias("sort"), "doc_id")
-        out = top if out is None else out.unionAll(top)
-    return out
+def _register_sort(name, order):
+    def run(spark, d):
+        return rollups.sort_articles(tables.scored(spark, d), name).limit(20).select("doc_id", "publishedAt")
+
+    run.__name__ = f"sort_{name}"
+    query(with_ctes("scored", f'SELECT doc_id, "publishedAt" FROM scored ORDER BY {order}, doc_id LIMIT 20'))(run)
+
+
+for _name, _order in _CARD.items():  # the first page of each card order
+    _register_sort(_name, _order)
 
 
 @query(with_ctes("scored", """SELECT doc_id, "publishedAt", round(risk_adj, 9) AS risk_adj FROM scored WHERE sentiment < 0

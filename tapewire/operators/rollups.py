@@ -25,13 +25,15 @@ def _number(c: Column) -> Column:
     return F.coalesce(F.nanvl(c.try_cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+def _values(df: DataFrame, cols: list[str], *keep: str) -> DataFrame:
+    """One row per article and column with the column's name and value: many columns, one scan."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in cols])
+    return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+
+
 def facets(df: DataFrame, cols: list[str], size: int = 50) -> DataFrame:
-    """The ``size`` most frequent values of each column, from one scan."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in cols]))
-    counts = (
-        df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull())
-        .groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    """The ``size`` most frequent values of each column."""
+    counts = _values(df, cols).groupBy(F.col("kind").alias("facet"), "value").agg(F.count(F.lit(1)).alias("n"))
     return top_n_per_key(counts, ["facet"], [F.desc("n"), F.asc("value")], size)
 
 
@@ -101,8 +103,9 @@ def tickers(df: DataFrame) -> DataFrame:
     return where_has_ticker(df).groupBy("symbol", "entity_name").agg(F.min("publishedAt").alias("first_seen"))
 
 
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(kind, value)`` of each value that occurs in one of the columns."""
+    return _values(df, cols).distinct()
 
 
 def coverage(df: DataFrame) -> DataFrame:
@@ -126,9 +129,9 @@ def sentiment_distribution(df: DataFrame) -> DataFrame:
     return distribution(df, sentiment_band(F.col("sentiment")))
 
 
-def breakdown(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean score and latest publication per value of a column."""
-    return df.groupBy(F.col(col).alias("value")).agg(
+def breakdown(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Count, mean score and latest publication per value of each column."""
+    return _values(df, cols, "final_score", "publishedAt").groupBy("kind", "value").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("final_score").alias("avg_score"),
         F.max("publishedAt").alias("latest"),

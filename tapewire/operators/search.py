@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.fixed_values import SEARCH_BOOSTS, SIMILAR_BOOSTS
-from tapewire.functions.patterns import token_pattern
+from tapewire.functions.patterns import once, token_pattern
 from tapewire.functions.text import non_empty
 from tapewire.operators.filters import apply_filters, get_article
 from tapewire.operators.search_spec import SearchSpec, check_range
@@ -201,8 +201,9 @@ def expand_terms(
         vocabulary = vocabulary.where(F.col("len").isin(sorted(lengths)))
     if not fuzzy:
         vocabulary = vocabulary.where(found.isin(sorted({*terms, *([whole] if whole else [])})))
+    # once: edits are counted per vocabulary entry, not moved below its aggregation.
     return (
-        vocabulary.withColumn("_hits", F.array_compact(F.array(*hits)))
+        vocabulary.withColumn("_hits", once(F.array_compact(F.array(*hits))))
         .where(F.size("_hits") > 0)
         .select(*columns, F.explode("_hits").alias("h"))
         .select("h.query_term", *columns, "h.edits", "h.weight")
