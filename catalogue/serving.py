@@ -47,8 +47,8 @@ _FILTERS = {
     "impact": ("impact_assessment = 'BULLISH'", lambda df: filters.where_impact(df, "BULLISH")),
     "symbol": ("symbol = 'S4'", lambda df: filters.where_symbol(df, " s4 ")),
     "published": (
-        '"publishedAt" BETWEEN 1704153600000 AND 1704326400000',
-        lambda df: filters.where_published(df, 1704153600000, 1704326400000),
+        '"publishedAt" BETWEEN 1704110400000 AND 1704240000000',
+        lambda df: filters.where_published(df, 1704110400000, 1704240000000),
     ),
     "risk_score": ("risk_adj BETWEEN 0.5 AND 0.65", lambda df: filters.where_risk_between(df, 0.5, 0.65)),
     "confidence": (f"{_SHOWN} BETWEEN 40 AND 75", lambda df: filters.where_confidence_between(df, 40, 75)),
