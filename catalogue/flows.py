@@ -191,7 +191,10 @@ def stream_ingest_dedup(spark, d):
     first = shaped(tables.table(spark, d, "documents")).join(labels, "n", "left_semi")
     first.groupBy("doc_id").agg(F.max("link").alias("link")).write.mode("append").json(path)
     stream = shaped(_stream(spark, d, "documents"))
-    jobs.start_ingest(stream, path, f"{path}-checkpoint", every=None, seq="n").awaitTermination()
+    jobs.seed_ids(read_archive(spark, path), f"{path}-ids")
+    jobs.start_ingest(
+        stream, path, f"{path}-checkpoint", every=None, seq="n", ids_path=f"{path}-ids"
+    ).awaitTermination()
     ids = read_archive(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
     latest = shaped(tables.table(spark, d, "documents")).groupBy("doc_id").agg(F.max("n").alias("n"))
     return ids.where(F.col("lines") == 1).join(latest, "doc_id").select("doc_id", "n")

@@ -312,8 +312,9 @@ def search(df: DataFrame, index: TextIndex | None, spec: SearchSpec) -> tuple[Da
     """
     hits = ranked_hits(df, index, spec)
     top = page(hits, spec)
-    rows = df.join(F.broadcast(top.select("doc_id", "score")), "doc_id").orderBy(*sort_columns(spec))
-    return rows, page_totals(hits, spec)
+    rows = df.join(F.broadcast(top.select("doc_id", "score")), "doc_id")
+    # The limit drops nothing; it makes the sort a bounded top instead of a range sort.
+    return rows.orderBy(*sort_columns(spec)).limit(spec.page_size), page_totals(hits, spec)
 
 
 def highlight(df: DataFrame, terms: list[str], cols=("title", "description", "key_phrases"), fragment_col="content") -> DataFrame:
@@ -349,13 +350,14 @@ def similar_articles(df: DataFrame, index: TextIndex, doc_id: str, n: int = 5) -
     text = bm25(index, phrases, SIMILAR_BOOSTS, fuzzy=False)
     same = F.coalesce(F.col("category") == F.lit(found[0]["category"]), F.lit(False))
     score = F.coalesce(F.col("score"), F.lit(0.0)) + F.when(same, SAME_CATEGORY_SCORE).otherwise(0.0)
+    order = [F.desc("score"), F.desc_nulls_last("publishedAt"), F.asc("doc_id")]
     top = (
         df.select("doc_id", "category", "publishedAt")
         .where(F.col("doc_id") != doc_id)
         .join(text, "doc_id", "left")
         .select("doc_id", "publishedAt", score.alias("score"))
         .where(F.col("score") > 0)
-        .orderBy(F.desc("score"), F.desc_nulls_last("publishedAt"), F.asc("doc_id"))
+        .orderBy(*order)
         .limit(n)
     )
-    return df.join(F.broadcast(top.select("doc_id", "score")), "doc_id")
+    return df.join(F.broadcast(top.select("doc_id", "score")), "doc_id").orderBy(*order).limit(n)

@@ -12,13 +12,14 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tapewire.operators.keywords import MAX_KEYWORDS, sorted_keywords
 from tapewire.operators.topn import top_n_per_key
 from tapewire.schemas import PAYLOAD, SCORED
 
 BATCH = "batch_id"
+IDS = StructType([StructField("doc_id", StringType())])
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -106,6 +107,15 @@ def read_last_batch(spark: SparkSession, path: str, schema: StructType, before:
     return rows.where(F.col(BATCH) == rows.agg(F.max(BATCH)).scalar()).drop(BATCH)
 
 
+def read_ids(spark: SparkSession, path: str, without: int) -> DataFrame:
+    """The ids written by all batches but one."""
+    return _versions(spark, path, IDS).where(F.col(BATCH) != without).select("doc_id")
+
+
+def write_ids(df: DataFrame, path: str, batch_id: int) -> None:
+    df.select("doc_id").write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+
 def compact(
     spark: SparkSession, path: str, target: str, key: str | list[str] = "doc_id", schema: StructType = SCORED
 ) -> None:

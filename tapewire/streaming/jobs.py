@@ -17,7 +17,7 @@ from tapewire.operators.metrics import SAMPLES, last_samples, round_half_up
 from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import score_articles
 from tapewire.sources.readers import read_archive
-from tapewire.sources.sinks import BATCH, read_last_batch, upsert
+from tapewire.sources.sinks import BATCH, read_ids, read_last_batch, upsert, write_ids
 
 POLL = "10 minutes"
 DEDUP_SPLITS = 32
@@ -53,23 +53,40 @@ def start_scoring(
     return _trigger(writer, every).start()
 
 
+def seed_ids(archive: DataFrame, ids_path: str) -> None:
+    """Starts the id table of `start_ingest` from an archive that exists already."""
+    write_ids(archived_ids(archive), ids_path, -1)
+
+
 def start_ingest(
-    payloads: DataFrame, archive_path: str, checkpoint: str, every: str | None = POLL, seq: str | None = None
+    payloads: DataFrame,
+    archive_path: str,
+    checkpoint: str,
+    every: str | None = POLL,
+    seq: str | None = None,
+    ids_path: str | None = None,
 ) -> StreamingQuery:
     """Appends the payloads of each poll that are not archived yet.
 
-    The archive is read anew per batch.  Each batch goes to its own folder, replaced
-    when the batch is retried, and a batch never counts its own folder as archived.
+    Each batch goes to its own folder, replaced when the batch is retried, and a batch
+    never counts its own folder as archived.  What is archived is read anew per batch:
+    from the archive itself, or, once it has grown, from a table of nothing but ids that
+    is kept beside it at ``ids_path`` (see `seed_ids`).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        own = f"batch-{batch_id:09d}"
-        known = read_archive(batch.sparkSession, archive_path, without=own)
+        spark, own = batch.sparkSession, f"batch-{batch_id:09d}"
+        if ids_path:
+            known = read_ids(spark, ids_path, without=batch_id)
+        else:
+            known = archived_ids(read_archive(spark, archive_path, without=own))
         order = [F.desc(seq)] if seq else [F.desc(F.xxhash64(*batch.columns))]
-        fresh = latest_per_id(batch, "doc_id", order).join(archived_ids(known), "doc_id", "left_anti")
+        fresh = latest_per_id(batch, "doc_id", order).join(known, "doc_id", "left_anti")
         fresh.write.mode("overwrite").json(f"{archive_path}/{own}")
+        if ids_path:
+            write_ids(read_archive(spark, f"{archive_path}/{own}"), ids_path, batch_id)
 
     writer = payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()

@@ -150,13 +150,16 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     assert sorted(read_upserted(spark, table).collect()) == want
 
 
-def test_ingest_skips_what_is_archived(spark, tmp_path):
-    archive, inbox, state = (str(tmp_path / n) for n in ("archive", "inbox", "state"))
+@pytest.mark.parametrize("with_ids", [False, True])
+def test_ingest_skips_what_is_archived(spark, tmp_path, with_ids):
+    archive, inbox, state, ids = (str(tmp_path / n) for n in ("archive", "inbox", "state", "ids"))
     append_archive(payloads(spark, ["old"]), archive)
+    if with_ids:
+        jobs.seed_ids(read_archive(spark, archive), ids)
 
     def poll():
         stream = spark.readStream.schema(PAYLOAD).json(inbox)
-        jobs.start_ingest(stream, archive, state, every=None).awaitTermination()
+        jobs.start_ingest(stream, archive, state, every=None, ids_path=ids if with_ids else None).awaitTermination()
 
     append_archive(payloads(spark, ["old", "a", "a", "b"]), inbox)
     poll()
