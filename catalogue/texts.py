@@ -8,6 +8,8 @@ from catalogue.base import STRIP, query, r9, with_ctes
 from tapewire.functions import text
 from tapewire.operators.model_hooks import score_with
 from tapewire.plans import driver_tables as tables
+from tapewire.plans.enrich import generation_requests as enrich_requests
+from tapewire.plans.enrich import sentiment_requests
 
 
 @query("SELECT page_id, regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g') AS text FROM pages")
@@ -127,18 +129,26 @@ def display_view(spark, d):
     return shown.withColumns({"confidence": r9("confidence"), "phrases": joined})
 
 
-def length_scorer():
-    """A stand-in model: label by parity of the length, score by its size."""
+@query(f"""SELECT n AS doc_id, CASE WHEN length(m) % 2 = 0 THEN 'positive' ELSE 'negative' END AS label, length(m) / 512e0 AS score
+    FROM (SELECT doc_id AS n, substring(CASE WHEN length({_B}) > 10 THEN {_B} ELSE '' END, 1, 512) AS m
+      FROM documents WHERE length({_B}) >= 10)""")
+def sentiment_model_hook(spark, d):
+    # A function inside a function travels to the workers by value, not by import.
+    def length_scorer():
+        """A stand-in model: label by parity of the length, score by its size."""
 
-    def score(batch):
-        size = batch["text"].str.len().clip(upper=512)
-        return batch[["doc_id"]].assign(label=(size % 2).map({0: "positive", 1: "negative"}), score=size / 512.0)
+        def score(batch):
+            size = batch["text"].str.len()
+            label = (size % 2).map({0: "positive", 1: "negative"})
+            return batch[["doc_id"]].assign(label=label, score=size / 512.0)
 
-    return score
+        return score
 
+    requests = sentiment_requests(_parts(spark, d).withColumn("snippet", F.col("text")))
+    return score_with(requests, length_scorer, "doc_id bigint, label string, score double")
 
-@query("""SELECT doc_id, CASE WHEN least(length(text), 512) % 2 = 0 THEN 'positive' ELSE 'negative' END AS label,
-    least(length(text), 512) / 512e0 AS score FROM documents""")
-def model_hook(spark, d):
-    docs = tables.table(spark, d, "documents").select("doc_id", "text")
-    return score_with(docs, length_scorer, "doc_id bigint, label string, score double")
+
+@query(f"""SELECT n AS doc_id, length(substring(CASE WHEN {_S} <> '' THEN {_T} || '. ' || substring({_S}, 1, 200) ELSE {_T} END, 1, 400))
+    AS size FROM (SELECT doc_id AS n, text, substring(text, 1, 80) AS title FROM documents)""")
+def generation_requests(spark, d):
+    return enrich_requests(_parts(spark, d)).select("doc_id", F.length("text").cast("bigint").alias("size"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewire.functions import identity, text
 from tapewire.functions.sentiment import fuse_sentiment, signed_sentiment
-from tapewire.operators.classify import classify, with_model_scores
+from tapewire.operators.classify import classify, needs_model, with_model_scores
 from tapewire.operators.dedup import new_articles, unpack_entities
 from tapewire.operators.keywords import Dictionary
 from tapewire.schemas import PAYLOAD
@@ -41,6 +41,26 @@ def with_sentiment(df: DataFrame, model_sentiment: DataFrame, rescale_first: boo
     return joined.withColumn("_fused", fused).select(*joined.columns, "_fused.*").drop("_label", "_score")
 
 
+# --- what goes to a model, for `operators.model_hooks.score_with` ------------------------------
+
+
+def sentiment_requests(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, text)`` of landed articles whose text has at least 10 characters."""
+    body = text.article_text(F.col("snippet"), F.col("description"), F.col("title"))
+    return df.where(text.long_enough(body, 10)).select(key, text.model_input(body).alias("text"))
+
+
+def category_requests(df: DataFrame, dictionary: Dictionary, key: str = "doc_id") -> DataFrame:
+    """``(key, text)`` of articles with a classification ``text`` that keywords do not decide."""
+    whole = text.model_input(F.col("text"), F.col("title"), F.col("description"))
+    return needs_model(df, dictionary).select(key, whole.alias("text"))
+
+
+def generation_requests(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, text)`` for key phrases and summary."""
+    return df.select(key, text.extraction_text(F.col("title"), F.col("description")).alias("text"))
+
+
 def with_generated(df: DataFrame, generated: DataFrame | None) -> DataFrame:
     """Cleans generated phrases and summaries ``(doc_id, key_phrases, summary)``.
 
