@@ -129,7 +129,8 @@ def search_page(spark, d):
 @query(with_ctes("scored", _FUZZY + """ SELECT count(*) AS total, 2::BIGINT AS page, 25::BIGINT AS page_size,
     ceil(count(*) / 25)::BIGINT AS total_pages FROM scored s JOIN bm USING (doc_id) WHERE s.sentiment > 0"""))
 def search_totals(spark, d):
-    return search.search(tables.scored(spark, d), _index(spark, d), SearchSpec.from_params(_SPEC))[1]
+    spec = SearchSpec.from_params(_SPEC)
+    return search.page_totals(search.ranked_hits(tables.scored(spark, d), _index(spark, d), spec), spec)
 
 
 @query(with_ctes("scored", f"SELECT doc_id, 1e0 + {_BOOST} AS score FROM scored"))

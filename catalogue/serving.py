@@ -268,7 +268,7 @@ def paged_sort(spark, d):
     ceil(count(*) / 15)::BIGINT AS total_pages FROM scored WHERE sentiment < 0"""))
 def page_totals(spark, d):
     spec = SearchSpec.from_params({"sentiment": "negative", "sortBy": "risk", "page": 3, "limit": 15})
-    return search.search(tables.scored(spark, d), None, spec)[1]
+    return search.page_totals(search.ranked_hits(tables.scored(spark, d), None, spec), spec)
 
 
 @query("SELECT count(*) AS n FROM (SELECT * FROM documents LIMIT 1)")

@@ -304,17 +304,28 @@ def ranked_hits(df: DataFrame, index: TextIndex | None, spec: SearchSpec) -> Dat
     return kept.withColumn("score", F.col("score") + F.col("_boost")).drop("_boost")
 
 
+def _fetch(df: DataFrame, top: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The full rows of at most ``n`` ranked ids, in order.
+
+    The ids are looked up as literals, which the scan can use to skip files, as a search
+    server fetches the documents of a page after ranking.
+    """
+    found = top.select("doc_id", "score").collect()
+    scores = F.broadcast(df.sparkSession.createDataFrame(found, "doc_id string, score double"))
+    rows = df.where(F.col("doc_id").isin([r["doc_id"] for r in found])).join(scores, "doc_id")
+    # The limit drops nothing; it makes the sort a bounded top instead of a range sort.
+    return rows.orderBy(*order).limit(n)
+
+
 def search(df: DataFrame, index: TextIndex | None, spec: SearchSpec) -> tuple[DataFrame, DataFrame]:
-    """The rows of the wanted page with their score and rank, and the totals.
+    """The rows of the wanted page with their score, in order, and the totals.
 
     Ranking moves ids and sort columns only; the page, at most 100 ids, then fetches
     its full rows.
     """
     hits = ranked_hits(df, index, spec)
-    top = page(hits, spec)
-    rows = df.join(F.broadcast(top.select("doc_id", "score")), "doc_id")
-    # The limit drops nothing; it makes the sort a bounded top instead of a range sort.
-    return rows.orderBy(*sort_columns(spec)).limit(spec.page_size), page_totals(hits, spec)
+    rows = _fetch(df, page(hits, spec), sort_columns(spec), spec.page_size)
+    return rows, page_totals(hits, spec)
 
 
 def highlight(df: DataFrame, terms: list[str], cols=("title", "description", "key_phrases"), fragment_col="content") -> DataFrame:
@@ -360,4 +371,4 @@ def similar_articles(df: DataFrame, index: TextIndex, doc_id: str, n: int = 5) -
         .orderBy(*order)
         .limit(n)
     )
-    return df.join(F.broadcast(top.select("doc_id", "score")), "doc_id").orderBy(*order).limit(n)
+    return _fetch(df, top, order, n)

@@ -150,3 +150,11 @@ def test_fusion(spark):
         assert got["confidence"] == (None if c is None else pytest.approx(c))
         if row[0] is not None and row[2] is not None:
             assert min(row[0], row[2]) - 1e-9 <= got["sentiment"] <= max(row[0], row[2]) + 1e-9
+
+
+def test_fusion_may_rescale_the_vendor_confidence(spark):
+    df = spark.createDataFrame([(0.9, 60.0, -0.9, 0.8)], "a double, ac double, m double, mc double")
+    cols = [F.col(c) for c in df.columns]
+    raw, scaled = df.select(fuse_sentiment(*cols), fuse_sentiment(*cols, rescale_first=True)).first()
+    assert (raw["sentiment_source"], raw["confidence"]) == ("MARKETAUX_DOMINANT", 60.0)
+    assert (scaled["sentiment_source"], scaled["confidence"]) == ("FINBERT_DOMINANT", 0.8)

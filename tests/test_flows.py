@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_scoring import articles
 
 from tapewire.operators import keywords
+from tapewire.operators.dedup import archived_ids
 from tapewire.operators.model_hooks import score_with
 from tapewire.plans.scoring import score_articles
 from tapewire.schemas import PAYLOAD, SCORED
@@ -47,6 +48,7 @@ def test_archive(spark, tmp_path):
         f.write('{"doc_id": "4", "sentiment": 0}\nnot json\n{"title": "no id"}\n{"doc_id": "5", "title": \n')
     rows = {r["doc_id"]: r for r in read_archive(spark, path).collect()}
     assert set(rows) == {"1", "2", "3", "4"}
+    assert {r["doc_id"] for r in archived_ids(read_archive(spark, path)).collect()} == set(rows)
     assert rows["1"]["title"] == "é 1" and rows["1"]["symbols"] == ["S"] and rows["4"]["sentiment"] == 0.0
     assert any("é" in line for name in os.listdir(path) if name.endswith(".json") for line in open(os.path.join(path, name), encoding="utf-8"))
 
