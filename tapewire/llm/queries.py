@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.llm import (
-    exact_dedup, license_scan, near_dedup, packing, suffix_dedup, token_counts, topk_search, toxicity,
+    exact_dedup, license_scan, near_dedup, packing, sentence_pieces, suffix_dedup, token_counts, topk_search, toxicity, warc,
 )
 from tapewire.llm.common import documents
 from tapewire.sources.sinks import work_dir
@@ -54,6 +54,61 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def _sql_urn(x: str) -> str:
+    h = f"md5({x})"
+    return f"'<urn:uuid:' || " + " || '-' || ".join(f"substring({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+def _sql_unescaped(x: str) -> str:
+    code = "CASE WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{1,6};') THEN CAST('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]+);', 1) AS BIGINT) WHEN regexp_matches(p, '^[0-9]{1,7};') THEN CAST(regexp_extract(p, '^([0-9]+);', 1) AS BIGINT) END"
+    valid = f"coalesce(({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111, false)"
+    letter = f"CASE WHEN {valid} THEN chr(CAST({code} AS INTEGER)) || regexp_replace(p, '^[xX]?[0-9a-fA-F]+;', '') ELSE '&#' || p END"
+    out = f"(SELECT l[1] || array_to_string(list_transform(l[2:], lambda p: {letter}), '') FROM (SELECT string_split({x}, '&#') AS l))"
+    for name, value in warc.ENTITIES.items():
+        out = f"replace({out}, '&{name};', {_sql_text(value)})"
+    return f"replace({out}, '&amp;', '&')"
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_without_tags(x: str) -> str:
+    out = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in warc.SILENT:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?i)</?({warc.LINES})\\b[^>]*>', chr(10), 'g')"
+    return f"regexp_replace({out}, '</?[a-zA-Z!][^>]*>', '', 'g')"
+
+
+_SQL_WARC = rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html,
+    regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title\s*>', 1) AS raw,
+    regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages),
+q AS (SELECT *, 'sha256:' || sha256(html) AS payload_digest,
+    {_sql_urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || target_uri || '|' || md5(html)")} AS refers_to,
+    {_sql_without_tags('html')} AS bare, regexp_replace(raw, '</?[a-zA-Z!][^>]*>', '', 'g') AS head FROM p),
+u AS (SELECT *, {_sql_unescaped('bare')} AS opened, trim(regexp_replace({_sql_unescaped('head')}, '\s+', ' ', 'g')) AS title,
+    list_transform(hrefs, lambda h: replace(h, '&amp;', '&')) AS targets,
+    {_sql_urn("'conversion|' || refers_to")} AS converted, {_sql_urn("'metadata|' || refers_to")} AS described FROM q),
+t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(opened, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS body,
+    chr(13) || chr(10) AS nl FROM u),
+r AS (SELECT page_id, 'conversion' AS record_type, converted AS record_id, refers_to, target_uri, 'text/plain; charset=UTF-8' AS content_type,
+    payload_digest, body AS block FROM t
+  UNION ALL SELECT page_id, 'metadata', described, refers_to, target_uri, 'application/warc-fields', payload_digest,
+    'http-status: 200' || nl || 'http-content-type: text/html; charset=UTF-8' || nl || 'http-content-length: ' || strlen(html) || nl
+    || 'source-payload-digest: ' || payload_digest || nl || 'title: ' || title || nl || 'conversion: ' || converted || nl
+    || array_to_string(list_transform(list_filter(targets, lambda x, i: list_position(targets, x) = i), lambda x: 'outlink: ' || x || nl), '') FROM t)
+SELECT *, '2024-01-01T00:00:00Z' AS date, 'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length FROM r
+"""
+
+
+@query(_SQL_WARC)
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.derivatives(found.withColumnRenamed("source_id", "page_id"), keep=("page_id",))
+
+
 @query("""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -73,6 +128,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=50, seed=16).drop("spans")
 
 
+@query()
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), with_ids=False)
+
+
 @query()
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).withColumn("n_spans", F.size("spans")).drop("spans")

@@ -154,7 +154,7 @@ class _Block:
 # --- the four steps -------------------------------------------------------------------------------
 
 
-def _blocks(texts: DataFrame) -> DataFrame:
+def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
     """``block``, ``ids``, ``sizes``, ``digests`` and the compressed ``texts`` of bounded blocks."""
     names = ["block", "ids", "sizes", "digests", "texts"]
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()]
@@ -181,7 +181,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
                 ids.append(i)
                 held.append(text.as_py().encode())
                 size += len(held[-1])
-                if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCUMENTS:
+                if size >= block_bytes or len(ids) >= BLOCK_DOCUMENTS:
                     yield block()
                     size = 0
         if ids:
@@ -389,6 +389,8 @@ def remove_repeats(
     length: int = 50,
     seed: int = 16,
     with_text: bool = False,
+    block_bytes: int = BLOCK_BYTES,
+    part_anchors: int = PART_ANCHORS,
 ) -> DataFrame:
     """What is left of each text without the ``length``-byte strings of documents of smaller id.
 
@@ -404,9 +406,9 @@ def remove_repeats(
         raise ValueError("seed must be 8 to length")
     texts = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = partitions_for(total, 2 * BLOCK_BYTES)
-    parts = partitions_for(total * 2 // (length - seed + 2), PART_ANCHORS)
-    blocks = bucketed(_blocks(texts), "blocks", "block", buckets)
+    buckets = partitions_for(total, 2 * block_bytes)
+    parts = partitions_for(total * 2 // (length - seed + 2), part_anchors)
+    blocks = bucketed(_blocks(texts, block_bytes), "blocks", "block", buckets)
 
     held = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "doc"))
     held = held.select("block", "place", F.col("doc.ids").alias("_id"), F.when(F.col("doc.ids").isNotNull(), F.col("doc.digests")).alias("digest"))
