@@ -40,7 +40,8 @@ class DoubleArray:
             for byte in key:
                 node = node.setdefault(byte, {})
             node[-1] = number
-        free = 1  # no place below is free
+        # Where nodes of one child and of several were placed last: neither looks further back.
+        narrow, wide = 1, 1
         waiting = deque([(0, root)])
         while waiting:
             state, node = waiting.popleft()
@@ -48,15 +49,15 @@ class DoubleArray:
             codes = sorted(c for c in node if c >= 0)
             if not codes:
                 continue
-            while self.check[free] >= 0:
-                free += 1
-                self._grow(free + 512)
-            base = max(1, free - codes[0])
-            while True:
-                self._grow(base + 512)
-                if all(self.check[base + c] < 0 for c in codes):
-                    break
+            base = max(1, (narrow if len(codes) == 1 else wide) - codes[0])
+            self._grow(base + 512)
+            while any(self.check[base + c] >= 0 for c in codes):
                 base += 1
+                self._grow(base + 512)
+            if len(codes) == 1:
+                narrow = base + codes[0] + 1
+            else:
+                wide = base + codes[0]
             self.base[state] = base
             for c in codes:
                 self.check[base + c] = state
