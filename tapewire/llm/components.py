@@ -21,7 +21,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour ``v`` of ``u`` to the smallest of ``u`` and its neighbours."""
     near = _both_ways(edges)
     low = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
 """Near-duplicate documents: MinHash, banding, verification, components.
 
 Documents of the same shingle set become one class at once.  Classes that agree in a band of
-their signature share a bucket.  In each round every member of a bucket is paired with one
-member, the centre; pairs pass a test of their signatures and are then confirmed on the full
-sets; what is linked is merged.  Buckets within one component are done.  When few pairs between
-components are left, they are all tested, so no link is lost and no bucket is expanded into all
-its pairs.
+their signature share a bucket.  Then, twice: each bucket names one member its centre, each
+class goes to the first of its buckets' centres, and what met there is compared on the full
+sets, in blocks of bounded size that give out only the links that join components.  Buckets
+within one component are done.  Pairs that share an open bucket but never met are tested one by
+one, by their signatures and then on the full sets, so no link is lost.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,8 @@ from tapewire.llm.components import components
 BANDS, ROWS = 42, 5
 #: A pair goes on if its signatures agree at this share less the slack, four standard deviations at 0.8.
 SLACK = 0.115
-#: Rounds go on while more pairs than this per row of the buckets would have to be tested.
-REST, ROUNDS = 4, 12
+#: Times that classes meet at a centre, and shingles of a block of them.
+ROUNDS, BLOCK_SHINGLES = 2, 1_500_000
 #: Words a task remembers.
 WORDS = 300_000
 
@@ -160,7 +161,7 @@ def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
 
 
 def _drawn(member: str, salt: int) -> Column:
-    """A member's place in an order that changes with ``salt``; the smallest is the centre."""
+    """A member's place in an order that changes with ``salt``; the first is the centre."""
     return F.struct(F.xxhash64(F.col(member), F.lit(salt)).alias("order"), F.col(member).alias("node"))
 
 
@@ -179,10 +180,13 @@ def near_groups(
     texts = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     seen = _one_class_an_id(saved(_described(texts, width), "signatures"))
     named = seen.where("_id is not null and digest is not null")
-    classes = saved(named.groupBy("digest").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
-    # One row per class: that of its smallest id.
-    heads = looked_up(named, "digest", classes, "n", ["node"]).where("_id = node and signature is not null")
-    heads = saved(heads.select("node", "digest", "signature").dropDuplicates(["node"]), "class_heads")
+    # One row per class, with the signature of its smallest id (rows that only follow have none).
+    classes = named.groupBy("digest").agg(
+        F.min("_id").alias("node"), F.count(F.lit(1)).alias("n"),
+        F.min_by("signature", F.when(F.col("signature").isNotNull(), F.col("_id"))).alias("signature"),
+    )
+    classes = saved(classes, "classes")
+    heads = classes.where("signature is not null").select("node", "digest", "signature")
     found = components(_links(heads, texts, width, percent))
     top = classes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))
     out = looked_up(seen.withColumn("digest", F.when(F.col("_id").isNotNull(), F.col("digest"))), "digest", top, "n", ["component_id"])
@@ -205,6 +209,61 @@ def _one_class_an_id(seen: DataFrame) -> DataFrame:
     )
 
 
+def _joining(percent: int):
+    """A function of one block: links between components, as few as join what belongs together."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        nodes, components_ = block["node"].to_numpy(), block["component"].to_numpy()
+        sets = [np.frombuffer(b, "<u8") for b in block["shingles"]]
+        sizes = np.asarray([len(s) for s in sets])
+        names, values = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        _, own, count = np.unique(components_, return_inverse=True, return_counts=True)
+        links = []
+        marked = np.zeros(len(names), np.int32)
+        # Of two components one is not the largest: its members are held against all others.
+        for k in np.flatnonzero(own != count.argmax()).tolist():
+            mine = values[starts[k] : starts[k] + sizes[k]]
+            marked[mine] = 1
+            both = np.add.reduceat(marked[values], starts)
+            marked[mine] = 0
+            near = (100 * both >= percent * (sizes[k] + sizes - both)) & (own != own[k])
+            for o in np.unique(own[near]).tolist():
+                links.append((nodes[k], nodes[np.flatnonzero(near & (own == o))[0]]))
+                own[own == o] = own[k]
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _met(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the classes of one home, compared in blocks.
+
+    A home of many shingles is dealt to several parts, and every two parts form a block.
+    """
+    known = homes.join(sets.select("node", F.length("shingles").alias("bytes")), "node")
+    parts = known.groupBy("home").agg(
+        F.ceil(F.sum("bytes") / (8 * BLOCK_SHINGLES)).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    parts = parts.where("low <> high").select("home", "parts")
+    dealt = homes.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    blocks = dealt.withColumn("other", other).select(
+        "home", "node", "component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")
+    )
+    return blocks.join(sets, "node").groupBy("home", "a", "b").applyInPandas(_joining(percent), "u bigint, v bigint")
+
+
+def _open(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold more than one component, with each member's component."""
+    if component is not None:
+        now = component.select("node", F.col("component").alias("now"))
+        members = members.drop("component").join(now, "node", "left")
+        members = members.select("bucket", "node", F.coalesce("now", "node").alias("component"))
+    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return saved(members.join(several.where("low <> high").select("bucket"), "bucket"), "buckets")
+
+
 def _links(heads: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links that connect all classes that are connected."""
     spark = heads.sparkSession
@@ -214,47 +273,36 @@ def _links(heads: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
         lambda b: F.xxhash64(b, F.substring(F.col("hexed"), b * size + 1, F.lit(size))),
     )
     rows = heads.select("node", F.hex("signature").alias("hexed")).select("node", F.explode(keys).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("bucket")
-    members = saved(rows.join(shared, "bucket"), "buckets")
-    members = members.withColumn("component", F.col("node"))
-    wanted = members.select(F.col("node").alias("_id")).distinct()
-    sets = None
+    members = _open(rows.withColumn("component", F.col("node")), None)
     links = spark.createDataFrame([], "u bigint, v bigint")
-    tested = links
-    least = percent / 100 - SLACK
-    for turn in range(ROUNDS + 1):
-        inside = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        whole = inside.groupBy("bucket").agg(
-            F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components")
-        )
-        # What testing all pairs between components would cost, the largest one never with itself.
-        open_ = saved(whole.where("components > 1").select("bucket", F.col("top.component").alias("top"), ((F.col("all") - F.col("top.n")) * F.col("all")).alias("cost")), "open_buckets")
-        cost = open_.agg(F.sum("cost")).first()[0]
-        if not cost:
-            break
-        members = saved(members.join(open_.select("bucket"), "bucket"), "buckets")
-        last = cost <= REST * members.count() or turn == ROUNDS
-        if last:
-            left = members.join(open_, "bucket").where("component <> top")
-            pairs = left.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu")).join(
-                members.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv")), "bucket"
-            )
-        else:
-            centre = members.groupBy("bucket").agg(F.min(_drawn("node", turn)).alias("c"))
-            centre = centre.select("bucket", F.col("c.node").alias("v"))
-            homes = members.select(F.col("node").alias("v"), F.col("component").alias("cv")).distinct()
-            pairs = members.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu")).join(centre, "bucket").join(homes, "v")
-        pairs = pairs.where("cu <> cv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = saved(pairs.join(tested, ["u", "v"], "left_anti"), "candidates")
-        tested = tested.union(pairs)
-        likely = saved(_agreeing(_with_both(pairs, heads, "signature"), least), "likely")
-        if sets is None and not likely.isEmpty():
-            sets = _sets(texts.join(wanted.hint("shuffle_hash"), "_id", "left_semi"), width)
-            sets = saved(sets.join(heads.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node"]), "shingle_sets")
-        if sets is not None:
-            links = saved(links.union(_confirmed(_with_both(likely, sets, "shingles"), percent)), "links")
-        if last or turn == ROUNDS:
-            break
-        found = components(links).select("node", F.col("component").alias("now"))
-        members = members.join(found, "node", "left").select("bucket", "node", F.coalesce("now", "component").alias("component"))
-    return links
+    wanted = members.select(F.col("node").alias("_id")).distinct()
+    sets = _sets(texts.join(wanted.hint("shuffle_hash"), "_id", "left_semi"), width)
+    sets = saved(sets.join(heads.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node"]).drop("digest"), "shingle_sets")
+
+    homes: list[DataFrame] = []
+    for turn in range(ROUNDS):
+        centre = members.groupBy("bucket").agg(F.min(_drawn("node", turn)).alias("centre"))
+        first = members.join(centre, "bucket").groupBy("node", "component").agg(F.min("centre").alias("centre"))
+        homes.append(saved(first.select("node", "component", F.col("centre.node").alias("home")), "homes"))
+        links = saved(links.union(_met(homes[-1], sets, percent)), "links")
+        members = _open(members, components(links))
+        if members.isEmpty():
+            return links
+    return saved(links.union(_confirmed(_with_both(_apart(members, homes, heads, percent), sets, "shingles"), percent)), "links")
+
+
+def _apart(members: DataFrame, homes: list[DataFrame], heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a bucket, never met, and have like signatures."""
+    for turn, home in enumerate(homes):
+        home = home.select("node", F.col("home").alias(f"home{turn}"))
+        members = members.join(home, "node", "left").withColumn(f"home{turn}", F.coalesce(f"home{turn}", "node"))
+    members = saved(members, "buckets")
+    inside = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = inside.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("top"))
+    # Of two components one is not the largest of the bucket.
+    left = members.join(top, "bucket").where("component <> top").alias("a")
+    strange = [F.col(f"a.{c}") != F.col(f"b.{c}") for c in ("component", *(f"home{t}" for t in range(len(homes))))]
+    pairs = left.join(members.alias("b"), functools.reduce(lambda x, y: x & y, strange, F.col("a.bucket") == F.col("b.bucket")))
+    ends = (F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+    pairs = saved(pairs.select(*ends).distinct(), "candidates")
+    return saved(_agreeing(_with_both(pairs, heads, "signature"), percent / 100 - SLACK), "likely")

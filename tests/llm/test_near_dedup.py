@@ -80,7 +80,7 @@ def test_repeated_ids_and_empty_tables(spark, nothing):
     rows = [(1, text), (2, text + " x"), (2, "quite another one"), (3, ""), (4, "  "), (5, None)]
     got = near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == 6 and len({r.component_id for r in got if r.doc_id == 2}) == 1
-    assert [(r.component_id, r.n_shingles, r.kept) for r in got if r.doc_id > 2] == [(3, 0, True), (4, 0, True), (5, 0, True)]
+    assert sorted((r.component_id, r.n_shingles, r.kept) for r in got if r.doc_id > 2) == [(3, 0, True), (4, 0, True), (5, 0, True)]
     assert near_groups(nothing).collect() == []
 
 
