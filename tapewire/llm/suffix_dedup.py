@@ -33,7 +33,7 @@ from tapewire.llm import suffix_merge
 from tapewire.llm.common import bucketed, looked_up, partitions_for, saved
 
 #: Bytes and documents of a block, bytes of texts looked at together, anchors a part holds.
-BLOCK_BYTES, BLOCK_DOCUMENTS, STEP_BYTES, PART_ANCHORS = 12 << 20, 20_000, 1 << 20, 1_500_000
+BLOCK_BYTES, BLOCK_DOCUMENTS, STEP_BYTES, PART_ANCHORS = 8 << 20, 20_000, 1 << 20, 1_000_000
 _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -268,8 +268,6 @@ def _suffix_runs(blocks: DataFrame, length: int, seed: int, parts: int) -> DataF
 
 def _windows(strings: list[bytes], least: list[int], length: int) -> list[np.ndarray]:
     """For suffixes of one anchor: the least id of every window of each."""
-    if len(strings) == 1:
-        return [np.asarray(least)]  # one value for all windows
     known: dict[bytes, int] = {}
     cut = []
     for s, i in zip(strings, least):
@@ -285,48 +283,54 @@ def _windows(strings: list[bytes], least: list[int], length: int) -> list[np.nda
 def _found(group: pd.DataFrame, length: int, seed: int) -> pd.DataFrame:
     """Merges the runs of one part; per block the spans that stand in a document of smaller id."""
     loaded = [_unpack(blob) for blob in group["run"]]
-    firsts = [np.concatenate([[0], np.cumsum(x[3], dtype=np.int64)]) for x in loaded]
-    smallest = [np.minimum.reduceat(x[4], f[:-1]).tolist() for x, f in zip(loaded, firsts)]
-    spans: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in loaded]
-    taken = [0] * len(loaded)
-    strings: list[bytes] = []
-    least: list[int] = []
-    users: list[list[tuple[int, int]]] = []  # of each string: the runs it is in, and its number there
+    smallest = [np.minimum.reduceat(x[4], np.concatenate([[0], np.cumsum(x[3][:-1], dtype=np.int64)])).tolist() for x in loaded]
+    of: list[list[int]] = [[] for _ in loaded]  # of each run: the number of each string among all
+    least: list[int] = []  # of each string: its least id
+    windows: list[int] = []  # and how many windows it stands for
+    several: dict[int, np.ndarray] = {}  # least ids by window, where another suffix of the anchor differs later
+    strings: list[bytes] = []  # of the current anchor
 
     def settle() -> None:
-        for string, values, uses in zip(strings, _windows(strings, least, length), users):
-            low, high = int(values.min()), int(values.max())
-            n = len(string) - 2 - length + 1
-            for run, number in uses:
-                a, b = firsts[run][number], firsts[run][number + 1]
-                ids, docs, begins = (loaded[run][c][a:b] for c in (4, 5, 6))
-                full = ids > high
-                if full.any():
-                    spans[run].append((docs[full], begins[full], begins[full] + np.uint32(n - 1 + length)))
-                for k in np.flatnonzero((ids > low) & ~full).tolist():
-                    hit = np.flatnonzero(values < ids[k])
-                    edge = np.flatnonzero(np.diff(hit) > 1)
-                    for x, y in zip(hit[np.append(0, edge + 1)].tolist(), hit[np.append(edge, len(hit) - 1)].tolist()):
-                        begin = int(begins[k])
-                        spans[run].append((docs[k : k + 1], np.asarray([begin + x], "<u4"), np.asarray([begin + y + length], "<u4")))
-        strings.clear(), least.clear(), users.clear()
-
-    runs = [suffix_merge.decode(*x[:3]) for x in loaded]
-    for share, string, run in suffix_merge.merge(runs):
-        number = taken[run]
-        taken[run] += 1
-        low = smallest[run][number]
-        if strings and share == len(string) == len(strings[-1]):
-            users[-1].append((run, number))
-            least[-1] = min(least[-1], low)
-            continue
-        if share < seed:
-            settle()
-        strings.append(string)
-        least.append(low)
-        users.append([(run, number)])
+        if len(strings) > 1:
+            first = len(least) - len(strings)
+            for k, values in enumerate(_windows(strings, least[first:], length)):
+                if values.min() < least[first + k]:
+                    several[first + k] = values
+        strings.clear()
+
+    for share, string, run in suffix_merge.merge([suffix_merge.decode(*x[:3]) for x in loaded]):
+        low = smallest[run][len(of[run])]
+        if share == len(string) and strings and share == len(strings[-1]):
+            if low < least[-1]:
+                least[-1] = low
+        else:
+            if share < seed:
+                settle()
+            strings.append(string)
+            least.append(low)
+            windows.append(len(string) - 1 - length)
+        of[run].append(len(least) - 1)
     settle()
-    out = [(b, _pack(*(np.concatenate(c).astype("<u4") for c in zip(*s)))) for b, s in zip(group["block"], spans) if s]
+    limits, spread = np.asarray(least, np.int64), np.asarray(windows, np.int64)
+    for k, values in several.items():
+        limits[k] = values.max()  # documents beyond have all windows elsewhere
+    partly = np.zeros(len(least), bool)
+    partly[list(several)] = True
+    out = []
+    for block, x, own in zip(group["block"], loaded, of):
+        number = np.repeat(np.asarray(own, np.int64), x[3])
+        ids, docs, begins = x[4], x[5].astype(np.int64), x[6].astype(np.int64)
+        full = ids > limits[number]
+        spans = [(docs[full], begins[full], begins[full] + spread[number[full]] - 1 + length)]
+        for k in np.flatnonzero(~full & partly[number]).tolist():
+            hit = np.flatnonzero(several[int(number[k])] < ids[k])
+            if len(hit):
+                edge = np.flatnonzero(np.diff(hit) > 1)
+                a, b = hit[np.append(0, edge + 1)], hit[np.append(edge, len(hit) - 1)]
+                spans.append((np.repeat(docs[k], len(a)), begins[k] + a, begins[k] + b + length))
+        merged = [np.concatenate(c).astype("<u4") for c in zip(*spans)]
+        if len(merged[0]):
+            out.append((block, _pack(*merged)))
     return pd.DataFrame(out, columns=["block", "spans"]).astype({"block": "int64"})
 
 
@@ -406,7 +410,7 @@ def remove_repeats(
         raise ValueError("seed must be 8 to length")
     texts = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = partitions_for(total, 2 * block_bytes)
+    buckets = partitions_for(total, 3 * block_bytes)
     parts = partitions_for(total * 2 // (length - seed + 2), part_anchors)
     blocks = bucketed(_blocks(texts, block_bytes), "blocks", "block", buckets)
 
