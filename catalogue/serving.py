@@ -11,6 +11,7 @@ from tapewire.functions.bands import trend_band
 from tapewire.operators import filters, rollups, search
 from tapewire.operators.search_spec import SearchSpec
 from tapewire.plans import driver_tables as tables
+from tapewire.plans.scoring import score_where
 from tapewire.sources import where_requested
 
 _HOUR = 'epoch_ms(date_trunc(\'hour\', epoch_ms("publishedAt")))'
@@ -76,7 +77,7 @@ def combined_filter(spark, d):
         "sentiment": "positive", "category": "d", "source": "all", "riskScore": "[0, 0.2]", "confidence": "[10, 100]",
         "dateStart": "2024-01-01", "dateEnd": "2024-01-06",
     })
-    return filters.apply_filters(tables.scored(spark, d), spec).select("doc_id")
+    return score_where(tables.messages(spark, d), spec, **tables.word_lists()).select("doc_id")
 
 
 @query(with_ctes("scored", """SELECT doc_id FROM scored
@@ -273,4 +274,5 @@ def page_totals(spark, d):
 
 @query("SELECT count(*) AS n FROM (SELECT * FROM documents LIMIT 1)")
 def sample_row(spark, d):
-    return rollups.sample(tables.table(spark, d, "documents")).agg(F.count(F.lit(1)).alias("n"))
+    docs = tables.table(spark, d, "documents")
+    return rollups.sample(docs).join(docs, docs.columns, "left_semi").agg(F.count(F.lit(1)).alias("n"))  # a row that is there

@@ -128,3 +128,22 @@ def test_filter_on_a_score_does_not_copy_the_text_scan(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("bankruptcy") <= 4 and plan.lower().count("rlike") <= 6
     assert df.count() == 1
+
+
+def test_filters_stand_below_the_word_scan(spark, tmp_path):
+    from tapewire.operators.search_spec import SearchSpec
+    from tapewire.plans.scoring import score_where
+
+    rows = [dict(title=str(i), content="crash" * (i % 2), sentiment=(i - 20) / 20, source=f"src{i % 4}", category="D", publishedAt="2024-01-01 00:00:00") for i in range(40)]
+    articles(spark, rows).write.parquet(str(tmp_path / "messages"))
+    messages = spark.read.parquet(str(tmp_path / "messages"))
+    spec = SearchSpec(sentiment="positive", category="d", source="src3", risk_level="low_risk", start_ms=0, end_ms=2 * 10**12)
+    got = score_where(messages, spec)
+    want = [r for r in score_articles(messages).collect() if r["sentiment"] > 0 and r["source"] == "src3" and r["risk_level"] == "low_risk"]
+    assert sorted(got.collect()) == sorted(want) and want
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    words = min(i for i, line in enumerate(plan) if "RLIKE" in line)
+    for condition in ("sentiment", "category", "source", "publishedAt"):
+        assert max(i for i, line in enumerate(plan) if "Filter" in line and condition in line) > words
+    pushed = plan[-1] if "PushedFilters" in plan[-1] else next(line for line in plan if "PushedFilters" in line)
+    assert "EqualTo(source,src3)" in pushed
