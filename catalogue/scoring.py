@@ -134,7 +134,7 @@ def _archive(spark, d):
     WHERE doc_id NOT IN (SELECT doc_id FROM archive) GROUP BY doc_id"""))
 def new_articles_anti_join(spark, d):
     narrow = _incoming(spark, d).select("doc_id", "ingest_seq")
-    return dedup.new_articles(narrow, _archive(spark, d), [F.desc("ingest_seq")])
+    return dedup.new_articles(narrow, _archive(spark, d), "ingest_seq")
 
 
 @query(with_ctes("raw archive", """SELECT doc_id, count(*) AS copies FROM raw

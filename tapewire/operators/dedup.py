@@ -6,21 +6,24 @@ the input reaches the join as one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.operators.topn import latest_per_id
 
 
 def archived_ids(archive: DataFrame, key: str = "doc_id") -> DataFrame:
     return archive.select(key).where(F.col(key).isNotNull()).distinct()
 
 
-def new_articles(
-    df: DataFrame, archive: DataFrame, order: list[Column], key: str = "doc_id"
-) -> DataFrame:
-    """The latest copy of every incoming article whose id is not archived."""
-    return latest_per_id(df, key, order).join(archived_ids(archive, key), key, "left_anti")
+def new_articles(df: DataFrame, archive: DataFrame, seq: str, key: str = "doc_id") -> DataFrame:
+    """The copy with the greatest ``seq`` of every incoming article whose id is not archived.
+
+    Ids and numbers alone are grouped and compared with the archive; the rows of what is left
+    are fetched at the end.  Rows that repeat id and number count as one.
+    """
+    latest = df.groupBy(key).agg(F.max(seq).alias(seq))
+    fresh = latest.join(archived_ids(archive, key), key, "left_anti")
+    return df.join(fresh, [key, seq], "left_semi").dropDuplicates([key, seq])
 
 
 def seen_articles(df: DataFrame, archive: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -79,14 +79,16 @@ def latency_of_samples(samples: DataFrame) -> DataFrame:
 
 def exact_percentiles(
     df: DataFrame, key: str, keys: list[str], value: str,
-    probabilities: dict[str, float] = PERCENTILES, levels: int = 2, buckets: int = 1024,
+    probabilities: dict[str, float] = PERCENTILES, buckets: int = 1024, few: int = 50_000,
 ) -> DataFrame:
-    """Nearest-rank percentiles of the named ``keys``, exact for groups of any size.
+    """Nearest-rank percentiles and the mean of the named ``keys``, exact for groups of any size.
 
     Each wanted rank is narrowed down: a pass counts the values in equal buckets between
     two bounds, and the smallest and largest value of the bucket that holds the rank are
-    the next bounds.  After ``levels`` passes the few distinct values left are counted.
-    Every pass is one scan with partial aggregation; no group is sorted or gathered.
+    the next bounds, until they are equal or at most ``few`` rows lie between them.  Only
+    then are the distinct values left counted and ordered.  Every pass is one scan with
+    partial aggregation; the bounds, one row per key and rank, go through the driver.
+    A group has values from its first pass on, the mean too; keys without any are left out.
     """
     v = F.col("v")
     data = df.select(key, F.col(value).alias("v")).where(F.col(key).isin(keys) & ~F.isnan(value))
@@ -96,38 +98,49 @@ def exact_percentiles(
             for name, p in probabilities.items()
         ]
     )
-    bounds = data.groupBy(key).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    bounds = bounds.select(key, F.inline(ranks), "low", "high")
-
-    def narrow(bounds: DataFrame, bucket: Column) -> DataFrame:
-        # One row per named key and probability.
-        inside = data.join(F.broadcast(bounds), key).where(v.between(F.col("low"), F.col("high")))
-        counted = inside.groupBy(key, "name", "rank", bucket.alias("bucket")).agg(
+    groups = data.groupBy(key).agg(
+        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean")
+    )
+    first = groups.select(key, F.inline(ranks), "low", "high", F.col("n").alias("rows"), "mean")
+    schema = first.schema
+    bounds, done = first.collect(), []
+
+    def narrow(rows: list, bucket: Column) -> DataFrame:
+        inside = data.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), key)
+        inside = inside.where(v.between(F.col("low"), F.col("high")))
+        counted = inside.groupBy(key, "name", "rank", "mean", bucket.alias("bucket")).agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")
         )
         order = Window.partitionBy(key, "name").orderBy("bucket")
         upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
         before = F.col("upto") - F.col("c")
         hit = counted.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (before < F.col("rank")))
-        return hit.select(key, "name", (F.col("rank") - before).alias("rank"), "low", "high")
+        return hit.select(key, "name", (F.col("rank") - before).alias("rank"), "low", "high", F.col("c").alias("rows"), "mean")
 
     width = F.col("high") - F.col("low")
     share = F.when(width > 0, (v - F.col("low")) / width).otherwise(0.0)
-    for _ in range(levels):
-        bounds = narrow(bounds, F.least(F.floor(share * buckets), F.lit(buckets - 1)))
-    found = narrow(bounds, v)
+    while bounds:
+        done += [b for b in bounds if b["low"] == b["high"]]
+        bounds = [b for b in bounds if b["low"] != b["high"]]
+        wide = [b for b in bounds if b["rows"] > few]
+        close = [b for b in bounds if b["rows"] <= few]
+        bounds = narrow(close, v).collect() if close else []
+        if wide:
+            bounds += narrow(wide, F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("double")).collect()
+    found = df.sparkSession.createDataFrame(done, schema)
     return found.groupBy(key).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in probabilities]
+        *[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in probabilities],
+        F.first("mean").alias("mean"),
     )
 
 
 def latency_percentiles(events: DataFrame, pipelines: list[str] = PIPELINES) -> DataFrame:
-    """Nearest-rank percentiles and mean over all samples of each pipeline, as whole numbers."""
-    ranks = exact_percentiles(events, "pipeline", pipelines, "latency_ms")
-    means = events.groupBy("pipeline").agg(F.avg("latency_ms").alias("avg"))
-    return ranks.join(means, "pipeline").select(
-        "pipeline", *[round_half_up(F.col(c)).alias(c) for c in [*PERCENTILES, "avg"]]
-    )
+    """Nearest-rank percentiles and mean over all samples of each named pipeline, as whole numbers.
+
+    Pipelines that are not in the list are left out.
+    """
+    ranks = exact_percentiles(events, "pipeline", pipelines, "latency_ms").withColumnRenamed("mean", "avg")
+    return ranks.select("pipeline", *[round_half_up(F.col(c)).alias(c) for c in [*PERCENTILES, "avg"]])
 
 
 def request_metrics(events: DataFrame) -> DataFrame:

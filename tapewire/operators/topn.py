@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark cuts each group inside every input partition before the shuffle, for ranks up to
-# spark.sql.optimizer.windowGroupLimitThreshold (1000).  A hot key still sends up to n rows
-# per input partition to one task; from this n on they go through an intermediate cut.
-ONE_STEP = 16
+# Groups of input partitions in which the rows of a key are cut first.
 SPLITS = 256
 
 
@@ -17,10 +14,11 @@ def top_n_per_key(
 ) -> DataFrame:
     """The first ``n`` rows of each key in ``order``; ``rank`` names a column for 1..n.
 
-    ``order`` should end in a unique column, so that ties fall the same way on every
-    run.  With a larger ``n`` the rows of a key are first cut in groups of input
-    partitions: of P partitions a task then gets P / 256 times n rows of a hot key, and
-    256 times n in the end, instead of P times n.
+    ``order`` should end in a unique column, so that ties fall the same way on every run.
+    Spark cuts each key inside every input partition before the shuffle (for ``n`` up to
+    spark.sql.optimizer.windowGroupLimitThreshold).  The rows of a key then go through a
+    cut in groups of input partitions: of P partitions a task gets P / 256 times n rows of
+    a hot key, and 256 times n in the end, instead of P times n.
     """
     position = rank or "_rank"
 
@@ -28,10 +26,9 @@ def top_n_per_key(
         ranked = frame.withColumn(position, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         return ranked.where(F.col(position) <= n)
 
-    if n > ONE_STEP:
-        split = F.pmod(F.spark_partition_id(), F.lit(SPLITS))
-        df = cut(df.withColumn("_split", split), [*keys, "_split"]).drop("_split", position)
-    result = cut(df, keys)
+    split = F.pmod(F.spark_partition_id(), F.lit(SPLITS))
+    fewer = cut(df.withColumn("_split", split), [*keys, "_split"]).drop("_split", position)
+    result = cut(fewer, keys)
     return result if rank else result.drop(position)
 
 

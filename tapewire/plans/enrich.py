@@ -89,7 +89,7 @@ def enrich(
     ``seq`` orders the raw rows; of copies the last stays.  ``model_categories`` is a
     table made by `operators.classify.model_table`.
     """
-    fresh = new_articles(with_ids(raw), archive, [F.desc(seq)])
+    fresh = new_articles(with_ids(raw), archive, seq)
     scored = with_sentiment(unpack_entities(fresh), model_sentiment)
     body = text.classification_text(F.col("snippet"), F.col("description"), F.col("title"))
     classified = classify(scored.withColumn("text", body), dictionary, model_categories)

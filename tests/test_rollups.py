@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tapewire.sources import work_dir
 from tapewire.operators import dedup, metrics, rollups
 from tapewire.operators.topn import top_n_per_key
 
@@ -92,12 +93,12 @@ DATA = {
 }
 
 
-@pytest.mark.parametrize("levels, buckets", [(2, 1024), (1, 8), (0, 4)])
-def test_exact_percentiles(spark, levels, buckets):
+@pytest.mark.parametrize("buckets, few", [(1024, 50_000), (8, 10), (4, 1)])
+def test_exact_percentiles(spark, buckets, few):
     rows = [(k, v) for k, vs in DATA.items() for v in vs] + [("one", None), ("unnamed", 1.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(11)
     probabilities = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
-    got = {r["k"]: r for r in metrics.exact_percentiles(df, "k", list(DATA), "v", probabilities, levels, buckets).collect()}
+    got = {r["k"]: r for r in metrics.exact_percentiles(df, "k", list(DATA), "v", probabilities, buckets, few).collect()}
     assert set(got) == set(DATA)
     for key, values in DATA.items():
         ordered = sorted(values)
@@ -105,6 +106,24 @@ def test_exact_percentiles(spark, levels, buckets):
             assert got[key][name] == ordered[max(0, math.ceil(len(ordered) * p) - 1)], (key, name)
 
 
+def test_percentiles_of_a_heavy_tail_order_few_values(spark, monkeypatch):
+    """Values spread over twelve powers of ten: no pass orders more distinct values than buckets or ``few``."""
+    df = spark.range(40_000).select(F.lit("k").alias("k"), F.pow(F.lit(10.0), F.rand(3) * 12).alias("v"))
+    df.write.parquet(path := work_dir(spark, "tail"))
+    df = spark.read.parquet(path)
+    sizes, collect = [], metrics.Window.partitionBy
+
+    def counted(*keys):
+        sizes.append(keys)
+        return collect(*keys)
+
+    monkeypatch.setattr(metrics.Window, "partitionBy", counted)
+    got = metrics.exact_percentiles(df, "k", ["k"], "v", buckets=64, few=100).first()
+    values = sorted(r["v"] for r in df.collect())
+    assert (got["p50"], got["p99"]) == (values[19_999], values[39_599])
+    assert len(sizes) > 3  # it went on narrowing
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     rng = random.Random(4)
@@ -151,8 +170,18 @@ def test_rounding_half_up(column):
 def test_dedup(spark):
     df = spark.createDataFrame([("a", 1, ["X"]), ("a", 3, ["Y", "X"]), ("b", 2, ["Z"]), ("c", 4, [])], "doc_id string, seq int, symbols array<string>")
     archive = spark.createDataFrame([("b",), ("b",), ("z",), (None,)], "doc_id string")
-    assert {(r["doc_id"], r["seq"]) for r in dedup.new_articles(df, archive, [F.desc("seq")]).collect()} == {("a", 3), ("c", 4)}
+    assert {(r["doc_id"], r["seq"]) for r in dedup.new_articles(df, archive, "seq").collect()} == {("a", 3), ("c", 4)}
     assert [tuple(r) for r in dedup.seen_articles(df, archive).collect()] == [("b", 1)]
     assert tuple(dedup.batch_summary(df, archive).first()) == (4, 2, 1)
     assert tuple(dedup.batch_summary(df.limit(0), archive).first()) == (0, 0, 0)
     assert dict(dedup.merge_tickers(df, "seq").collect()) == {"a": ["X", "Y"], "b": ["Z"]}
+
+
+def test_new_articles_move_ids_first(spark):
+    spark.range(50).selectExpr("cast(id % 9 as string) doc_id", "id seq", "repeat('text', 99) content").write.parquet(path := work_dir(spark, "raw"))
+    df, archive = spark.read.parquet(path), spark.createDataFrame([("1",)], "doc_id string")
+    plan = dedup.new_articles(df, archive, "seq")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert any("content" not in line for line in scans)
+    first = plan[plan.rindex("HashAggregate"):]
+    assert "content" not in first
