@@ -196,7 +196,14 @@ def classify_with_model_hook(spark, d):
     return decided.select("doc_id", "category", "method", r9("category_confidence").alias("category_confidence"))
 
 
-@query()
+_SHOWN = ", ".join(f"printf('%.3f', {c})" for c in ("category_confidence", "ml_score", "keyword_score", "model_confidence", "confidence"))
+
+
+@query(with_ctes("docs msg", KEYWORDS + MODEL + DECISION + f""",
+    shown AS (SELECT n, method, category, category_confidence, confidence, CASE WHEN ks >= 0.6 THEN 0 ELSE bm END AS ml_score,
+      CASE WHEN ks >= 0.6 THEN ks ELSE bk END AS keyword_score, CASE WHEN ks >= 0.6 OR NOT usable THEN 0 ELSE s.score END AS model_confidence
+      FROM decided JOIN (SELECT n, score FROM top3 WHERE rank = 1) s USING (n) WHERE confidence IS NOT NULL)
+    SELECT n AS doc_id, concat_ws(',', 'CLASSIFICATION', method, category, {_SHOWN}) AS line FROM shown"""))
 def classification_audit(spark, d):
     return classify.classification_audit(_classified(spark, d))
 
@@ -233,14 +240,21 @@ def keyword_counts(spark, d):
     return keywords.keyword_counts(tables.keyword_tables(spark, d)[0])
 
 
-@query(_DICT + """, pats AS (SELECT category, string_agg(keyword, '|' ORDER BY length(keyword) DESC, keyword) AS p FROM existing GROUP BY category),
+_MERGED = """, merged AS (SELECT category, keyword FROM existing UNION SELECT category, keyword FROM diff WHERE is_new)"""
+
+
+def _merged(spark, d):
+    return keywords.merge_keywords(*tables.keyword_tables(spark, d), dry_run=False)
+
+
+@query(_DICT + _MERGED + """, low AS (SELECT DISTINCT category, lower(keyword) AS w FROM merged),
+    pats AS (SELECT category, string_agg(w, '|' ORDER BY length(w) DESC, w) AS p FROM low GROUP BY category),
     found AS (SELECT category, len(regexp_extract_all(lower(text), p, 0)) AS k FROM documents, pats)
     SELECT category, count(*) AS docs, sum(k)::BIGINT AS occurrences FROM found WHERE k > 0 GROUP BY category""")
 def dictionary_table_hits(spark, d):
-    """Matching with a dictionary that is itself a table."""
-    dictionary = keywords.to_dictionary(tables.keyword_tables(spark, d)[0])
+    """Matching with a dictionary that is itself a table, the merged one."""
     texts = tables.messages(spark, d).select("doc_id", F.col("content").alias("text"))
-    return keywords.keyword_stats(texts, dictionary, "text").groupBy("category").agg(
+    return keywords.table_keyword_stats(texts, _merged(spark, d), "text").groupBy("category").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("occurrences").alias("occurrences")
     )
 
@@ -263,9 +277,9 @@ def keyword_merge(spark, d):
     return keywords.merge_keywords(*tables.keyword_tables(spark, d), dry_run=False)
 
 
-@query(_DICT + "SELECT category, keywords::BIGINT AS keywords FROM (SELECT category, count(*) AS keywords FROM existing GROUP BY ROLLUP (category))")
+@query(_DICT + _MERGED + "SELECT category, count(*) AS keywords FROM merged GROUP BY ROLLUP (category)")
 def keyword_export(spark, d):
-    return export_keywords(tables.keyword_tables(spark, d)[0], work_dir(spark, "keywords"))
+    return export_keywords(_merged(spark, d), work_dir(spark, "keywords"))
 
 
 @query(_DICT + "SELECT category FROM existing UNION SELECT category FROM offered")

@@ -63,6 +63,19 @@ def _index(spark, d, fields=search.TEXT_FIELDS, keyword_fields=search.KEYWORD_FI
     return search.build_index(tables.scored(spark, d), fields, keyword_fields)
 
 
+_SAVED: dict[tuple, str] = {}
+
+
+def _saved(spark, d, fields=search.TEXT_FIELDS, keyword_fields=search.KEYWORD_FIELDS):
+    """The index of a data folder, saved by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d, fields)
+    if key not in _SAVED:
+        path = work_dir(spark, "index")
+        search.write_index(_index(spark, d, fields, keyword_fields), path, buckets=16)
+        _SAVED[key] = path
+    return search.read_index(spark, _SAVED[key])
+
+
 @query(with_ctes("scored", INDEX + " SELECT doc_id, field, count(*) AS tokens, count(DISTINCT term) AS terms FROM (SELECT doc_id, field, unnest(ts) AS term FROM fl) WHERE field <> 'source' GROUP BY ALL"))
 def tokenize(spark, d):
     return search.tokenize(tables.scored(spark, d)).groupBy("doc_id", "field").agg(
@@ -90,13 +103,13 @@ def index_field_stats(spark, d):
 @query(with_ctes("scored", INDEX + ", " + fuzzy_sql(QUERY.split()) + """ SELECT query_term, term, field, df, edits::INTEGER AS edits,
     round(1 - edits / least(length(term), length(query_term)), 9) AS weight FROM ex"""))
 def fuzzy_vocabulary(spark, d):
-    found = search.expand_terms(_index(spark, d).vocabulary, search.query_tokens(QUERY))
+    found = search.expand_terms(_saved(spark, d).vocabulary, search.query_tokens(QUERY))
     return found.select("query_term", "term", "field", "df", "edits", r9("weight").alias("weight"))
 
 
 @query(with_ctes("scored", _FUZZY + " SELECT doc_id, score FROM bm"))
 def bm25_fuzzy(spark, d):
-    return search.bm25(_index(spark, d), QUERY)
+    return search.bm25(_saved(spark, d), QUERY)
 
 
 _EXACT = INDEX + ", " + fuzzy_sql(["the", "worthless", "license"]).replace("<= q.k", "= 0") + ", " + weights_sql(SEARCH_BOOSTS)
@@ -104,7 +117,7 @@ _EXACT = INDEX + ", " + fuzzy_sql(["the", "worthless", "license"]).replace("<= q
 
 @query(with_ctes("scored", _EXACT + " SELECT doc_id, score FROM bm"))
 def bm25_best_fields(spark, d):
-    return search.bm25(_index(spark, d), "the worthless license", fuzzy=False)
+    return search.bm25(_saved(spark, d), "the worthless license", fuzzy=False)
 
 
 @query(with_ctes("scored", INDEX + """, w AS (SELECT ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * 2.2e0 AS weight, avg_dl
@@ -112,7 +125,7 @@ def bm25_best_fields(spark, d):
     SELECT doc_id, round(weight * tf / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl)), 6) AS score FROM post, w
     WHERE field = 'source' AND term = 'src5'"""))
 def bm25_keyword_field(spark, d):
-    return search.bm25(_index(spark, d), "src5", {"source": 1.0}, fuzzy=False)
+    return search.bm25(_saved(spark, d), "src5", {"source": 1.0}, fuzzy=False)
 
 
 _BOOST = "CASE WHEN symbol <> '' THEN 2e0 ELSE 0 END + CASE WHEN coalesce(entity_name, '') <> '' THEN 1.5e0 ELSE 0 END"
@@ -122,7 +135,7 @@ _SPEC = {"search": QUERY, "sentiment": "positive", "sortBy": "relevant", "page":
 @query(with_ctes("scored", _FUZZY + f""" SELECT s.doc_id, bm.score + {_BOOST} AS score, s."publishedAt" FROM scored s JOIN bm USING (doc_id)
     WHERE s.sentiment > 0 ORDER BY 2 DESC, 3 DESC NULLS LAST, 1 LIMIT 25 OFFSET 25"""))
 def search_page(spark, d):
-    rows, _ = search.search(tables.scored(spark, d), _index(spark, d), SearchSpec.from_params(_SPEC))
+    rows, _ = search.search(tables.scored(spark, d), _saved(spark, d), SearchSpec.from_params(_SPEC))
     return rows.select("doc_id", "score", "publishedAt")
 
 
@@ -130,7 +143,7 @@ def search_page(spark, d):
     ceil(count(*) / 25)::BIGINT AS total_pages FROM scored s JOIN bm USING (doc_id) WHERE s.sentiment > 0"""))
 def search_totals(spark, d):
     spec = SearchSpec.from_params(_SPEC)
-    return search.page_totals(search.ranked_hits(tables.scored(spark, d), _index(spark, d), spec), spec)
+    return search.page_totals(search.ranked_hits(tables.scored(spark, d), _saved(spark, d), spec), spec)
 
 
 @query(with_ctes("scored", f"SELECT doc_id, 1e0 + {_BOOST} AS score FROM scored"))
@@ -141,7 +154,7 @@ def match_all(spark, d):
 
 @query(with_ctes("scored", _FUZZY + " SELECT doc_id, score FROM bm"))
 def saved_index_search(spark, d):
-    """The same search over an index written by term buckets and read back."""
+    """The same search with the index built, written by term buckets and read back in the query."""
     path = work_dir(spark, "index")
     search.write_index(_index(spark, d), path, buckets=8)
     return search.bm25(search.read_index(spark, path), QUERY)
@@ -180,6 +193,6 @@ _SIMILAR = INDEX + f""", me AS (SELECT doc_id, category, key_phrases FROM scored
 @query(with_ctes("scored", _SIMILAR))
 def similar_articles(spark, d):
     df = tables.scored(spark, d)
-    index = _index(spark, d, ("key_phrases", "title", "description"), ())
+    index = _saved(spark, d, ("key_phrases", "title", "description"), ())
     top = search.similar_articles(df, index, _latest_id(df), 10)
     return top.select("doc_id", F.round("score", 6).alias("score"), "publishedAt")

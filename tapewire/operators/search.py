@@ -24,8 +24,6 @@ K1, B = 1.2, 0.75
 SYMBOL_BOOST, ENTITY_BOOST = 2.0, 1.5
 SAME_CATEGORY_SCORE = 1.0
 FRAGMENT, LEAD = 150, 60
-# More expanded terms than this are joined as a table instead of sent as literals.
-MAX_LITERAL_TERMS = 5_000
 # Terms from this length on share a folder of a saved vocabulary.
 LONGEST = 40
 
@@ -82,28 +80,24 @@ class TextIndex:
     """``postings(term, field, doc_id, tf, dl)``, ``vocabulary(term, field, df)`` and
     ``field_stats(field, n_docs, avg_dl)``.
 
-    ``fields`` are the tokenised articles of an index that is not saved, ``buckets``
-    the number of term folders of one that is.
+    ``buckets`` is the number of term folders of an index that is saved.
     """
 
     postings: DataFrame
     vocabulary: DataFrame
     field_stats: DataFrame
-    fields: DataFrame | None = None
     buckets: int | None = None
 
-    def postings_of(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms, reading and counting as little else as possible."""
-        if self.fields is not None:
-            wanted = F.filter("tokens", lambda t: t.isin(terms))
-            return _postings(self.fields.withColumn("tokens", wanted).where(F.size("tokens") > 0))
-        postings = self.postings.where(F.col("term").isin(terms))
-        if self.buckets:
-            # Literal folder numbers, so that only these are listed and read.
-            of_terms = postings.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-            numbers = of_terms.select(_bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()
-            postings = postings.where(F.col("bucket").isin([r["b"] for r in numbers]))
-        return postings
+    def hits(self, weights: DataFrame) -> DataFrame:
+        """The postings of all terms in ``weights``, joined with their rows, whatever their number.
+
+        Of a saved index only the folders of these terms are listed and read.
+        """
+        if not self.buckets:
+            return self.postings.join(weights, ["term", "field"])
+        placed = weights.withColumn("bucket", _bucket(F.col("term"), self.buckets))
+        numbers = [r["bucket"] for r in placed.select("bucket").distinct().collect()]  # one a folder at most
+        return self.postings.where(F.col("bucket").isin(numbers)).join(placed, ["bucket", "term", "field"]).drop("bucket")
 
 
 def build_index(
@@ -121,7 +115,7 @@ def build_index(
         .agg(F.count(F.lit(1)).alias("df"))
     )
     field_stats = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    return TextIndex(_postings(fields), vocabulary, field_stats, fields)
+    return TextIndex(_postings(fields), vocabulary, field_stats)
 
 
 def write_index(index: TextIndex, path: str, buckets: int = 256) -> None:
@@ -230,17 +224,9 @@ def bm25(
     index: TextIndex, query: str, boosts: dict[str, float] = SEARCH_BOOSTS, fuzzy: bool = True
 ) -> DataFrame:
     """``(doc_id, score)`` of every article that any query term hits; best field counts."""
-    weights = _weights(index, query, boosts, fuzzy)
-    rows = weights.limit(MAX_LITERAL_TERMS + 1).collect()
-    postings = index.postings
-    if len(rows) <= MAX_LITERAL_TERMS:
-        postings = index.postings_of(sorted({r["term"] for r in rows}))
-        # At most MAX_LITERAL_TERMS rows.
-        weights = F.broadcast(postings.sparkSession.createDataFrame(rows, weights.schema))
-    postings = postings.where(F.col("field").isin(*boosts))
     tf, dl = F.col("tf"), F.col("dl")
     saturation = tf / (tf + K1 * (1 - B + B * dl / F.col("avg_dl")))
-    hits = postings.join(weights, ["term", "field"]).withColumn("part", F.col("weight") * saturation)
+    hits = index.hits(_weights(index, query, boosts, fuzzy)).withColumn("part", F.col("weight") * saturation)
     per_field = [F.sum(F.when(F.col("field") == f, F.col("part"))).alias(f"_{f}") for f in boosts]
     # One shuffle: the sums of all fields of an article, then their maximum in the row.
     scores = hits.groupBy("doc_id").agg(*per_field)

@@ -95,9 +95,29 @@ def test_keyword_score_range_and_first_category(spark):
         assert first[i] == min(keyword_score(text), default="J")
 
 
-@pytest.mark.parametrize("limit", [40_000, 0])
-def test_matches_equal_one_pattern_per_category(spark, monkeypatch, limit):
-    monkeypatch.setattr(keywords, "MAX_COLLISIONS", limit)
+@pytest.mark.parametrize("piece", [4096, 7])
+def test_a_dictionary_table_matches_like_patterns(spark, monkeypatch, piece):
+    monkeypatch.setattr(keywords, "PIECE", piece)
+    rng = random.Random(10)
+    rows = [(c, "".join(rng.choices("abÉ ", k=rng.randint(1, 6)))) for c in "ABC" for _ in range(12)] + [("A", ""), ("B", "😀b")]
+    texts = ["".join(rng.choices("abcé \nÉ", k=rng.randint(0, 80))) for _ in range(120)] + [None, "", "a😀ba😀bb"]
+    table = spark.createDataFrame(rows, "category string, keyword string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r["doc_id"], r["category"]): r["matches"] for r in keywords.table_hits(df, table, "text").collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        for c in "ABC":
+            words = sorted({w.lower() for k, w in rows if k == c and w}, key=lambda w: (-len(w), w))
+            found = re.findall("|".join(map(re.escape, words)), (text or "").lower())
+            if found:
+                want[i, c] = found
+    assert got == want
+    assert keywords.table_hits(df, table.limit(0), "text").collect() == []
+    stats = keywords.table_keyword_stats(df, table, "text").where("category = 'A'").collect()
+    assert all(r["occurrences"] == len(want[r["doc_id"], "A"]) and r["unique_matches"] == len(set(want[r["doc_id"], "A"])) for r in stats)
+
+
+def test_matches_equal_one_pattern_per_category(spark):
     rng = random.Random(9)
     own = {c: list({"".join(rng.choices("ab ", k=rng.randint(1, 4))).strip() or "a" for _ in range(6)}) for c in "ABCDEFG"}
     texts = ["".join(rng.choices("ab c\n", k=rng.randint(0, 60))) for _ in range(200)]
@@ -123,8 +143,6 @@ def test_dictionary_upkeep(spark):
     assert merged == {("A", "eps"), ("A", "EBITDA"), ("B", "rating"), ("A", "profit"), ("C", "deal")}
     assert dict(keywords.keyword_counts(existing).collect()) == {"A": 2, "B": 1, None: 3}
     assert keywords.to_dictionary(existing) == {"A": ["EBITDA", "eps"], "B": ["rating"]}
-    with pytest.raises(ValueError):
-        keywords.to_dictionary(existing, max_keywords=2)
 
 
 def fuse(a, ac, m, mc):

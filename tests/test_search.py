@@ -102,12 +102,6 @@ def test_bm25_equals_brute_force(articles, docs, query, fuzzy):
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
 
 
-def test_many_terms_take_the_join_instead_of_literals(articles, docs, monkeypatch):
-    want = dict(search.bm25(search.build_index(articles), "oil price rally").collect())
-    monkeypatch.setattr(search, "MAX_LITERAL_TERMS", 2)
-    assert dict(search.bm25(search.build_index(articles), "oil price rally").collect()) == want
-
-
 def test_saved_index(spark, articles, tmp_path):
     path = str(tmp_path / "index")
     index = search.build_index(articles)
