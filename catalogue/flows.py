@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from catalogue.base import chain, query, r9, with_ctes
-from catalogue.classification import _DICT, DECISION, KEYWORDS, MODEL
+from catalogue.classification import _DICT, _MERGED, DECISION, KEYWORDS, MODEL, _merged
 from catalogue.scoring import SCORED_SQL, _fused, fused_ctes, fused_sql, rounded
 
 from tapewire.functions.identity import first_or_null
@@ -112,19 +112,19 @@ def malformed_messages(spark, d):
 def upsert_latest(spark, d):
     """All articles in one batch, the labelled ones again with another score, then compacted."""
     path = work_dir(spark, "articles")
-    upsert(tables.scored(spark, d), path, 0)
+    upsert(tables.scored(spark, d), path, 0, jobs.LATEST)
     labelled = tables.table(spark, d, "documents").join(tables.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     again = score_articles(tables.messages(spark, source=labelled), **tables.word_lists())
     for _ in range(2):  # a retried batch changes nothing
-        upsert(again.withColumn("final_score", F.col("final_score") + 1), path, 1)
+        upsert(again.withColumn("final_score", F.col("final_score") + 1), path, 1, jobs.LATEST)
     compact(spark, path, f"{path}-compact")
     return read_upserted(spark, f"{path}-compact").select("doc_id", r9("final_score").alias("final_score"), "title", "publishedAt")
 
 
-@query(_DICT + "SELECT category, keyword FROM existing")
+@query(_DICT + _MERGED + "SELECT category, keyword FROM merged")
 def category_json_roundtrip(spark, d):
     path = work_dir(spark, "dictionary")
-    export_keywords(tables.keyword_tables(spark, d)[0], path)
+    export_keywords(_merged(spark, d), path)
     return read_category_json(spark, path)
 
 
@@ -193,7 +193,7 @@ def stream_ingest_dedup(spark, d):
     stream = shaped(_stream(spark, d, "documents"))
     jobs.seed_ids(read_archive(spark, path), f"{path}-ids")
     jobs.start_ingest(
-        stream, path, f"{path}-checkpoint", every=None, seq="n", ids_path=f"{path}-ids"
+        stream, path, f"{path}-checkpoint", "n", every=None, ids_path=f"{path}-ids"
     ).awaitTermination()
     ids = read_archive(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
     latest = shaped(tables.table(spark, d, "documents")).groupBy("doc_id").agg(F.max("n").alias("n"))
@@ -230,7 +230,7 @@ def stream_throughput(spark, d):
     events = tables.metric_events(spark, d, _stream(spark, d, "events"))
     rates = jobs.stream_throughput(events)
     rates.writeStream.outputMode("update").foreachBatch(
-        jobs.upsert_batch(f"{path}/rates", ["pipeline", "end_ms"])
+        jobs.upsert_batch(f"{path}/rates", f"{path}/checkpoint", ("throughput",), ["pipeline", "end_ms"])
     ).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return read_upserted(spark, f"{path}/rates", ["pipeline", "end_ms"], rates.schema)
 
@@ -245,6 +245,71 @@ def stream_last_samples(spark, d):
     return read_last_batch(spark, f"{path}/samples", schema).select("pipeline", "event_id", "ts_ms", "latency_ms")
 
 
+# --- after a restart with a new checkpoint ------------------------------------------------------
+
+
+@query(with_ctes("scored", """SELECT doc_id, round(final_score, 9) AS final_score, title, 'src' AS seen FROM scored
+    SEMI JOIN labels l ON l.doc_id = scored.n UNION ALL
+    SELECT doc_id, round(final_score, 9), title, 'src' FROM scored ANTI JOIN labels l ON l.doc_id = scored.n"""))
+def upsert_after_restart(spark, d):
+    """Two scoring jobs with checkpoints of their own write into one table: the labelled articles
+    as the first, the others as the second, whose batches count from 0 again."""
+    path = work_dir(spark, "restart")
+    docs, labels = tables.table(spark, d, "documents"), tables.table(spark, d, "labels").select("doc_id")
+    for name, how in (("one", "left_semi"), ("two", "left_anti")):
+        messages = tables.messages(spark, source=docs.join(labels, "doc_id", how)).drop("symbol", "entity_name")
+        publish(messages, "files", f"{path}/{name}")
+        stream = decode_articles(stream_articles(spark, "files", f"{path}/{name}", maxFilesPerTrigger="2"))
+        jobs.start_scoring(stream, f"{path}/articles", f"{path}/checkpoint-{name}", **tables.word_lists()).awaitTermination()
+    current = read_upserted(spark, f"{path}/articles")
+    return current.select("doc_id", r9("final_score").alias("final_score"), "title", F.lit("src").alias("seen"))
+
+
+@query(with_ctes("ev", """SELECT pipeline || suffix AS pipeline, ts_ms // 60000 * 60000 AS start_ms, count(*) AS processed
+    FROM ev, (SELECT unnest(['', ' again']) AS suffix) WHERE status < 400 GROUP BY ALL"""))
+def minute_counts_after_restart(spark, d):
+    path = work_dir(spark, "restart-minutes")
+    events = tables.metric_events(spark, d, _stream(spark, d, "events"))
+    for name in ("", " again"):
+        renamed = events.withColumn("pipeline", F.concat("pipeline", F.lit(name)))
+        jobs.start_minute_counts(renamed, f"{path}/counts", f"{path}/checkpoint{name[:2].strip()}").awaitTermination()
+    return read_upserted(spark, f"{path}/counts", ["pipeline", "start_ms"], _COUNTS)
+
+
+@query(with_ctes("ev", f"""SELECT pipeline, event_id, ts_ms, latency_ms FROM (SELECT * FROM ev
+      UNION ALL SELECT * REPLACE (event_id + 1000000000 AS event_id) FROM ev)
+    QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY ts_ms DESC, event_id DESC) <= {SAMPLES}"""))
+def last_samples_after_restart(spark, d):
+    """The job of the second checkpoint goes on from the samples that the first one left."""
+    path = work_dir(spark, "restart-samples")
+    events = tables.metric_events(spark, d, _stream(spark, d, "events"))
+    for i in (0, 1):
+        numbered = events.withColumn("event_id", F.col("event_id") + F.lit(1_000_000_000 * i))
+        jobs.start_last_samples(numbered, f"{path}/samples", f"{path}/checkpoint-{i}").awaitTermination()
+    schema = tables.metric_events(spark, d).select("event_id", "pipeline", "ts_ms", "latency_ms", "status").schema
+    return read_last_batch(spark, f"{path}/samples", schema).select("pipeline", "event_id", "ts_ms", "latency_ms")
+
+
+@query(with_ctes("raw", """, old AS (SELECT doc_id, max(n) AS n FROM raw SEMI JOIN labels l ON l.doc_id = raw.n GROUP BY doc_id)
+    SELECT doc_id, max(n) AS n, 1::BIGINT AS lines FROM raw ANTI JOIN old USING (doc_id) GROUP BY doc_id
+    UNION ALL SELECT doc_id, n, 1 FROM old"""))
+def ingest_after_restart(spark, d):
+    """The poll of a second checkpoint keeps the lines of the first and adds what they lack."""
+    path = work_dir(spark, "restart-ingest")
+    labels = tables.table(spark, d, "labels").select(F.col("doc_id").alias("n"))
+
+    def shaped(docs):
+        ids = with_ids(docs.select(F.col("doc_id").alias("n"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("snippet")))
+        return ids.select("doc_id", "n", "title", F.col("n").cast("string").alias("link"))
+
+    stream = shaped(_stream(spark, d, "documents"))
+    jobs.start_ingest(stream.join(labels, "n", "left_semi"), path, f"{path}-one", "n", every=None, ids_path=f"{path}-ids").awaitTermination()
+    jobs.start_ingest(stream, path, f"{path}-two", "n", every=None, ids_path=f"{path}-ids").awaitTermination()
+    return read_archive(spark, path).groupBy("doc_id").agg(
+        F.max(F.col("link").cast("bigint")).alias("n"), F.count(F.lit(1)).alias("lines")
+    )
+
+
 # --- end to end ---------------------------------------------------------------------------------
 
 # German articles count as archived already.

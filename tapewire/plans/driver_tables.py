@@ -14,7 +14,6 @@ from tapewire.fixed_values import CATEGORY_LABELS, COMMODITY_WORDS
 from tapewire.functions import identity
 from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import add_scores, score_articles
-from tapewire.sources import spread
 
 START_DAY = "2024-01-01"
 
@@ -44,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def _two(c: Column) -> Column:

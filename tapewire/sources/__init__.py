@@ -8,19 +8,20 @@ from tapewire.sources.readers import (
     read_metric_events,
     read_raw_articles,
     read_scored,
-    spread,
     stream_articles,
     where_requested,
 )
 from tapewire.sources.sinks import (
     append_archive,
     append_audit,
+    checkpoint_id,
     compact,
     ensure_table,
     export_keywords,
     publish,
     read_last_batch,
     read_upserted,
+    run_number,
     sentiment_audit,
     to_messages,
     upsert,

@@ -10,7 +10,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tapewire.fixed_values import DEFAULT_RISK_WORDS
 from tapewire.functions.identity import first_or_null
 from tapewire.functions.text import strip
-from tapewire.operators.keywords import MAX_KEYWORDS
 from tapewire.schemas import MESSAGE, METRIC_EVENT, PAYLOAD, RAW_RESPONSE, SCORED
 
 CORRUPT = "_malformed"
@@ -25,17 +24,6 @@ def read_raw_articles(spark: SparkSession, path: str, one_per_line: bool = False
     return responses.select(F.inline("data"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads a scan of too few splits over the cores, for heavy work per row.
-
-    A small file of one row group is one task however many cores are idle.  Inputs with
-    at least half as many splits as there are cores, which is any large table, are left
-    as they are and never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def where_requested(df: DataFrame, **wanted: str) -> DataFrame:
     """Filters the vendor applies on its side, for example ``language="en"``."""
     for column, value in wanted.items():
@@ -106,17 +94,19 @@ def malformed(df: DataFrame, value_col: str = "value") -> DataFrame:
 def read_keywords(spark: SparkSession, path: str, default: list[str] | None = None) -> list[str]:
     """Word list of a text file: trimmed, lower-cased, without blank and ``#`` lines.
 
-    An unreadable file gives the default list.
+    Where there is no file the default list counts; any other error is raised, as other words
+    would silently change every level.  The list becomes a pattern, so it is brought to the
+    driver; a list too large for that belongs into a dictionary table.
     """
+    word = F.lower(strip(F.col("value")))
     try:
-        word = F.lower(strip(F.col("value")))
-        lines = spark.read.text(path).select(word.alias("w")).where((F.col("w") != "") & ~F.col("w").startswith("#"))
-        rows = lines.distinct().limit(MAX_KEYWORDS + 1).collect()
-    except Exception:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return list(default or DEFAULT_RISK_WORDS)
-    if len(rows) > MAX_KEYWORDS:
-        raise ValueError(f"word list has more than {MAX_KEYWORDS} words")
-    return sorted(r["w"] for r in rows)
+    words = lines.select(word.alias("w")).where((F.col("w") != "") & ~F.col("w").startswith("#")).distinct()
+    return sorted(r["w"] for r in words.collect())
 
 
 def read_category_commands(spark: SparkSession, path: str) -> DataFrame:
@@ -133,11 +123,11 @@ def read_category_commands(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_category_json(spark: SparkSession, path: str) -> DataFrame:
-    """Dictionary from one object ``{letter: [keyword, ...]}``."""
+def read_category_json(spark: SparkSession, path: str, one_per_line: bool = True) -> DataFrame:
+    """Dictionary from objects ``{letter: [keyword, ...]}``, one per line or one per file."""
     table = F.from_json("value", "map<string,array<string>>")
     return (
-        spark.read.text(path, wholetext=True)
+        spark.read.text(path, wholetext=not one_per_line)
         .select(F.explode(table).alias("key", "keywords"))
         .select(
             F.regexp_replace("key", "^category_keywords_", "").alias("category"),

@@ -6,20 +6,25 @@ A write that may be retried replaces exactly what its first try wrote.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tapewire.operators.keywords import MAX_KEYWORDS, sorted_keywords
 from tapewire.operators.topn import top_n_per_key
 from tapewire.schemas import PAYLOAD, SCORED
 
-BATCH = "batch_id"
-IDS = StructType([StructField("doc_id", StringType())])
+RUN, BATCH = "run", "batch_id"
+VERSION = StructType([StructField(RUN, LongType()), StructField(BATCH, LongType())])
+RUNS = StructType([StructField("run_id", StringType()), StructField(RUN, LongType())])
+IDS = StructType([StructField("doc_id", StringType()), StructField("prefix", StringType())])
+#: Keywords of a line of an exported dictionary, on average.
+LINE_KEYWORDS = 1000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -30,7 +35,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = os.path.join(tempfile.gettempdir(), "tapewire")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -58,29 +63,69 @@ def publish(df: DataFrame, sink: str, location: str, **options: str) -> None:
 
 
 # --- the article table ------------------------------------------------------------------------
-# A batch is written once, under its own number; readers take the latest row of an id.  A write
-# costs what the batch costs, whatever the table holds, and writing a batch again changes nothing.
+# A batch is written once, under the number of its run and its own; readers take the latest row
+# of an id.  A run is what has one checkpoint: a new checkpoint counts its batches from 0 again,
+# but as a new run, so it never touches the folders of another.  A write costs what the batch
+# costs, whatever the table holds, and writing a batch again changes nothing.
 
 
-def upsert(df: DataFrame, path: str, batch_id: int, key: str | list[str] = "doc_id") -> None:
-    """Insert or replace by ``key``.  Copies inside the batch are reduced to one row."""
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of a checkpoint when it first started."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def run_number(spark: SparkSession, path: str, run_id: str) -> int:
+    """The number of a run in the table at ``path``; a run that is not known gets the next one.
+
+    Two runs that took one number at the same time are both refused.
+    """
+    registry = f"{path}/_runs"
+    known = _read(spark, registry, RUNS).collect()  # one row per checkpoint ever used
+    numbers = {r["run_id"]: r[RUN] for r in known}
+    if run_id not in numbers:
+        numbers[run_id] = max(numbers.values(), default=0) + 1
+        spark.createDataFrame([(run_id, numbers[run_id])], RUNS).coalesce(1).write.mode("append").parquet(registry)
+        known = _read(spark, registry, RUNS).collect()
+    if any(r[RUN] == numbers[run_id] and r["run_id"] != run_id for r in known):
+        raise RuntimeError(f"two runs hold number {numbers[run_id]} of {path}")
+    return numbers[run_id]
+
+
+def _folder(path: str, run: int, batch_id: int) -> str:
+    return f"{path}/{RUN}={run}/{BATCH}={batch_id}"
+
+
+def upsert(
+    df: DataFrame, path: str, batch_id: int, order: Sequence[str], key: str | list[str] = "doc_id", run: int = 0
+) -> None:
+    """Insert or replace by ``key``.  Of copies inside the batch the one greatest in the
+    columns of ``order`` stays; equal ones fall by their content, the same way in every try."""
     content = F.xxhash64(*[F.col(c) for c in df.columns])
-    one = top_n_per_key(df.withColumn("_h", content), _keys(key), [F.desc("_h")], 1).drop("_h")
-    one.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    greatest = [F.desc_nulls_last(c) for c in (*order, "_h")]
+    one = top_n_per_key(df.withColumn("_h", content), _keys(key), greatest, 1).drop("_h")
+    one.write.mode("overwrite").parquet(_folder(path, run, batch_id))
 
 
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    full = StructType([*schema.fields, StructField(BATCH, LongType())])
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows under ``path``, none where there is nothing yet."""
     try:
-        return spark.read.schema(full).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], full)
+        return spark.createDataFrame([], schema)
+
+
+def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return _read(spark, path, StructType([*schema.fields, *VERSION.fields]))
+
+
+def _version() -> Column:
+    return F.struct(RUN, BATCH)
 
 
 def read_upserted(
@@ -93,36 +138,56 @@ def read_upserted(
     sent to them unless much has changed.  Only the later batches are sorted out by id.
     """
     keys, rows = _keys(key), _versions(spark, path, schema)
-    first = rows.agg(F.min(BATCH)).scalar()
-    base, later = rows.where(F.col(BATCH) == first), rows.where(F.col(BATCH) > first)
+    first = rows.agg(F.min(_version())).first()[0]
+    if first is None:
+        return rows.select(*schema.names)
+    is_first = (F.col(RUN) == first[RUN]) & (F.col(BATCH) == first[BATCH])
+    base, later = rows.where(is_first), rows.where(~is_first)
     kept = base.join(later.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(top_n_per_key(later, keys, [F.desc(BATCH)], 1)).select(*schema.names)
+    return kept.unionByName(top_n_per_key(later, keys, [F.desc(RUN), F.desc(BATCH)], 1)).select(*schema.names)
 
 
-def read_last_batch(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The rows of the newest batch, or of the newest one older than ``before``."""
+def read_last_batch(
+    spark: SparkSession, path: str, schema: StructType, before: tuple[int, int] | None = None
+) -> DataFrame:
+    """The rows of the newest batch, or of the newest one older than the batch ``before``
+    (its run's number and its own)."""
     rows = _versions(spark, path, schema)
     if before is not None:
-        rows = rows.where(F.col(BATCH) < before)
-    return rows.where(F.col(BATCH) == rows.agg(F.max(BATCH)).scalar()).drop(BATCH)
+        rows = rows.where((F.col(RUN) < before[0]) | (F.col(RUN) == before[0]) & (F.col(BATCH) < before[1]))
+    last = rows.agg(F.max(_version())).first()[0]
+    if last is None:
+        return rows.drop(RUN, BATCH)
+    return rows.where((F.col(RUN) == last[RUN]) & (F.col(BATCH) == last[BATCH])).drop(RUN, BATCH)
 
 
-def read_ids(spark: SparkSession, path: str, without: int) -> DataFrame:
-    """The ids written by all batches but one."""
-    return _versions(spark, path, IDS).where(F.col(BATCH) != without).select("doc_id")
+def _prefix() -> Column:
+    return F.coalesce(F.lower(F.substring("doc_id", 1, 1)), F.lit(""))
 
 
-def write_ids(df: DataFrame, path: str, batch_id: int) -> None:
-    df.select("doc_id").write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+def read_ids(spark: SparkSession, path: str, without: tuple[int, int], of: DataFrame) -> DataFrame:
+    """The ids written by all batches but one (run and batch), of the prefixes that ``of`` has.
+
+    Ids lie in a folder per first character, so a small batch reads a part of them.
+    """
+    wanted = [r[0] for r in of.select(_prefix()).distinct().collect()]  # one row per first character
+    rows = _versions(spark, path, IDS).where(F.col("prefix").isin(wanted))
+    return rows.where(~((F.col(RUN) == without[0]) & (F.col(BATCH) == without[1]))).select("doc_id")
+
+
+def write_ids(df: DataFrame, path: str, batch_id: int, run: int = 0) -> None:
+    ids = df.select("doc_id", _prefix().alias("prefix"))
+    ids.write.mode("overwrite").partitionBy("prefix").parquet(_folder(path, run, batch_id))
 
 
 def compact(
     spark: SparkSession, path: str, target: str, key: str | list[str] = "doc_id", schema: StructType = SCORED
 ) -> None:
-    """Writes the current rows as one batch of a new table, leaving the old one alone."""
-    number = _versions(spark, path, schema).agg(F.max(BATCH)).first()[0]
-    if number is not None:
-        read_upserted(spark, path, key, schema).write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
+    """Writes the current rows as the oldest batch of a new table, leaving the old one alone.
+
+    Whatever is written to the new table afterwards, by old runs or new ones, is newer.
+    """
+    read_upserted(spark, path, key, schema).write.parquet(_folder(target, 0, -1))
 
 
 def ensure_table(spark: SparkSession, name: str, schema: StructType = SCORED) -> str:
@@ -137,17 +202,20 @@ def ensure_table(spark: SparkSession, name: str, schema: StructType = SCORED) ->
 
 
 def export_keywords(table: DataFrame, path: str) -> DataFrame:
-    """Writes one object ``{category: [sorted keywords]}``; returns the counts written.
+    """Writes lines ``{category: [keywords]}``; returns the counts written.
 
-    It is what `read_category_json` reads.  A table too large to be a dictionary is refused.
+    It is what `read_category_json` reads.  The keywords of a category are dealt to lines of
+    about LINE_KEYWORDS, so a dictionary of any size is written by many tasks; lines and the
+    keywords in them are sorted.
     """
-    if table.limit(MAX_KEYWORDS + 1).count() > MAX_KEYWORDS:
-        raise ValueError(f"dictionary has more than {MAX_KEYWORDS} keywords")
-    lists = sorted_keywords(table)
-    entries = F.sort_array(F.collect_list(F.struct("category", "keywords")))
-    whole = lists.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
-    return lists.rollup("category").agg(F.sum("n").alias("keywords"))
+    rows = table.select("category", "keyword").distinct()
+    counts = rows.groupBy("category").agg(F.count("keyword").alias("n"))
+    lines = F.ceil(F.col("n") / LINE_KEYWORDS)
+    dealt = rows.join(counts, "category").withColumn("line", F.pmod(F.xxhash64("keyword"), lines))
+    lists = dealt.groupBy("category", "line").agg(F.sort_array(F.collect_list("keyword")).alias("keywords"))
+    text = F.to_json(F.create_map("category", "keywords")).alias("value")
+    lists.orderBy("category", "line").select(text).write.mode("overwrite").text(path)
+    return counts.rollup("category").agg(F.sum("n").alias("keywords"))
 
 
 def append_audit(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ write.  A failing batch raises, so its offsets are not committed and it is retri
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,18 +17,31 @@ from tapewire.operators.metrics import SAMPLES, last_samples, round_half_up
 from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import score_articles
 from tapewire.sources.readers import read_archive
-from tapewire.sources.sinks import BATCH, read_ids, read_last_batch, upsert, write_ids
+from tapewire.sources.sinks import (
+    BATCH, RUN, checkpoint_id, read_ids, read_last_batch, run_number, upsert, write_ids,
+)
 
 POLL = "10 minutes"
 DEDUP_SPLITS = 32
 
 
-def upsert_batch(path: str, key: str | list[str] = "doc_id") -> Callable[[DataFrame, int], None]:
+#: Of copies of an article in one batch, the one published last stays.
+LATEST = ("publishedAt",)
+
+
+def _run(batch: DataFrame, path: str, checkpoint: str) -> int:
+    spark = batch.sparkSession
+    return run_number(spark, path, checkpoint_id(spark, checkpoint))
+
+
+def upsert_batch(
+    path: str, checkpoint: str, order: Sequence[str] = LATEST, key: str | list[str] = "doc_id"
+) -> Callable[[DataFrame, int], None]:
     """Per-batch function: skip an empty batch, else insert or replace its rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            upsert(batch, path, batch_id, key)
+            upsert(batch, path, batch_id, order, key, _run(batch, path, checkpoint))
 
     return write
 
@@ -47,7 +60,7 @@ def start_scoring(
     writer = (
         score_articles(decoded, **word_lists)
         .writeStream.outputMode("append")
-        .foreachBatch(upsert_batch(path))
+        .foreachBatch(upsert_batch(path, checkpoint))
         .option("checkpointLocation", checkpoint)
     )
     return _trigger(writer, every).start()
@@ -55,21 +68,21 @@ def start_scoring(
 
 def seed_ids(archive: DataFrame, ids_path: str) -> None:
     """Starts the id table of `start_ingest` from an archive that exists already."""
-    write_ids(archived_ids(archive), ids_path, -1)
+    write_ids(archived_ids(archive), ids_path, -1)  # older than all that runs write
 
 
 def start_ingest(
     payloads: DataFrame,
     archive_path: str,
     checkpoint: str,
+    seq: str,
     every: str | None = POLL,
-    seq: str | None = None,
     ids_path: str | None = None,
 ) -> StreamingQuery:
-    """Appends the payloads of each poll that are not archived yet.
+    """Appends the payloads of each poll that are not archived yet; of copies the last by ``seq``.
 
-    Each batch goes to its own folder, replaced when the batch is retried, and a batch
-    never counts its own folder as archived.  What is archived is read anew per batch:
+    Each batch goes to a folder of its run and its own, replaced when the batch is retried,
+    and a batch never counts its own folder as archived.  What is archived is read anew per batch:
     from the archive itself, or, once it has grown, from a table of nothing but ids that
     is kept beside it at ``ids_path`` (see `seed_ids`).
     """
@@ -77,16 +90,17 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        spark, own = batch.sparkSession, f"batch-{batch_id:09d}"
+        spark, run = batch.sparkSession, _run(batch, archive_path, checkpoint)
+        own = f"run-{run:06d}-batch-{batch_id:09d}"
         if ids_path:
-            known = read_ids(spark, ids_path, without=batch_id)
+            known = read_ids(spark, ids_path, without=(run, batch_id), of=batch)
         else:
             known = archived_ids(read_archive(spark, archive_path, without=own))
-        order = [F.desc(seq)] if seq else [F.desc(F.xxhash64(*batch.columns))]
+        order = [F.desc(seq), F.desc(F.xxhash64(*batch.columns))]
         fresh = latest_per_id(batch, "doc_id", order).join(known, "doc_id", "left_anti")
         fresh.write.mode("overwrite").json(f"{archive_path}/{own}")
         if ids_path:
-            write_ids(read_archive(spark, f"{archive_path}/{own}"), ids_path, batch_id)
+            write_ids(read_archive(spark, f"{archive_path}/{own}"), ids_path, batch_id, run)
 
     writer = payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
@@ -120,7 +134,7 @@ def start_minute_counts(events: DataFrame, path: str, checkpoint: str, every: st
     writer = (
         stream_minute_counts(events)
         .writeStream.outputMode("update")
-        .foreachBatch(upsert_batch(path, ["pipeline", "start_ms"]))
+        .foreachBatch(upsert_batch(path, checkpoint, ("processed",), ["pipeline", "start_ms"]))
         .option("checkpointLocation", checkpoint)
     )
     return _trigger(writer, every).start()
@@ -155,8 +169,10 @@ def start_last_samples(
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        kept = read_last_batch(batch.sparkSession, path, plain.schema, before=batch_id)
-        last_samples(batch.unionByName(kept), n).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        run = _run(batch, path, checkpoint)
+        kept = read_last_batch(batch.sparkSession, path, plain.schema, before=(run, batch_id))
+        latest = last_samples(batch.unionByName(kept), n)
+        latest.write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH}={batch_id}")
 
     writer = plain.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()

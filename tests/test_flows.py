@@ -13,6 +13,7 @@ from tapewire.plans.scoring import score_articles
 from tapewire.schemas import PAYLOAD, SCORED
 from tapewire.sources import (
     append_archive,
+    checkpoint_id,
     compact,
     decode_articles,
     ensure_table,
@@ -25,7 +26,7 @@ from tapewire.sources import (
     read_keywords,
     read_raw_articles,
     read_upserted,
-    spread,
+    run_number,
     stream_articles,
     to_messages,
     upsert,
@@ -84,8 +85,11 @@ def test_dictionaries(spark, tmp_path):
     counts = dict(export_keywords(table, path).collect())
     assert counts == {"A": 3, "B": 1, None: 4}
     assert {tuple(r) for r in read_category_json(spark, path).collect()} == {tuple(r) for r in table.collect()}
-    text = "".join(open(os.path.join(path, f)).read() for f in os.listdir(path) if f.startswith("part"))
-    assert json.loads(text) == {"A": ["eps", "m&a", "net income"], "B": ["spin-off"]}
+    lines = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.startswith("part")).splitlines()
+    assert [json.loads(x) for x in lines] == [{"A": ["eps", "m&a", "net income"]}, {"B": ["spin-off"]}]
+    whole = tmp_path / "whole.json"
+    whole.write_text(json.dumps({"category_keywords_A": ["eps", "net income"]}, indent=1))
+    assert {tuple(r) for r in read_category_json(spark, str(whole), one_per_line=False).collect()} == {("A", "eps"), ("A", "net income")}
     words = tmp_path / "words"
     words.write_text("# header\n Crash \n\nTail-Risk\ncrash\n")
     assert read_keywords(spark, str(words)) == ["crash", "tail-risk"]
@@ -102,16 +106,17 @@ def test_upsert_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     assert read_upserted(spark, path).count() == 0
     first = scored(spark, range(6))
-    upsert(first.unionByName(first), path, 0)
+    order = ("sentiment",)
+    upsert(first.unionByName(first), path, 0, order)
     for _ in range(2):
-        upsert(scored(spark, [4, 5, 6], 0.5), path, 1)
+        upsert(scored(spark, [4, 5, 6], 0.5).unionByName(scored(spark, [4], 0.1)), path, 1, order)
         rows = {r["title"]: r["sentiment"] for r in read_upserted(spark, path).collect()}
         assert rows == {**{str(i): 0.0 for i in range(4)}, **{str(i): 0.5 for i in (4, 5, 6)}}
-    upsert(scored(spark, [6, 7], 0.9), path, 2)
+    upsert(scored(spark, [6, 7], 0.9), path, 2, order)
     compact(spark, path, path + "2")
     one, two = read_upserted(spark, path), read_upserted(spark, path + "2")
     assert sorted(one.collect()) == sorted(two.collect()) and one.count() == 8
-    upsert(scored(spark, [0], -0.5), path + "2", 3)
+    upsert(scored(spark, [0], -0.5), path + "2", 0, order)  # a batch number lower than the old ones
     assert {r["title"]: r["sentiment"] for r in read_upserted(spark, path + "2").collect()}["0"] == -0.5
 
 
@@ -127,10 +132,19 @@ def test_work_dir_follows_the_session(spark):
     assert a != b and a.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
 
 
-def test_spread_leaves_split_inputs_alone(spark):
-    many = spark.range(0, 100, 1, 4)
-    assert spread(many) is many
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        work_dir(Session(), "x")
 
 
 def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
@@ -161,7 +175,7 @@ def test_ingest_skips_what_is_archived(spark, tmp_path, with_ids):
 
     def poll():
         stream = spark.readStream.schema(PAYLOAD).json(inbox)
-        jobs.start_ingest(stream, archive, state, every=None, ids_path=ids if with_ids else None).awaitTermination()
+        jobs.start_ingest(stream, archive, state, "title", every=None, ids_path=ids if with_ids else None).awaitTermination()
 
     append_archive(payloads(spark, ["old", "a", "a", "b"]), inbox)
     poll()
@@ -170,6 +184,34 @@ def test_ingest_skips_what_is_archived(spark, tmp_path, with_ids):
     assert sorted(r["doc_id"] for r in read_archive(spark, archive).collect()) == ["a", "b", "c", "old"]
 
 
+def test_a_new_checkpoint_keeps_what_is_there(spark, tmp_path):
+    topic, table = str(tmp_path / "topic"), str(tmp_path / "table")
+    for k in range(3):
+        rows = [dict(title=str(i), content="x", sentiment=0.1 * k, publishedAt="2024-01-01 00:00:00") for i in range(10 * k, 10 * k + 15)]
+        publish(articles(spark, rows).drop("symbol", "entity_name"), "files", f"{topic}{k}")
+        for _ in range(2):
+            stream = decode_articles(stream_articles(spark, "files", f"{topic}{k}"))
+            jobs.start_scoring(stream, table, str(tmp_path / f"state{k}")).awaitTermination()
+    current = {r["title"]: round(r["sentiment"], 1) for r in read_upserted(spark, table).collect()}
+    assert current == {str(i): 0.1 * min(2, i // 10) for i in range(35)}
+    numbers = {run_number(spark, table, checkpoint_id(spark, str(tmp_path / f"state{k}"))) for k in range(3)}
+    assert numbers == {1, 2, 3} and run_number(spark, table, "another") == 4
+
+
+def test_two_runs_with_one_number_are_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    run_number(spark, path, "a")
+    spark.createDataFrame([("b", 1)], "run_id string, run bigint").write.mode("append").parquet(f"{path}/_runs")
+    with pytest.raises(RuntimeError):
+        run_number(spark, path, "a")
+
+
+def test_an_empty_batch_writes_nothing(spark, tmp_path):
+    write = jobs.upsert_batch(str(tmp_path / "t"), str(tmp_path / "state"))
+    write(scored(spark, []), 0)
+    assert not os.path.exists(tmp_path / "t")
+
+
 def test_failing_batch_is_not_swallowed(spark, tmp_path):
     topic = str(tmp_path / "topic")
     publish(articles(spark, [dict(title="a")]).drop("symbol", "entity_name"), "files", topic)
