@@ -53,7 +53,7 @@ def test_index_is_joined_without_moving_it(spark):
         plan = batch.join(seen.rows().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(digest") == 1
 
 
 def test_kept_rows_are_whole(spark, docs, nothing):

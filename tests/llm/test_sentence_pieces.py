@@ -47,9 +47,10 @@ def test_viterbi_is_the_library_s_unigram(tmp_path, vocabulary, texts):
     score = lambda ids: sum(model.unknown_score if i in model.byte_ids else model.scores[i] for i in ids)
     rng = random.Random(1)
     words = [w for t in texts if t for w in t[:2000].split()]
-    # One word at a time: the library adds single precision scores and is not exact over long texts.
+    # One word at a time, as the library adds single precision scores, and by its lattice: its
+    # shortcut for the best path alone misses better sums ("the": -13 for one piece, -8 for two).
     for text in [*rng.sample(words, 150), *(w for s in SAMPLES for w in s.split())]:
-        ours, theirs = model.encode(text).tolist(), library.encode(text)
+        ours, theirs = model.encode(text).tolist(), library.nbest_encode_as_ids(text, 2)[0]
         assert ours == theirs or score(ours) == score(theirs), text
 
 
