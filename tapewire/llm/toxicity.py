@@ -28,6 +28,8 @@ from tapewire.llm.near_dedup import shingles
 #: Labelled rows used at most: a uniform sample beyond that.  Word parts kept at most, and the
 #: documents a part must stand in.
 MAX_LABELLED, MAX_PARTS, LEAST_DOCUMENTS = 40_000, 20_000, 4
+#: Log-likelihood ratio from which a part counts: about one in three million by chance.
+LEAST_RATIO = 15.0
 #: Word parts are whole words and their runs of this many characters, edges included.
 PART_LENGTHS = (4, 5, 6)
 #: Words a task remembers.
@@ -280,10 +282,13 @@ def train(
 
     found = learn.select("_text", "_y").mapInArrow(count_parts, "part string, n bigint, bad bigint")
     found = found.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    # Log odds against the label's share, less two standard errors.
-    yes, no = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
-    odds = F.log(yes / no) - math.log(bad / good) - 2 * F.sqrt(1 / yes + 1 / no)
-    strong = found.where(F.col("bad") >= LEAST_DOCUMENTS).withColumn("e", odds).where("e > 1.5")
+    # Log odds against the label's share, of parts that no chance would put into toxic documents so
+    # often (log-likelihood ratio).
+    n, yes, share = F.col("n"), F.col("bad"), bad / (bad + good)
+    no = n - yes
+    odds = F.log((yes + 0.5) / (no + 0.5)) - math.log(bad / good)
+    ratio = yes * F.log(yes / n / share) + F.when(no > 0, no * F.log(no / n / (1 - share))).otherwise(0.0)
+    strong = found.where((yes >= LEAST_DOCUMENTS) & (ratio > LEAST_RATIO)).withColumn("e", odds).where("e > 1.5")
     top = strong.orderBy(F.desc("e"), "part").limit(MAX_PARTS).collect()
     model = Model(letters, {r["part"]: r["e"] for r in top})
 

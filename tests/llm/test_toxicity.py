@@ -60,7 +60,7 @@ def test_letters_are_counted_over_everything(spark):
 def test_without_labels_or_documents(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.train(docs, none)
-    assert {r.score for r in toxicity.score(spark, docs, model).collect()} == {pytest.approx(0, abs=1e-6)}
+    assert all(r.score < 1e-6 for r in toxicity.score(spark, docs, model).collect())
     assert toxicity.score(spark, nothing, toxicity.train(nothing, none)).collect() == []
     odd = table(spark, ["a " * 10, None, ""]).withColumnRenamed("keep_id", "score")
     assert toxicity.score(spark, odd, model).columns == ["doc_id", "score"]
