@@ -4,7 +4,9 @@ The writer meant plain words; the channel replaced letters by look-alikes, repea
 put separators between them.  A character language model, counted over all documents, says
 which plain word is likely: Viterbi runs over the lattice of readings of every disguised span.
 The restored text is scored by words and word parts whose share of toxic documents was learned
-from labelled rows, through a logistic curve fitted to the same rows.
+from labelled rows.  There is no bar for a part: its log odds are shrunk by how often dealing out
+the labels by chance gives parts as one-sided, which follows the size of the table.  A logistic
+curve is fitted to the same rows, each held against evidence of the other folds.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.llm.common import saved
 from tapewire.llm.near_dedup import shingles
 
-#: Labelled rows used at most: a uniform sample beyond that.  Word parts kept at most, and the
-#: documents a part must stand in.
-MAX_LABELLED, MAX_PARTS, LEAST_DOCUMENTS = 40_000, 20_000, 4
-#: Log-likelihood ratio from which a part counts: about one in three million by chance.
-LEAST_RATIO = 15.0
+#: Labelled rows used at most: a uniform sample beyond that.  Word parts kept at most, the strongest.
+MAX_LABELLED, MAX_PARTS = 40_000, 200_000
+#: Folds of the labelled rows, and times that labels are dealt out by chance.
+FOLDS, DEALS = 5, 8
+#: Classes of log-likelihood ratios, classes on either side that are judged together, and bits of a
+#: count (three in a long).
+RATIOS, NEAR, BITS = np.arange(0, 60, 0.25), 4, 20
 #: Word parts are whole words and their runs of this many characters, edges included.
 PART_LENGTHS = (4, 5, 6)
 #: Words a task remembers.
@@ -160,12 +165,13 @@ class Restorer:
 # --- words and their parts ----------------------------------------------------------------------
 
 
-def parts(word: str) -> set[str]:
+def parts(word: str) -> set[int]:
+    """Hashes of a word and of its parts."""
     framed = f"^{word}$"
     out = {framed}
     for n in PART_LENGTHS:
         out.update(framed[i : i + n] for i in range(len(framed) - n + 1))
-    return out
+    return {int.from_bytes(xxhash.xxh3_64_digest(p), signed=True) for p in out}
 
 
 @dataclass
@@ -173,17 +179,18 @@ class Model:
     """What scoring needs: the letters, the parts' evidence, and the curve."""
 
     letters: np.ndarray
-    evidence: dict[str, float]
+    evidence: dict[int, float]
     curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
 
 class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.restore, self.evidence, self.curve = Restorer(model.letters), model.evidence, model.curve
+    def __init__(self, model: Model, restore: Restorer | None = None, room: int = WORDS) -> None:
+        self.restore, self.evidence, self.curve = restore or Restorer(model.letters), model.evidence, model.curve
         self.words: dict[str, float] = {}
+        self.room = room
 
     def _word(self, word: str) -> float:
-        if len(self.words) >= WORDS:
+        if len(self.words) >= self.room:
             self.words.clear()
         get = self.evidence.get
         value = self.words[word] = max([0.0, *(e for p in parts(word[:64]) if (e := get(p)) is not None)])
@@ -267,49 +274,155 @@ def train(
     if not bad or not good:
         return Model(letters, {}, np.array([-500.0 if not bad else 500.0, 0, 0, 0]))
 
+    share = bad / (bad + good)
+
     def count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(letters)
-        toxic, seen = Counter(), Counter()
+        seen: Counter = Counter()
         for batch in batches:
             for text, y in zip(batch.column("_text").to_pylist(), batch.column("_y").to_pylist()):
-                found = set().union(*(parts(w[:64]) for w in set(_WORD.findall(restore(text)))))
-                seen.update(found)
-                if y:
-                    toxic.update(found)
-                if len(seen) > 1_000_000:
-                    yield _part_rows(seen, toxic)
-        yield _part_rows(seen, toxic)
-
-    found = learn.select("_text", "_y").mapInArrow(count_parts, "part string, n bigint, bad bigint")
-    found = found.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    # Log odds against the label's share, of parts that no chance would put into toxic documents so
-    # often (log-likelihood ratio).
-    n, yes, share = F.col("n"), F.col("bad"), bad / (bad + good)
-    no = n - yes
-    odds = F.log((yes + 0.5) / (no + 0.5)) - math.log(bad / good)
-    ratio = yes * F.log(yes / n / share) + F.when(no > 0, no * F.log(no / n / (1 - share))).otherwise(0.0)
-    strong = found.where((yes >= LEAST_DOCUMENTS) & (ratio > LEAST_RATIO)).withColumn("e", odds).where("e > 1.5")
-    top = strong.orderBy(F.desc("e"), "part").limit(MAX_PARTS).collect()
-    model = Model(letters, {r["part"]: r["e"] for r in top})
+                one = _counted(text, y, share)
+                for p in set().union(*(parts(w[:64]) for w in set(_WORD.findall(restore(text))))):
+                    seen[p] += one
+                if len(seen) > 500_000:
+                    yield _part_rows(seen)
+        yield _part_rows(seen)
+
+    kind = "part bigint, " + ", ".join(f"c{k} bigint" for k in range(_LONGS))
+    found = learn.select("_text", "_y").mapInArrow(count_parts, kind)
+    found = saved(found.groupBy("part").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(_LONGS))), "parts")
+    sizes = learn.select("_text", "_y").mapInArrow(_fold_sizes, "fold int, y int").groupBy("fold", "y").count().collect()
+    docs = np.zeros((2, FOLDS + 1))  # all and toxic documents, in all and without each fold
+    docs[:, 0] = bad + good, bad
+    docs[:, 1:] = docs[:, :1]
+    for r in sizes:
+        docs[:, 1 + r["fold"]] -= r["count"], r["count"] * r["y"]
+    chance = _chance(found, docs[1, 0] / docs[0, 0])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = _evidence(batch, docs, chance)
+            keep = pa.array((e > 0).any(axis=1))
+            arrays = [batch.column("part"), *(pa.array(e[:, k], pa.float64()) for k in range(FOLDS + 1))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", *(f"e{k}" for k in range(FOLDS + 1))]).filter(keep)
+
+    strong = found.mapInArrow(weigh, "part bigint, " + ", ".join(f"e{k} double" for k in range(FOLDS + 1)))
+    names = [f"e{k}" for k in range(FOLDS + 1)]
+    top = strong.orderBy(F.desc(F.greatest(*names)), "part").limit(MAX_PARTS).toArrow()
+    of = [top.column(c).to_numpy() for c in ("part", *names)]
+
+    def model_of(k: int) -> Model:
+        """The evidence of all documents (0), or of those outside a fold."""
+        some = of[1 + k] > 0
+        return Model(letters, dict(zip(of[0][some].tolist(), of[1 + k][some].tolist())))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        restore, scorers = Restorer(letters), {}
         for batch in batches:
-            values = [scorer.features(t) for t in batch.column("_text").to_pylist()]
+            values = []
+            for text in batch.column("_text").to_pylist():
+                k = _fold(text)
+                if k not in scorers:
+                    scorers[k] = Scorer(model_of(1 + k), restore, WORDS // FOLDS)
+                values.append(scorers[k].features(text))
             arrays = [pa.array([v[k] for v in values], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column("_y")], names=["best", "total", "words", "y"])
 
     kind = "best double, total double, words double, y int"
     measured = learn.select("_text", "_y").mapInArrow(features, kind).toPandas()  # MAX_LABELLED rows
+    model = model_of(0)
     model.curve = _fit(measured[["best", "total", "words"]].to_numpy(), measured["y"].to_numpy())
     return model
 
 
-def _part_rows(seen: Counter, toxic: Counter) -> pa.RecordBatch:
-    names = list(seen)
-    arrays = [pa.array(names, pa.string()), pa.array([seen[p] for p in names], pa.int64()), pa.array([toxic[p] for p in names], pa.int64())]
-    seen.clear(), toxic.clear()
-    return pa.RecordBatch.from_arrays(arrays, names=["part", "n", "bad"])
+# Counts of a part: documents of each fold, toxic ones of each fold, toxic ones of each deal.
+_COUNTS = 2 * FOLDS + DEALS
+_LONGS = -(-_COUNTS // 3)
+
+
+def _fold(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) % FOLDS
+
+
+def _fold_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        folds = [_fold(t) for t in batch.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int32()), batch.column("_y")], names=["fold", "y"])
+
+
+def _counted(text: str, y: int, share: float) -> int:
+    """What a document adds to the counts of its parts, 32 bits a count."""
+    k = _fold(text)
+    one = 1 << 32 * k
+    if y:
+        one |= 1 << 32 * (FOLDS + k)
+    for deal in range(DEALS):
+        if xxhash.xxh3_64_intdigest(text, seed=1 + deal) < share * 2**64:
+            one |= 1 << 32 * (2 * FOLDS + deal)
+    return one
+
+
+def _part_rows(seen: Counter) -> pa.RecordBatch:
+    raw = b"".join(n.to_bytes(4 * _COUNTS, "little") for n in seen.values())
+    counts = np.zeros((len(seen), 3 * _LONGS), np.int64)
+    counts[:, :_COUNTS] = np.frombuffer(raw, "<u4").reshape(-1, _COUNTS)
+    longs = counts[:, 0::3] | counts[:, 1::3] << BITS | counts[:, 2::3] << 2 * BITS
+    arrays = [pa.array(list(seen), pa.int64()), *(pa.array(longs[:, k]) for k in range(_LONGS))]
+    seen.clear()
+    return pa.RecordBatch.from_arrays(arrays, names=["part", *(f"c{k}" for k in range(_LONGS))])
+
+
+def _counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and toxic documents of parts by fold, toxic ones by deal."""
+    longs = np.column_stack([batch.column(f"c{k}").to_numpy() for k in range(_LONGS)])
+    all_ = np.stack([longs >> k * BITS & (1 << BITS) - 1 for k in range(3)], axis=2).reshape(len(longs), -1)
+    return all_[:, :FOLDS], all_[:, FOLDS : 2 * FOLDS], all_[:, 2 * FOLDS : _COUNTS]
+
+
+def _ratio(n: np.ndarray, yes: np.ndarray, share: float) -> np.ndarray:
+    """Class of the log-likelihood ratio of parts that lean to toxic documents, 1 of all others."""
+    no = n - yes
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(yes > 0, yes * np.log(yes / n / share), 0) + np.where(no > 0, no * np.log(no / n / (1 - share)), 0)
+    return np.digitize(np.where(yes > share * n, np.maximum(np.nan_to_num(ratio), 0), 0), RATIOS)
+
+
+def _chance(found: DataFrame, share: float) -> np.ndarray:
+    """Of the parts of about a ratio, the share that chance gives, by class of the ratio; falls with it."""
+    wide = len(RATIOS) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        real, dealt = np.zeros(wide, np.int64), np.zeros(wide, np.int64)
+        for batch in batches:
+            n, yes, deals = _counts(batch)
+            real += np.bincount(_ratio(n.sum(1), yes.sum(1), share), minlength=wide)
+            for d in range(DEALS):
+                dealt += np.bincount(_ratio(n.sum(1), deals[:, d], share), minlength=wide)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(wide)), pa.array(real), pa.array(dealt)], names=["class", "n", "dealt"])
+
+    rows = found.mapInArrow(run, "class bigint, n bigint, dealt bigint").groupBy("class").agg(F.sum("n"), F.sum("dealt")).collect()
+    real, dealt = np.zeros(wide), np.zeros(wide)
+    for k, n, d in rows:
+        real[k], dealt[k] = n, d
+    # Not of all above: a few strong words must not carry chance parts below them.
+    near = np.ones(2 * NEAR + 1)
+    real, dealt = np.convolve(real, near)[NEAR:-NEAR], np.convolve(dealt, near)[NEAR:-NEAR]
+    return np.minimum.accumulate(np.minimum(1, (dealt + 1) / DEALS / np.maximum(real, 1)))
+
+
+def _evidence(batch: pa.RecordBatch, docs: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Log odds of parts against the label's share, shrunk by chance: of all documents, and without each fold."""
+    n, yes, _ = _counts(batch)
+    out = np.zeros((len(n), FOLDS + 1))
+    for k in range(FOLDS + 1):
+        total, bad = docs[:, k]
+        if not 0 < bad < total:
+            continue
+        m = n.sum(1) - (n[:, k - 1] if k else 0)
+        b = yes.sum(1) - (yes[:, k - 1] if k else 0)
+        odds = np.log((b + 0.5) / (m - b + 0.5)) - math.log(bad / (total - bad))
+        out[:, k] = np.where(b > 0, np.maximum(odds, 0) * (1 - chance[_ratio(m, b, bad / total)]) ** 2, 0)
+    return out
 
 
 @functools.lru_cache(maxsize=2)

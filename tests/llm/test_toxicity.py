@@ -64,3 +64,21 @@ def test_without_labels_or_documents(spark, docs, nothing):
     assert toxicity.score(spark, nothing, toxicity.train(nothing, none)).collect() == []
     odd = table(spark, ["a " * 10, None, ""]).withColumnRenamed("keep_id", "score")
     assert toxicity.score(spark, odd, model).columns == ["doc_id", "score"]
+
+
+def test_words_of_few_labelled_documents_count(spark):
+    rng = random.Random(11)
+    rows, labels, planted = [], [], {"gribble": 5, "snarkon": 5, "wuzzleb": 4, "plomquid": 3}
+    toxic = [w for w, n in planted.items() for _ in range(n)]
+    for i in range(80):
+        words = prose(rng, rng.randint(20, 80)).split()
+        if i < len(toxic):
+            words.insert(rng.randrange(len(words)), toxic[i])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i < len(toxic))))
+    for i in range(100, 140):  # without labels
+        rows.append((i, prose(rng, 40) + " " + list(planted)[i % 4] if i < 120 else prose(rng, 40)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, model).collect()}
+    assert all(got[i] >= 0.5 for i in range(100, 120)) and sum(got[i] < 0.5 for i in range(120, 140)) >= 19
