@@ -2,7 +2,8 @@
 
 The writer meant plain words; the channel replaced letters by look-alikes, repeated letters or
 put separators between them.  A character language model, counted over all documents, says
-which plain word is likely: Viterbi runs over the lattice of readings of every disguised span.
+which plain word is likely: Viterbi runs over the lattice of readings, plain ones among them, of
+every span that may be disguised.
 The restored text is scored by words and word parts whose share of toxic documents was learned
 from labelled rows.  There is no bar for a part: its log odds are shrunk by how often dealing out
 the labels by chance gives parts as one-sided, which follows the size of the table.  A logistic
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import pickle
 import re
 from collections import Counter
@@ -46,8 +48,11 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
 SEPARATORS = " .-_*~"
-#: Log costs of the channel: a look-alike, a letter said again, a separator inside a word.
-SWAP, AGAIN, APART = math.log(0.05), math.log(0.05), math.log(0.3)
+#: Marks that often stand beside a word as themselves.
+MARKS = "!|+(*"
+#: Log costs of the channel: a look-alike (of marks only, and not between letters), a letter said
+#: again, separators inside a word or between words, another look-alike that is no letter.
+SWAP, AGAIN, APART, SPLIT, PLAIN = math.log(0.05), math.log(0.05), math.log(0.3), math.log(0.05), math.log(0.001)
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = 28  # letters, other letters, word edge
@@ -61,11 +66,12 @@ for _b in range(256):
         _CLASS[_b] = _OTHER
 
 _SIGN = re.escape("".join(LOOKALIKES))
-#: A disguised span: single letters kept apart, letters around signs, or a letter three times.
+_APART = re.escape(SEPARATORS)
+#: What may be disguised: single letters kept apart, words with signs in or beside them, doubled
+#: letters.  The letter model chooses between the plain and the restored reading.
 DISGUISED = re.compile(
-    rf"(?<!\w)[a-z{_SIGN}](?:[ .\-_*~][a-z{_SIGN}]){{2,30}}(?!\w)"
-    rf"|(?<!\S)[a-z{_SIGN}]*(?:[a-z][{_SIGN}]+(?=[a-z])|(?<!\S)[{_SIGN}]+(?=[a-z]{{2}}))[a-z{_SIGN}]*"
-    r"|\w*([a-z])\1\1\w*"
+    rf"(?<!\w)[a-z{_SIGN}](?<!\*(?![{_APART}]{{1,4}}[a-z]))(?:[{_APART}]++[a-z{_SIGN}]){{2,}}(?!\w)"
+    rf"|(?<![\w{_SIGN}])(?=[\w{_SIGN}]*?(?:[{_SIGN}]|([a-z])\1))[\w{_SIGN}]++"
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -107,44 +113,61 @@ def letter_model(counts: dict[int, int]) -> np.ndarray:
     return np.log((tri + 5 * two) / (tri.sum(2, keepdims=True) + 5))
 
 
-def _readings(c: str) -> list[tuple[str, float]]:
-    own = [(c, 0.0)] if c in _CODE else []
-    return own + [(r, SWAP if own else 0.0) for r in LOOKALIKES.get(c, "")]
+def decode(span: str, model: np.ndarray | list[float]) -> str:
+    """The likeliest plain words behind what may be a disguised span (lower case).
 
-
-def decode(span: str, model: np.ndarray) -> str:
-    """The likeliest plain word behind a disguised span (lower case).
-
-    A state is the last two symbols; each sign is read as a letter, taken as a repetition of
-    the letter before it, or passed over as a separator.
+    A state is the last two symbols.  A letter is itself or the letter before said again; a sign
+    is read as a letter, or stands for itself between words; a separator is passed over or parts
+    words.  What all paths have in common is settled as they go, so spans may have any length.
     """
-    beams: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
-    for c in span:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-
-        def offer(state: tuple[int, int], score: float, read: str, after: dict = after) -> None:
-            if state not in after or score > after[state][0]:
-                after[state] = (score, read)
-
-        readings = _readings(c)
-        for (a, b), (score, read) in beams.items():
-            for r, cost in readings:
-                s = _CODE[r]
-                offer((b, s), score + cost + model[a, b, s], read + r)
-                if read and read[-1] == r:
-                    offer((a, b), score + cost + AGAIN, read)
-            if c in SEPARATORS or not readings:
-                offer((a, b), score + APART, read)
+    flat = model if isinstance(model, list) else np.ravel(model).tolist()
+    beams: dict[int, tuple[float, str]] = {_EDGE * SYMBOLS + _EDGE: (0.0, "")}
+    settled: list[str] = []
+    for i, c in enumerate(span):
+        before, behind = span[i - 1 : i], span[i + 1 : i + 2]
+        own, signs = _CODE.get(c), LOOKALIKES.get(c, "")
+        inside = behind in _CODE and before != "" and before not in SEPARATORS
+        swap = SWAP if c in MARKS and not inside else 0.0
+        reads = [(own, c, 0.0)] if own is not None else [(_CODE[r], r, swap) for r in signs]
+        other = len(c.encode()) if own is None and c.isalpha() else 0  # a letter that is not a to z
+        passed = (0.0 if before and before in SEPARATORS else APART) if c in SEPARATORS or not (reads or other) else None
+        again = AGAIN if own is not None else AGAIN + SWAP  # two signs are rather two letters
+        plain = SPLIT if c in SEPARATORS else 0.0 if c in MARKS else PLAIN
+        after: dict[int, tuple[float, str]] = {}
+        for state, (score, read) in beams.items():
+            last = state % SYMBOLS
+            ways = [(last * SYMBOLS + s, score + cost + flat[state * SYMBOLS + s], read + r) for s, r, cost in reads]
+            ways += [(state, score + cost + again, read) for s, _, cost in reads if s == last]
+            if other:
+                to, value = state, score
+                for _ in range(other):
+                    value += flat[to * SYMBOLS + _OTHER]
+                    to = to % SYMBOLS * SYMBOLS + _OTHER
+                ways.append((to, value, read + c))
+            elif own is None:
+                if passed is not None:
+                    ways.append((state, score + passed, read))
+                if last != _EDGE:
+                    ways.append((last * SYMBOLS + _EDGE, score + plain + flat[state * SYMBOLS + _EDGE], read + " "))
+                else:
+                    ways.append((state, score + (0.0 if c in SEPARATORS else plain), read))
+            for to, value, text in ways:
+                if to not in after or value > after[to][0]:
+                    after[to] = value, text
         beams = after
-    _, best = max((score + model[a, b, _EDGE], read) for (a, b), (score, read) in beams.items())
-    return best
+        if i % 64 == 63:
+            same = os.path.commonprefix([read for _, read in beams.values()])
+            settled.append(same)
+            beams = {state: (score, read[len(same) :]) for state, (score, read) in beams.items()}
+    _, best = max((score + (flat[state * SYMBOLS + _EDGE] if state % SYMBOLS != _EDGE else 0.0), read) for state, (score, read) in beams.items())
+    return "".join([*settled, best]).strip()
 
 
 class Restorer:
-    """Texts in lower case with every disguised span read by `decode`."""
+    """Texts in lower case with every span that may be disguised read by `decode`."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
+        self.model = model.ravel().tolist()
         self.known: dict[str, str] = {}
 
     def _read(self, m: re.Match) -> str:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -82,3 +83,18 @@ def test_words_of_few_labelled_documents_count(spark):
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     got = {r.doc_id: r.score for r in toxicity.score(spark, docs, model).collect()}
     assert all(got[i] >= 0.5 for i in range(100, 120)) and sum(got[i] < 0.5 for i in range(120, 140)) >= 19
+
+
+def test_every_disguise_enters_the_lattice(learned):
+    restore = toxicity.Restorer(learned[2].letters)
+    for hidden in ("gribb13", "6r1bb13", '"6r1bb13"', "the,6r1bb13", "g  r  i  b  b  l  e", "g. r. i. b. b. l. e", "ggrriibbllee!", "(gr1bble", "gribbl3"):
+        assert toxicity._WORD.findall(restore(hidden))[-1] in ("gribble", "grible"), hidden
+    assert toxicity._WORD.findall(restore("5n4rk0n/wuzz13b")) == ["snarkon", "wuzzleb"]
+    assert toxicity._WORD.findall(restore("the! (on) *ti* sha!!! 2023")) == ["the", "on", "ti", "sha"]
+
+
+def test_patterns_take_time_in_proportion():
+    for text in ("*" * 100_000, "i" + " *" * 100_000 + "ab", "* " * 100_000 + "aa", "ab" * 100_000 + "!", "x1" * 100_000):
+        began = time.process_time()
+        toxicity.DISGUISED.sub("", text)
+        assert time.process_time() - began < 2
