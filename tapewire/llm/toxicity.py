@@ -39,8 +39,8 @@ FOLDS, DEALS = 5, 8
 RATIOS, NEAR, BITS = np.arange(0, 60, 0.25), 4, 20
 #: Word parts are whole words and their runs of this many characters, edges included.
 PART_LENGTHS = (4, 5, 6)
-#: Words a task remembers.
-WORDS = 300_000
+#: Words a task remembers, of so many characters at most.
+WORDS, REMEMBERED = 300_000, 64
 
 # Signs and the letters they may stand for.
 LOOKALIKES = {
@@ -172,13 +172,13 @@ class Restorer:
 
     def _read(self, m: re.Match) -> str:
         span = m.group()
-        if len(span) > 64:  # not a word; repeated letters are still brought down to one
-            return re.sub(r"([a-z])\1\1+", r"\1", span)
         read = self.known.get(span)
         if read is None:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            read = self.known[span] = f" {decode(span, self.model)} " if any(x in _CODE for x in span) else span
+            read = f" {decode(span, self.model)} " if any(x in _CODE for x in span) else span
+            if len(span) <= REMEMBERED:
+                if len(self.known) >= WORDS:
+                    self.known.clear()
+                self.known[span] = read
         return read
 
     def __call__(self, text: str) -> str:
@@ -213,10 +213,12 @@ class Scorer:
         self.room = room
 
     def _word(self, word: str) -> float:
-        if len(self.words) >= self.room:
-            self.words.clear()
         get = self.evidence.get
-        value = self.words[word] = max([0.0, *(e for p in parts(word[:64]) if (e := get(p)) is not None)])
+        value = max([0.0, *(e for p in parts(word) if (e := get(p)) is not None)])
+        if len(word) <= REMEMBERED:
+            if len(self.words) >= self.room:
+                self.words.clear()
+            self.words[word] = value
         return value
 
     def features(self, text: str) -> tuple[float, float, float]:
@@ -305,7 +307,7 @@ def train(
         for batch in batches:
             for text, y in zip(batch.column("_text").to_pylist(), batch.column("_y").to_pylist()):
                 one = _counted(text, y, share)
-                for p in set().union(*(parts(w[:64]) for w in set(_WORD.findall(restore(text))))):
+                for p in set().union(*(parts(w) for w in set(_WORD.findall(restore(text))))):
                     seen[p] += one
                 if len(seen) > 500_000:
                     yield _part_rows(seen)

@@ -98,3 +98,14 @@ def test_patterns_take_time_in_proportion():
         began = time.process_time()
         toxicity.DISGUISED.sub("", text)
         assert time.process_time() - began < 2
+
+
+def test_long_runs_are_taken_whole(learned):
+    model = learned[2]
+    scorer, restore = toxicity.Scorer(model), toxicity.Restorer(model.letters)
+    run = "the" * 40
+    assert scorer.features(run + "snarkongribble")[0] == scorer.features("snarkongribble")[0] > scorer.features(run)[0]
+    assert scorer.score("the on ti er " * 5 + run + "snarkon") > scorer.score("the on ti er " * 5 + run)
+    assert restore("gr1bble" + "!" * 100).split() == ["gribble"]
+    assert {w.replace("gribble", "") for w in restore(" ".join("gribble" * 20)).split()} == {""}
+    assert "".join(toxicity.decode("5n4rk0n" * 2000, model.letters).split()) == "snarkon" * 2000
