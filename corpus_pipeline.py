@@ -48,11 +48,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that also stand in a document of smaller id; ``n_chars`` follows."""
+    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     left = suffix_dedup.remove_repeats(docs, length=PASSAGE, seed=SEED, with_text=True)
-    cut = left.where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
-    shorter = saved(cut.groupBy("_id").agg(F.first("kept_text").alias("kept_text")), "cut_texts")
+    cut = left.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "kept_text")
+    shorter = saved(cut.groupBy("_id", "_text").agg(F.first("kept_text").alias("kept_text")), "cut_texts")
     text = F.coalesce("kept_text", "text")
-    out = docs.join(shorter.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    out = keyed.join(shorter.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_text")), "left")
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))

@@ -105,14 +105,19 @@ def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
 
 
 def keep_first(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; of rows that repeat id and text, one."""
+    """The rows of ``df`` that stay, with all their columns; of rows that repeat id and text, one.
+
+    Rows are told apart by id and text: one id may hold several texts, each decided on its own.
+    """
     decisions = saved(deduplicate(df, index, id_col, text_col), "decisions")
-    dropped = decisions.where(~F.col("kept")).select(F.col(id_col).alias("_dropped"))
-    stays = df.join(dropped.hint("shuffle_hash"), F.col(id_col) == F.col("_dropped"), "left_anti")
-    again = decisions.where("kept and keep_id is not null").groupBy(F.col(id_col).alias("_again")).count().where("count > 1")
-    again = saved(again.select("_again"), "repeated_ids")
-    if again.isEmpty():
-        return stays
-    repeats = F.col(id_col) == F.col("_again")
-    single = stays.join(again, repeats, "left_anti")
-    return single.unionByName(stays.join(again, repeats, "left_semi").dropDuplicates([id_col]))
+    mine = df.withColumns({"_mine": F.col(id_col).cast("bigint"), "_sha": F.lower(F.hex(digest(F.col(text_col))))})
+    of = (F.col("_mine") == F.col("_of")) & (F.col("_sha") == F.col("_text"))
+    named = (F.col(id_col).alias("_of"), F.col("text_sha256").alias("_text"))
+    dropped = decisions.where(~F.col("kept")).select(*named)
+    stays = mine.join(dropped.hint("shuffle_hash"), of, "left_anti")
+    again = decisions.where("kept and keep_id is not null").groupBy(*named).count().where("count > 1")
+    again = saved(again.select("_of", "_text"), "repeated_rows")
+    if not again.isEmpty():
+        single = stays.join(again, of, "left_anti")
+        stays = single.unionByName(stays.join(again, of, "left_semi").dropDuplicates(["_mine", "_sha"]))
+    return stays.drop("_mine", "_sha")

@@ -349,9 +349,9 @@ def removed_spans(docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dic
 
 
 def _results(blocks: DataFrame, length: int, with_text: bool) -> DataFrame:
-    names = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
+    names = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", "text_sha256"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    types = [pa.int64()] * 4 + [pa.string(), span, pa.string()]
+    types = [pa.int64()] * 4 + [pa.string(), span, pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -372,6 +372,7 @@ def _results(blocks: DataFrame, length: int, with_text: bool) -> DataFrame:
                 out.append((
                     doc_id, size, size - len(rest), len(runs), hashlib.sha256(rest).hexdigest(),
                     [{"start": a, "end": b} for a, b in runs], rest.decode(errors="ignore") if with_text else None,
+                    hashlib.sha256(text).hexdigest() if with_text else None,
                 ))
                 if len(out) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out), types)], names=names)
@@ -382,7 +383,7 @@ def _results(blocks: DataFrame, length: int, with_text: bool) -> DataFrame:
     return blocks.mapInArrow(
         run,
         "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-        "spans array<struct<start:bigint,end:bigint>>, kept_text string",
+        "spans array<struct<start:bigint,end:bigint>>, kept_text string, text_sha256 string",
     )
 
 
@@ -401,8 +402,8 @@ def remove_repeats(
     Texts are UTF-8 bytes; each byte is removed that is covered by a string of ``length`` bytes
     which also starts in the input text of a document of smaller id.  Columns: the id, ``n_bytes``,
     ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, ``spans`` (in bytes) and, with
-    ``with_text``, ``kept_text``, without the fragments of characters that a cut leaves.  Null text
-    is empty; texts shorter than ``length`` lose nothing.  Rows that repeat an id are not smaller
+    ``with_text``, ``kept_text``, without the fragments of characters that a cut leaves, and
+    ``text_sha256`` of the input text, which tells rows of one id apart.  Null text is empty; texts shorter than ``length`` lose nothing.  Rows that repeat an id are not smaller
     than each other.  A row without an id is left as it is and removes nothing elsewhere.  Ids are
     integers.  Other columns are ignored, whatever their names.
     """
@@ -429,4 +430,4 @@ def remove_repeats(
     found = saved(found, "spans").groupBy("block").agg(F.collect_list("spans").alias("spans"))  # one a part
     out = _results(blocks.join(found, "block", "left").select("block", "ids", "sizes", "texts", "copies", "spans"), length, with_text)
     out = out.withColumnRenamed("_id", id_col)
-    return out if with_text else out.drop("kept_text")
+    return out if with_text else out.drop("kept_text", "text_sha256")

@@ -68,3 +68,9 @@ def test_kept_rows_are_whole(spark, docs, nothing):
     assert {i for i in ids if i is not None} == set(want.values()) and None in ids
     assert keep_first(nothing, index(spark)).collect() == []
     assert deduplicate(nothing, index(spark)).collect() == []
+
+
+def test_texts_of_one_id_are_decided_one_by_one(spark):
+    texts, ids = ["copy", "first", "second", "copy", "third", "third"], [1, 7, 7, 8, 8, 8]
+    got = sorted((r.doc_id, r.text) for r in keep_first(table(spark, texts, ids), index(spark)).collect() if r.doc_id is not None)
+    assert got == [(1, "copy"), (7, "first"), (7, "second"), (8, "third")]

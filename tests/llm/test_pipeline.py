@@ -40,3 +40,15 @@ def test_stages_against_planted_cases(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == close
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_passages_are_cut_from_each_text_of_an_id(spark, tmp_path):
+    rng = random.Random(9)
+    passage, own, other = prose(rng, 80), prose(rng, 60), prose(rng, 60)
+    rows = [(1, passage + " " + prose(rng, 50)), (5, own + " " + passage), (5, other), (5, None), (None, own)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()
+    five = [r.text for r in got if r.doc_id == 5]
+    assert len(got) == 5 and other in five and None in five
+    cut = [t for t in five if t not in (other, None)]
+    assert len(cut) == 1 and cut[0].startswith(own[:50]) and passage not in cut[0]
