@@ -13,6 +13,7 @@ curve is fitted to the same rows, each held against evidence of the other folds.
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import os
 import pickle
@@ -258,7 +259,10 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: str) -> DataFrame:
-    """``_text``, ``_y`` to learn from: all labelled rows, or a uniform sample of MAX_LABELLED."""
+    """``_text``, ``_y`` to learn from: all labelled rows, or a uniform sample of MAX_LABELLED.
+
+    Rows of one label that hold the same five-word shingles count once.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = saved(known.where(F.expr(train.format(id="_id"))).groupBy("_id").agg(F.max("_y").alias("_y")), "labels")
     n = known.count()
@@ -267,15 +271,14 @@ def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         known = known.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < share)
     texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), 5) for t in batch.column("_text")]
-            low = pa.array([int(s[0].astype(np.int64)) if len(s) else 0 for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([low, *(batch.column(c) for c in ("_text", "_y"))], names=["_low", "_text", "_y"])
+            sets = [hashlib.blake2b(shingles(t.as_py(), 5).tobytes(), digest_size=16).digest() for t in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(batch.column(c) for c in ("_text", "_y"))], names=["_set", "_text", "_y"])
 
     rows = texts.join(known.hint("shuffle_hash"), "_id").select("_text", "_y")
-    # Copies would count as evidence many times over: of those with the same lowest shingle, one.
-    return rows.mapInArrow(lowest, "_low bigint, _text string, _y int").dropDuplicates(["_low", "_y"]).drop("_low")
+    # Copies would count as evidence many times over: of those with the same set of shingles, one.
+    return rows.mapInArrow(described, "_set binary, _text string, _y int").dropDuplicates(["_set", "_y"]).drop("_set")
 
 
 def train(

@@ -109,3 +109,13 @@ def test_long_runs_are_taken_whole(learned):
     assert restore("gr1bble" + "!" * 100).split() == ["gribble"]
     assert {w.replace("gribble", "") for w in restore(" ".join("gribble" * 20)).split()} == {""}
     assert "".join(toxicity.decode("5n4rk0n" * 2000, model.letters).split()) == "snarkon" * 2000
+
+
+def test_documents_that_share_a_passage_are_all_learned_from(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 400)  # holds the lowest shingle of nearly all rows
+    texts = [f"{passage} {prose(rng, 6)}" for _ in range(20)] + ["the on " * 9, "The  on " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(22)], "doc_id bigint, toxic int")
+    got = toxicity._labelled(docs, marks, "doc_id", "text", "toxic", "true")
+    assert got.count() == 21
