@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 
 from tapewire.llm.components import components
-from tapewire.llm.near_dedup import near_groups, shingles, signature
+from tapewire.llm.near_dedup import BANDS, ROWS, SLACK, near_groups, shingles, signature
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -101,3 +102,9 @@ def test_components_against_union_find(spark):
     assert {r.node: r.component for r in got} == {n: union.top(n) for e in edges if e[0] != e[1] for n in e}
     assert len(got) == len({r.node for r in got})
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_signatures_lose_less_than_one_link_in_a_million():
+    n = BANDS * ROWS
+    lost = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k / n < 0.8 - SLACK)
+    assert lost < 1e-6, lost
