@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,9 @@ PART_TERMS, PART_BYTES = 1 << 16, 1 << 20
 #: Bytes of transducers that one pass over the texts sends to every task; more take more passes.
 WAVE_BYTES = 64 << 20
 #: Rows that a task holds before it puts them out, bytes of text that it looks at together.
-HELD, WINDOW = 200_000, 2 << 20
+HELD, WINDOW = 500_000, 2 << 20
+#: A place is counted under its group's number and its ordinal in one whole number.
+_ORDINAL_BITS = 40
 #: Ordinals and sources of a block.
 ORDINALS, SOURCES = 512, 64
 
@@ -42,22 +44,20 @@ def _document_counts(docs: DataFrame) -> DataFrame:
     """``lang``, ``term`` and in how many documents of the language it stands."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, bytes]] = Counter()
+        held: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
 
-        def rows() -> pa.RecordBatch:
-            langs, terms = zip(*held)
-            out = pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "term": pa.array(terms, pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, stands in held.items():
+                terms, n = pa.array(list(stands), pa.binary()), pa.array(list(stands.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), terms, n], ["lang", "term", "n"])
             held.clear()
-            return out
 
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for lang, text in zip(langs, batch.column("text")):
-                held.update((lang, term) for term in set(TERM.findall(text.as_py().lower())))
-                if len(held) >= HELD:
-                    yield rows()
-        if held:
-            yield rows()
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                held[lang].update(set(TERM.findall(text.as_py().lower())))
+                if sum(map(len, held.values())) >= HELD:
+                    yield from rows()
+        yield from rows()
 
     found = docs.select("lang", "text").mapInArrow(count, "lang string, term binary, n bigint")
     return found.groupBy("lang", "term").agg(F.sum("n").alias("n"))
@@ -141,6 +141,33 @@ def _words(batch: pa.BinaryArray | pa.LargeBinaryArray) -> Iterator[tuple[np.nda
         a = b
 
 
+class _Places:
+    """How often each key was added: ``keys`` and ``n``, and a bounded number not yet sorted in."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.more: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.more.append(keys)
+        self.waiting += len(keys)
+        if self.waiting >= 2 * HELD:
+            self.sort_in()
+
+    def sort_in(self) -> None:
+        new, n = np.unique(np.concatenate([self.keys[:0], *self.more]), return_counts=True)
+        keys, at = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate((self.n, n)), len(keys)).astype(np.int64)
+        self.keys, self.more, self.waiting = keys, [], 0
+
+    def out(self) -> tuple[np.ndarray, np.ndarray]:
+        self.sort_in()
+        found = self.keys, self.n
+        self.keys, self.n = self.keys[:0], self.n[:0]
+        return found
+
+
 def _counts(docs: DataFrame, lexicons: dict[str, list[tuple[int, bytes, bytes]]]) -> DataFrame:
     """``lang``, ``source``, ``ordinal``, ``n`` of the terms of ``lexicons``, still to be summed."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicons)
@@ -148,41 +175,30 @@ def _counts(docs: DataFrame, lexicons: dict[str, list[tuple[int, bytes, bytes]]]
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {lang: _Lexicon(parts) for lang, parts in sent.value.items()}
         groups: dict[tuple[str, str], int] = {}
-        held_keys, held_counts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        places = _Places()
 
         def rows() -> pa.RecordBatch:
-            names = list(groups)
-            own = held_keys[:, 0]
+            keys, n = places.out()
+            own, names = pa.array(keys >> _ORDINAL_BITS), list(groups)
             return pa.RecordBatch.from_pydict({
-                "lang": pa.array([n[0] for n in names], pa.string()).take(pa.array(own)),
-                "source": pa.array([n[1] for n in names], pa.string()).take(pa.array(own)),
-                "ordinal": pa.array(held_keys[:, 1]), "n": pa.array(held_counts),
+                "lang": pa.array([g[0] for g in names], pa.string()).take(own), "source": pa.array([g[1] for g in names], pa.string()).take(own),
+                "ordinal": pa.array(keys & (1 << _ORDINAL_BITS) - 1), "n": pa.array(n),
             })
 
         for batch in batches:
             langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
             code = np.array([groups.setdefault(pair, len(groups)) for pair in zip(langs, sources)], np.int64)
             in_lang = {lang: np.array([x == lang for x in langs]) for lang in set(langs) & set(known)}
-            text = batch.column("text")
-            for buffer, starts, ends, row in _words(text):
+            for buffer, starts, ends, row in _words(batch.column("text")):
                 for lang, mine in in_lang.items():
-                    own = mine[row]
-                    found = known[lang].ordinals(buffer, starts[own], ends[own])
-                    hit = found >= 0
-                    pairs = np.column_stack((code[row[own][hit]], found[hit]))
-                    keys = np.concatenate((held_keys, pairs))
-                    weights = np.concatenate((held_counts, np.ones(len(pairs), np.int64)))
-                    order = np.lexsort((keys[:, 1], keys[:, 0]))
-                    keys, weights = keys[order], weights[order]
-                    new = np.ones(len(keys), bool)
-                    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-                    at = np.flatnonzero(new)
-                    held_keys, held_counts = keys[at], np.add.reduceat(weights, at) if len(at) else weights
-            if len(held_keys) >= HELD:
-                yield rows()
-                held_keys, held_counts = held_keys[:0], held_counts[:0]
-        if len(held_keys):
-            yield rows()
+                    own = np.flatnonzero(mine[row])
+                    if len(own):
+                        found = known[lang].ordinals(buffer, starts[own], ends[own])
+                        hit = found >= 0
+                        places.add(code[row[own[hit]]] << _ORDINAL_BITS | found[hit])
+                if len(places.keys) >= HELD:
+                    yield rows()
+        yield rows()
 
     wanted = docs.where(F.col("lang").isin(list(lexicons)))
     return wanted.select("lang", "source", "text").mapInArrow(recount, "lang string, source string, ordinal bigint, n bigint")

@@ -77,7 +77,7 @@ class Transducer:
     def _arcs(self, keys: np.ndarray) -> np.ndarray:
         """The places of the arcs, -1 where there is none."""
         at = self._home(keys)
-        held = self.keys[at]
+        held = self.keys.take(at)
         open_ = np.flatnonzero((held != keys) & (held != -1))
         while len(open_):
             at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
@@ -88,17 +88,17 @@ class Transducer:
     def ordinals(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The ordinal of each word ``buffer[start:end]``, -1 of those not known."""
         found = np.full(len(starts), -1, np.int64)
-        word, at, end = np.arange(len(starts)), starts.astype(np.int64), ends
+        word, at, left = np.arange(len(starts)), np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
         state, total = np.full(len(starts), self.root, np.int64), np.zeros(len(starts), np.int64)
         while len(word):
-            arc = self._arcs(state << 8 | buffer[at])
-            on = arc >= 0
-            word, arc, at, end = word[on], arc[on], at[on] + 1, end[on]
-            state, total = self.targets[arc].astype(np.int64), total[on] + self.outputs[arc]
-            over = at == end
-            if over.any():
-                known = over & self.final[state]
-                found[word[known]] = total[known]
-                on = ~over
-                word, at, end, state, total = word[on], at[on], end[on], state[on], total[on]
+            arc = self._arcs(state << 8 | buffer.take(at))
+            on = np.flatnonzero(arc >= 0)
+            arc, word, left = arc.take(on), word.take(on), left.take(on) - 1
+            state, total = self.targets.take(arc).astype(np.int64), total.take(on) + self.outputs.take(arc)
+            over = left == 0
+            known = np.flatnonzero(over & self.final.take(state))
+            found[word.take(known)] = total.take(known)
+            more = np.flatnonzero(~over)
+            word, left, state, total = word.take(more), left.take(more), state.take(more), total.take(more)
+            at = at.take(on.take(more)) + 1
         return found

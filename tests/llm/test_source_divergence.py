@@ -65,7 +65,7 @@ def test_equals_the_contract(spark):
 def test_small_blocks_parts_and_waves(spark, monkeypatch):
     """Many transducers and passes, many blocks of ordinals and sources: the same result."""
     rows = corpus(seed=4)
-    for name, value in (("PART_TERMS", 3), ("WAVE_BYTES", 6000), ("HELD", 5), ("WINDOW", 11), ("ORDINALS", 2), ("SOURCES", 2)):
+    for name, value in (("PART_TERMS", 3), ("WAVE_BYTES", 40_000), ("HELD", 5), ("WINDOW", 11), ("ORDINALS", 2), ("SOURCES", 2)):
         monkeypatch.setattr(source_divergence, name, value)
     machines = source_divergence._machines
     monkeypatch.setattr(source_divergence, "_machines", lambda df: machines(df.coalesce(1)))
