@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.llm import (
-    exact_dedup, license_scan, near_dedup, packing, sentence_pieces, source_divergence, suffix_dedup, token_counts, topk_search,
+    exact_dedup, license_scan, near_dedup, packing, prefix_trie, sentence_pieces, source_divergence, suffix_dedup, token_counts, topk_search,
     toxicity, warc,
 )
 from tapewire.llm.common import documents
@@ -185,3 +185,29 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """)
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(documents(spark, sf_dir), least=30, top=50)
+
+
+_SQL_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+    lambda s, d: list_reduce([xor(s, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384)), 4294967295))"""
+
+
+@query(rf"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {_SQL_CRC.format(x='conv_id')} % 4 AS h FROM o),
+b AS (SELECT h.conv_id, coalesce((SELECT list(t ORDER BY pos) FROM o WHERE o.conv_id = h.base AND pos <= h.h), [])
+    || coalesce((SELECT list(t ORDER BY pos) FROM o WHERE o.conv_id = h.conv_id AND pos > h.h), []) AS seq FROM h),
+m AS (SELECT conv_id, unnest(range(len(seq) + 1)) AS depth, seq FROM b),
+n AS (SELECT depth, seq[1:depth] AS p, min(conv_id) AS conv_id, count(*) AS n_convs, list(conv_id ORDER BY conv_id) FILTER (len(seq) = depth) AS ends
+      FROM m GROUP BY ALL),
+k AS (SELECT *, CASE WHEN depth > 0 THEN len(regexp_extract_all(p[depth].text, '[^ 	-
+]+')) ELSE 0 END * (n_convs - 1) AS saves,
+      (SELECT count(*) FROM n c WHERE c.depth = n.depth + 1 AND c.p[1:n.depth] = n.p) AS n_children,
+      (SELECT u.conv_id FROM n u WHERE u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]) AS parent_conv_id FROM n)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children,
+    (SELECT count(*) FROM k d WHERE d.depth >= k.depth AND d.n_children = 0 AND d.p[1:k.depth] = k.p) AS n_leaves,
+    (SELECT CAST(sum(saves) AS BIGINT) FROM k d WHERE d.depth >= k.depth AND d.p[1:k.depth] = k.p) AS saved_tokens,
+    sha256(coalesce(array_to_string(ends, ','), '')) AS ends_sha256 FROM k
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), share=20, most=3)
