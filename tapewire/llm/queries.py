@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.llm import (
-    exact_dedup, license_scan, near_dedup, packing, prefix_trie, sentence_pieces, source_divergence, suffix_dedup, token_counts, topk_search,
+    embedding_dedup, exact_dedup, license_scan, near_dedup, packing, prefix_trie, sentence_pieces, source_divergence, suffix_dedup, token_counts, topk_search,
     toxicity, warc,
 )
 from tapewire.llm.common import documents
@@ -187,6 +187,20 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(documents(spark, sf_dir), least=30, top=50)
 
 
+@query("""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS id, vec_id, CASE WHEN vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS v FROM embeddings),
+l AS (SELECT id, vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM w WHERE v IS NOT NULL),
+e AS (SELECT a.id, a.vec_id AS u, b.vec_id AS t FROM l a JOIN l b ON a.id <> b.id AND len(a.v) = len(b.v) AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r AS (SELECT DISTINCT vec_id AS u, vec_id AS t FROM w UNION SELECT r.u, e.t FROM r JOIN e ON r.t = e.u),
+c AS (SELECT u, min(t) AS component_id FROM r GROUP BY u)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.id = w.id) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM w LEFT JOIN c ON c.u = w.vec_id
+""")
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+
+
 _SQL_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
     lambda s, d: list_reduce([xor(s, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384)), 4294967295))"""
 
