@@ -24,9 +24,9 @@ LEAST_WIDTH = 8
 #: Unrelated vectors that a filter should take, and their largest share.
 PER_FILTER, LARGEST_SHARE = 64, 0.02
 #: Filters that two vectors at the threshold share on average, in all codes.
-SHARED, CODES = 10.0, 2
+SHARED, CODES = 10.0, 4
 #: Filters of a code that every vector enters at least, and the steps by which its bar is lowered.
-LEAST, STEP = 8, 0.02
+LEAST, STEP = 4, 0.02
 _GRID = 20_001
 
 
@@ -78,7 +78,7 @@ class Plan:
         wide = max(width, LEAST_WIDTH)
         bar = _solved(lambda b: cap_share(wide, b), min(LARGEST_SHARE, PER_FILTER / max(vectors, 1)))
         filters = SHARED / CODES / shared_share(wide, bar, cosine)
-        parts = 2 if filters <= 1 << 12 else 3 if filters <= 1 << 21 else 4
+        parts = 2 if filters <= 1 << 12 else 3 if filters <= 1 << 30 else 4
         return Plan(wide, parts, max(4, math.ceil(filters ** (1 / parts))), bar)
 
 

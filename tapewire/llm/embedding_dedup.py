@@ -178,7 +178,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     their names.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), _usable(F.col(vector_col)).alias("v"))
-    rows = rows.withColumn("key", F.when(F.col("vec_id").isNotNull(), _digest(F.col("v"))))
+    rows = rows.withColumn("key", F.when(F.col("vec_id").isNotNull() & F.col("v").isNotNull(), _digest(F.col("v"))))
     usable = rows.where(F.col("key").isNotNull())
     alike = usable.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("rep"), F.first("v").alias("v"))
     classes = saved(alike.withColumn("width", F.size("v")), "vector_classes")
