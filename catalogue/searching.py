@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalogue.base import query, r9, text, with_ctes
 from catalogue.serving import _FIRST, _latest_id
 from tapewire.fixed_values import SEARCH_BOOSTS, SIMILAR_BOOSTS
-from tapewire.operators import search
+from tapewire.operators import search, similar
 from tapewire.operators.search_spec import SearchSpec
 from tapewire.plans import driver_tables as tables
 from tapewire.sources import work_dir
@@ -196,3 +196,22 @@ def similar_articles(spark, d):
     index = _saved(spark, d, ("key_phrases", "title", "description"), ())
     top = search.similar_articles(df, index, _latest_id(df), 10)
     return top.select("doc_id", F.round("score", 6).alias("score"), "publishedAt")
+
+
+_SIMILAR_ALL = INDEX + f""", q AS (SELECT doc_id AS q, category AS qc, unnest({_tokens('key_phrases')}) AS term FROM scored),
+    w AS (SELECT term, field, avg_dl, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * 2.2e0 * CASE field {' '.join(f"WHEN '{f}' THEN {b}e0" for f, b in SIMILAR_BOOSTS.items())} END AS weight
+      FROM voc JOIN fs USING (field) WHERE field IN ({', '.join(map(text, SIMILAR_BOOSTS))})),
+    part AS (SELECT p.term, p.field, p.doc_id, weight * tf / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl)) AS part FROM post p JOIN w ON w.term = p.term AND w.field = p.field),
+    hit AS (SELECT q, doc_id, round(max(s), 6) AS score FROM (SELECT q, part.doc_id, field, sum(part) AS s FROM q JOIN part USING (term) GROUP BY ALL) GROUP BY ALL),
+    pair AS (SELECT a.doc_id, b.doc_id AS similar_id, b."publishedAt" AS at_ms, coalesce(h.score, 0) + CASE WHEN a.category = b.category THEN 1 ELSE 0 END AS score
+      FROM scored a JOIN scored b ON a.doc_id <> b.doc_id LEFT JOIN hit h ON h.q = a.doc_id AND h.doc_id = b.doc_id WHERE h.score > 0 OR a.category = b.category),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, at_ms DESC NULLS LAST, similar_id) AS INTEGER) AS rank FROM pair)
+    SELECT doc_id, rank, similar_id, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
+
+
+@query(with_ctes("scored", _SIMILAR_ALL))
+def similar_to_all(spark, d):
+    """The five most similar articles of every article."""
+    index = _saved(spark, d, ("key_phrases", "title", "description"), ())
+    found = similar.similar_to_all(tables.scored(spark, d), index, 5)
+    return found.withColumn("score", F.round("score", 6))

@@ -41,6 +41,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a fresh folder of `work_dir` and read again: what several later steps
+    need is computed once, and a lost executor costs no more than the tasks after it."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_archive(df: DataFrame, path: str) -> None:
     """Appends payloads as JSON lines; non-ASCII text is kept as it is."""
     df.select(*PAYLOAD.names).write.mode("append").json(path)
