@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalogue.base import query, r9, text, with_ctes
 from catalogue.serving import _FIRST, _latest_id
 from tapewire.fixed_values import SEARCH_BOOSTS, SIMILAR_BOOSTS
-from tapewire.operators import search, similar
+from tapewire.operators import search, segments, similar
 from tapewire.operators.search_spec import SearchSpec
 from tapewire.plans import driver_tables as tables
 from tapewire.sources import work_dir
@@ -160,6 +160,19 @@ def saved_index_search(spark, d):
     return search.bm25(search.read_index(spark, path), QUERY)
 
 
+@query(with_ctes("scored", _FUZZY + " SELECT doc_id, score FROM bm"))
+def segmented_index_search(spark, d):
+    """Three batches, the later ones replacing articles of the first, and a fold: found as in an index built anew."""
+    df, path = tables.scored(spark, d), work_dir(spark, "segments")
+    corrected = F.col("final_score") < 0
+    first = df.withColumn("content", F.when(corrected, F.lit("worthless licence of the first draft")).otherwise(F.col("content")))
+    segments.add_segment(first, path, 0, buckets=8)
+    segments.add_segment(df.where(corrected), path, 1, buckets=8)
+    segments.fold(spark, path, f"{path}-folded")
+    segments.add_segment(df.where(F.col("sentiment") > 0.5), f"{path}-folded", 2, buckets=8)
+    return search.bm25(segments.read_segments(spark, f"{path}-folded"), QUERY)
+
+
 TERMS = ["the", "worthless", "license"]
 
 

@@ -88,12 +88,12 @@ def run_number(spark: SparkSession, path: str, run_id: str) -> int:
     Two runs that took one number at the same time are both refused.
     """
     registry = f"{path}/_runs"
-    known = _read(spark, registry, RUNS).collect()  # one row per checkpoint ever used
+    known = read_if_there(spark, registry, RUNS).collect()  # one row per checkpoint ever used
     numbers = {r["run_id"]: r[RUN] for r in known}
     if run_id not in numbers:
         numbers[run_id] = max(numbers.values(), default=0) + 1
         spark.createDataFrame([(run_id, numbers[run_id])], RUNS).coalesce(1).write.mode("append").parquet(registry)
-        known = _read(spark, registry, RUNS).collect()
+        known = read_if_there(spark, registry, RUNS).collect()
     if any(r[RUN] == numbers[run_id] and r["run_id"] != run_id for r in known):
         raise RuntimeError(f"two runs hold number {numbers[run_id]} of {path}")
     return numbers[run_id]
@@ -114,11 +114,16 @@ def upsert(
     one.write.mode("overwrite").parquet(_folder(path, run, batch_id))
 
 
+def read_batch(spark: SparkSession, path: str, run: int, batch_id: int, schema: StructType) -> DataFrame:
+    """The rows that one batch wrote."""
+    return spark.read.schema(schema).parquet(_folder(path, run, batch_id))
+
+
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_if_there(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The rows under ``path``, none where there is nothing yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -129,7 +134,7 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return _read(spark, path, StructType([*schema.fields, *VERSION.fields]))
+    return read_if_there(spark, path, StructType([*schema.fields, *VERSION.fields]))
 
 
 def _version() -> Column:

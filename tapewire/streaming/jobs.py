@@ -14,11 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tapewire.operators.dedup import archived_ids
 from tapewire.operators.metrics import SAMPLES, last_samples, round_half_up
+from tapewire.operators.segments import add_segment
 from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import score_articles
 from tapewire.sources.readers import read_archive
 from tapewire.sources.sinks import (
-    BATCH, RUN, checkpoint_id, read_ids, read_last_batch, run_number, upsert, write_ids,
+    BATCH, RUN, checkpoint_id, read_batch, read_ids, read_last_batch, run_number, upsert, write_ids,
 )
 
 POLL = "10 minutes"
@@ -35,32 +36,43 @@ def _run(batch: DataFrame, path: str, checkpoint: str) -> int:
 
 
 def upsert_batch(
-    path: str, checkpoint: str, order: Sequence[str] = LATEST, key: str | list[str] = "doc_id"
+    path: str, checkpoint: str, order: Sequence[str] = LATEST, key: str | list[str] = "doc_id", index_path: str | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """Per-batch function: skip an empty batch, else insert or replace its rows."""
+    """Per-batch function: skip an empty batch, else insert or replace its rows, in the table and,
+    if there is one, in the search index beside it (see `segments.read_segments`)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            upsert(batch, path, batch_id, order, key, _run(batch, path, checkpoint))
+        if batch.isEmpty():
+            return
+        run = _run(batch, path, checkpoint)
+        upsert(batch, path, batch_id, order, key, run)
+        if index_path:
+            add_segment(read_batch(batch.sparkSession, path, run, batch_id, batch.schema), index_path, segment_number(run, batch_id))
 
     return write
 
 
+def segment_number(run: int, batch_id: int) -> int:
+    """Later runs have higher numbers than all batches of earlier ones."""
+    return run * 10**12 + batch_id
+
+
 def _trigger(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
 def start_scoring(
-    decoded: DataFrame, path: str, checkpoint: str, every: str | None = None, **word_lists: list[str]
+    decoded: DataFrame, path: str, checkpoint: str, every: str | None = None, index_path: str | None = None,
+    **word_lists: list[str],
 ) -> StreamingQuery:
-    """Scores decoded messages and keeps the table at ``path`` current.
+    """Scores decoded messages and keeps the table at ``path``, and the index at ``index_path``, current.
 
     Without ``every`` the query drains what is there and stops.
     """
     writer = (
         score_articles(decoded, **word_lists)
         .writeStream.outputMode("append")
-        .foreachBatch(upsert_batch(path, checkpoint))
+        .foreachBatch(upsert_batch(path, checkpoint, index_path=index_path))
         .option("checkpointLocation", checkpoint)
     )
     return _trigger(writer, every).start()
