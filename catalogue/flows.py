@@ -30,7 +30,6 @@ from tapewire.sources import (
     read_archive,
     read_category_commands,
     read_category_json,
-    read_last_batch,
     read_metric_events,
     read_raw_articles,
     read_scored,
@@ -235,14 +234,13 @@ def stream_throughput(spark, d):
     return read_upserted(spark, f"{path}/rates", ["pipeline", "end_ms"], rates.schema)
 
 
-@query(with_ctes("ev", f"""SELECT pipeline, event_id, ts_ms, latency_ms FROM ev
+@query(with_ctes("ev", f"""SELECT pipeline, event_id, ts_ms, latency_ms FROM ev WHERE ts_ms > (SELECT max(ts_ms) FROM ev) - 3600000
     QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY ts_ms DESC, event_id DESC) <= {SAMPLES}"""))
 def stream_last_samples(spark, d):
     path = work_dir(spark, "samples")
     events = tables.metric_events(spark, d, _stream(spark, d, "events"))
     jobs.start_last_samples(events, f"{path}/samples", f"{path}/checkpoint").awaitTermination()
-    schema = tables.metric_events(spark, d).select("event_id", "pipeline", "ts_ms", "latency_ms", "status").schema
-    return read_last_batch(spark, f"{path}/samples", schema).select("pipeline", "event_id", "ts_ms", "latency_ms")
+    return jobs.read_samples(spark, f"{path}/samples").select("pipeline", "event_id", "ts_ms", "latency_ms")
 
 
 # --- after a restart with a new checkpoint ------------------------------------------------------
@@ -277,7 +275,7 @@ def minute_counts_after_restart(spark, d):
 
 
 @query(with_ctes("ev", f"""SELECT pipeline, event_id, ts_ms, latency_ms FROM (SELECT * FROM ev
-      UNION ALL SELECT * REPLACE (event_id + 1000000000 AS event_id) FROM ev)
+      UNION ALL SELECT * REPLACE (event_id + 1000000000 AS event_id) FROM ev) WHERE ts_ms > (SELECT max(ts_ms) FROM ev) - 3600000
     QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY ts_ms DESC, event_id DESC) <= {SAMPLES}"""))
 def last_samples_after_restart(spark, d):
     """The job of the second checkpoint goes on from the samples that the first one left."""
@@ -286,8 +284,7 @@ def last_samples_after_restart(spark, d):
     for i in (0, 1):
         numbered = events.withColumn("event_id", F.col("event_id") + F.lit(1_000_000_000 * i))
         jobs.start_last_samples(numbered, f"{path}/samples", f"{path}/checkpoint-{i}").awaitTermination()
-    schema = tables.metric_events(spark, d).select("event_id", "pipeline", "ts_ms", "latency_ms", "status").schema
-    return read_last_batch(spark, f"{path}/samples", schema).select("pipeline", "event_id", "ts_ms", "latency_ms")
+    return jobs.read_samples(spark, f"{path}/samples").select("pipeline", "event_id", "ts_ms", "latency_ms")
 
 
 @query(with_ctes("raw", """, old AS (SELECT doc_id, max(n) AS n FROM raw SEMI JOIN labels l ON l.doc_id = raw.n GROUP BY doc_id)

@@ -8,21 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tapewire.operators.dedup import archived_ids
-from tapewire.operators.metrics import SAMPLES, last_samples, round_half_up
+from tapewire.operators.metrics import SAMPLES, round_half_up
 from tapewire.operators.segments import add_segment
 from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import score_articles
 from tapewire.sources.readers import read_archive
 from tapewire.sources.sinks import (
-    BATCH, RUN, checkpoint_id, read_batch, read_ids, read_last_batch, run_number, upsert, write_ids,
+    checkpoint_id, read_batch, read_ids, read_upserted, run_number, upsert, write_ids,
 )
+from tapewire.streaming.samples import KEPT, current_samples, latest_samples
 
 POLL = "10 minutes"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 DEDUP_SPLITS = 32
 
 
@@ -168,23 +171,35 @@ def stream_throughput(events: DataFrame, expiry: str = "1 hour") -> DataFrame:
 
 
 def start_last_samples(
-    events: DataFrame, path: str, checkpoint: str, n: int = SAMPLES, every: str | None = None
+    events: DataFrame, path: str, checkpoint: str, n: int = SAMPLES, every: str | None = None, delay: str = "0 seconds"
 ) -> StreamingQuery:
-    """Keeps the latest ``n`` latency samples per pipeline under ``path``.
+    """Keeps the latest ``n`` latency samples per pipeline of the last hour of event time under ``path``.
 
-    Each batch joins the samples kept so far and is cut back to ``n`` per pipeline
-    before and after the shuffle, so neither the state nor any task outgrows it.  Read
-    them with `sources.read_last_batch`.
+    The samples are state that expires, and what changes is written; a query with a new checkpoint
+    goes on from what is there.  Events more than ``delay`` behind the newest may be too late.  Read
+    them with `read_samples`.
     """
-    plain = events.select("event_id", "pipeline", "ts_ms", "latency_ms", "status")
+    spark = events.sparkSession
+    kept = read_upserted(spark, path, ["pipeline", "split"], _parsed(KEPT))
+    writer = (
+        latest_samples(events, n, kept, delay)
+        .writeStream.outputMode("update")
+        .foreachBatch(upsert_batch(path, checkpoint, ("pipeline",), ["pipeline", "split"]))
+        .option("checkpointLocation", checkpoint)
+    )
+    # Timers and lists need this store; a query keeps the one it was started with.
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _trigger(writer, every).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        run = _run(batch, path, checkpoint)
-        kept = read_last_batch(batch.sparkSession, path, plain.schema, before=(run, batch_id))
-        latest = last_samples(batch.unionByName(kept), n)
-        latest.write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH}={batch_id}")
 
-    writer = plain.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(writer, every).start()
+def read_samples(spark: SparkSession, path: str, n: int = SAMPLES) -> DataFrame:
+    """The samples that `start_last_samples` keeps, as of the newest of them."""
+    return current_samples(read_upserted(spark, path, ["pipeline", "split"], _parsed(KEPT)), n)
+
+
+def _parsed(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
