@@ -154,7 +154,7 @@ def batch_summary(spark, d):
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1"""))
 def latest_per_doc_id(spark, d):
     df = _incoming(spark, d).select("doc_id", "ingest_seq", "title", "source", "published_at")
-    return latest_per_id(df, "doc_id", [F.desc("ingest_seq")])
+    return latest_per_id(df, "doc_id", ["ingest_seq"])
 
 
 @query(with_ctes("archive", "SELECT doc_id FROM archive"))

@@ -176,13 +176,29 @@ def segmented_index_search(spark, d):
 TERMS = ["the", "worthless", "license"]
 
 
-def _marked(c: str) -> str:
+def _marked(c: str, terms: str = text("|".join(TERMS))) -> str:
     edges = f"regexp_replace({c}, '([^\\p{{L}}\\p{{N}}])', '⟧\\1⟦', 'g')"
-    return f"""replace(replace(regexp_replace({edges}, '(?i)(^|⟦)({'|'.join(TERMS)})(⟧|$)', '\\1<em>\\2</em>\\3', 'g'), '⟦', ''), '⟧', '')"""
+    return f"""replace(replace(regexp_replace({edges}, '(?i)(^|⟦)(' || {terms} || ')(⟧|$)', '\\1<em>\\2</em>\\3', 'g'), '⟦', ''), '⟧', '')"""
 
 
-def _shown(c: str) -> str:
-    return f"CASE WHEN {_marked(c)} <> {c} THEN {_marked(c)} END"
+def _shown(c: str, terms: str = text("|".join(TERMS))) -> str:
+    return f"CASE WHEN {_marked(c, terms)} <> {c} THEN {_marked(c, terms)} END"
+
+
+_HIT = "any_terms"
+_PAGE_HIGHLIGHTS = _FUZZY + f""", page AS (SELECT s.*, (SELECT string_agg(DISTINCT term, '|') FROM ex) AS {_HIT} FROM scored s JOIN bm USING (doc_id)
+      WHERE s.sentiment > 0 ORDER BY bm.score + {_BOOST} DESC, s."publishedAt" DESC NULLS LAST, doc_id LIMIT 25 OFFSET 25),
+    f AS (SELECT *, substring(content, greatest(length(regexp_extract({_marked('content', _HIT)}, '(?s)^(.*?)<em>', 1)) + 1 - 60, 1), 150) AS piece,
+      {_marked('content', _HIT)} <> content AS hit FROM page)
+    SELECT doc_id, {_shown('title', _HIT)} AS hl_title, {_shown('description', _HIT)} AS hl_description, {_shown('key_phrases', _HIT)} AS hl_key_phrases,
+      CASE WHEN hit THEN {_marked('piece', _HIT)} END AS hl_content, CAST(NULL AS VARCHAR) AS hl_source FROM f"""
+
+
+@query(with_ctes("scored", _PAGE_HIGHLIGHTS))
+def search_page_highlights(spark, d):
+    """What a page of results shows of its hits, misspelt query words included."""
+    rows, _ = search.search(tables.scored(spark, d), _saved(spark, d), SearchSpec.from_params(_SPEC), highlights=True)
+    return rows.select("doc_id", *[f"hl_{c}" for c in ("title", "description", "key_phrases", "content", "source")])
 
 
 @query(with_ctes("msg", f""", f AS (SELECT *, substring(content, greatest(length(regexp_extract({_marked('content')}, '(?s)^(.*?)<em>', 1)) + 1 - 60, 1), 150) AS piece,

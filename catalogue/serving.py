@@ -12,7 +12,8 @@ from tapewire.operators import filters, rollups, search
 from tapewire.operators.search_spec import SearchSpec
 from tapewire.plans import driver_tables as tables
 from tapewire.plans.scoring import score_where
-from tapewire.sources import where_requested
+from tapewire.sources import look_up, upsert, where_requested, work_dir
+from tapewire.sources.history import read_history, write_history
 
 _HOUR = 'epoch_ms(date_trunc(\'hour\', epoch_ms("publishedAt")))'
 _NAME = "CASE category " + " ".join(
@@ -272,6 +273,45 @@ def page_totals(spark, d):
     return search.page_totals(search.ranked_hits(tables.scored(spark, d), None, spec), spec)
 
 
+@query(with_ctes("scored", """SELECT doc_id, "publishedAt", round(risk_adj, 9) AS risk_adj FROM scored WHERE sentiment < 0
+    ORDER BY risk_adj DESC, "publishedAt" DESC NULLS LAST, doc_id LIMIT 15 OFFSET 30"""))
+def keyset_page(spark, d):
+    """The third page, reached by the cursors of the two before it."""
+    spec, last = SearchSpec.from_params({"sentiment": "negative", "sortBy": "risk", "limit": 15}), None
+    hits = search.ranked_hits(tables.scored(spark, d), None, spec)
+    for _ in range(2):
+        rows = search.next_page(hits, spec, last).collect()  # one page
+        last = search.cursor(rows[-1], spec) if len(rows) == spec.page_size else last
+    return search.next_page(hits, spec, last).select("doc_id", "publishedAt", r9("risk_adj").alias("risk_adj"))
+
+
+_DAYS = (1704153600000, 1704326399999)
+
+
+@query(with_ctes("scored", f"""SELECT doc_id, "publishedAt", symbol FROM scored WHERE "publishedAt" BETWEEN {_DAYS[0]} AND {_DAYS[1]}"""))
+def published_by_day(spark, d):
+    """Two days of the article table by day and symbol: the scan reads their folders only."""
+    path = work_dir(spark, "history")
+    write_history(tables.scored(spark, d), path)
+    return filters.where_published(read_history(spark, path), *_DAYS).select("doc_id", "publishedAt", "symbol")
+
+
+@query(with_ctes("scored", f"""SELECT "publishedAt" AS ts, round(final_score, 9) AS final_score FROM scored
+    WHERE symbol = 'S4' AND "publishedAt" BETWEEN {_DAYS[0]} AND {_DAYS[1]} AND final_score IS NOT NULL ORDER BY "publishedAt", doc_id LIMIT 100"""))
+def symbol_history_by_day(spark, d):
+    path = work_dir(spark, "history")
+    write_history(tables.scored(spark, d), path)
+    return rollups.symbol_history(read_history(spark, path), "s4", 100, *_DAYS).withColumn("final_score", r9("final_score"))
+
+
+@query(with_ctes("scored", 'SELECT doc_id, title, "publishedAt" FROM scored WHERE "publishedAt" IS NOT NULL ORDER BY "publishedAt" DESC, doc_id LIMIT 1'))
+def look_up_by_id(spark, d):
+    """An article of the keyed table: the scan reads the folder of its bucket."""
+    path, df = work_dir(spark, "keyed"), tables.scored(spark, d)
+    upsert(df, path, 0, ("publishedAt",))
+    return look_up(spark, path, _latest_id(df)).select("doc_id", "title", "publishedAt")
+
+
 @query("SELECT count(*) AS n FROM (SELECT * FROM documents LIMIT 1)")
 def sample_row(spark, d):
     docs = tables.table(spark, d, "documents")

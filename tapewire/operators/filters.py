@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.functions.text import display_confidence, non_empty
-from tapewire.operators.search_spec import SearchSpec, check_symbol
+from tapewire.operators.search_spec import DAY_MS, SearchSpec, check_symbol
+
+#: Folders of a table by day and symbol (see `sources.history`), and how many slots symbols have.
+DAY, SLOT, SYMBOL_SLOTS = "day", "slot", 16
 
 
 def sentiment_condition(band: str, bands: str = "server", column: str = "sentiment") -> Column:
@@ -44,9 +47,23 @@ def where_risk_level(df: DataFrame, level: str) -> DataFrame:
 
 def where_published(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Publication time in epoch milliseconds, both ends included, either may be open."""
+    by_day = DAY in df.columns
     if start is not None:
         df = df.where(F.col("publishedAt") >= start)
-    return df if end is None else df.where(F.col("publishedAt") <= end)
+        df = df.where(F.col(DAY) >= day_of(F.lit(start))) if by_day else df
+    if end is not None:
+        df = df.where(F.col("publishedAt") <= end)
+        df = df.where(F.col(DAY) <= day_of(F.lit(end))) if by_day else df
+    return df
+
+
+def day_of(ms: Column) -> Column:
+    """The UTC day of a time in epoch milliseconds."""
+    return F.date_from_unix_date(F.floor(ms / DAY_MS).cast("int"))
+
+
+def symbol_slot(symbol: Column) -> Column:
+    return F.pmod(F.xxhash64(symbol), F.lit(SYMBOL_SLOTS)).cast("int")
 
 
 def where_impact(df: DataFrame, label: str) -> DataFrame:
@@ -75,7 +92,9 @@ def where_has_ticker(df: DataFrame) -> DataFrame:
 
 def where_symbol(df: DataFrame, symbol: str) -> DataFrame:
     """The wanted symbol is trimmed and upper-cased, the stored one compared as it is."""
-    return df.where(F.col("symbol") == check_symbol(symbol))
+    wanted = F.lit(check_symbol(symbol))
+    df = df.where(F.col("symbol") == wanted)
+    return df.where(F.col(SLOT) == symbol_slot(wanted)) if SLOT in df.columns else df
 
 
 def where_not_self(df: DataFrame, doc_id: str) -> DataFrame:

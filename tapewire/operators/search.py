@@ -264,6 +264,45 @@ def page(df: DataFrame, spec: SearchSpec, order: list[Column] | None = None) ->
     return df.orderBy(*(order or sort_columns(spec))).offset(spec.offset).limit(spec.page_size)
 
 
+def cursor(row, spec: SearchSpec) -> dict:
+    """What a row (the last of a page) is ordered by: the start of the next page (see `after`)."""
+    return {name: row[name] for name, _ in _order(spec)}
+
+
+def after(df: DataFrame, spec: SearchSpec, last: dict) -> DataFrame:
+    """The rows behind ``last`` in the order of ``spec``, as one condition of literals.
+
+    The first column bounds the scan; the others only decide among its equals.  So a page costs the
+    same however far behind it lies, where an offset sorts all pages before it.
+    """
+    names = _order(spec)
+    behind, same, bound = F.lit(False), F.lit(True), None
+    for name, ascending in names:
+        c, value = F.col(name), last[name]
+        if value is None:  # nulls come last: only equals are left
+            further, equal = F.lit(False), c.isNull()
+        else:
+            further = (c > F.lit(value)) if ascending else (c < F.lit(value))
+            further, equal = further | c.isNull(), c == F.lit(value)
+        if bound is None:
+            bound = further | equal
+        behind, same = behind | (same & further), same & equal
+    return df.where(bound).where(F.coalesce(behind, F.lit(False)))
+
+
+def _order(spec: SearchSpec) -> list[tuple[str, bool]]:
+    """Names and directions of `sort_columns`."""
+    names = [(spec.sort_column, spec.ascending)]
+    names += [(name, False) for name in ("publishedAt", "score") if name != spec.sort_column]
+    return [*names, ("doc_id", True)]
+
+
+def next_page(hits: DataFrame, spec: SearchSpec, last: dict | None = None) -> DataFrame:
+    """The page behind a cursor, or the first one."""
+    rows = hits if last is None else after(hits, spec, last)
+    return rows.orderBy(*sort_columns(spec)).limit(spec.page_size)
+
+
 def page_totals(df: DataFrame, spec: SearchSpec) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).select(
         "total",
@@ -303,23 +342,43 @@ def _fetch(df: DataFrame, top: DataFrame, order: list[Column], n: int) -> DataFr
     return rows.orderBy(*order).limit(n)
 
 
-def search(df: DataFrame, index: TextIndex | None, spec: SearchSpec) -> tuple[DataFrame, DataFrame]:
+def search(
+    df: DataFrame, index: TextIndex | None, spec: SearchSpec, highlights: bool = False, last: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The rows of the wanted page with their score, in order, and the totals.
 
-    Ranking moves ids and sort columns only; the page, at most 100 ids, then fetches
-    its full rows.
+    Ranking moves ids and sort columns only; the page, at most 100 ids, then fetches its full rows.
+    ``last`` is the cursor of the page before (see `cursor`) and takes the place of a page number.
+    With ``highlights`` the rows show what was hit, misspelt or not, in five fields.
     """
     hits = ranked_hits(df, index, spec)
-    rows = _fetch(df, page(hits, spec), sort_columns(spec), spec.page_size)
+    top = page(hits, spec) if last is None else next_page(hits, spec, last)
+    rows = _fetch(df, top, sort_columns(spec), spec.page_size)
+    if highlights:
+        rows = highlight(rows, matched_terms(index, rows, spec.q) if spec.q else [], whole=(spec.q or "").strip())
     return rows, page_totals(hits, spec)
 
 
-def highlight(df: DataFrame, terms: list[str], cols=("title", "description", "key_phrases"), fragment_col="content") -> DataFrame:
+def matched_terms(index: TextIndex, rows: DataFrame, query: str) -> list[str]:
+    """The vocabulary terms that a query hits and that stand in the rows of a page."""
+    found = expand_terms(index.vocabulary.where(~F.col("field").isin(*KEYWORD_FIELDS)), query_tokens(query)).select("term").distinct()
+    there = [rows.select(F.explode(tokens(F.col(f))).alias("term")) for f in TEXT_FIELDS]
+    words = there[0]
+    for more in there[1:]:
+        words = words.union(more)
+    return sorted(r["term"] for r in words.distinct().join(found, "term").collect())
+
+
+def highlight(
+    df: DataFrame, terms: list[str], cols=("title", "description", "key_phrases"), fragment_col="content",
+    whole: str | None = None, keyword_cols=KEYWORD_FIELDS,
+) -> DataFrame:
     """Hits wrapped in ``<em>``; null where a column has none.
 
-    Of ``fragment_col`` only a piece of 150 characters around the first hit is shown.
+    Of ``fragment_col`` only a piece of 150 characters around the first hit is shown.  Keyword
+    columns are marked as a whole where they equal ``whole``, if that is given.
     """
-    pattern = token_pattern(terms)
+    pattern = token_pattern(terms) if terms else r"(?!)"
 
     def marked(c: Column) -> Column:
         return F.when(c.rlike(pattern), F.regexp_replace(c, pattern, "<em>$1</em>"))
@@ -330,6 +389,8 @@ def highlight(df: DataFrame, terms: list[str], cols=("title", "description", "ke
         at = F.regexp_instr(whole, F.lit(pattern))
         piece = F.substr(whole, F.greatest(at - LEAD, F.lit(1)), F.lit(FRAGMENT))
         out[f"hl_{fragment_col}"] = F.when(at > 0, F.regexp_replace(piece, pattern, "<em>$1</em>"))
+    for c in keyword_cols if whole is not None else ():
+        out[f"hl_{c}"] = F.when(F.col(c) == F.lit(whole), F.concat(F.lit("<em>"), F.col(c), F.lit("</em>")))
     return df.withColumns(out)
 
 

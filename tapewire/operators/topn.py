@@ -32,6 +32,12 @@ def top_n_per_key(
     return result if rank else result.drop(position)
 
 
-def latest_per_id(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """One row per ``key``: the one that stands first in ``order`` (pass descending columns)."""
-    return top_n_per_key(df, [key], order, 1)
+def latest_per_id(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """One row per ``key``: the greatest in the columns of ``order`` (null is least), equal ones by
+    their other columns, the same way in every run.
+
+    Whole rows move once: each input partition sends one row per key, however often it holds it.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    greatest = F.max(F.struct(F.struct(*order).alias("order"), F.struct(*df.columns).alias("row")))
+    return df.groupBy(*keys).agg(greatest.alias("_latest")).select("_latest.row.*")

@@ -170,7 +170,7 @@ def model_sentiment_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         identity.extract_doc_id(F.substring("text", 1, 80), F.col("text")).alias("doc_id"),
     )
     return latest_per_id(
-        model_sentiment(spark, sf_dir).join(ids, "ingest_seq"), "doc_id", [F.desc("ingest_seq")]
+        model_sentiment(spark, sf_dir).join(ids, "ingest_seq"), "doc_id", ["ingest_seq"]
     ).select("doc_id", "label", "score")
 
 

@@ -18,8 +18,8 @@ from tapewire.sources.sinks import (
     compact,
     ensure_table,
     export_keywords,
+    look_up,
     publish,
-    read_last_batch,
     read_upserted,
     run_number,
     sentiment_audit,

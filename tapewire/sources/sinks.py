@@ -12,17 +12,21 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from tapewire.operators.topn import top_n_per_key
+from tapewire.operators.topn import latest_per_id
 from tapewire.schemas import PAYLOAD, SCORED
 
 RUN, BATCH = "run", "batch_id"
 VERSION = StructType([StructField(RUN, LongType()), StructField(BATCH, LongType())])
 RUNS = StructType([StructField("run_id", StringType()), StructField(RUN, LongType())])
 IDS = StructType([StructField("doc_id", StringType()), StructField("prefix", StringType())])
+#: Folders of a keyed table, and their number unless another is asked for.
+BUCKET, BUCKETS = "bucket", 16
+BUCKET_FIELD = StructField(BUCKET, IntegerType())
+STAGED = "writer string, batch_id bigint"
 #: Keywords of a line of an exported dictionary, on average.
 LINE_KEYWORDS = 1000
 
@@ -70,11 +74,9 @@ def publish(df: DataFrame, sink: str, location: str, **options: str) -> None:
         raise ValueError(f"unknown sink {sink!r}")
 
 
-# --- the article table ------------------------------------------------------------------------
-# A batch is written once, under the number of its run and its own; readers take the latest row
-# of an id.  A run is what has one checkpoint: a new checkpoint counts its batches from 0 again,
-# but as a new run, so it never touches the folders of another.  A write costs what the batch
-# costs, whatever the table holds, and writing a batch again changes nothing.
+# --- runs ---------------------------------------------------------------------------------------
+# A run is what has one checkpoint: a new checkpoint counts its batches from 0 again, but as a new
+# run, so it never touches what another wrote.
 
 
 def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
@@ -103,22 +105,6 @@ def _folder(path: str, run: int, batch_id: int) -> str:
     return f"{path}/{RUN}={run}/{BATCH}={batch_id}"
 
 
-def upsert(
-    df: DataFrame, path: str, batch_id: int, order: Sequence[str], key: str | list[str] = "doc_id", run: int = 0
-) -> None:
-    """Insert or replace by ``key``.  Of copies inside the batch the one greatest in the
-    columns of ``order`` stays; equal ones fall by their content, the same way in every try."""
-    content = F.xxhash64(*[F.col(c) for c in df.columns])
-    greatest = [F.desc_nulls_last(c) for c in (*order, "_h")]
-    one = top_n_per_key(df.withColumn("_h", content), _keys(key), greatest, 1).drop("_h")
-    one.write.mode("overwrite").parquet(_folder(path, run, batch_id))
-
-
-def read_batch(spark: SparkSession, path: str, run: int, batch_id: int, schema: StructType) -> DataFrame:
-    """The rows that one batch wrote."""
-    return spark.read.schema(schema).parquet(_folder(path, run, batch_id))
-
-
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -133,45 +119,87 @@ def read_if_there(spark: SparkSession, path: str, schema: StructType | str) -> D
         return spark.createDataFrame([], schema)
 
 
-def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return read_if_there(spark, path, StructType([*schema.fields, *VERSION.fields]))
+def _bucket(key: str | list[str], buckets: int, values: Sequence[Column] | None = None) -> Column:
+    return F.pmod(F.xxhash64(*(values or _keys(key))), F.lit(buckets)).cast("int")
+
+
+def _buckets(spark: SparkSession, path: str) -> int | None:
+    """How many buckets the table has; None before its first batch."""
+    return read_if_there(spark, f"{path}/_layout", "buckets int").agg(F.max("buckets")).first()[0]
+
 
+def _stage(spark: SparkSession, path: str) -> Row | None:
+    """Who staged the buckets that are still to be put in place, if there are any."""
+    return read_if_there(spark, f"{path}/_staged/ready", STAGED).first()
 
-def _version() -> Column:
-    return F.struct(RUN, BATCH)
 
+def _settle(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Puts staged buckets in place.  They are whole, so doing it again changes nothing."""
+    ready = _stage(spark, path)
+    if ready is None:
+        return
+    rows = spark.read.schema(StructType([*schema.fields, BUCKET_FIELD])).parquet(f"{path}/_staged/rows")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    done = spark.createDataFrame([(ready["batch_id"],)], "batch_id bigint")
+    done.coalesce(1).write.mode("overwrite").parquet(f"{path}/_applied/{ready['writer']}")
+    spark.createDataFrame([], STAGED).write.mode("overwrite").parquet(f"{path}/_staged/ready")
 
-def read_upserted(
-    spark: SparkSession, path: str, key: str | list[str] = "doc_id", schema: StructType = SCORED
+
+def upsert(
+    df: DataFrame, path: str, batch_id: int, order: Sequence[str], key: str | list[str] = "doc_id", writer: str = "batch",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """The current row of every id; empty before the first batch.
+    """Insert or replace by ``key``; returns the rows of the batch, one per key.
 
-    Rows of the first batch, after `compact` nearly all there are, stay where they are:
-    they are only checked against the ids of later batches, a set small enough to be
-    sent to them unless much has changed.  Only the later batches are sorted out by id.
+    Of copies inside the batch the one greatest in the columns of ``order`` stays.  The table is
+    dealt to buckets by the hash of the key: only those that the batch touches are read, without the
+    keys it replaces, and written again.  They are staged whole before any is put in place; a batch
+    that was cut short is finished by the next call, and one that is retried, known by its
+    ``writer`` and number, changes nothing.  One writer at a time.
     """
-    keys, rows = _keys(key), _versions(spark, path, schema)
-    first = rows.agg(F.min(_version())).first()[0]
-    if first is None:
-        return rows.select(*schema.names)
-    is_first = (F.col(RUN) == first[RUN]) & (F.col(BATCH) == first[BATCH])
-    base, later = rows.where(is_first), rows.where(~is_first)
-    kept = base.join(later.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(top_n_per_key(later, keys, [F.desc(RUN), F.desc(BATCH)], 1)).select(*schema.names)
-
-
-def read_last_batch(
-    spark: SparkSession, path: str, schema: StructType, before: tuple[int, int] | None = None
-) -> DataFrame:
-    """The rows of the newest batch, or of the newest one older than the batch ``before``
-    (its run's number and its own)."""
-    rows = _versions(spark, path, schema)
-    if before is not None:
-        rows = rows.where((F.col(RUN) < before[0]) | (F.col(RUN) == before[0]) & (F.col(BATCH) < before[1]))
-    last = rows.agg(F.max(_version())).first()[0]
-    if last is None:
-        return rows.drop(RUN, BATCH)
-    return rows.where((F.col(RUN) == last[RUN]) & (F.col(BATCH) == last[BATCH])).drop(RUN, BATCH)
+    spark, keys = df.sparkSession, _keys(key)
+    _settle(spark, path, df.schema)
+    one = stored(latest_per_id(df, keys, list(order)), "upsert_batch")
+    applied = read_if_there(spark, f"{path}/_applied/{writer}", "batch_id bigint").agg(F.max("batch_id")).first()[0]
+    if applied is not None and applied >= batch_id:
+        return one
+    held = _buckets(spark, path)
+    if held is None:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_layout")
+    n = held or buckets
+    placed = one.withColumn(BUCKET, _bucket(key, n))
+    touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]  # one per bucket at most
+    old = _table(spark, path, df.schema).where(F.col(BUCKET).isin(touched)) if held else placed.limit(0)
+    staged = old.join(placed.select(BUCKET, *keys), [BUCKET, *keys], "left_anti").unionByName(placed)
+    staged.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/_staged/rows")
+    spark.createDataFrame([(writer, batch_id)], STAGED).coalesce(1).write.mode("overwrite").parquet(f"{path}/_staged/ready")
+    _settle(spark, path, df.schema)
+    return one
+
+
+def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return read_if_there(spark, path, StructType([*schema.fields, BUCKET_FIELD]))
+
+
+def read_upserted(spark: SparkSession, path: str, key: str | list[str] = "doc_id", schema: StructType = SCORED) -> DataFrame:
+    """The current row of every key; empty before the first batch.  What is read does not grow with
+    the number of batches."""
+    return _table(spark, path, schema).select(*schema.names)
+
+
+def look_up(spark: SparkSession, path: str, value: object, key: str = "doc_id", schema: StructType = SCORED) -> DataFrame:
+    """The row of one key, or none; only the folder of its bucket is read."""
+    n = _buckets(spark, path) or 1
+    wanted = F.lit(value).cast(schema[key].dataType)
+    rows = _table(spark, path, schema).where(F.col(BUCKET) == _bucket(key, n, [wanted]))
+    return rows.where(F.col(key) == wanted).select(*schema.names)
+
+
+def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return read_if_there(spark, path, StructType([*schema.fields, *VERSION.fields]))
+
+
+# --- ids of an archive --------------------------------------------------------------------------
 
 
 def _prefix() -> Column:
@@ -194,13 +222,13 @@ def write_ids(df: DataFrame, path: str, batch_id: int, run: int = 0) -> None:
 
 
 def compact(
-    spark: SparkSession, path: str, target: str, key: str | list[str] = "doc_id", schema: StructType = SCORED
+    spark: SparkSession, path: str, target: str, key: str | list[str] = "doc_id", schema: StructType = SCORED,
+    buckets: int = BUCKETS,
 ) -> None:
-    """Writes the current rows as the oldest batch of a new table, leaving the old one alone.
-
-    Whatever is written to the new table afterwards, by old runs or new ones, is newer.
-    """
-    read_upserted(spark, path, key, schema).write.parquet(_folder(target, 0, -1))
+    """Writes the current rows as a new table of another number of buckets, leaving the old one alone."""
+    rows = read_upserted(spark, path, key, schema).withColumn(BUCKET, _bucket(key, buckets))
+    rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(target)
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{target}/_layout")
 
 
 def ensure_table(spark: SparkSession, name: str, schema: StructType = SCORED) -> str:

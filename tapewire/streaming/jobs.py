@@ -20,7 +20,7 @@ from tapewire.operators.topn import latest_per_id
 from tapewire.plans.scoring import score_articles
 from tapewire.sources.readers import read_archive
 from tapewire.sources.sinks import (
-    checkpoint_id, read_batch, read_ids, read_upserted, run_number, upsert, write_ids,
+    checkpoint_id, read_ids, read_upserted, run_number, upsert, write_ids,
 )
 from tapewire.streaming.samples import KEPT, current_samples, latest_samples
 
@@ -47,10 +47,9 @@ def upsert_batch(
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        run = _run(batch, path, checkpoint)
-        upsert(batch, path, batch_id, order, key, run)
+        rows = upsert(batch, path, batch_id, order, key, checkpoint_id(batch.sparkSession, checkpoint))
         if index_path:
-            add_segment(read_batch(batch.sparkSession, path, run, batch_id, batch.schema), index_path, segment_number(run, batch_id))
+            add_segment(rows, index_path, segment_number(_run(batch, index_path, checkpoint), batch_id))
 
     return write
 
@@ -111,8 +110,7 @@ def start_ingest(
             known = read_ids(spark, ids_path, without=(run, batch_id), of=batch)
         else:
             known = archived_ids(read_archive(spark, archive_path, without=own))
-        order = [F.desc(seq), F.desc(F.xxhash64(*batch.columns))]
-        fresh = latest_per_id(batch, "doc_id", order).join(known, "doc_id", "left_anti")
+        fresh = latest_per_id(batch, "doc_id", [seq]).join(known, "doc_id", "left_anti")
         fresh.write.mode("overwrite").json(f"{archive_path}/{own}")
         if ids_path:
             write_ids(read_archive(spark, f"{archive_path}/{own}"), ids_path, batch_id, run)
