@@ -247,10 +247,16 @@ def _merged(spark, d):
     return keywords.merge_keywords(*tables.keyword_tables(spark, d), dry_run=False)
 
 
-@query(_DICT + _MERGED + """, low AS (SELECT DISTINCT category, lower(keyword) AS w FROM merged),
-    pats AS (SELECT category, string_agg(w, '|' ORDER BY length(w) DESC, w) AS p FROM low GROUP BY category),
-    found AS (SELECT category, len(regexp_extract_all(lower(text), p, 0)) AS k FROM documents, pats)
-    SELECT category, count(*) AS docs, sum(k)::BIGINT AS occurrences FROM found WHERE k > 0 GROUP BY category""")
+@query(_DICT + _MERGED + """, words AS (SELECT DISTINCT category, lower(keyword) AS w, left(lower(keyword), 4) AS lead FROM merged),
+    texts AS (SELECT row_number() OVER () AS n, lower(text) AS low FROM documents),
+    places AS (SELECT n, unnest(range(1, length(low) + 1)) AS pos, low FROM texts),
+    windows AS (SELECT n, pos, substring(low, pos, (SELECT max(length(w)) FROM words)) AS win FROM places),
+    begun AS (SELECT n, pos, win, left(win, k) AS lead FROM windows, (SELECT DISTINCT length(lead) AS k FROM words) WHERE length(win) >= k),
+    hits AS (SELECT n, category, pos, max(length(w)) AS size FROM begun JOIN words USING (lead) WHERE starts_with(win, w) GROUP BY ALL),
+    lists AS (SELECT n, category, list({'pos': pos, 'fin': pos + size, 'k': 0} ORDER BY pos) AS hs FROM hits GROUP BY ALL),
+    found AS (SELECT category, list_reduce(hs, lambda a, h: CASE WHEN h.pos >= a.fin THEN {'pos': h.pos, 'fin': h.fin, 'k': a.k + 1} ELSE a END,
+        {'pos': 0::BIGINT, 'fin': 0::BIGINT, 'k': 0}).k AS k FROM lists)
+    SELECT category, count(*) AS docs, sum(k)::BIGINT AS occurrences FROM found GROUP BY category""")
 def dictionary_table_hits(spark, d):
     """Matching with a dictionary that is itself a table, the merged one."""
     texts = tables.messages(spark, d).select("doc_id", F.col("content").alias("text"))
