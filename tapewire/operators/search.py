@@ -385,9 +385,9 @@ def highlight(
 
     out = {f"hl_{c}": marked(F.col(c)) for c in cols}
     if fragment_col:
-        whole = F.col(fragment_col)
-        at = F.regexp_instr(whole, F.lit(pattern))
-        piece = F.substr(whole, F.greatest(at - LEAD, F.lit(1)), F.lit(FRAGMENT))
+        shown = F.col(fragment_col)
+        at = F.regexp_instr(shown, F.lit(pattern))
+        piece = F.substr(shown, F.greatest(at - LEAD, F.lit(1)), F.lit(FRAGMENT))
         out[f"hl_{fragment_col}"] = F.when(at > 0, F.regexp_replace(piece, pattern, "<em>$1</em>"))
     for c in keyword_cols if whole is not None else ():
         out[f"hl_{c}"] = F.when(F.col(c) == F.lit(whole), F.concat(F.lit("<em>"), F.col(c), F.lit("</em>")))

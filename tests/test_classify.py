@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapewire.fixed_values import CATEGORY_LABELS, CATEGORY_LETTERS
 from tapewire.functions.sentiment import fuse_sentiment
-from tapewire.operators import classify, keywords
+from tapewire.operators import classify, keywords, word_filter
 
 DICTIONARY = {
     "A": ["earnings", "earnings beat", "net income", "beat the street", "eps"],
@@ -97,7 +97,7 @@ def test_keyword_score_range_and_first_category(spark):
 
 @pytest.mark.parametrize("piece", [4096, 7])
 def test_a_dictionary_table_matches_like_patterns(spark, monkeypatch, piece):
-    monkeypatch.setattr(keywords, "PIECE", piece)
+    monkeypatch.setattr(word_filter, "PIECE", piece)
     rng = random.Random(10)
     rows = [(c, "".join(rng.choices("abÉ ", k=rng.randint(1, 6)))) for c in "ABC" for _ in range(12)] + [("A", ""), ("B", "😀b")]
     texts = ["".join(rng.choices("abcé \nÉ", k=rng.randint(0, 80))) for _ in range(120)] + [None, "", "a😀ba😀bb"]

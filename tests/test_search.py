@@ -218,3 +218,15 @@ def test_paging_keeps_a_bounded_top(articles):
     top = search.page(search.ranked_hits(articles, None, spec), spec)
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
     assert F is not None and top.count() == 4
+
+
+def test_a_page_shows_what_it_hit(spark):
+    """Misspelt words and a source as a whole are marked; a column without a hit is null."""
+    kind = "doc_id string, publishedAt bigint, sentiment double, risk_adj double, confidence double, symbol string, entity_name string, title string, description string, content string, key_phrases string, summary string, source string"
+    rows = [("a", 2, 0.1, 0.0, 0.5, "", None, "a license", "plain", "x " * 200 + "the licence", None, "", "wire"), ("b", 1, 0.1, 0.0, 0.5, "", None, "other", "word", "", "licensed", "", "licens")]
+    df = spark.createDataFrame(rows, kind)
+    found, _ = search.search(df, search.build_index(df), SearchSpec(q="licens"), highlights=True)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got["a"]["hl_title"] == "a <em>license</em>" and got["a"]["hl_description"] is None and got["a"]["hl_source"] is None
+    assert got["a"]["hl_content"].endswith("the <em>licence</em>") and len(got["a"]["hl_content"]) < 170
+    assert got["b"]["hl_key_phrases"] == "<em>licensed</em>" and got["b"]["hl_source"] == "<em>licens</em>"
