@@ -7,6 +7,8 @@ them into files and back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +51,22 @@ def _letter(part: Column) -> Column:
     return F.when(valid, F.concat(letter, F.regexp_replace(part, "^[xX]?[0-9a-fA-F]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
 
 
+def _named(part: Column) -> Column:
+    """What follows ``&``, with the character of a named entity at its beginning."""
+    name = F.substring_index(part, ";", 1)
+    names = F.create_map(*[F.lit(x) for pair in [*ENTITIES.items(), ("amp", "&")] for x in pair])
+    letter = F.when(F.contains(part, F.lit(";")), F.element_at(names, name))
+    return F.when(letter.isNotNull(), F.concat(letter, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+
+def _behind(c: Column, sign: str, read: Callable[[Column], Column]) -> Column:
+    """``c``, looked at once, with everything between two signs, and behind the last, read anew."""
+    return F.array_join(F.transform(F.split(c, sign, -1), lambda p, i: F.when(i == 0, p).otherwise(read(p))), "")
+
+
 def unescaped(c: Column) -> Column:
-    """Entities as their characters, the ampersand last."""
-    parts = F.split(c, "&#", -1)
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _letter)
-    out = F.when(F.size(parts) > 1, F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Entities as their characters: numbers first, then names, each ampersand read once."""
+    return _behind(_behind(c, "&#", _letter), "&", _named)
 
 
 def plain_text(html: Column) -> Column:
@@ -68,7 +78,7 @@ def plain_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"</?[a-zA-Z!][^>]*>", "")
     out = unescaped(out)
     out = F.regexp_replace(out, r"[ \t\x0B\f\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def title(html: Column) -> Column:
