@@ -159,7 +159,7 @@ def upsert(
     """
     spark, keys = df.sparkSession, _keys(key)
     _settle(spark, path, df.schema)
-    one = stored(latest_per_id(df, keys, list(order)), "upsert_batch")
+    one = latest_per_id(df, keys, list(order))
     applied = read_if_there(spark, f"{path}/_applied/{writer}", "batch_id bigint").agg(F.max("batch_id")).first()[0]
     if applied is not None and applied >= batch_id:
         return one
@@ -168,9 +168,12 @@ def upsert(
         spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_layout")
     n = held or buckets
     placed = one.withColumn(BUCKET, _bucket(key, n))
-    touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]  # one per bucket at most
-    old = _table(spark, path, df.schema).where(F.col(BUCKET).isin(touched)) if held else placed.limit(0)
-    staged = old.join(placed.select(BUCKET, *keys), [BUCKET, *keys], "left_anti").unionByName(placed)
+    staged = placed
+    if held:
+        ids = df.select(*keys).withColumn(BUCKET, _bucket(key, n))
+        touched = [r[0] for r in ids.select(BUCKET).distinct().collect()]  # one per bucket at most
+        old = _table(spark, path, df.schema).where(F.col(BUCKET).isin(touched))
+        staged = old.join(ids, [BUCKET, *keys], "left_anti").unionByName(placed)
     staged.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/_staged/rows")
     spark.createDataFrame([(writer, batch_id)], STAGED).coalesce(1).write.mode("overwrite").parquet(f"{path}/_staged/ready")
     _settle(spark, path, df.schema)
