@@ -18,7 +18,6 @@ import math
 import os
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -68,12 +67,15 @@ for _b in range(256):
 
 _SIGN = re.escape("".join(LOOKALIKES))
 _APART = re.escape(SEPARATORS)
-#: What may be disguised: single letters kept apart, words with signs in or beside them, doubled
-#: letters.  The letter model chooses between the plain and the restored reading.
+#: Spans that are read by themselves: single letters kept apart, and runs of letters, digits and signs.
 DISGUISED = re.compile(
     rf"(?<!\w)[a-z{_SIGN}](?<!\*(?![{_APART}]{{1,4}}[a-z]))(?:[{_APART}]++[a-z{_SIGN}]){{2,}}(?!\w)"
-    rf"|(?<![\w{_SIGN}])(?=[\w{_SIGN}]*?(?:[{_SIGN}]|([a-z])\1))[\w{_SIGN}]++"
+    rf"|[\w{_SIGN}]++"
 )
+#: What a disguised span holds: signs, doubled letters, or what keeps letters apart.  The letter
+#: model chooses between the plain and the restored reading.
+_SUSPECT = re.compile(rf"[{_SIGN} .~-]|([a-z])\1|^.(?:_+.){{2,}}$")
+_SPAN = re.Match.group
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -165,25 +167,36 @@ def decode(span: str, model: np.ndarray | list[float]) -> str:
 
 
 class Restorer:
-    """Texts in lower case with every span that may be disguised read by `decode`."""
+    """Reads texts in lower case, every span that may be disguised by `decode`."""
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.ravel().tolist()
-        self.known: dict[str, str] = {}
-
-    def _read(self, m: re.Match) -> str:
-        span = m.group()
-        read = self.known.get(span)
-        if read is None:
-            read = f" {decode(span, self.model)} " if any(x in _CODE for x in span) else span
-            if len(span) <= REMEMBERED:
-                if len(self.known) >= WORDS:
-                    self.known.clear()
-                self.known[span] = read
-        return read
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def _read(self, span: str) -> str:
+        if any(x in _CODE for x in span) and _SUSPECT.search(span):
+            return f" {decode(span, self.model)} "
+        return span
+
+    def _words(self, span: str) -> tuple[str, ...]:
+        found = tuple(_WORD.findall(self._read(span)))
+        if len(span) <= REMEMBERED:
+            if len(self.known) >= WORDS:
+                self.known.clear()
+            self.known[span] = found
+        return found
+
+    def words(self, text: str) -> set[str]:
+        """The distinct words of the restored text; a span met before is not read again."""
+        known, out = self.known, set()
+        for span in set(map(_SPAN, DISGUISED.finditer(text.lower()))):
+            found = known.get(span)
+            out.update(self._words(span) if found is None else found)
+        return out
 
     def __call__(self, text: str) -> str:
-        return DISGUISED.sub(self._read, text.lower())
+        """The restored text."""
+        return DISGUISED.sub(lambda m: self._read(m.group()), text.lower())
 
 
 # --- words and their parts ----------------------------------------------------------------------
@@ -198,6 +211,26 @@ def parts(word: str) -> set[int]:
     return {int.from_bytes(xxhash.xxh3_64_digest(p), signed=True) for p in out}
 
 
+def _hashes(word: str, known: dict[str, np.ndarray]) -> np.ndarray:
+    """The `parts` of a word, remembered in ``known``."""
+    found = known.get(word)
+    if found is None:
+        found = np.fromiter(parts(word), np.int64)
+        if len(word) <= REMEMBERED:
+            if len(known) >= WORDS // 4:
+                known.clear()
+            known[word] = found
+    return found
+
+
+def _summed(values: list[float]) -> tuple[float, float, float]:
+    """Of the evidence of distinct words: the strongest, all of it, and their number, dampened.
+
+    The sum is exact, so it does not depend on the order of the words.
+    """
+    return max(values, default=0.0), math.log1p(math.fsum(values)), math.log1p(len(values))
+
+
 @dataclass
 class Model:
     """What scoring needs: the letters, the parts' evidence, and the curve."""
@@ -208,32 +241,25 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, restore: Restorer | None = None, room: int = WORDS) -> None:
-        self.restore, self.evidence, self.curve = restore or Restorer(model.letters), model.evidence, model.curve
+    def __init__(self, model: Model) -> None:
+        self.restore, self.evidence, self.curve = Restorer(model.letters), model.evidence, model.curve
         self.words: dict[str, float] = {}
-        self.room = room
 
     def _word(self, word: str) -> float:
         get = self.evidence.get
         value = max([0.0, *(e for p in parts(word) if (e := get(p)) is not None)])
         if len(word) <= REMEMBERED:
-            if len(self.words) >= self.room:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             self.words[word] = value
         return value
 
     def features(self, text: str) -> tuple[float, float, float]:
         """The strongest evidence of any word, that of all distinct words, and their number, dampened."""
-        known, total, best = self.words, 0.0, 0.0
-        words = set(_WORD.findall(self.restore(text)))
-        for word in words:
-            value = known.get(word)
-            if value is None:
-                value = self._word(word)
-            if value:
-                total += value
-                best = max(best, value)
-        return best, math.log1p(total), math.log1p(len(words))
+        known = self.words
+        words = self.restore.words(text)
+        values = [self._word(word) if (value := known.get(word)) is None else value for word in words]
+        return _summed(values)
 
     def score(self, text: str) -> float:
         z = self.curve @ (1.0, *self.features(text))
@@ -261,7 +287,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: str) -> DataFrame:
     """``_text``, ``_y`` to learn from: all labelled rows, or a uniform sample of MAX_LABELLED.
 
-    Rows of one label that hold the same five-word shingles count once.
+    Of rows of one label that hold the same five-word shingles the smallest text counts, once.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = saved(known.where(F.expr(train.format(id="_id"))).groupBy("_id").agg(F.max("_y").alias("_y")), "labels")
@@ -276,9 +302,10 @@ def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
             sets = [hashlib.blake2b(shingles(t.as_py(), 5).tobytes(), digest_size=16).digest() for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(batch.column(c) for c in ("_text", "_y"))], names=["_set", "_text", "_y"])
 
-    rows = texts.join(known.hint("shuffle_hash"), "_id").select("_text", "_y")
+    rows = texts.join(F.broadcast(known), "_id").select("_text", "_y")  # about MAX_LABELLED ids at most
     # Copies would count as evidence many times over: of those with the same set of shingles, one.
-    return rows.mapInArrow(described, "_set binary, _text string, _y int").dropDuplicates(["_set", "_y"]).drop("_set")
+    one = rows.mapInArrow(described, "_set binary, _text string, _y int").groupBy("_set", "_y").agg(F.min("_text").alias("_text"))
+    return one.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, "_set", "_y").select("_text", "_y")
 
 
 def train(
@@ -304,22 +331,20 @@ def train(
 
     share = bad / (bad + good)
 
-    def count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(letters)
-        seen: Counter = Counter()
         for batch in batches:
-            for text, y in zip(batch.column("_text").to_pylist(), batch.column("_y").to_pylist()):
-                one = _counted(text, y, share)
-                for p in set().union(*(parts(w) for w in set(_WORD.findall(restore(text))))):
-                    seen[p] += one
-                if len(seen) > 500_000:
-                    yield _part_rows(seen)
-        yield _part_rows(seen)
-
-    kind = "part bigint, " + ", ".join(f"c{k} bigint" for k in range(_LONGS))
-    found = learn.select("_text", "_y").mapInArrow(count_parts, kind)
-    found = saved(found.groupBy("part").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(_LONGS))), "parts")
-    sizes = learn.select("_text", "_y").mapInArrow(_fold_sizes, "fold int, y int").groupBy("fold", "y").count().collect()
+            texts, ys = batch.column("_text").to_pylist(), batch.column("_y").to_pylist()
+            adds = np.array([_adds(t, y, share) for t, y in zip(texts, ys)], np.int64).reshape(-1, _LONGS)
+            arrays = [pa.array([sorted(restore.words(t)) for t in texts], pa.list_(pa.string())), pa.array(map(_fold, texts), pa.int32())]
+            arrays += [batch.column("_y"), *(pa.array(adds[:, k]) for k in range(_LONGS))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["words", "fold", "y", *_ADDS])
+
+    counts_kind = ", ".join(f"{c} bigint" for c in _ADDS)
+    learn = saved(learn.select("_text", "_y").mapInArrow(read, f"words array<string>, fold int, y int, {counts_kind}"), "read")
+    found = learn.select("words", *_ADDS).mapInArrow(_count_parts, f"part bigint, {counts_kind}")
+    found = saved(found.groupBy("part").agg(*(F.sum(c).alias(c) for c in _ADDS)), "parts")
+    sizes = learn.groupBy("fold", "y").count().collect()
     docs = np.zeros((2, FOLDS + 1))  # all and toxic documents, in all and without each fold
     docs[:, 0] = bad + good, bad
     docs[:, 1:] = docs[:, :1]
@@ -339,26 +364,36 @@ def train(
     top = strong.orderBy(F.desc(F.greatest(*names)), "part").limit(MAX_PARTS).toArrow()
     of = [top.column(c).to_numpy() for c in ("part", *names)]
 
-    def model_of(k: int) -> Model:
-        """The evidence of all documents (0), or of those outside a fold."""
-        some = of[1 + k] > 0
-        return Model(letters, dict(zip(of[0][some].tolist(), of[1 + k][some].tolist())))
+    order = np.argsort(of[0])
+    keys, weights = of[0][order], np.column_stack(of[2:])[order]  # of the documents outside each fold
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, scorers = Restorer(letters), {}
+        known: dict[str, np.ndarray] = {}
+
+        def evidence(word: str) -> np.ndarray:
+            value = known.get(word)
+            if value is None:
+                hashes = np.fromiter(parts(word), np.int64)
+                at = np.searchsorted(keys, hashes)
+                at, hashes = at[at < len(keys)], hashes[at < len(keys)]
+                value = weights[at[keys[at] == hashes]].max(axis=0, initial=0.0)
+                if len(word) <= REMEMBERED:
+                    if len(known) >= WORDS:
+                        known.clear()
+                    known[word] = value
+            return value
+
         for batch in batches:
-            values = []
-            for text in batch.column("_text").to_pylist():
-                k = _fold(text)
-                if k not in scorers:
-                    scorers[k] = Scorer(model_of(1 + k), restore, WORDS // FOLDS)
-                values.append(scorers[k].features(text))
+            rows = zip(batch.column("words").to_pylist(), batch.column("fold").to_pylist())
+            values = [_summed([float(evidence(w)[k]) for w in words]) for words, k in rows]
             arrays = [pa.array([v[k] for v in values], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("_y")], names=["best", "total", "words", "y"])
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("y")], names=["best", "total", "words", "y"])
 
     kind = "best double, total double, words double, y int"
-    measured = learn.select("_text", "_y").mapInArrow(features, kind).toPandas()  # MAX_LABELLED rows
-    model = model_of(0)
+    measured = learn.select("words", "fold", "y").mapInArrow(features, kind).toPandas()  # MAX_LABELLED rows
+    measured = measured.sort_values(list(measured.columns))  # the same sums in every run
+    some = of[1] > 0
+    model = Model(letters, dict(zip(of[0][some].tolist(), of[1][some].tolist())))
     model.curve = _fit(measured[["best", "total", "words"]].to_numpy(), measured["y"].to_numpy())
     return model
 
@@ -366,43 +401,66 @@ def train(
 # Counts of a part: documents of each fold, toxic ones of each fold, toxic ones of each deal.
 _COUNTS = 2 * FOLDS + DEALS
 _LONGS = -(-_COUNTS // 3)
+_ADDS = [f"c{k}" for k in range(_LONGS)]
+#: Parts that a task gathers before it adds them up, and words of a text whose parts are gathered at once.
+GATHERED, WORDS_AT_ONCE = 1_000_000, 20_000
 
 
 def _fold(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) % FOLDS
 
 
-def _fold_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        folds = [_fold(t) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int32()), batch.column("_y")], names=["fold", "y"])
-
-
-def _counted(text: str, y: int, share: float) -> int:
-    """What a document adds to the counts of its parts, 32 bits a count."""
+def _adds(text: str, y: int, share: float) -> list[int]:
+    """What a document adds to the counts of its parts, three counts in a long."""
     k = _fold(text)
-    one = 1 << 32 * k
-    if y:
-        one |= 1 << 32 * (FOLDS + k)
-    for deal in range(DEALS):
-        if xxhash.xxh3_64_intdigest(text, seed=1 + deal) < share * 2**64:
-            one |= 1 << 32 * (2 * FOLDS + deal)
-    return one
+    ones = [k] + [FOLDS + k] * y
+    ones += [2 * FOLDS + d for d in range(DEALS) if xxhash.xxh3_64_intdigest(text, seed=1 + d) < share * 2**64]
+    out = [0] * _LONGS
+    for at in ones:
+        out[at // 3] |= 1 << at % 3 * BITS
+    return out
 
 
-def _part_rows(seen: Counter) -> pa.RecordBatch:
-    raw = b"".join(n.to_bytes(4 * _COUNTS, "little") for n in seen.values())
-    counts = np.zeros((len(seen), 3 * _LONGS), np.int64)
-    counts[:, :_COUNTS] = np.frombuffer(raw, "<u4").reshape(-1, _COUNTS)
-    longs = counts[:, 0::3] | counts[:, 1::3] << BITS | counts[:, 2::3] << 2 * BITS
-    arrays = [pa.array(list(seen), pa.int64()), *(pa.array(longs[:, k]) for k in range(_LONGS))]
-    seen.clear()
-    return pa.RecordBatch.from_arrays(arrays, names=["part", *(f"c{k}" for k in range(_LONGS))])
+def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of parts, added up over the documents that are gathered at once."""
+    known: dict[str, np.ndarray] = {}
+    gathered: list[np.ndarray] = []
+    rows: list[list[int]] = []
+    size = 0
+
+    def added() -> pa.RecordBatch:
+        keys = np.concatenate(gathered)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        of = np.repeat(np.arange(len(gathered)), [len(g) for g in gathered])[order]
+        table = np.array(rows, np.int64)
+        sums = [pa.array(np.add.reduceat(table[:, k][of], starts)) for k in range(_LONGS)]
+        gathered.clear()
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), *sums], names=["part", *_ADDS])
+
+    for batch in batches:
+        adds = zip(*(batch.column(c).to_pylist() for c in _ADDS))
+        for words, add in zip((w.as_py() for w in batch.column("words")), adds):
+            # A part counts once a document: one of very many words gathers its parts by classes of their hash.
+            classes = -(-len(words) // WORDS_AT_ONCE)
+            for c in range(classes):
+                some = (_hashes(w, known) for w in words)
+                found = np.unique(np.concatenate([h if classes == 1 else h[h % classes == c] for h in some]))
+                gathered.append(found)
+                rows.append(add)
+                size += len(found)
+                if size >= GATHERED:
+                    yield added()
+                    size = 0
+    if gathered:
+        yield added()
 
 
 def _counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents and toxic documents of parts by fold, toxic ones by deal."""
-    longs = np.column_stack([batch.column(f"c{k}").to_numpy() for k in range(_LONGS)])
+    longs = np.column_stack([batch.column(c).to_numpy() for c in _ADDS])
     all_ = np.stack([longs >> k * BITS & (1 << BITS) - 1 for k in range(3)], axis=2).reshape(len(longs), -1)
     return all_[:, :FOLDS], all_[:, FOLDS : 2 * FOLDS], all_[:, 2 * FOLDS : _COUNTS]
 

@@ -1,6 +1,11 @@
+import itertools
+import math
 import random
 import time
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapewire.llm import toxicity
@@ -119,3 +124,85 @@ def test_documents_that_share_a_passage_are_all_learned_from(spark):
     marks = spark.createDataFrame([(i, 1) for i in range(22)], "doc_id bigint, toxic int")
     got = toxicity._labelled(docs, marks, "doc_id", "text", "toxic", "true")
     assert got.count() == 21
+
+
+def test_distinct_words_are_those_of_the_restored_text(learned):
+    restore = toxicity.Restorer(learned[2].letters)
+    for text in ("The gr1bble, g r i b b l e; sn@rk0n/wuzzleb ON on 12 3 !!", "a b c!the snake_case s_n_a_r_k_o_n é3é", "", "***", "ab" * 3000 + " cc1"):
+        assert restore.words(text) == set(toxicity._WORD.findall(restore(text))), text
+
+
+def test_decoding_against_all_readings(learned):
+    """The Viterbi path is the best of all readings of a short span: each sign read as a letter, as
+    the letter before said again, or standing for itself."""
+    model, edge, code = learned[2].letters, toxicity._EDGE, toxicity._CODE
+
+    def cost(span, reads):
+        a = b = edge
+        word, total = "", 0.0
+        for c, r in zip(span, reads):
+            sign = c not in code
+            if r == " ":  # a sign that stands for itself ends a word
+                total += toxicity.PLAIN
+                if b != edge:
+                    total, a, b, word = total + model[a, b, edge], b, edge, word + " "
+            elif r.isupper():
+                if b != code[r.lower()]:
+                    return None
+                total += toxicity.AGAIN + toxicity.SWAP * sign
+            else:
+                total, a, b, word = total + model[a, b, code[r]], b, code[r], word + r
+        return total + (model[a, b, edge] if b != edge else 0.0), word.strip()
+
+    for span in ("gr1bble", "4n1", "0n7h3", "1l1", "5n4rk0n", "33"):
+        ways = [[c, c.upper()] if c in code else [" ", *toxicity.LOOKALIKES[c], *toxicity.LOOKALIKES[c].upper()] for c in span]
+        best = max(filter(None, (cost(span, reads) for reads in itertools.product(*ways))))
+        assert toxicity.decode(span, model) == best[1], span
+
+
+def test_parts_are_counted_once_a_document_whatever_is_gathered(monkeypatch):
+    docs = [(["gribble", "gribbles", "on"], 3), (["gribble"], 5), ([], 7), ([f"w{i}x" for i in range(50)], 11)]
+    schema = pa.schema([("words", pa.list_(pa.string())), *((c, pa.int64()) for c in toxicity._ADDS)])
+    batch = pa.RecordBatch.from_pylist([{"words": w, **dict.fromkeys(toxicity._ADDS, n)} for w, n in docs], schema)
+    want = Counter()
+    for words, n in docs:
+        for p in set().union(*map(toxicity.parts, words)):
+            want[p] += n
+    for gathered, at_once in ((10**6, 10**6), (1, 1), (20, 7)):
+        monkeypatch.setattr(toxicity, "GATHERED", gathered)
+        monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", at_once)
+        got = Counter()
+        for out in toxicity._count_parts(iter([batch])):
+            for row in out.to_pylist():
+                assert len({row[c] for c in toxicity._ADDS}) == 1
+                got[row["part"]] += row["c0"]
+        assert got == want
+
+
+def test_counts_and_evidence_against_plain_counts():
+    rng = random.Random(6)
+    rows = [(f"text {i}", int(rng.random() < 0.3)) for i in range(200)]
+    total = [sum(c) for c in zip(*(toxicity._adds(t, y, 0.3) for t, y in rows))]
+    batch = pa.RecordBatch.from_arrays([pa.array([n]) for n in total], names=toxicity._ADDS)
+    n, yes, deals = toxicity._counts(batch)
+    folds = [toxicity._fold(t) for t, _ in rows]
+    assert n[0].tolist() == [folds.count(k) for k in range(toxicity.FOLDS)]
+    assert yes[0].tolist() == [sum(y for (_, y), f in zip(rows, folds) if f == k) for k in range(toxicity.FOLDS)]
+    assert all(30 < d < 95 for d in deals[0])
+    docs = np.array([[400.0] * 6, [100.0] * 6])
+    chance = np.full(len(toxicity.RATIOS) + 1, 0.5)
+    bad, every = sum(y for _, y in rows), len(rows)
+    odds = math.log((bad + 0.5) / (every - bad + 0.5)) - math.log(100 / 300)
+    assert toxicity._evidence(batch, docs, chance)[0, 0] == pytest.approx(max(odds, 0) * 0.25)
+
+
+def test_two_runs_score_alike_and_copies_do_not_matter(spark, learned):
+    docs, marks, model = learned
+    copies = docs.where("doc_id % 7 = 0").selectExpr("doc_id", "upper(text) as text")
+    for df in (docs.repartition(5), docs.union(docs.limit(40))):
+        again = toxicity.train(df, marks, rows="{id} % 5 <> 0")
+        assert again.evidence == model.evidence and np.array_equal(again.letters, model.letters) == (df.count() == docs.count())
+    # Copies that differ in case: the smallest text is learned from, in every run.
+    mixed = docs.union(copies)
+    first, second = (toxicity.train(df, marks, rows="{id} % 5 <> 0") for df in (mixed, mixed.repartition(7)))
+    assert first.evidence == second.evidence and np.array_equal(first.curve, second.curve)
