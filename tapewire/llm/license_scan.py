@@ -3,12 +3,14 @@
 A text is reduced to its words.  Each notice is allowed some edits and split into one part
 more than that: where the notice stands with no more edits, at least one part stands exactly
 (pigeonhole).  All parts of all notices are found in one pass by an Aho-Corasick automaton; only
-around such seeds does a bounded-error pattern of ``regex`` verify the edits.
+around such seeds, in a window of the notice's length and its edits, does a bounded-error pattern
+of ``regex`` verify the edits.
 """
 
 from __future__ import annotations
 
 import functools
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -45,6 +47,8 @@ NOTICES = (
 )
 #: Letters a notice must have for each edit it is allowed.
 LETTERS_PER_EDIT = 15
+#: Windows of a text that are remembered with their match.
+WINDOWS = 10_000
 #: Bytes that end a word, and capitals, as one translation.
 _WORD = bytes(
     32 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b
@@ -105,25 +109,38 @@ class Scanner:
         return [(int(w), label) for w, label in zip(_word_at(joined, [a for a, _ in found]), [x for _, x in found])]
 
     def fuzzy(self, joined: bytes) -> list[Span]:
-        """The best places of every notice within its edits, not overlapping for one notice."""
+        """The best places of every notice within its edits, not overlapping for one notice.
+
+        Every seed's window holds whatever place of its notice the seed may belong to, and is
+        searched by itself.  Of places that overlap the one of fewer edits stays, then the first.
+        Places may share the space between them: it belongs to the one that would stay, and is
+        an edit of the other if that may have one more.
+        """
         text = joined.decode("latin-1")  # one character a byte
-        windows: dict[int, list[list[int]]] = {}
+        found: dict[int, dict[tuple[int, int], tuple[int, int, int]]] = {}
+        searched: set[tuple[int, int]] = set()
+        known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         for end, owners in self.seeds.iter(text):
             for n, offset in owners:
-                _, padded, _, k, _ = self.notices[n]
+                _, padded, _, k, pattern = self.notices[n]
                 start = max(0, end + 1 - offset - k)
-                stop = min(len(text), end + 1 - offset + len(padded) + k)
-                spans = windows.setdefault(n, [])
-                if spans and start <= spans[-1][1]:
-                    spans[-1][1] = max(stop, spans[-1][1])
-                else:
-                    spans.append([start, stop])
+                if (n, start) in searched:
+                    continue
+                searched.add((n, start))
+                window = text[start : end + 1 - offset + len(padded) + k]
+                if (n, window) not in known:
+                    if len(known) >= WINDOWS:
+                        known.clear()
+                    m = pattern.search(window)
+                    known[n, window] = (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+                if place := known[n, window]:
+                    a, b, edits = place[0] + start, place[1] + start, place[2]
+                    inner = a + (text[a] == " "), b - (text[b - 1] == " ")
+                    found.setdefault(n, {}).setdefault(inner, (a, b, edits))
         out = []
-        for n, spans in windows.items():
-            notice, _, label, k, pattern = self.notices[n]
-            for start, stop in spans:
-                for m in pattern.finditer(text, start, stop, overlapped=False):
-                    out.append((m.start(), m.end(), label, notice, sum(m.fuzzy_counts), m.group()))
+        for n, places in found.items():
+            notice, _, label, k, _ = self.notices[n]
+            out += [(a, b, label, notice, edits, text[a:b]) for a, b, edits in _best_apart(places, k)]
         first = _word_at(joined, [a for a, *_ in out])
         last = _word_at(joined, [b - 1 for _, b, *_ in out])
         return [
@@ -132,6 +149,29 @@ class Scanner:
         ]
 
 
+def _best_apart(places: dict[tuple[int, int], tuple[int, int, int]], most: int) -> list[tuple[int, int, int]]:
+    """The places, of those whose inner spans (the keys) overlap the one of fewest edits, then the first.
+
+    A space that another place holds is one of at most ``most`` edits.
+    """
+    chosen: list[tuple[int, int]] = []
+    for level in sorted({edits for _, _, edits in places.values()}):
+        more: list[tuple[int, int]] = []
+        for span in sorted(inner for inner, place in places.items() if place[2] == level):
+            at = bisect(chosen, span)
+            free = (not at or chosen[at - 1][1] <= span[0]) and (at == len(chosen) or span[1] <= chosen[at][0])
+            if free and (not more or more[-1][1] <= span[0]):
+                more.append(span)
+        chosen = sorted(chosen + more)
+    out = []
+    for i, span in enumerate(chosen):
+        a, b, edits = places[span]
+        before = i > 0 and places[chosen[i - 1]][1] > a and places[chosen[i - 1]][2] <= edits
+        behind = i + 1 < len(chosen) and places[chosen[i + 1]][0] < b and places[chosen[i + 1]][2] < edits
+        out.append((a, b, min(most, edits + before + behind)))
+    return out
+
+
 def _word_at(joined: bytes, places: list[int]) -> np.ndarray:
     """How many words begin before each place (a word begins after a space)."""
     if not places:
