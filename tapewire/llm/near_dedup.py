@@ -4,8 +4,9 @@ Documents of the same shingle set become one class at once.  Classes that agree
 their signature share a bucket.  Then, twice: each bucket names one member its centre, each
 class goes to the first of its buckets' centres, and what met there is compared on the full
 sets, in blocks of bounded size that give out only the links that join components.  Buckets
-within one component are done.  Pairs that share an open bucket but never met are tested one by
-one, by their signatures and then on the full sets; the signatures lose less than one link in a million.
+within one component are done.  Of the others the signatures are compared in blocks, which give out
+only the members that are like one of another component they never met; those are compared on
+their full sets, again in blocks.  The signatures lose less than one link in a million.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS, ROWS = 42, 5
 SLACK = 0.15
 #: Times that classes meet at a centre, and shingles of a block of them.
 ROUNDS, BLOCK_SHINGLES = 2, 1_500_000
+#: Signatures of a part; a block holds two.
+BLOCK_CLASSES = 2048
 #: Words a task remembers.
 WORDS = 300_000
 
@@ -128,42 +131,9 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, "node bigint, digest binary, shingles binary")
 
 
-def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs ``u``, ``v`` whose signatures agree in a share of at least ``least`` places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("su", "sv"))
-            keep = (a == b).mean(axis=1) >= least if batch.num_rows else np.empty(0, bool)
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-    return pairs.mapInArrow(run, "u bigint, v bigint")
-
-
-def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of which 100 * intersection >= percent * union on the full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("su"), batch.column("sv")):
-                x, y = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= percent * (x.size + y.size - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "u bigint, v bigint")
-
-
-def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    for side in ("u", "v"):
-        pairs = pairs.join(of.select(F.col("node").alias(side), F.col(value).alias(f"s{side}")), side)
-    return pairs
-
-
 def _drawn(member: str, salt: int) -> Column:
     """A member's place in an order that changes with ``salt``; the first is the centre."""
-    return F.struct(F.xxhash64(F.col(member), F.lit(salt)).alias("order"), F.col(member).alias("node"))
+    return F.struct(F.xxhash64(F.col(member), F.lit(salt)).alias("order"), F.col(member).alias("member"))
 
 
 def near_groups(
@@ -173,23 +143,24 @@ def near_groups(
 
     Columns: the id, ``n_shingles``, ``component_id`` (the smallest id reachable over links, its own
     included), ``kept`` (whether that is its own id).  Null, empty and blank texts have no
-    shingles and are linked with nothing.  Rows that repeat an id are in one group; a row without
-    an id is kept, linked with nothing and has a null component.  Links are found over the
-    banded signature and confirmed on the full sets: of pairs at 0.8 one in ten million shares no
-    band, and of those not compared on full sets at once less than one in a million is missed.
+    shingles and are linked with nothing.  Rows that repeat an id with other texts are linked by the
+    id, and what is linked to either is in their group; a row without an id is kept, linked with
+    nothing and has a null component.  Links are found over the banded signature and confirmed on
+    the full sets: of pairs at 0.8 one in ten million shares no band, and of those not compared on
+    full sets at once less than one in a million is missed.
     Ids are integers.  Other columns are ignored, whatever their names.
     """
     texts = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    seen = _one_class_an_id(saved(_described(texts, width), "signatures"))
+    seen = saved(_described(texts, width), "signatures")
     named = seen.where("_id is not null and digest is not null")
-    # One row per class, with the signature of its smallest id (rows that only follow have none).
+    # One row per class of equal sets, known by its smallest id; an id may have several texts, so
+    # a class is also numbered.
     classes = named.groupBy("digest").agg(
-        F.min("_id").alias("node"), F.count(F.lit(1)).alias("n"),
-        F.min_by("signature", F.when(F.col("signature").isNotNull(), F.col("_id"))).alias("signature"),
+        F.min("_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min_by("signature", "_id").alias("signature")
     )
-    classes = saved(classes, "classes")
-    heads = classes.where("signature is not null").select("node", "digest", "signature")
-    found = components(_links(heads, texts, width, percent))
+    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    heads = classes.select("cls", "node", "digest", "signature")
+    found = components(_links(heads, _id_links(named, heads), texts, width, percent))
     top = classes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))
     out = looked_up(seen.withColumn("digest", F.when(F.col("_id").isNotNull(), F.col("digest"))), "digest", top, "n", ["component_id"])
     component = F.coalesce("component_id", "_id")
@@ -199,16 +170,14 @@ def near_groups(
     )
 
 
-def _one_class_an_id(seen: DataFrame) -> DataFrame:
-    """Rows that repeat an id with other texts take the class of one of them."""
-    several = seen.where("_id is not null and digest is not null").groupBy("_id")
-    several = saved(several.agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last"), "repeated_ids")
+def _id_links(named: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links ``u``, ``v`` of ids that stand beside several texts to the classes of all of them."""
+    several = named.groupBy("_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last")
+    several = saved(several.select("_id"), "repeated_ids")
     if several.isEmpty():
-        return seen
-    own = F.col("first").isNull() | (F.col("first") == F.col("digest"))
-    return seen.join(several, "_id", "left").select(
-        "_id", "n_shingles", F.coalesce("first", "digest").alias("digest"), F.when(own, F.col("signature")).alias("signature")
-    )
+        return named.sparkSession.createDataFrame([], "u bigint, v bigint")
+    rows = named.select("_id", "digest").join(several, "_id").distinct()
+    return rows.join(heads.select("digest", "node"), "digest").select(F.col("_id").alias("u"), F.col("node").alias("v")).where("u <> v")
 
 
 def _joining(percent: int):
@@ -243,68 +212,100 @@ def _met(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A home of many shingles is dealt to several parts, and every two parts form a block.
     """
-    known = homes.join(sets.select("node", F.length("shingles").alias("bytes")), "node")
+    known = homes.join(sets.select("cls", F.length("shingles").alias("bytes")), "cls")
     parts = known.groupBy("home").agg(
         F.ceil(F.sum("bytes") / (8 * BLOCK_SHINGLES)).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    parts = parts.where("low <> high").select("home", "parts")
-    dealt = homes.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    blocks = dealt.withColumn("other", other).select(
-        "home", "node", "component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")
-    )
-    return blocks.join(sets, "node").groupBy("home", "a", "b").applyInPandas(_joining(percent), "u bigint, v bigint")
+    blocks = _blocks(homes.join(parts.where("low <> high").select("home", "parts"), "home"))
+    return blocks.join(sets, "cls").groupBy("home", "a", "b").applyInPandas(_joining(percent), "u bigint, v bigint")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows dealt to the ``parts`` of their home, in every block ``a``, ``b`` of two parts."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ends = {"a": F.least("part", "other"), "b": F.greatest("part", "other")}
+    return dealt.withColumns(ends).drop("other", "parts")
 
 
-def _open(members: DataFrame, component: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, heads: DataFrame, component: DataFrame | None) -> DataFrame:
     """The rows of buckets that hold more than one component, with each member's component."""
     if component is not None:
-        now = component.select("node", F.col("component").alias("now"))
-        members = members.drop("component").join(now, "node", "left")
-        members = members.select("bucket", "node", F.coalesce("now", "node").alias("component"))
+        now = heads.select("cls", "node").join(component, "node").select("cls", F.col("component").alias("now"))
+        members = members.join(now, "cls", "left").select("bucket", "cls", F.coalesce("now", "component").alias("component"))
     several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return saved(members.join(several.where("low <> high").select("bucket"), "bucket"), "buckets")
 
 
-def _links(heads: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links that connect all classes that are connected."""
-    spark = heads.sparkSession
+def _links(heads: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``links`` and confirmed ones that, together, connect all classes that are connected."""
     size = 4 * ROWS  # hex digits of a band
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("hexed"), b * size + 1, F.lit(size))),
     )
-    rows = heads.select("node", F.hex("signature").alias("hexed")).select("node", F.explode(keys).alias("bucket"))
-    members = _open(rows.withColumn("component", F.col("node")), None)
-    links = spark.createDataFrame([], "u bigint, v bigint")
-    wanted = members.select(F.col("node").alias("_id")).distinct()
-    sets = _sets(texts.join(wanted.hint("shuffle_hash"), "_id", "left_semi"), width)
-    sets = saved(sets.join(heads.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node"]).drop("digest"), "shingle_sets")
+    rows = heads.select("cls", F.col("node").alias("component"), F.hex("signature").alias("hexed"))
+    members = _open(rows.select(F.explode(keys).alias("bucket"), "cls", "component"), heads, None)
+    wanted = members.select("cls").distinct().join(heads.select("cls", "node", "digest"), "cls")
+    sets = _sets(texts.join(wanted.select(F.col("node").alias("_id")).distinct().hint("shuffle_hash"), "_id", "left_semi"), width)
+    sets = sets.join(wanted, ["node", "digest"]).select("cls", "node", "shingles").dropDuplicates(["cls"])
+    sets = saved(sets, "shingle_sets")
 
     homes: list[DataFrame] = []
     for turn in range(ROUNDS):
-        centre = members.groupBy("bucket").agg(F.min(_drawn("node", turn)).alias("centre"))
-        first = members.join(centre, "bucket").groupBy("node", "component").agg(F.min("centre").alias("centre"))
-        homes.append(saved(first.select("node", "component", F.col("centre.node").alias("home")), "homes"))
+        centre = members.groupBy("bucket").agg(F.min(_drawn("cls", turn)).alias("centre"))
+        first = members.join(centre, "bucket").groupBy("cls", "component").agg(F.min("centre").alias("centre"))
+        homes.append(saved(first.select("cls", "component", F.col("centre.member").alias("home")), "homes"))
         links = saved(links.union(_met(homes[-1], sets, percent)), "links")
-        members = _open(members, components(links))
+        members = _open(members, heads, components(links))
         if members.isEmpty():
             return links
-    return saved(links.union(_confirmed(_with_both(_apart(members, homes, heads, percent), sets, "shingles"), percent)), "links")
-
-
-def _apart(members: DataFrame, homes: list[DataFrame], heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket, never met, and have like signatures."""
-    for turn, home in enumerate(homes):
-        home = home.select("node", F.col("home").alias(f"home{turn}"))
-        members = members.join(home, "node", "left").withColumn(f"home{turn}", F.coalesce(f"home{turn}", "node"))
-    members = saved(members, "buckets")
-    inside = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = inside.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("top"))
-    # Of two components one is not the largest of the bucket.
-    left = members.join(top, "bucket").where("component <> top").alias("a")
-    strange = [F.col(f"a.{c}") != F.col(f"b.{c}") for c in ("component", *(f"home{t}" for t in range(len(homes))))]
-    pairs = left.join(members.alias("b"), functools.reduce(lambda x, y: x & y, strange, F.col("a.bucket") == F.col("b.bucket")))
-    ends = (F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
-    pairs = saved(pairs.select(*ends).distinct(), "candidates")
-    return saved(_agreeing(_with_both(pairs, heads, "signature"), percent / 100 - SLACK), "likely")
+    alike = saved(_alike(members, homes, heads, percent / 100 - SLACK), "alike")
+    return saved(links.union(_met(alike, sets, percent)), "links")
+
+
+def _alike(members: DataFrame, homes: list[DataFrame], heads: DataFrame, least: float) -> DataFrame:
+    """The members of a bucket (``home``) that share at least ``least`` of their signature with one
+    of another component there that they never met."""
+    met = [f"home{turn}" for turn in range(len(homes))]
+    for name, home in zip(met, homes):
+        members = members.join(home.select("cls", F.col("home").alias(name)), "cls", "left")
+    members = saved(members.withColumnRenamed("bucket", "home"), "buckets")
+    parts = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("parts"))
+    blocks = _blocks(members.join(parts, "home")).join(heads.select("cls", "signature"), "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the block in which the last batch ended
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = held.combine_chunks()
+            key = np.stack([held[c].to_numpy() for c in ("home", "a", "b")])
+            starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))).tolist() if held.num_rows else [0]
+            for at, to in zip(starts, starts[1:]):
+                yield _like_ones(held.slice(at, to - at), met, least)
+            held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield _like_ones(held, met, least)
+
+    sorted_ = blocks.repartition("home", "a", "b").sortWithinPartitions("home", "a", "b")
+    return sorted_.mapInArrow(run, "home bigint, cls bigint, component bigint").distinct()
+
+
+def _like_ones(block: pa.Table, met: list[str], least: float) -> pa.RecordBatch:
+    """The rows of a block that are like another one they never met; parts meet themselves in blocks of their own."""
+    apart = [block[c].to_numpy() for c in met]
+    part = block["part"].to_numpy() if block["a"][0].as_py() != block["b"][0].as_py() else None
+    signatures = np.frombuffer(b"".join(block["signature"].to_pylist()), "<u2").reshape(block.num_rows, -1)
+    _, own, count = np.unique(block["component"].to_numpy(), return_inverse=True, return_counts=True)
+    found = np.zeros(block.num_rows, bool)
+    # Of two components one is not the largest: its members are held against all others.
+    for k in np.flatnonzero(own != count.argmax()).tolist():
+        strange = own != own[k]
+        for values in [*apart, part] if part is not None else apart:
+            strange &= values != values[k]
+        others = np.flatnonzero(strange)
+        others = others[(signatures[others] == signatures[k]).mean(axis=1) >= least]
+        if len(others):
+            found[k] = found[others] = True
+    kept = block.select(["home", "cls", "component"]).filter(pa.array(found)).combine_chunks()
+    return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from tapewire.llm import near_dedup
 from tapewire.llm.components import components
 from tapewire.llm.near_dedup import BANDS, ROWS, SLACK, near_groups, shingles, signature
 
@@ -108,3 +109,30 @@ def test_signatures_lose_less_than_one_link_in_a_million():
     n = BANDS * ROWS
     lost = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k / n < 0.8 - SLACK)
     assert lost < 1e-6, lost
+
+
+def test_an_id_with_two_texts_joins_what_both_are_linked_to(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a + " word"), (2, b), (3, b + " word"), (4, "something else entirely"), (2, "and a third text"), (2, None)]
+    got = near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 29, 1), (2, 0, 2), (2, 3, 1), (2, 29, 1), (2, 30, 1), (3, 30, 1), (4, 2, 4)]
+    # Every class has the same smallest id.
+    same = near_groups(spark.createDataFrame([(7, a), (7, b), (9, a + " x"), (8, b + " x")], "doc_id bigint, text string"), width=2).collect()
+    assert {r.component_id for r in same} == {7}
+
+
+def test_buckets_of_unlinked_members_give_out_no_pairs(spark, monkeypatch):
+    """Many texts that share bands but no link, and two links among them, compared in blocks."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)  # all is left to the blocks
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 16)
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(60)]
+    texts = [" ".join(common + [f"x{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(80)]
+    texts += [texts[3] + " more", texts[70] + " more words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sent = []
+    met = near_dedup._met
+    monkeypatch.setattr(near_dedup, "_met", lambda homes, *rest: sent.append(homes.select("cls").distinct().count()) or met(homes, *rest))
+    got = {r.doc_id: r.component_id for r in near_groups(df, width=1).collect()}
+    assert got == {i: {80: 3, 81: 70}.get(i, i) for i in range(82)}
+    assert sent and max(sent) < 40
