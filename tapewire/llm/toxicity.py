@@ -18,7 +18,7 @@ import math
 import os
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.llm.common import saved
-from tapewire.llm.near_dedup import shingles
+from tapewire.llm.near_dedup import _mixed, shingles
 
 #: Labelled rows used at most: a uniform sample beyond that.  Word parts kept at most, the strongest.
 MAX_LABELLED, MAX_PARTS = 40_000, 200_000
@@ -68,10 +68,8 @@ for _b in range(256):
 _SIGN = re.escape("".join(LOOKALIKES))
 _APART = re.escape(SEPARATORS)
 #: Spans that are read by themselves: single letters kept apart, and runs of letters, digits and signs.
-DISGUISED = re.compile(
-    rf"(?<!\w)[a-z{_SIGN}](?<!\*(?![{_APART}]{{1,4}}[a-z]))(?:[{_APART}]++[a-z{_SIGN}]){{2,}}(?!\w)"
-    rf"|[\w{_SIGN}]++"
-)
+_KEPT_APART = re.compile(rf"(?<!\w)[a-z{_SIGN}](?<!\*(?![{_APART}]{{1,4}}[a-z]))(?:[{_APART}]++[a-z{_SIGN}]){{2,}}(?!\w)")
+DISGUISED = re.compile(rf"{_KEPT_APART.pattern}|[\w{_SIGN}]++")
 #: What a disguised span holds: signs, doubled letters, or what keeps letters apart.  The letter
 #: model chooses between the plain and the restored reading.
 _SUSPECT = re.compile(rf"[{_SIGN} .~-]|([a-z])\1|^.(?:_+.){{2,}}$")
@@ -166,32 +164,44 @@ def decode(span: str, model: np.ndarray | list[float]) -> str:
     return "".join([*settled, best]).strip()
 
 
+def _remembered(known: dict, key: str, room: int, value: Callable):
+    found = known.get(key)
+    if found is None:
+        found = value()
+        if len(key) <= REMEMBERED:
+            if len(known) >= room:
+                known.clear()
+            known[key] = found
+    return found
+
+
 class Restorer:
     """Reads texts in lower case, every span that may be disguised by `decode`."""
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.ravel().tolist()
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[str, ...]] = {}  # of tokens
+        self.spans: dict[str, tuple[str, ...]] = {}  # of what tokens hold
 
     def _read(self, span: str) -> str:
         if any(x in _CODE for x in span) and _SUSPECT.search(span):
             return f" {decode(span, self.model)} "
         return span
 
-    def _words(self, span: str) -> tuple[str, ...]:
-        found = tuple(_WORD.findall(self._read(span)))
-        if len(span) <= REMEMBERED:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            self.known[span] = found
-        return found
+    def _of_span(self, span: str) -> tuple[str, ...]:
+        return _remembered(self.spans, span, WORDS, lambda: tuple(_WORD.findall(self._read(span))))
+
+    def _words(self, token: str) -> tuple[str, ...]:
+        return _remembered(self.known, token, WORDS // 2, lambda: tuple({w for span in DISGUISED.findall(token) for w in self._of_span(span)}))
 
     def words(self, text: str) -> set[str]:
-        """The distinct words of the restored text; a span met before is not read again."""
-        known, out = self.known, set()
-        for span in set(map(_SPAN, DISGUISED.finditer(text.lower()))):
-            found = known.get(span)
-            out.update(self._words(span) if found is None else found)
+        """The distinct words of the restored text; a token met before is not read again."""
+        known, out, text = self.known, set(), text.lower()
+        # Only letters that are kept apart reach over white space.
+        tokens = text.split() if _KEPT_APART.search(text) is None else map(_SPAN, DISGUISED.finditer(text))
+        for token in set(tokens):
+            found = known.get(token)
+            out.update(self._words(token) if found is None else found)
         return out
 
     def __call__(self, text: str) -> str:
@@ -202,25 +212,66 @@ class Restorer:
 # --- words and their parts ----------------------------------------------------------------------
 
 
-def parts(word: str) -> set[int]:
-    """Hashes of a word and of its parts."""
-    framed = f"^{word}$"
-    out = {framed}
-    for n in PART_LENGTHS:
-        out.update(framed[i : i + n] for i in range(len(framed) - n + 1))
-    return {int.from_bytes(xxhash.xxh3_64_digest(p), signed=True) for p in out}
+def part_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of their parts, word by word, and where each word's begin."""
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends, own = np.repeat(np.cumsum(lengths), lengths), np.repeat(np.arange(len(words)), lengths)
+    # A word as long as a part is that part.
+    whole = [i for i, n in enumerate(lengths.tolist()) if n not in PART_LENGTHS]
+    found = [np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in whole), np.uint64, len(whole))]
+    of = [np.array(whole, np.int64)]
+    total = np.zeros(len(codes), np.uint64)
+    for n in range(1, min(max(PART_LENGTHS), len(codes)) + 1):
+        size = len(codes) - n + 1
+        total = _mixed(total[:size] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :])
+        if n in PART_LENGTHS:
+            inside = np.flatnonzero(np.arange(size) + n <= ends[:size])
+            found.append(_mixed(total[inside] + np.uint64(n)))
+            of.append(own[inside])
+    owners = np.concatenate(of)
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate(found)[order].view(np.int64), np.searchsorted(owners[order], np.arange(len(words)))
 
 
-def _hashes(word: str, known: dict[str, np.ndarray]) -> np.ndarray:
-    """The `parts` of a word, remembered in ``known``."""
-    found = known.get(word)
-    if found is None:
-        found = np.fromiter(parts(word), np.int64)
-        if len(word) <= REMEMBERED:
-            if len(known) >= WORDS // 4:
-                known.clear()
-            known[word] = found
-    return found
+def parts(word: str) -> set[int]:
+    """Hashes of a word and of its parts."""
+    return set(part_hashes([word])[0].tolist())
+
+
+class _Evidence:
+    """The strongest evidence of the parts of words, by column of ``weights``; a word met before is
+    not looked up again."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.weights = keys[order], weights[order]
+        self.known: dict[str, np.ndarray | float] = {}
+
+    def _found(self, words: list[str]) -> list:
+        hashes, starts = part_hashes(words)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == hashes)
+        values = np.zeros((len(hashes), *self.weights.shape[1:]))
+        values[hit] = self.weights[at[hit]]
+        found = np.maximum.reduceat(values, starts, axis=0)
+        return found.tolist() if found.ndim == 1 else list(found)
+
+    def of(self, words: Collection[str]) -> list:
+        """The evidence of each word."""
+        known = self.known
+        if not len(self.keys):
+            return [np.zeros(self.weights.shape[1:])] * len(words)
+        out = {w: known.get(w) for w in words}
+        new = [w for w, value in out.items() if value is None]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            out.update(zip(some, self._found(some)))
+        if len(known) + len(new) > WORDS:
+            known.clear()
+        if len(new) <= WORDS:
+            known.update((w, out[w]) for w in new if len(w) <= REMEMBERED)
+        return list(out.values())
 
 
 def _summed(values: list[float]) -> tuple[float, float, float]:
@@ -242,24 +293,13 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.restore, self.evidence, self.curve = Restorer(model.letters), model.evidence, model.curve
-        self.words: dict[str, float] = {}
-
-    def _word(self, word: str) -> float:
-        get = self.evidence.get
-        value = max([0.0, *(e for p in parts(word) if (e := get(p)) is not None)])
-        if len(word) <= REMEMBERED:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = value
-        return value
+        self.restore, self.curve = Restorer(model.letters), model.curve
+        n = len(model.evidence)
+        self.evidence = _Evidence(np.fromiter(model.evidence, np.int64, n), np.fromiter(model.evidence.values(), float, n))
 
     def features(self, text: str) -> tuple[float, float, float]:
         """The strongest evidence of any word, that of all distinct words, and their number, dampened."""
-        known = self.words
-        words = self.restore.words(text)
-        values = [self._word(word) if (value := known.get(word)) is None else value for word in words]
-        return _summed(values)
+        return _summed([float(v) for v in self.evidence.of(self.restore.words(text))])
 
     def score(self, text: str) -> float:
         z = self.curve @ (1.0, *self.features(text))
@@ -364,28 +404,13 @@ def train(
     top = strong.orderBy(F.desc(F.greatest(*names)), "part").limit(MAX_PARTS).toArrow()
     of = [top.column(c).to_numpy() for c in ("part", *names)]
 
-    order = np.argsort(of[0])
-    keys, weights = of[0][order], np.column_stack(of[2:])[order]  # of the documents outside each fold
+    weights = np.column_stack(of[2:])  # of the documents outside each fold
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-
-        def evidence(word: str) -> np.ndarray:
-            value = known.get(word)
-            if value is None:
-                hashes = np.fromiter(parts(word), np.int64)
-                at = np.searchsorted(keys, hashes)
-                at, hashes = at[at < len(keys)], hashes[at < len(keys)]
-                value = weights[at[keys[at] == hashes]].max(axis=0, initial=0.0)
-                if len(word) <= REMEMBERED:
-                    if len(known) >= WORDS:
-                        known.clear()
-                    known[word] = value
-            return value
-
+        evidence = _Evidence(of[0], weights)
         for batch in batches:
             rows = zip(batch.column("words").to_pylist(), batch.column("fold").to_pylist())
-            values = [_summed([float(evidence(w)[k]) for w in words]) for words, k in rows]
+            values = [_summed([float(v[k]) for v in evidence.of(words)]) for words, k in rows]
             arrays = [pa.array([v[k] for v in values], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column("y")], names=["best", "total", "words", "y"])
 
@@ -423,7 +448,6 @@ def _adds(text: str, y: int, share: float) -> list[int]:
 
 def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of parts, added up over the documents that are gathered at once."""
-    known: dict[str, np.ndarray] = {}
     gathered: list[np.ndarray] = []
     rows: list[list[int]] = []
     size = 0
@@ -446,7 +470,7 @@ def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A part counts once a document: one of very many words gathers its parts by classes of their hash.
             classes = -(-len(words) // WORDS_AT_ONCE)
             for c in range(classes):
-                some = (_hashes(w, known) for w in words)
+                some = (part_hashes(words[at : at + WORDS_AT_ONCE])[0] for at in range(0, len(words), WORDS_AT_ONCE))
                 found = np.unique(np.concatenate([h if classes == 1 else h[h % classes == c] for h in some]))
                 gathered.append(found)
                 rows.append(add)
