@@ -91,3 +91,29 @@ def test_splits_of_a_pipeline_are_one(spark, hour):
     kept = spark.createDataFrame(rows, "pipeline string, split int, ts_ms array<bigint>, event_id array<bigint>, latency_ms array<double>, status array<int>")
     assert sorted(r["event_id"] for r in current_samples(kept, 2, hour).collect()) == [2, 3]
     assert sorted(r["event_id"] for r in current_samples(kept, 9, hour).collect()) == ([2, 3, 4] if hour else [1, 2, 3, 4])
+
+
+def test_samples_stay_without_expiry(spark, tmp_path):
+    """The latest of a pipeline stay, however far another one is ahead, and an old event still counts."""
+    inbox, where, state = (str(tmp_path / x) for x in ("inbox", "table", "state"))
+    batches = [[(i, "old", 1_000 * i, 1.0, 200) for i in range(9)], [(50, "new", 9 * H, 2.0, 200)], [(60, "old", 4_500, 3.0, 500), (61, "new", 1, 3.0, 200)]]
+    for k, rows in enumerate(batches):
+        write(spark, rows, inbox if k < 2 else f"{inbox}2")
+        stream = spark.readStream.schema(f"{KIND}, ts timestamp").parquet(inbox if k < 2 else f"{inbox}2")
+        jobs.start_last_samples(stream, where, state if k < 2 else f"{state}2", 5, expiry=None).awaitTermination()
+    got = {(r["pipeline"], r["event_id"]) for r in jobs.read_samples(spark, where, 5, hour=False).collect()}
+    assert got == {("old", 8), ("old", 7), ("old", 6), ("old", 5), ("old", 60), ("new", 50), ("new", 61)}
+
+
+def test_rows_are_cut_before_the_state(spark, monkeypatch):
+    from tapewire.streaming import samples
+
+    monkeypatch.setattr(samples, "HELD", 64)
+    rows = [(f"p{i % 3}", i % 2, 7 * i % 50, i, 1.0, None if i % 5 else 200) for i in range(400)]
+    df = spark.createDataFrame(rows, "pipeline string, split int, ts_ms bigint, event_id bigint, latency_ms double, status int").coalesce(1)
+    got = {tuple(r) for r in samples.cut_samples(df, 4).collect()}
+    best = {}
+    for r in rows:
+        best.setdefault(r[:2], []).append(r)
+    want = {r for own in best.values() for r in sorted(own, key=lambda r: (-r[2], -r[3]))[:4]}
+    assert want <= got and len(got) < 200
