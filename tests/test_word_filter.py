@@ -52,3 +52,14 @@ def test_a_very_long_text_and_an_empty_dictionary(spark):
     table = spark.createDataFrame([("A", "b ab a"), ("A", "zz")], "category string, keyword string")
     (row,) = keywords.table_hits(df, table, "text").collect()
     assert len(row["matches"]) == 149_999
+
+
+def test_hits_move_once(spark):
+    from tapewire.operators import keywords
+
+    words = spark.createDataFrame([("A", "ab"), ("A", "abcd"), ("A", "cd"), ("B", "b")], "category string, keyword string")
+    texts = spark.createDataFrame([(1, "abcd ab cd abc")], "doc_id int, text string")
+    hits = keywords.table_hits(texts, words, "text")
+    assert {r["category"]: r["matches"] for r in hits.collect()} == {"A": ["abcd", "ab", "cd", "ab"], "B": ["b"] * 3}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
