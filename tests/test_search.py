@@ -230,3 +230,24 @@ def test_a_page_shows_what_it_hit(spark):
     assert got["a"]["hl_title"] == "a <em>license</em>" and got["a"]["hl_description"] is None and got["a"]["hl_source"] is None
     assert got["a"]["hl_content"].endswith("the <em>licence</em>") and len(got["a"]["hl_content"]) < 170
     assert got["b"]["hl_key_phrases"] == "<em>licensed</em>" and got["b"]["hl_source"] == "<em>licens</em>"
+
+
+def test_tokens_are_counted_without_moving_them(spark):
+    kind = "doc_id string, title string, content string"
+    rows = [("a", "one two one", "x y"), ("a", "two three", None), ("b", "four four", ""), (None, "five", "z z"), (None, "five six", None)]
+    df = spark.createDataFrame(rows, kind)
+    counts = search.token_counts(df, ("title", "content"))
+    got = {(r["doc_id"], r["field"]): (r["tokens"], r["terms"]) for r in counts.collect()}
+    assert got == {("a", "title"): (5, 3), ("a", "content"): (2, 2), ("b", "title"): (2, 1), (None, "title"): (3, 2), (None, "content"): (2, 1)}
+    plan = search.tokenize(df, ("title",), distinct="n").groupBy("doc_id").agg({"n": "sum"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_saved_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(f"d{i}", f"word{i} and more", "src") for i in range(9)], "doc_id string, title string, source string")
+    seen, parquet = [], type(df.write).parquet
+    monkeypatch.setattr(type(df.write), "parquet", lambda self, path, *a, **k: (seen.append((path, self._df)), parquet(self, path, *a, **k))[1])
+    search.write_index(search.build_index(df, ("title",)), str(tmp_path / "index"), buckets=4)
+    (postings,) = [d for path, d in seen if path.endswith("/postings")]
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Rebalance" not in plan and "Sort" not in plan
