@@ -18,8 +18,9 @@ import math
 import os
 import pickle
 import re
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ FOLDS, DEALS = 5, 8
 RATIOS, NEAR, BITS = np.arange(0, 60, 0.25), 4, 20
 #: Word parts are whole words and their runs of this many characters, edges included.
 PART_LENGTHS = (4, 5, 6)
-#: Words a task remembers, of so many characters at most.
-WORDS, REMEMBERED = 300_000, 64
+#: Words a task remembers, of so many characters at most; characters of texts that are scored together.
+WORDS, REMEMBERED, TOGETHER = 300_000, 64, 1 << 20
 
 # Signs and the letters they may stand for.
 LOOKALIKES = {
@@ -74,6 +75,8 @@ DISGUISED = re.compile(rf"{_KEPT_APART.pattern}|[\w{_SIGN}]++")
 #: model chooses between the plain and the restored reading.
 _SUSPECT = re.compile(rf"[{_SIGN} .~-]|([a-z])\1|^.(?:_+.){{2,}}$")
 _SPAN = re.Match.group
+_RUN = re.compile(rf"[\w{_SIGN}]++")
+_SAID_AGAIN = re.compile(r"([a-z])\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -89,12 +92,19 @@ def letter_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SYMBOLS**3, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for text in batch.column(0):
                 s = _CLASS[np.frombuffer(f"  {text.as_py()} ".encode(), np.uint8)]
                 s = s[np.append(True, (s[1:] != _EDGE) | (s[:-1] != _EDGE))]  # one edge between words
-                s = np.insert(s, 0, _EDGE)
-                counts += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=len(counts))
+                s = np.append(_EDGE, s)
+                held.append((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                    held, size = [], 0
+        counts += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=len(counts))
         codes = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts[codes])], names=["code", "n"])
 
@@ -125,36 +135,44 @@ def decode(span: str, model: np.ndarray | list[float]) -> str:
     beams: dict[int, tuple[float, str]] = {_EDGE * SYMBOLS + _EDGE: (0.0, "")}
     settled: list[str] = []
     for i, c in enumerate(span):
-        before, behind = span[i - 1 : i], span[i + 1 : i + 2]
-        own, signs = _CODE.get(c), LOOKALIKES.get(c, "")
-        inside = behind in _CODE and before != "" and before not in SEPARATORS
-        swap = SWAP if c in MARKS and not inside else 0.0
-        reads = [(own, c, 0.0)] if own is not None else [(_CODE[r], r, swap) for r in signs]
-        other = len(c.encode()) if own is None and c.isalpha() else 0  # a letter that is not a to z
-        passed = (0.0 if before and before in SEPARATORS else APART) if c in SEPARATORS or not (reads or other) else None
-        again = AGAIN if own is not None else AGAIN + SWAP  # two signs are rather two letters
-        plain = SPLIT if c in SEPARATORS else 0.0 if c in MARKS else PLAIN
-        after: dict[int, tuple[float, str]] = {}
-        for state, (score, read) in beams.items():
-            last = state % SYMBOLS
-            ways = [(last * SYMBOLS + s, score + cost + flat[state * SYMBOLS + s], read + r) for s, r, cost in reads]
-            ways += [(state, score + cost + again, read) for s, _, cost in reads if s == last]
-            if other:
-                to, value = state, score
-                for _ in range(other):
-                    value += flat[to * SYMBOLS + _OTHER]
-                    to = to % SYMBOLS * SYMBOLS + _OTHER
-                ways.append((to, value, read + c))
-            elif own is None:
-                if passed is not None:
-                    ways.append((state, score + passed, read))
-                if last != _EDGE:
-                    ways.append((last * SYMBOLS + _EDGE, score + plain + flat[state * SYMBOLS + _EDGE], read + " "))
-                else:
-                    ways.append((state, score + (0.0 if c in SEPARATORS else plain), read))
-            for to, value, text in ways:
+        own, after = _CODE.get(c), {}
+        if own is not None:
+            for state, (score, read) in beams.items():
+                last = state % SYMBOLS
+                to, value = last * SYMBOLS + own, score + flat[state * SYMBOLS + own]
                 if to not in after or value > after[to][0]:
-                    after[to] = value, text
+                    after[to] = value, read + c
+                if own == last and (state not in after or score + AGAIN > after[state][0]):
+                    after[state] = score + AGAIN, read
+        else:
+            before, behind = span[i - 1 : i], span[i + 1 : i + 2]
+            inside = behind in _CODE and before != "" and before not in SEPARATORS
+            swap = SWAP if c in MARKS and not inside else 0.0
+            reads = [(_CODE[r], r) for r in LOOKALIKES.get(c, "")]
+            other = len(c.encode()) if c.isalpha() else 0  # a letter that is not a to z
+            passed = (0.0 if before and before in SEPARATORS else APART) if c in SEPARATORS or not (reads or other) else None
+            again = AGAIN + SWAP  # two signs are rather two letters
+            plain = SPLIT if c in SEPARATORS else 0.0 if c in MARKS else PLAIN
+            for state, (score, read) in beams.items():
+                last = state % SYMBOLS
+                ways = [(last * SYMBOLS + s, score + swap + flat[state * SYMBOLS + s], read + r) for s, r in reads]
+                ways += [(state, score + swap + again, read) for s, _ in reads if s == last]
+                if other:
+                    to, value = state, score
+                    for _ in range(other):
+                        value += flat[to * SYMBOLS + _OTHER]
+                        to = to % SYMBOLS * SYMBOLS + _OTHER
+                    ways.append((to, value, read + c))
+                else:
+                    if passed is not None:
+                        ways.append((state, score + passed, read))
+                    if last != _EDGE:
+                        ways.append((last * SYMBOLS + _EDGE, score + plain + flat[state * SYMBOLS + _EDGE], read + " "))
+                    else:
+                        ways.append((state, score + (0.0 if c in SEPARATORS else plain), read))
+                for to, value, text in ways:
+                    if to not in after or value > after[to][0]:
+                        after[to] = value, text
         beams = after
         if i % 64 == 63:
             same = os.path.commonprefix([read for _, read in beams.values()])
@@ -164,44 +182,64 @@ def decode(span: str, model: np.ndarray | list[float]) -> str:
     return "".join([*settled, best]).strip()
 
 
-def _remembered(known: dict, key: str, room: int, value: Callable):
-    found = known.get(key)
-    if found is None:
-        found = value()
-        if len(key) <= REMEMBERED:
-            if len(known) >= room:
-                known.clear()
-            known[key] = found
-    return found
-
-
 class Restorer:
     """Reads texts in lower case, every span that may be disguised by `decode`."""
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.ravel().tolist()
-        self.known: dict[str, tuple[str, ...]] = {}  # of tokens
-        self.spans: dict[str, tuple[str, ...]] = {}  # of what tokens hold
+        every = np.arange(SYMBOLS)
+        # Between letters x and e, a letter that is said twice is likelier meant once: by x, letter, e.
+        kept = model[:, every, every][:, :, None] + model[every, every, :][None]
+        self.once = (AGAIN + model > kept).ravel().tolist()
+        self.plain: set[str] = set()  # runs that are read as they stand, as one word
+        self.spans: dict[str, tuple[str, ...]] = {}  # words of other spans
 
     def _read(self, span: str) -> str:
         if any(x in _CODE for x in span) and _SUSPECT.search(span):
             return f" {decode(span, self.model)} "
         return span
 
-    def _of_span(self, span: str) -> tuple[str, ...]:
-        return _remembered(self.spans, span, WORDS, lambda: tuple(_WORD.findall(self._read(span))))
+    def _of_letters(self, span: str) -> str | None:
+        """What `decode` finds in letters of which none stands more than twice: the two paths of a
+        doubled letter meet at the next letter, so each is settled by its neighbours."""
+        out, at = [], 0
+        for m in _SAID_AGAIN.finditer(span):
+            i, j = m.span()
+            if j - i > 2:
+                return None
+            x = _CODE.get(span[i - 1], _OTHER) if i else _EDGE
+            e = _CODE.get(span[j], _OTHER) if j < len(span) else _EDGE
+            if self.once[(x * SYMBOLS + _CODE[span[i]]) * SYMBOLS + e]:
+                out.append(span[at : j - 1])
+                at = j
+        return "".join([*out, span[at:]])
 
-    def _words(self, token: str) -> tuple[str, ...]:
-        return _remembered(self.known, token, WORDS // 2, lambda: tuple({w for span in DISGUISED.findall(token) for w in self._of_span(span)}))
+    def _of_span(self, span: str) -> tuple[str, ...]:
+        read = self._of_letters(span) if span.isalpha() else None
+        short = len(span) <= REMEMBERED
+        if read == span:
+            if short:
+                if len(self.plain) >= WORDS:
+                    self.plain.clear()
+                self.plain.add(span)
+            return (span,)
+        found = (read,) if read is not None else tuple(_WORD.findall(self._read(span)))
+        if short:
+            if len(self.spans) >= WORDS // 3:
+                self.spans.clear()
+            self.spans[span] = found
+        return found
 
     def words(self, text: str) -> set[str]:
-        """The distinct words of the restored text; a token met before is not read again."""
-        known, out, text = self.known, set(), text.lower()
-        # Only letters that are kept apart reach over white space.
-        tokens = text.split() if _KEPT_APART.search(text) is None else map(_SPAN, DISGUISED.finditer(text))
-        for token in set(tokens):
-            found = known.get(token)
-            out.update(self._words(token) if found is None else found)
+        """The distinct words of the restored text; a span met before is not read again."""
+        text = text.lower()
+        # Only letters that are kept apart reach over more than a run.
+        spans = set(_RUN.findall(text) if _KEPT_APART.search(text) is None else map(_SPAN, DISGUISED.finditer(text)))
+        out = spans & self.plain
+        known = self.spans
+        for span in spans - out if out else spans:
+            found = known.get(span)
+            out.update(self._of_span(span) if found is None else found)
         return out
 
     def __call__(self, text: str) -> str:
@@ -212,26 +250,24 @@ class Restorer:
 # --- words and their parts ----------------------------------------------------------------------
 
 
-def part_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of their parts, word by word, and where each word's begin."""
-    lengths = np.array([len(w) + 2 for w in words], np.int64)
-    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+def part_hashes(words: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of their parts, and whose they are (numbers of words)."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le"), "<u4").astype(np.uint64)
     ends, own = np.repeat(np.cumsum(lengths), lengths), np.repeat(np.arange(len(words)), lengths)
     # A word as long as a part is that part.
-    whole = [i for i, n in enumerate(lengths.tolist()) if n not in PART_LENGTHS]
-    found = [np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in whole), np.uint64, len(whole))]
-    of = [np.array(whole, np.int64)]
+    whole = ~np.isin(lengths, PART_LENGTHS)
+    of = [np.flatnonzero(whole)]
+    found = [np.fromiter(map(xxhash.xxh3_64_intdigest, compress(words, whole.tolist())), np.uint64, len(of[0]))]
     total = np.zeros(len(codes), np.uint64)
     for n in range(1, min(max(PART_LENGTHS), len(codes)) + 1):
         size = len(codes) - n + 1
         total = _mixed(total[:size] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :])
         if n in PART_LENGTHS:
-            inside = np.flatnonzero(np.arange(size) + n <= ends[:size])
+            inside = np.flatnonzero(np.arange(n, size + n) <= ends[:size])
             found.append(_mixed(total[inside] + np.uint64(n)))
             of.append(own[inside])
-    owners = np.concatenate(of)
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate(found)[order].view(np.int64), np.searchsorted(owners[order], np.arange(len(words)))
+    return np.concatenate(found).view(np.int64), np.concatenate(of)
 
 
 def parts(word: str) -> set[int]:
@@ -246,32 +282,40 @@ class _Evidence:
     def __init__(self, keys: np.ndarray, weights: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.weights = keys[order], weights[order]
-        self.known: dict[str, np.ndarray | float] = {}
-
-    def _found(self, words: list[str]) -> list:
-        hashes, starts = part_hashes(words)
+        self.low = (1 << max(10, (8 * len(keys)).bit_length())) - 1
+        self.marked = np.zeros(self.low + 1, bool)  # the low bits of the keys: few other parts have them
+        self.marked[keys & self.low] = True
+        self.known: dict[str, int] = {}  # rows of found
+        self.found = np.zeros((0, *weights.shape[1:]))
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), *self.weights.shape[1:]))
+        hashes, of = part_hashes(words)
+        some = np.flatnonzero(self.marked[hashes & self.low])
+        hashes = hashes[some]
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[at] == hashes)
-        values = np.zeros((len(hashes), *self.weights.shape[1:]))
-        values[hit] = self.weights[at[hit]]
-        found = np.maximum.reduceat(values, starts, axis=0)
-        return found.tolist() if found.ndim == 1 else list(found)
+        np.maximum.at(out, of[some[hit]], self.weights[at[hit]])
+        return out
 
-    def of(self, words: Collection[str]) -> list:
-        """The evidence of each word."""
-        known = self.known
+    def of(self, texts: list[Collection[str]]) -> Iterator[np.ndarray]:
+        """The evidence of the words of each text, a row a word."""
         if not len(self.keys):
-            return [np.zeros(self.weights.shape[1:])] * len(words)
-        out = {w: known.get(w) for w in words}
-        new = [w for w, value in out.items() if value is None]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            some = new[at : at + WORDS_AT_ONCE]
-            out.update(zip(some, self._found(some)))
-        if len(known) + len(new) > WORDS:
+            yield from (np.zeros((len(words), *self.weights.shape[1:])) for words in texts)
+            return
+        known = self.known
+        new = list(set().union(*texts).difference(known))
+        if len(self.found) and len(self.found) + len(new) > WORDS:
             known.clear()
-        if len(new) <= WORDS:
-            known.update((w, out[w]) for w in new if len(w) <= REMEMBERED)
-        return list(out.values())
+            self.found = self.found[:0]
+            new = list(set().union(*texts))
+        known.update(zip(new, range(len(self.found), len(self.found) + len(new))))
+        blocks = [self._look_up(new[at : at + WORDS_AT_ONCE]) for at in range(0, len(new), WORDS_AT_ONCE)]
+        self.found = np.concatenate([self.found, *blocks])
+        for words in texts:
+            yield self.found[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        for word in [w for w in new if len(w) > REMEMBERED]:
+            del known[word]
 
 
 def _summed(values: list[float]) -> tuple[float, float, float]:
@@ -282,6 +326,19 @@ def _summed(values: list[float]) -> tuple[float, float, float]:
     return max(values, default=0.0), math.log1p(math.fsum(values)), math.log1p(len(values))
 
 
+def _together(texts: Iterable[str], length: Callable[[str], int] = len) -> Iterator[list[str]]:
+    """Consecutive texts of about TOGETHER characters in all, or one that is longer."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += length(text)
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @dataclass
 class Model:
     """What scoring needs: the letters, the parts' evidence, and the curve."""
@@ -299,11 +356,18 @@ class Scorer:
 
     def features(self, text: str) -> tuple[float, float, float]:
         """The strongest evidence of any word, that of all distinct words, and their number, dampened."""
-        return _summed([float(v) for v in self.evidence.of(self.restore.words(text))])
+        return next(self._features([text]))
+
+    def _features(self, texts: Iterable[str]) -> Iterator[tuple[float, float, float]]:
+        return (_summed(values.tolist()) for values in self.evidence.of([self.restore.words(t) for t in texts]))
 
     def score(self, text: str) -> float:
-        z = self.curve @ (1.0, *self.features(text))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        return self.scores([text])[0]
+
+    def scores(self, texts: Iterable[str]) -> list[float]:
+        """Scores of texts; those that stand together share the look-up of their words."""
+        z = [float(self.curve @ (1.0, *found)) for some in _together(texts) for found in self._features(some)]
+        return [1 / (1 + math.exp(-max(-500.0, min(500.0, v)))) for v in z]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -376,12 +440,12 @@ def train(
         for batch in batches:
             texts, ys = batch.column("_text").to_pylist(), batch.column("_y").to_pylist()
             adds = np.array([_adds(t, y, share) for t, y in zip(texts, ys)], np.int64).reshape(-1, _LONGS)
-            arrays = [pa.array([sorted(restore.words(t)) for t in texts], pa.list_(pa.string())), pa.array(map(_fold, texts), pa.int32())]
+            arrays = [pa.array([" ".join(sorted(restore.words(t))) for t in texts], pa.string()), pa.array(map(_fold, texts), pa.int32())]
             arrays += [batch.column("_y"), *(pa.array(adds[:, k]) for k in range(_LONGS))]
             yield pa.RecordBatch.from_arrays(arrays, names=["words", "fold", "y", *_ADDS])
 
     counts_kind = ", ".join(f"{c} bigint" for c in _ADDS)
-    learn = saved(learn.select("_text", "_y").mapInArrow(read, f"words array<string>, fold int, y int, {counts_kind}"), "read")
+    learn = saved(learn.select("_text", "_y").mapInArrow(read, f"words string, fold int, y int, {counts_kind}"), "read")
     found = learn.select("words", *_ADDS).mapInArrow(_count_parts, f"part bigint, {counts_kind}")
     found = saved(found.groupBy("part").agg(*(F.sum(c).alias(c) for c in _ADDS)), "parts")
     sizes = learn.groupBy("fold", "y").count().collect()
@@ -409,8 +473,9 @@ def train(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = _Evidence(of[0], weights)
         for batch in batches:
-            rows = zip(batch.column("words").to_pylist(), batch.column("fold").to_pylist())
-            values = [_summed([float(v[k]) for v in evidence.of(words)]) for words, k in rows]
+            folds = iter(batch.column("fold").to_pylist())
+            some = _together(_lists(batch.column("words")), lambda words: 8 * len(words))
+            values = [_summed(v[:, next(folds)].tolist()) for words in some for v in evidence.of(words)]
             arrays = [pa.array([v[k] for v in values], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column("y")], names=["best", "total", "words", "y"])
 
@@ -427,7 +492,8 @@ def train(
 _COUNTS = 2 * FOLDS + DEALS
 _LONGS = -(-_COUNTS // 3)
 _ADDS = [f"c{k}" for k in range(_LONGS)]
-#: Parts that a task gathers before it adds them up, and words of a text whose parts are gathered at once.
+#: Parts of the distinct words that a task gathers before it adds them up, and words of a text whose parts are
+#: gathered at once.
 GATHERED, WORDS_AT_ONCE = 1_000_000, 20_000
 
 
@@ -446,39 +512,57 @@ def _adds(text: str, y: int, share: float) -> list[int]:
     return out
 
 
+def _lists(column: pa.Array) -> Iterator[list[str]]:
+    """The words of each row, held as a list or in one string."""
+    return (row.as_py().split() if pa.types.is_string(row.type) else row.as_py() for row in column)
+
+
 def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of parts, added up over the documents that are gathered at once."""
-    gathered: list[np.ndarray] = []
-    rows: list[list[int]] = []
+    held: dict[str, int] = {}  # distinct words of the documents gathered, numbered
+    rows: list[tuple[np.ndarray, list[int]]] = []
     size = 0
 
+    def batch_of(part: np.ndarray, sums: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, sums)], names=["part", *_ADDS])
+
     def added() -> pa.RecordBatch:
-        keys = np.concatenate(gathered)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        of = np.repeat(np.arange(len(gathered)), [len(g) for g in gathered])[order]
-        table = np.array(rows, np.int64)
-        sums = [pa.array(np.add.reduceat(table[:, k][of], starts)) for k in range(_LONGS)]
-        gathered.clear()
+        hashes, owners = part_hashes(held)
+        part, place = np.unique(hashes, return_inverse=True)
+        order = np.argsort(owners, kind="stable")
+        place, starts = place[order], np.searchsorted(owners[order], np.arange(len(held) + 1))
+        sums, last = np.zeros((len(part), _LONGS), np.int64), np.zeros(len(part), np.int64)
+        for words, add in rows:
+            first, n = starts[words], starts[words + 1] - starts[words]
+            number = np.arange(n.sum())
+            its = place[np.repeat(first - np.cumsum(n) + n, n) + number]
+            last[its] = number
+            sums[its[last[its] == number]] += add  # a part counts once a document
+        held.clear()
         rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), *sums], names=["part", *_ADDS])
+        return batch_of(part, list(sums.T))
 
     for batch in batches:
         adds = zip(*(batch.column(c).to_pylist() for c in _ADDS))
-        for words, add in zip((w.as_py() for w in batch.column("words")), adds):
-            # A part counts once a document: one of very many words gathers its parts by classes of their hash.
-            classes = -(-len(words) // WORDS_AT_ONCE)
+        for words, add in zip(_lists(batch.column("words")), adds):
+            new = [w for w in words if w not in held]
+            size += sum(map(len, new)) * len(PART_LENGTHS)
+            if size >= GATHERED or len(words) > WORDS_AT_ONCE:
+                if rows:
+                    yield added()
+                new, size = words, sum(map(len, words)) * len(PART_LENGTHS)
+            if size < GATHERED and len(words) <= WORDS_AT_ONCE:
+                if words:
+                    held.update(zip(new, range(len(held), len(held) + len(new))))
+                    rows.append((np.fromiter(map(held.__getitem__, words), np.int64, len(words)), add))
+                continue
+            # One of very many words gathers its parts by classes of their hash.
+            size, classes = 0, -(-len(words) // WORDS_AT_ONCE)
             for c in range(classes):
                 some = (part_hashes(words[at : at + WORDS_AT_ONCE])[0] for at in range(0, len(words), WORDS_AT_ONCE))
                 found = np.unique(np.concatenate([h if classes == 1 else h[h % classes == c] for h in some]))
-                gathered.append(found)
-                rows.append(add)
-                size += len(found)
-                if size >= GATHERED:
-                    yield added()
-                    size = 0
-    if gathered:
+                yield batch_of(found, [np.full(len(found), n, np.int64) for n in add])
+    if rows:
         yield added()
 
 
@@ -535,7 +619,7 @@ def _evidence(batch: pa.RecordBatch, docs: np.ndarray, chance: np.ndarray) -> np
     return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _loaded(pickled: bytes) -> Scorer:
     return Scorer(pickle.loads(pickled))
 
@@ -552,7 +636,7 @@ def score(spark: SparkSession, df: DataFrame, model: Model, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _loaded(sent.value)
         for batch in batches:
-            scores = [scorer.score(t.as_py()) for t in batch.column("text")]
+            scores = scorer.scores(t.as_py() for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])
 
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -206,3 +206,26 @@ def test_two_runs_score_alike_and_copies_do_not_matter(spark, learned):
     mixed = docs.union(copies)
     first, second = (toxicity.train(df, marks, rows="{id} % 5 <> 0") for df in (mixed, mixed.repartition(7)))
     assert first.evidence == second.evidence and np.array_equal(first.curve, second.curve)
+
+
+def test_doubled_letters_are_settled_without_decoding(learned, monkeypatch):
+    model, rng = learned[2], random.Random(21)
+    spans = ["".join(rng.choice("abeelloté") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    spans = [s for s in spans if all(len(list(run)) < 3 or c == "é" for c, run in itertools.groupby(s))]
+    want = {s: {toxicity.decode(s, model.letters)} if toxicity._SUSPECT.search(s) else {s} for s in spans}
+    assert sum(w != {s} for s, w in want.items()) > 50
+    monkeypatch.setattr(toxicity, "decode", lambda *_: pytest.fail("a doubled letter went through the decoder"))
+    restore = toxicity.Restorer(model.letters)
+    assert all(restore.words(s) == w for s, w in want.items())
+
+
+def test_words_of_texts_that_stand_together_are_looked_up_once(learned, monkeypatch):
+    rng = random.Random(22)
+    texts = [prose(rng, rng.randint(0, 40)) + rng.choice([" gr1bble", " snarkon", ""]) for _ in range(60)] + ["", "the" * 40]
+    model, calls, hashed = learned[2], [], toxicity.part_hashes
+    want = [toxicity.Scorer(model).score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "part_hashes", lambda words: calls.append(len(words)) or hashed(words))
+    assert toxicity.Scorer(model).scores(texts) == want and len(calls) == 1
+    monkeypatch.setattr(toxicity, "WORDS", 50)  # whatever is remembered
+    monkeypatch.setattr(toxicity, "TOGETHER", 300)
+    assert toxicity.Scorer(model).scores(texts) == want
