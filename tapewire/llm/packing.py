@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ GRAIN, DEPTH = 32, 3
 #: A gap below this many tokens is left as padding; no piece is cut shorter.
 LEAST_CUT = 16
 #: Bytes of text a shard holds on average; words a task remembers.
-SHARD_BYTES, WORDS = 32 << 20, 300_000
+SHARD_BYTES, WORDS = 32 << 20, 400_000
 #: Bits of a sequence number within its shard.
 LOCAL_BITS = 32
 
@@ -39,16 +40,26 @@ LOCAL_BITS = 32
 # --- token ids ----------------------------------------------------------------------------------
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
-    """The ids of a word between white space as little-endian 32-bit numbers, looked up once.
+    """The ids of a run of letters, a digit or a run of signs (lower case) as little-endian 32-bit
+    numbers, looked up once.
 
-    For vocabularies whose tokens never span white space, which is dropped.  ASCII words go
-    straight to the merges, run by run of letters; all others through the whole tokenizer.
+    For vocabularies whose tokens never span white space, which is dropped.  Texts of ASCII and of
+    Latin-1 letters, which are composed already, go straight to the merges, run by run; of others
+    only such words do, the rest goes through the whole tokenizer.
     """
 
-    RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+    SIMPLE = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*+")
+    #: The vocabulary's pattern, for simple texts.
+    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
     #: White space of the vocabulary's pattern; Python also splits at four control characters.
     SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    #: How the vocabulary writes the bytes of UTF-8 that are no Latin-1 sign: from 7F to A0 one after the other.
+    BYTES = {b: 0x121 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 0x143}
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -57,28 +68,35 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of texts that are not simple
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, run: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        if word.isascii() and word.isprintable() and "'" not in word and "<|" not in word:
-            ids = b"".join([self.runs.get(r) or self._run(r) for r in self.RUNS.findall(word.lower())])
-        else:
-            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        written = run if run.isascii() else run.encode().decode("latin-1").translate(self.BYTES)
+        ids = self[run] = _packed([t.id for t in self.model.tokenize(written)])
         return ids
 
-    def _run(self, run: str) -> bytes:
-        if len(self.runs) >= WORDS:
-            self.runs.clear()
-        ids = self.runs[run] = np.asarray([t.id for t in self.model.tokenize(run)], "<u4").tobytes()
+    def _simple(self, text: str) -> bool:
+        return self.SIMPLE.fullmatch(text) is not None and "<|" not in text
+
+    def _runs(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.RUNS.findall(text.lower())))
+
+    def _word(self, word: str) -> bytes:
+        if len(self.words) >= WORDS // 2:
+            self.words.clear()
+        simple = self._simple(word)
+        ids = self.words[word] = self._runs(word) if simple else _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         return ids
 
     def encode(self, text: str) -> np.ndarray:
+        if self._simple(text):
+            return np.frombuffer(self._runs(text), "<u4")
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         words = [w for w in self.SPACE.split(text) if w] if odd else text.split()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+        known = self.words
+        return np.frombuffer(b"".join([known.get(w) or self._word(w) for w in words]), "<u4")
 
 
 @functools.cache

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tapewire.llm import packing
 from tapewire.llm.packing import nnls, pack, plan, word_ids
 
 
@@ -80,3 +81,13 @@ def test_pieces_of_documents(spark, docs, nothing, vocabulary):
             at += r.length
         assert at <= 256
     assert pack(nothing, path, end_id=2).collect() == []
+
+
+def test_latin_letters_go_to_the_merges_run_by_run(vocabulary, monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    words = packing.WordIds(path)
+    text = "Été, l'ÉTÉ naïve: don't STRASSE straße 12 øx ÿ'S \t a-'ll"
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(words, "tokenizer", None)
+    monkeypatch.setattr(packing, "WORDS", 3)  # whatever is remembered
+    assert words.encode(text).tolist() == want and words.encode(text).tolist() == want
