@@ -302,9 +302,9 @@ def audit(
         "transducers",
     )
     counts = _empty_counts(spark)
-    for wave in _waves(machines):
-        counts = counts.unionByName(saved(_counts(plain, wave), "recounted"))
-    counts = saved(counts.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")), "term_counts")
+    for wave in _waves(machines):  # an ordinal is counted by one wave
+        found = _counts(plain, wave).groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
+        counts = counts.unionByName(saved(found, "term_counts"))
 
     of_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     of_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))

@@ -126,3 +126,13 @@ def test_terms_of_a_batch_keep_to_their_texts():
     assert got == [(i, w) for i, t in enumerate(texts) for w in TERM.findall(t.lower())]
     empty = pa.array([], pa.binary())
     assert list(_words(empty)) == []
+
+
+def test_counts_are_summed_before_they_are_kept(spark, monkeypatch):
+    kept, saved = [], source_divergence.saved
+    monkeypatch.setattr(source_divergence, "saved", lambda df, name: kept.append(saved(df, name)) or kept[-1])
+    rows = [(i, "the on ti", "en", f"s{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").repartition(4)
+    assert source_divergence.audit(docs, least=3, top=5).count() > 0
+    counts = [df for df in kept if df.columns == ["lang", "source", "ordinal", "n"]]
+    assert counts and all(df.count() == 6 for df in counts)
