@@ -112,6 +112,27 @@ def best_category(pairs: Column, field: str = "score") -> Column:
     return F.array_max(_ranked(pairs, lambda p: p[field]))
 
 
+def with_keyword_scores(df: DataFrame, dictionary: Dictionary, text_col: str = "text", out: str = "keyword_scores") -> DataFrame:
+    """Adds ``(category, score)`` for the 14 categories, 0 without match.
+
+    `needs_model` and `classify` take the name of this column as ``scores``; a text that goes
+    through both is then scanned once.
+    """
+    staged = with_keyword_stats(df, dictionary, text_col, "_entries")
+    scores = F.transform(
+        "_entries",
+        lambda e: F.struct(
+            e["category"].alias("category"),
+            F.coalesce(keyword_score(e["stats"]), F.lit(0.0)).alias("score"),
+        ),
+    )
+    return staged.withColumn(out, once(scores)).drop("_entries")
+
+
+def _with_scores(df: DataFrame, dictionary: Dictionary, text_col: str, scores: str | None) -> DataFrame:
+    return df.withColumnRenamed(scores, "_kw") if scores else with_keyword_scores(df, dictionary, text_col, "_kw")
+
+
 def classify(
     df: DataFrame,
     dictionary: Dictionary,
@@ -119,6 +140,7 @@ def classify(
     key: str = "doc_id",
     text_col: str = "text",
     confidence_col: str = "confidence",
+    scores: str | None = None,
 ) -> DataFrame:
     """Adds ``category``, ``category_confidence``, ``method`` and ``breakdown``.
 
@@ -127,21 +149,13 @@ def classify(
     confidence get the first category with any keyword.
 
     ``model`` is a table made by `model_table`.  It is joined after the text was
-    scanned, so a caller who does not keep the text does not shuffle it.
+    scanned, so a caller who does not keep the text does not shuffle it.  ``scores`` names a
+    column of `with_keyword_scores`, which is dropped.
     """
     conf = F.col(confidence_col)
-    staged = with_keyword_stats(df, dictionary, text_col, "_entries")
-    scores = F.transform(
-        "_entries",
-        lambda e: F.struct(
-            e["category"].alias("category"),
-            F.coalesce(keyword_score(e["stats"]), F.lit(0.0)).alias("score"),
-        ),
-    )
+    staged = _with_scores(df, dictionary, text_col, scores)
     usable = F.col("_usable")
-    staged = staged.withColumns(
-        {"_kw": once(scores), "_usable": once(long_enough(F.col(text_col), MODEL_MIN_CHARS))}
-    ).drop("_entries")
+    staged = staged.withColumn("_usable", once(long_enough(F.col(text_col), MODEL_MIN_CHARS)))
     if model is not None:
         model = model.select(key, F.col("ml").alias("_ml"), F.col("model_confidence").alias("_model"))
         staged = with_model_scores(staged, model, key)
@@ -220,11 +234,11 @@ def classify(
     ).drop("_kw", "_usable", "_ml", "_model", "_all", "_best_kw", "_ranked", "_best", "_chosen")
 
 
-def needs_model(df: DataFrame, dictionary: Dictionary, text_col: str = "text") -> DataFrame:
+def needs_model(df: DataFrame, dictionary: Dictionary, text_col: str = "text", scores: str | None = None) -> DataFrame:
     """Rows no keyword score decides alone: only these have to go to a model."""
-    staged = with_keyword_stats(df, dictionary, text_col, "_entries")
-    decided = F.exists("_entries", lambda e: F.coalesce(keyword_score(e["stats"]) >= OVERRIDE_AT, F.lit(False)))
-    return staged.where(~decided & long_enough(F.col(text_col), MODEL_MIN_CHARS)).drop("_entries")
+    staged = _with_scores(df, dictionary, text_col, scores)
+    decided = F.exists("_kw", lambda e: e["score"] >= OVERRIDE_AT)
+    return staged.where(~decided & long_enough(F.col(text_col), MODEL_MIN_CHARS)).drop("_kw")
 
 
 def classification_audit(df: DataFrame) -> DataFrame:
@@ -244,5 +258,5 @@ def classification_audit(df: DataFrame) -> DataFrame:
 __all__ = [
     "CATEGORY_LETTERS", "align_scores", "all_categories", "best_category", "classification_audit",
     "classify", "first_category", "label_to_category", "model_table", "needs_model",
-    "normalised_top_labels", "top_labels", "with_model_scores",
+    "normalised_top_labels", "top_labels", "with_keyword_scores", "with_model_scores",
 ]

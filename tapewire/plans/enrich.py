@@ -50,10 +50,12 @@ def sentiment_requests(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.where(text.long_enough(body, 10)).select(key, text.model_input(body).alias("text"))
 
 
-def category_requests(df: DataFrame, dictionary: Dictionary, key: str = "doc_id") -> DataFrame:
+def category_requests(
+    df: DataFrame, dictionary: Dictionary, key: str = "doc_id", scores: str | None = None
+) -> DataFrame:
     """``(key, text)`` of articles with a classification ``text`` that keywords do not decide."""
     whole = text.model_input(F.col("text"), F.col("title"), F.col("description"))
-    return needs_model(df, dictionary).select(key, whole.alias("text"))
+    return needs_model(df, dictionary, scores=scores).select(key, whole.alias("text"))
 
 
 def generation_requests(df: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -176,3 +176,28 @@ def test_fusion_may_rescale_the_vendor_confidence(spark):
     raw, scaled = df.select(fuse_sentiment(*cols), fuse_sentiment(*cols, rescale_first=True)).first()
     assert (raw["sentiment_source"], raw["confidence"]) == ("MARKETAUX_DOMINANT", 60.0)
     assert (scaled["sentiment_source"], scaled["confidence"]) == ("FINBERT_DOMINANT", 0.8)
+
+
+def test_texts_that_go_to_the_model_are_scanned_once(spark, monkeypatch):
+    from catalogue import classification
+    from tapewire.operators import classify as operators
+
+    scans, scan = [], operators.with_keyword_stats
+    monkeypatch.setattr(operators, "with_keyword_stats", lambda *a: scans.append(a[2]) or scan(*a))
+    rows = [(1, 0.9, "oil price", "oil", "the oil price of today"), (1, 0.9, "oil price", None, None), (None, None, "", "", "")]
+    messages = spark.createDataFrame(rows, "doc_id bigint, confidence double, title string, description string, content string")
+    monkeypatch.setattr(classification.tables, "messages", lambda *_: messages)
+    found = classification.classify_with_model_hook(spark, "nowhere")
+    assert scans == ["text"] and {r.doc_id for r in found.collect()} == {1, None}
+
+
+def test_scores_made_before_decide_alike(spark):
+    from tapewire.operators import classify as operators
+
+    rows = [(1, "oil oil price", 0.9), (2, "bank loan and merger talks", 0.5), (2, "", None), (None, None, 0.4), (3, "nothing at all in this text", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, confidence double")
+    words = {"A": ["oil", "price"], "B": ["bank", "merger"]}
+    scored = operators.with_keyword_scores(df, words)
+    for make in (operators.classify, operators.needs_model):
+        want, got = make(df, words), make(scored, words, scores="keyword_scores")
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
