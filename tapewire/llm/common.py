@@ -11,14 +11,20 @@ from tapewire.sources.sinks import work_dir
 
 #: Places that hold more than this share of all rows under one key are hot; there are at most as many.
 HOT_KEYS = 1000
+#: Rows of a file of narrow rows.
+FILE_ROWS = 100_000
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows written to a fresh folder of the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs no more than the tasks after this table.
+    Cuts the lineage: a lost executor costs no more than the tasks after this table.  ``rows`` says
+    about how many narrow rows there are at most: a table then has a file for each FILE_ROWS of them,
+    two for each core at least, and not one for each partition of a shuffle.
     """
     path = work_dir(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(partitions_for(rows, FILE_ROWS, 2 * df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

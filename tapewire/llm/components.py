@@ -31,8 +31,29 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def directed(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of ``edges`` without loops and repeats, each running down; about ``rows`` at most, if known."""
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return saved(down, "links", rows)
+
+
+def _state(down: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and how many nodes have two edges down, or edges both up and down:
+    without such nodes the edges are stars around their smallest nodes."""
+    ends = down.select(F.col("u").alias("node"), F.lit(1).alias("down")).union(down.select("v", F.lit(0)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("n"))
+    found = nodes.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count(F.when((F.col("down") > 0) & (F.col("n") > 1), 1)))
+    return tuple(found.first())
+
+
+def stars(down: DataFrame) -> DataFrame:
+    """`components` of a table of edges that are `directed`."""
+    edges, unsettled = _state(down)
+    while unsettled:  # a step makes no more edges than there were
+        down = saved(small_star(large_star(down)), "links", edges)
+        edges, unsettled = _state(down)
+    nodes = down.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.union(down.select(F.col("v"), F.col("v")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,14 +61,4 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` are ``u``, ``v`` in any order; loops and repeats are ignored.
     """
-    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    down = saved(down, "links")
-    mark = _mark(down)
-    while mark[0]:
-        down = saved(small_star(large_star(down)), "links")
-        now = _mark(down)
-        if now == mark:
-            break
-        mark = now
-    nodes = down.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(down.select(F.col("v"), F.col("v")).distinct())
+    return stars(directed(edges))

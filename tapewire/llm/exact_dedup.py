@@ -91,17 +91,24 @@ def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     ``keep_id`` and ``group_size``: it cannot be named as the row that stays.  Other columns are
     ignored, whatever their names.
     """
+    return _decided(df, index, id_col, text_col)[0]
+
+
+def _decided(df: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """`deduplicate`, and how many rows there are."""
     prints = saved(fingerprints(df, id_col, text_col), "fingerprints")
-    known = saved(index.offer(prints), "digest_groups")
+    n = prints.count()
+    known = saved(index.offer(prints), "digest_groups", n)
     mine = F.when(F.col("_id").isNotNull(), F.col("digest"))
     found = looked_up(prints.withColumn("_key", mine), "_key", known.withColumnRenamed("digest", "_key"), "group_size", ["keep_id", "group_size"])
-    return found.select(
+    found = found.select(
         F.col("_id").alias(id_col),
         "keep_id",
         "group_size",
         F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    return found, n
 
 
 def keep_first(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +116,8 @@ def keep_first(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_c
 
     Rows are told apart by id and text: one id may hold several texts, each decided on its own.
     """
-    decisions = saved(deduplicate(df, index, id_col, text_col), "decisions")
+    decisions, n = _decided(df, index, id_col, text_col)
+    decisions = saved(decisions, "decisions", n)
     mine = df.withColumns({"_mine": F.col(id_col).cast("bigint"), "_sha": F.lower(F.hex(digest(F.col(text_col))))})
     of = (F.col("_mine") == F.col("_of")) & (F.col("_sha") == F.col("_text"))
     named = (F.col(id_col).alias("_of"), F.col("text_sha256").alias("_text"))

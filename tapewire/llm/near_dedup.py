@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.llm.common import looked_up, saved
-from tapewire.llm.components import components
+from tapewire.llm.components import directed, stars
 
 #: 42 bands of 5 minima: a pair of similarity 0.8 shares no bucket once in ten million.
 BANDS, ROWS = 42, 5
@@ -152,15 +152,16 @@ def near_groups(
     """
     texts = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     seen = saved(_described(texts, width), "signatures")
+    n, size = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     named = seen.where("_id is not null and digest is not null")
     # One row per class of equal sets, known by its smallest id; an id may have several texts, so
     # a class is also numbered.
     classes = named.groupBy("digest").agg(
         F.min("_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min_by("signature", "_id").alias("signature")
     )
-    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes", n)
     heads = classes.select("cls", "node", "digest", "signature")
-    found = components(_links(heads, _id_links(named, heads), texts, width, percent))
+    found = _linked(heads, _id_links(named, heads), texts, width, percent, n, size)
     top = classes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))
     out = looked_up(seen.withColumn("digest", F.when(F.col("_id").isNotNull(), F.col("digest"))), "digest", top, "n", ["component_id"])
     component = F.coalesce("component_id", "_id")
@@ -228,49 +229,51 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.withColumns(ends).drop("other", "parts")
 
 
-def _open(members: DataFrame, heads: DataFrame, component: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, heads: DataFrame, component: DataFrame | None, n: int) -> DataFrame:
     """The rows of buckets that hold more than one component, with each member's component."""
     if component is not None:
         now = heads.select("cls", "node").join(component, "node").select("cls", F.col("component").alias("now"))
         members = members.join(now, "cls", "left").select("bucket", "cls", F.coalesce("now", "component").alias("component"))
     several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return saved(members.join(several.where("low <> high").select("bucket"), "bucket"), "buckets")
+    return saved(members.join(several.where("low <> high").select("bucket"), "bucket"), "buckets", BANDS * n)
 
 
-def _links(heads: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``links`` and confirmed ones that, together, connect all classes that are connected."""
+def _linked(heads: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int, n: int, size: int) -> DataFrame:
+    """The components of ``links`` and of confirmed ones that, together, connect all classes that are
+    connected; ``n`` is the number of documents, ``size`` that of their shingles."""
     size = 4 * ROWS  # hex digits of a band
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("hexed"), b * size + 1, F.lit(size))),
     )
     rows = heads.select("cls", F.col("node").alias("component"), F.hex("signature").alias("hexed"))
-    members = _open(rows.select(F.explode(keys).alias("bucket"), "cls", "component"), heads, None)
+    members = _open(rows.select(F.explode(keys).alias("bucket"), "cls", "component"), heads, None, n)
     wanted = members.select("cls").distinct().join(heads.select("cls", "node", "digest"), "cls")
     sets = _sets(texts.join(wanted.select(F.col("node").alias("_id")).distinct().hint("shuffle_hash"), "_id", "left_semi"), width)
     sets = sets.join(wanted, ["node", "digest"]).select("cls", "node", "shingles").dropDuplicates(["cls"])
-    sets = saved(sets, "shingle_sets")
+    sets = saved(sets, "shingle_sets", size // 16)  # 16 shingles are as long as a narrow row
 
     homes: list[DataFrame] = []
     for turn in range(ROUNDS):
         centre = members.groupBy("bucket").agg(F.min(_drawn("cls", turn)).alias("centre"))
         first = members.join(centre, "bucket").groupBy("cls", "component").agg(F.min("centre").alias("centre"))
-        homes.append(saved(first.select("cls", "component", F.col("centre.member").alias("home")), "homes"))
-        links = saved(links.union(_met(homes[-1], sets, percent)), "links")
-        members = _open(members, heads, components(links))
+        homes.append(saved(first.select("cls", "component", F.col("centre.member").alias("home")), "homes", n))
+        found = stars(directed(links.union(_met(homes[-1], sets, percent)), n))
+        members = _open(members, heads, found, n)
         if members.isEmpty():
-            return links
-    alike = saved(_alike(members, homes, heads, percent / 100 - SLACK), "alike")
-    return saved(links.union(_met(alike, sets, percent)), "links")
+            return found
+        links = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    alike = saved(_alike(members, homes, heads, percent / 100 - SLACK, n), "alike", n)
+    return stars(directed(links.union(_met(alike, sets, percent)), n))
 
 
-def _alike(members: DataFrame, homes: list[DataFrame], heads: DataFrame, least: float) -> DataFrame:
+def _alike(members: DataFrame, homes: list[DataFrame], heads: DataFrame, least: float, n: int) -> DataFrame:
     """The members of a bucket (``home``) that share at least ``least`` of their signature with one
     of another component there that they never met."""
     met = [f"home{turn}" for turn in range(len(homes))]
     for name, home in zip(met, homes):
         members = members.join(home.select("cls", F.col("home").alias(name)), "cls", "left")
-    members = saved(members.withColumnRenamed("bucket", "home"), "buckets")
+    members = saved(members.withColumnRenamed("bucket", "home"), "buckets", BANDS * n)
     parts = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("parts"))
     blocks = _blocks(members.join(parts, "home")).join(heads.select("cls", "signature"), "cls")
 

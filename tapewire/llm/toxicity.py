@@ -394,7 +394,7 @@ def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     Of rows of one label that hold the same five-word shingles the smallest text counts, once.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
-    known = saved(known.where(F.expr(train.format(id="_id"))).groupBy("_id").agg(F.max("_y").alias("_y")), "labels")
+    known = saved(known.where(F.expr(train.format(id="_id"))).groupBy("_id").agg(F.max("_y").alias("_y")), "labels", labels.count())
     n = known.count()
     if n > MAX_LABELLED:
         share = int(MAX_LABELLED / n * (1 << 30))
@@ -409,7 +409,7 @@ def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     rows = texts.join(F.broadcast(known), "_id").select("_text", "_y")  # about MAX_LABELLED ids at most
     # Copies would count as evidence many times over: of those with the same set of shingles, one.
     one = rows.mapInArrow(described, "_set binary, _text string, _y int").groupBy("_set", "_y").agg(F.min("_text").alias("_text"))
-    return one.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, "_set", "_y").select("_text", "_y")
+    return one.select("_text", "_y").repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def train(

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from tapewire.llm import components as components_
 from tapewire.llm import near_dedup
 from tapewire.llm.components import components
 from tapewire.llm.near_dedup import BANDS, ROWS, SLACK, near_groups, shingles, signature
@@ -136,3 +137,31 @@ def test_buckets_of_unlinked_members_give_out_no_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_groups(df, width=1).collect()}
     assert got == {i: {80: 3, 81: 70}.get(i, i) for i in range(82)}
     assert sent and max(sent) < 40
+
+
+def test_small_tables_are_not_written_to_a_file_a_partition(spark, monkeypatch):
+    """Each file costs the executor that writes it a process of its own on a local disk."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    texts += [" ".join([*t.split()[:-1], f"y{i}{k}"]) for i, t in enumerate(texts) for k in range(4)]
+    rows = list(enumerate(texts))
+    made = []
+    for module in (near_dedup, components_):
+        monkeypatch.setattr(module, "saved", lambda df, name, *rows, f=module.saved: made.append((name, f(df, name, *rows))) or made[-1][1])
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), width=1).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    union = brute(rows, 1)
+    assert got == {i: union.top(i) for i in range(len(texts))} and len(set(got.values())) == 60
+    files = {name: len(df.inputFiles()) for name, df in made if name != "signatures"}
+    assert files["links"] and max(files.values()) <= 2 * spark.sparkContext.defaultParallelism, files
+    # Links that are stars already take no further step.
+    made.clear()
+    assert len(components(spark.createDataFrame([(1, 5), (6, 1), (2, 3)], "u bigint, v bigint")).collect()) == 5
+    assert len(made) == 1
