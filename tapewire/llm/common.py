@@ -19,16 +19,21 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows written to a fresh folder of the shared folder and read again.
 
     Cuts the lineage: a lost executor costs no more than the tasks after this table.  ``rows`` says
-    about how many narrow rows there are at most: a table then has a file for each FILE_ROWS of them,
-    two for each core at least, and not one for each partition of a shuffle.
+    about how many narrow rows there are at most: see `in_few_files`.
     """
     path = work_dir(df.sparkSession, name)
     if rows is not None:
-        df = df.coalesce(partitions_for(rows, FILE_ROWS, 2 * df.sparkSession.sparkContext.defaultParallelism))
+        df = in_few_files(df, rows)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_few_files(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df``, written to a file for ``each`` of its ``rows``, one for each core at least, and not to
+    one for each partition of a shuffle."""
+    return df.coalesce(partitions_for(rows, each, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def partitions_for(amount: int, each: int, least: int = 1) -> int:
     """How many partitions hold ``amount`` at ``each`` a partition."""
     return max(least, -(-int(amount or 0) // each))

@@ -160,7 +160,7 @@ def test_small_tables_are_not_written_to_a_file_a_partition(spark, monkeypatch):
     union = brute(rows, 1)
     assert got == {i: union.top(i) for i in range(len(texts))} and len(set(got.values())) == 60
     files = {name: len(df.inputFiles()) for name, df in made if name != "signatures"}
-    assert files["links"] and max(files.values()) <= 2 * spark.sparkContext.defaultParallelism, files
+    assert files["links"] and max(files.values()) <= spark.sparkContext.defaultParallelism, files
     # Links that are stars already take no further step.
     made.clear()
     assert len(components(spark.createDataFrame([(1, 5), (6, 1), (2, 3)], "u bigint, v bigint")).collect()) == 5

@@ -52,3 +52,18 @@ def test_passages_are_cut_from_each_text_of_an_id(spark, tmp_path):
     assert len(got) == 5 and other in five and None in five
     cut = [t for t in five if t not in (other, None)]
     assert len(cut) == 1 and cut[0].startswith(own[:50]) and passage not in cut[0]
+
+
+def test_python_gets_documents_in_small_batches(spark, tmp_path):
+    """A batch is held whole by the executor and by Python."""
+    key, rng = "spark.sql.execution.arrow.maxRecordsPerBatch", random.Random(10)
+    docs = spark.createDataFrame([(i, prose(rng, 30), 0) for i in range(20)], "doc_id bigint, text string, n_chars bigint")
+    try:
+        for before, after in (("10000", "2000"), ("0", "2000"), ("7", "7")):
+            spark.conf.set(key, before)
+            out = corpus_pipeline.near_copies(spark, docs, str(tmp_path))
+            assert spark.conf.get(key) == after
+            assert sorted(r.doc_id for r in out.collect()) == list(range(20))
+            assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset(key)
