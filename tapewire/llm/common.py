@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ HOT_KEYS = 1000
 #: Rows of a file of narrow rows.
 FILE_ROWS = 100_000
 
+_remembered: dict[str, Callable[[], object]] = {}
+
+
+def taking_over(operator: str, forget: Callable[[], object] | None = None) -> None:
+    """Said where a task of an operator begins: what others remember in this Python worker, which serves
+    all tasks one after the other, is forgotten, and ``forget`` will do so for this one."""
+    for other in [k for k in _remembered if k != operator]:
+        _remembered.pop(other)()
+    if forget:
+        _remembered[operator] = forget
+
 
 def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows written to a fresh folder of the shared folder and read again.
@@ -29,9 +41,9 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def in_few_files(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
-    """``df``, written to a file for ``each`` of its ``rows``, one for each core at least, and not to
+    """``df``, written to a file for ``each`` of its ``rows``, two for each core at least, and not to
     one for each partition of a shuffle."""
-    return df.coalesce(partitions_for(rows, each, df.sparkSession.sparkContext.defaultParallelism))
+    return df.coalesce(partitions_for(rows, each, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def partitions_for(amount: int, each: int, least: int = 1) -> int:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.llm.common import looked_up, saved
+from tapewire.llm.common import looked_up, saved, taking_over
 from tapewire.llm.components import directed, stars
 
 #: 42 bands of 5 minima: a pair of similarity 0.8 shares no bucket once in ten million.
@@ -51,6 +51,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def remembering_words() -> None:
+    """Said where a task begins that takes `shingles`."""
+    taking_over("shingles", _words.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A permutation of the 64-bit numbers that leaves no trace of sums."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -102,6 +107,7 @@ def _described(df: DataFrame, width: int) -> DataFrame:
     """Per row: the id, size and digest of its shingle set, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering_words()
         for batch in batches:
             sizes, digests, signatures = [], [], []
             for text in batch.column("_text"):
@@ -123,6 +129,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     """The shingle sets as binary, eight bytes a shingle, with their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering_words()
         for batch in batches:
             sets = [shingles(text.as_py(), width).astype("<u8") for text in batch.column("_text")]
             arrays = [batch.column("_id"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
@@ -251,7 +258,7 @@ def _linked(heads: DataFrame, links: DataFrame, texts: DataFrame, width: int, pe
     wanted = members.select("cls").distinct().join(heads.select("cls", "node", "digest"), "cls")
     sets = _sets(texts.join(wanted.select(F.col("node").alias("_id")).distinct().hint("shuffle_hash"), "_id", "left_semi"), width)
     sets = sets.join(wanted, ["node", "digest"]).select("cls", "node", "shingles").dropDuplicates(["cls"])
-    sets = saved(sets, "shingle_sets", size // 16)  # 16 shingles are as long as a narrow row
+    sets = saved(sets, "shingle_sets", size // 4)  # 3 MB a file
 
     homes: list[DataFrame] = []
     for turn in range(ROUNDS):

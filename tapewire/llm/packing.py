@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.llm.common import partitions_for
+from tapewire.llm.common import partitions_for, taking_over
 
 #: Tokens of one length class, and parts of one combination at most.
 GRAIN, DEPTH = 32, 3
@@ -104,6 +104,11 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _encoder(path: str) -> WordIds:
+    taking_over("packing", word_ids.cache_clear)
+    return word_ids(path)
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
@@ -241,7 +246,7 @@ def pack(
     shards = partitions_for(texts.agg(F.sum(F.octet_length("text"))).first()[0], SHARD_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path).encode
+        encode = _encoder(path).encode
         for batch in batches:
             rows: list[tuple] = []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):

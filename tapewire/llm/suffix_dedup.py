@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.llm import suffix_merge
-from tapewire.llm.common import bucketed, looked_up, partitions_for, saved
+from tapewire.llm.common import bucketed, looked_up, partitions_for, saved, taking_over
 
 #: Bytes and documents of a block, bytes of texts looked at together, anchors a part holds.
 BLOCK_BYTES, BLOCK_DOCUMENTS, STEP_BYTES, PART_ANCHORS = 8 << 20, 20_000, 1 << 20, 1_000_000
@@ -191,6 +191,7 @@ def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    taking_over("suffix_dedup")
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]

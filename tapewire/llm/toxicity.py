@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm.common import saved
-from tapewire.llm.near_dedup import _mixed, shingles
+from tapewire.llm.common import saved, taking_over
+from tapewire.llm.near_dedup import _mixed, remembering_words, shingles
 
 #: Labelled rows used at most: a uniform sample beyond that.  Word parts kept at most, the strongest.
 MAX_LABELLED, MAX_PARTS = 40_000, 200_000
@@ -402,6 +402,7 @@ def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering_words()
         for batch in batches:
             sets = [hashlib.blake2b(shingles(t.as_py(), 5).tobytes(), digest_size=16).digest() for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(batch.column(c) for c in ("_text", "_y"))], names=["_set", "_text", "_y"])
@@ -494,7 +495,7 @@ _LONGS = -(-_COUNTS // 3)
 _ADDS = [f"c{k}" for k in range(_LONGS)]
 #: Parts of the distinct words that a task gathers before it adds them up, and words of a text whose parts are
 #: gathered at once.
-GATHERED, WORDS_AT_ONCE = 1_000_000, 20_000
+GATHERED, WORDS_AT_ONCE = 300_000, 20_000
 
 
 def _fold(text: str) -> int:
@@ -619,6 +620,11 @@ def _evidence(batch: pa.RecordBatch, docs: np.ndarray, chance: np.ndarray) -> np
     return out
 
 
+def _scorer(pickled: bytes) -> Scorer:
+    taking_over("toxicity", _loaded.cache_clear)
+    return _loaded(pickled)
+
+
 @functools.lru_cache(maxsize=1)
 def _loaded(pickled: bytes) -> Scorer:
     return Scorer(pickle.loads(pickled))
@@ -634,7 +640,7 @@ def score(spark: SparkSession, df: DataFrame, model: Model, id_col: str = "doc_i
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _loaded(sent.value)
+        scorer = _scorer(sent.value)
         for batch in batches:
             scores = scorer.scores(t.as_py() for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from tapewire.llm import common, near_dedup, packing, suffix_dedup, toxicity
 from tests.llm.conftest import prose
 
 
@@ -64,6 +65,20 @@ def test_python_gets_documents_in_small_batches(spark, tmp_path):
             out = corpus_pipeline.near_copies(spark, docs, str(tmp_path))
             assert spark.conf.get(key) == after
             assert sorted(r.doc_id for r in out.collect()) == list(range(20))
-            assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+            assert out.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.unset(key)
+
+
+def test_a_worker_remembers_one_operator_at_a_time(vocabulary):
+    """Workers serve all stages; what each remembers must not add up."""
+    common.taking_over("nothing")
+    near_dedup.remembering_words()
+    near_dedup.shingles("some words here", 2)
+    assert near_dedup._words
+    packing._encoder(vocabulary("word_bpe_49k.json")).encode("some words")
+    assert not near_dedup._words and packing.word_ids.cache_info().currsize == 1
+    model = toxicity.Model(toxicity.letter_model({}), {})
+    first = toxicity._scorer(toxicity.pickle.dumps(model))
+    assert toxicity._scorer(toxicity.pickle.dumps(model)) is first and packing.word_ids.cache_info().currsize == 0
+    assert list(suffix_dedup._rows(iter([]))) == [] and toxicity._loaded.cache_info().currsize == 0
