@@ -18,12 +18,13 @@ import math
 import os
 import pickle
 import re
-from collections.abc import Callable, Collection, Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ RATIOS, NEAR, BITS = np.arange(0, 60, 0.25), 4, 20
 #: Word parts are whole words and their runs of this many characters, edges included.
 PART_LENGTHS = (4, 5, 6)
 #: Words a task remembers, of so many characters at most; characters of texts that are scored together.
-WORDS, REMEMBERED, TOGETHER = 300_000, 64, 1 << 20
+WORDS, REMEMBERED, TOGETHER = 300_000, 64, 1 << 21
 
 # Signs and the letters they may stand for.
 LOOKALIKES = {
@@ -59,6 +60,7 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = 28  # letters, other letters, word edge
 _EDGE, _OTHER = 27, 26
 _CODE = {c: i for i, c in enumerate(_LETTERS)}
+_READS = {c: [(_CODE[r], r) for r in letters] for c, letters in LOOKALIKES.items()}
 _CLASS = np.full(256, _EDGE, np.int64)
 for _b in range(256):
     if chr(_b).lower() in _CODE and _b < 128:
@@ -75,8 +77,15 @@ DISGUISED = re.compile(rf"{_KEPT_APART.pattern}|[\w{_SIGN}]++")
 #: model chooses between the plain and the restored reading.
 _SUSPECT = re.compile(rf"[{_SIGN} .~-]|([a-z])\1|^.(?:_+.){{2,}}$")
 _SPAN = re.Match.group
-_RUN = re.compile(rf"[\w{_SIGN}]++")
+#: How letters kept apart end: a text without it holds none.
+_LONELY = re.compile(rf"[{_APART}][a-z{_SIGN}][{_APART}]++[a-z{_SIGN}](?!\w)")
+#: Runs of letters, digits and signs are what stays of UTF-8 between spaces, once what is neither and not ASCII is gone.
+_STRANGE = re.compile(r"[^\x00-\x7F\w]+")
+_RUNS = bytes(b if b >= 128 or re.match(rf"[\w{_SIGN}]", chr(b)) else 32 for b in range(256))
 _SAID_AGAIN = re.compile(r"([a-z])\1+")
+_AROUND = {**_CODE, " ": _EDGE}
+#: Marks a letter that is said more than twice.
+_MORE = "\0"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -124,15 +133,37 @@ def letter_model(counts: dict[int, int]) -> np.ndarray:
     return np.log((tri + 5 * two) / (tri.sum(2, keepdims=True) + 5))
 
 
-def decode(span: str, model: np.ndarray | list[float]) -> str:
+def decode(span: str, model: np.ndarray | list[float], known: dict[tuple[int, str], str] | None = None) -> str:
     """The likeliest plain words behind what may be a disguised span (lower case).
 
     A state is the last two symbols.  A letter is itself or the letter before said again; a sign
     is read as a letter, or stands for itself between words; a separator is passed over or parts
     words.  What all paths have in common is settled as they go, so spans may have any length.
+    Up to the first sign or doubled letter there is one path, and what follows depends on its state
+    alone: ``known`` remembers that.
     """
-    flat = model if isinstance(model, list) else np.ravel(model).tolist()
-    beams: dict[int, tuple[float, str]] = {_EDGE * SYMBOLS + _EDGE: (0.0, "")}
+    at, state = 0, _EDGE * SYMBOLS + _EDGE
+    for c, behind in zip(span, span[1:] + " "):
+        if not c.isalpha() or (c == behind and c in _CODE):
+            break
+        at += 1
+    for c in span[max(0, at - 2) : at]:
+        for _ in c.encode():
+            state = state % SYMBOLS * SYMBOLS + _CODE.get(c, _OTHER)
+    key = state, span[at:]
+    rest = known.get(key) if known is not None else None
+    if rest is None:
+        rest = _behind(*key, span[:at][-1:], model if isinstance(model, list) else np.ravel(model).tolist())
+        if known is not None and len(span) <= REMEMBERED:
+            if len(known) >= WORDS // 3:
+                known.clear()
+            known[key] = rest
+    return (span[:at] + rest).strip()
+
+
+def _behind(state: int, span: str, ahead: str, flat: list[float]) -> str:
+    """The likeliest words of what follows ``state`` and its last letter, ``ahead``."""
+    beams: dict[int, tuple[float, str]] = {state: (0.0, "")}
     settled: list[str] = []
     for i, c in enumerate(span):
         own, after = _CODE.get(c), {}
@@ -145,10 +176,10 @@ def decode(span: str, model: np.ndarray | list[float]) -> str:
                 if own == last and (state not in after or score + AGAIN > after[state][0]):
                     after[state] = score + AGAIN, read
         else:
-            before, behind = span[i - 1 : i], span[i + 1 : i + 2]
+            before, behind = span[i - 1] if i else ahead, span[i + 1 : i + 2]
             inside = behind in _CODE and before != "" and before not in SEPARATORS
             swap = SWAP if c in MARKS and not inside else 0.0
-            reads = [(_CODE[r], r) for r in LOOKALIKES.get(c, "")]
+            reads = _READS.get(c, [])
             other = len(c.encode()) if c.isalpha() else 0  # a letter that is not a to z
             passed = (0.0 if before and before in SEPARATORS else APART) if c in SEPARATORS or not (reads or other) else None
             again = AGAIN + SWAP  # two signs are rather two letters
@@ -179,7 +210,7 @@ def decode(span: str, model: np.ndarray | list[float]) -> str:
             settled.append(same)
             beams = {state: (score, read[len(same) :]) for state, (score, read) in beams.items()}
     _, best = max((score + (flat[state * SYMBOLS + _EDGE] if state % SYMBOLS != _EDGE else 0.0), read) for state, (score, read) in beams.items())
-    return "".join([*settled, best]).strip()
+    return "".join([*settled, best])
 
 
 class Restorer:
@@ -191,56 +222,73 @@ class Restorer:
         # Between letters x and e, a letter that is said twice is likelier meant once: by x, letter, e.
         kept = model[:, every, every][:, :, None] + model[every, every, :][None]
         self.once = (AGAIN + model > kept).ravel().tolist()
-        self.plain: set[str] = set()  # runs that are read as they stand, as one word
-        self.spans: dict[str, tuple[str, ...]] = {}  # words of other spans
+        self.known: dict[tuple[int, str], str] = {}  # of `decode`
 
     def _read(self, span: str) -> str:
         if any(x in _CODE for x in span) and _SUSPECT.search(span):
-            return f" {decode(span, self.model)} "
+            return f" {decode(span, self.model, self.known)} "
         return span
 
-    def _of_letters(self, span: str) -> str | None:
-        """What `decode` finds in letters of which none stands more than twice: the two paths of a
-        doubled letter meet at the next letter, so each is settled by its neighbours."""
-        out, at = [], 0
-        for m in _SAID_AGAIN.finditer(span):
-            i, j = m.span()
-            if j - i > 2:
-                return None
-            x = _CODE.get(span[i - 1], _OTHER) if i else _EDGE
-            e = _CODE.get(span[j], _OTHER) if j < len(span) else _EDGE
-            if self.once[(x * SYMBOLS + _CODE[span[i]]) * SYMBOLS + e]:
-                out.append(span[at : j - 1])
-                at = j
-        return "".join([*out, span[at:]])
-
-    def _of_span(self, span: str) -> tuple[str, ...]:
-        read = self._of_letters(span) if span.isalpha() else None
-        short = len(span) <= REMEMBERED
-        if read == span:
-            if short:
-                if len(self.plain) >= WORDS:
-                    self.plain.clear()
-                self.plain.add(span)
-            return (span,)
-        found = (read,) if read is not None else tuple(_WORD.findall(self._read(span)))
-        if short:
-            if len(self.spans) >= WORDS // 3:
-                self.spans.clear()
-            self.spans[span] = found
-        return found
+    def _once(self, m: re.Match) -> str:
+        """What `decode` finds of a letter said twice: its two paths meet at the next letter, so its
+        neighbours settle it."""
+        i, j = m.span()
+        if j - i > 2:
+            return m.group() + _MORE
+        x, e = _AROUND.get(m.string[i - 1], _OTHER), _AROUND.get(m.string[j], _OTHER)
+        return m[1] if self.once[(x * SYMBOLS + _CODE[m[1]]) * SYMBOLS + e] else m.group()
+
+    def _of_spans(self, spans: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, and where those of each span begin and how many there are."""
+        of_letters = np.fromiter(map(str.isalpha, spans), bool, len(spans))
+        words = _SAID_AGAIN.sub(self._once, f" {' '.join(compress(spans, of_letters.tolist()))} ").split()
+        first, sizes = np.zeros(len(spans), np.int64), np.ones(len(spans), np.int64)
+        first[of_letters] = np.arange(len(words))
+        marked = np.flatnonzero(of_letters)[[k for k, word in enumerate(words) if _MORE in word]]
+        for k in [*np.flatnonzero(~of_letters).tolist(), *marked.tolist()]:
+            found = _WORD.findall(self._read(spans[k]))
+            first[k], sizes[k] = len(words), len(found)
+            words += found
+        return words, first, sizes
+
+    def together(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words, all those of the restored texts among them; the numbers of each text's, each
+        once, text by text; and where those of a text end, after a 0.  A span is read once for all texts."""
+        runs: list[bytes] = []
+        apart: list[list[str]] = []
+        owners: list[int] = []
+        for k, text in enumerate(texts):
+            text = text.lower()
+            # Only letters that are kept apart reach over more than a run.
+            if _LONELY.search(text) and _KEPT_APART.search(text):
+                owners.append(k)
+                apart.append(list(map(_SPAN, DISGUISED.finditer(text))))
+                text = ""
+            elif not text.isascii():
+                text = _STRANGE.sub(" ", text)
+            runs.append(text.encode().translate(_RUNS))
+        spans, of = _split(pa.array(runs, pa.binary()))
+        if apart:
+            spans = pa.concat_arrays([spans, pa.array([s for some in apart for s in some], pa.string())])
+            of = np.concatenate([of, np.repeat(owners, list(map(len, apart)))])
+        spans, place = _numbered(spans)
+        words, first, sizes = self._of_spans(spans)
+        number = dict(zip(dict.fromkeys(words), range(len(words))))
+        numbers = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        n = sizes[place]
+        its = np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs = np.sort(np.repeat(of, n) * max(1, len(number)) + numbers[its])
+        of, found = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(1, len(number)))
+        return list(number), found, np.searchsorted(of, np.arange(len(texts) + 1))
+
+    def each(self, texts: list[str]) -> Iterator[list[str]]:
+        """The distinct words of each restored text, in order."""
+        words, found, ends = self.together(texts)
+        return (sorted(map(words.__getitem__, found[a:b].tolist())) for a, b in pairwise(ends.tolist()))
 
     def words(self, text: str) -> set[str]:
-        """The distinct words of the restored text; a span met before is not read again."""
-        text = text.lower()
-        # Only letters that are kept apart reach over more than a run.
-        spans = set(_RUN.findall(text) if _KEPT_APART.search(text) is None else map(_SPAN, DISGUISED.finditer(text)))
-        out = spans & self.plain
-        known = self.spans
-        for span in spans - out if out else spans:
-            found = known.get(span)
-            out.update(self._of_span(span) if found is None else found)
-        return out
+        """The distinct words of the restored text."""
+        return set(next(self.each([text])))
 
     def __call__(self, text: str) -> str:
         """The restored text."""
@@ -298,24 +346,27 @@ class _Evidence:
         np.maximum.at(out, of[some[hit]], self.weights[at[hit]])
         return out
 
-    def of(self, texts: list[Collection[str]]) -> Iterator[np.ndarray]:
-        """The evidence of the words of each text, a row a word."""
+    def of(self, words: list[str]) -> np.ndarray:
+        """The evidence of distinct words, a row a word."""
         if not len(self.keys):
-            yield from (np.zeros((len(words), *self.weights.shape[1:])) for words in texts)
-            return
+            return np.zeros((len(words), *self.weights.shape[1:]))
         known = self.known
-        new = list(set().union(*texts).difference(known))
+        rows = list(map(known.get, words))
+        new = [w for w, row in zip(words, rows) if row is None]
         if len(self.found) and len(self.found) + len(new) > WORDS:
             known.clear()
             self.found = self.found[:0]
-            new = list(set().union(*texts))
-        known.update(zip(new, range(len(self.found), len(self.found) + len(new))))
+            new, rows = words, [None] * len(words)
         blocks = [self._look_up(new[at : at + WORDS_AT_ONCE]) for at in range(0, len(new), WORDS_AT_ONCE)]
+        number = len(self.found)
+        rows = np.array([-1 if row is None else row for row in rows], np.int64)
+        rows[rows < 0] = np.arange(number, number + len(new))
+        known.update(zip(new, range(number, number + len(new))))
         self.found = np.concatenate([self.found, *blocks])
-        for words in texts:
-            yield self.found[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        out = self.found[rows]
         for word in [w for w in new if len(w) > REMEMBERED]:
             del known[word]
+        return out
 
 
 def _summed(values: list[float]) -> tuple[float, float, float]:
@@ -326,12 +377,26 @@ def _summed(values: list[float]) -> tuple[float, float, float]:
     return max(values, default=0.0), math.log1p(math.fsum(values)), math.log1p(len(values))
 
 
-def _together(texts: Iterable[str], length: Callable[[str], int] = len) -> Iterator[list[str]]:
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What stands between white space in UTF-8, and the numbers of the texts it is of."""
+    lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+    found, of = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    some = pc.greater(pc.binary_length(found), 0)  # also before the first and behind the last space
+    return found.filter(some), of[some.to_numpy(zero_copy_only=False)]
+
+
+def _numbered(words: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct words, and the number of each."""
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def _together(texts: Iterable[str]) -> Iterator[list[str]]:
     """Consecutive texts of about TOGETHER characters in all, or one that is longer."""
     held, size = [], 0
     for text in texts:
         held.append(text)
-        size += length(text)
+        size += len(text)
         if size >= TOGETHER:
             yield held
             held, size = [], 0
@@ -358,8 +423,10 @@ class Scorer:
         """The strongest evidence of any word, that of all distinct words, and their number, dampened."""
         return next(self._features([text]))
 
-    def _features(self, texts: Iterable[str]) -> Iterator[tuple[float, float, float]]:
-        return (_summed(values.tolist()) for values in self.evidence.of([self.restore.words(t) for t in texts]))
+    def _features(self, texts: list[str]) -> Iterator[tuple[float, float, float]]:
+        words, found, ends = self.restore.together(texts)
+        values = self.evidence.of(words)[found]
+        return (_summed(values[a:b].tolist()) for a, b in pairwise(ends.tolist()))
 
     def score(self, text: str) -> float:
         return self.scores([text])[0]
@@ -441,7 +508,8 @@ def train(
         for batch in batches:
             texts, ys = batch.column("_text").to_pylist(), batch.column("_y").to_pylist()
             adds = np.array([_adds(t, y, share) for t, y in zip(texts, ys)], np.int64).reshape(-1, _LONGS)
-            arrays = [pa.array([" ".join(sorted(restore.words(t))) for t in texts], pa.string()), pa.array(map(_fold, texts), pa.int32())]
+            words = [" ".join(w) for some in _together(texts) for w in restore.each(some)]
+            arrays = [pa.array(words, pa.string()), pa.array(map(_fold, texts), pa.int32())]
             arrays += [batch.column("_y"), *(pa.array(adds[:, k]) for k in range(_LONGS))]
             yield pa.RecordBatch.from_arrays(arrays, names=["words", "fold", "y", *_ADDS])
 
@@ -475,8 +543,13 @@ def train(
         evidence = _Evidence(of[0], weights)
         for batch in batches:
             folds = iter(batch.column("fold").to_pylist())
-            some = _together(_lists(batch.column("words")), lambda words: 8 * len(words))
-            values = [_summed(v[:, next(folds)].tolist()) for words in some for v in evidence.of(words)]
+            values = []
+            for some in _together(batch.column("words").to_pylist()):
+                words, owners = _split(pa.array(some, pa.string()))
+                words, place = _numbered(words)
+                found = evidence.of(words)
+                ends = np.searchsorted(owners, np.arange(len(some) + 1)).tolist()
+                values += [_summed(found[place[a:b], next(folds)].tolist()) for a, b in pairwise(ends)]
             arrays = [pa.array([v[k] for v in values], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column("y")], names=["best", "total", "words", "y"])
 
@@ -494,8 +567,8 @@ _COUNTS = 2 * FOLDS + DEALS
 _LONGS = -(-_COUNTS // 3)
 _ADDS = [f"c{k}" for k in range(_LONGS)]
 #: Parts of the distinct words that a task gathers before it adds them up, and words of a text whose parts are
-#: gathered at once.
-GATHERED, WORDS_AT_ONCE = 300_000, 20_000
+#: gathered at once; parts that a task counts until it ends, those it meets first.
+GATHERED, WORDS_AT_ONCE, COUNTED = 300_000, 20_000, 200_000
 
 
 def _fold(text: str) -> int:
@@ -519,15 +592,18 @@ def _lists(column: pa.Array) -> Iterator[list[str]]:
 
 
 def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of parts, added up over the documents that are gathered at once."""
+    """The counts of parts, added up over the documents that are gathered at once; those of the first
+    COUNTED parts, most of the frequent ones among them, over all documents."""
     held: dict[str, int] = {}  # distinct words of the documents gathered, numbered
     rows: list[tuple[np.ndarray, list[int]]] = []
     size = 0
+    counted, totals = np.zeros(0, np.int64), np.zeros((0, _LONGS), np.int64)  # by part, ascending
 
     def batch_of(part: np.ndarray, sums: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, sums)], names=["part", *_ADDS])
 
     def added() -> pa.RecordBatch:
+        nonlocal counted, totals
         hashes, owners = part_hashes(held)
         part, place = np.unique(hashes, return_inverse=True)
         order = np.argsort(owners, kind="stable")
@@ -541,7 +617,13 @@ def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[its[last[its] == number]] += add  # a part counts once a document
         held.clear()
         rows.clear()
-        return batch_of(part, list(sums.T))
+        at = np.searchsorted(counted, part)
+        other = (np.append(counted, 0)[at] != part) | (at == len(counted))
+        totals[at[~other]] += sums[~other]
+        more = np.flatnonzero(other)[: COUNTED - len(counted)]
+        counted, totals = np.insert(counted, at[more], part[more]), np.insert(totals, at[more], sums[more], axis=0)
+        other[more] = False
+        return batch_of(part[other], list(sums[other].T))
 
     for batch in batches:
         adds = zip(*(batch.column(c).to_pylist() for c in _ADDS))
@@ -565,6 +647,7 @@ def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of(found, [np.full(len(found), n, np.int64) for n in add])
     if rows:
         yield added()
+    yield batch_of(counted, list(totals.T))
 
 
 def _counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

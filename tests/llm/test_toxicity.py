@@ -229,3 +229,46 @@ def test_words_of_texts_that_stand_together_are_looked_up_once(learned, monkeypa
     monkeypatch.setattr(toxicity, "WORDS", 50)  # whatever is remembered
     monkeypatch.setattr(toxicity, "TOGETHER", 300)
     assert toxicity.Scorer(model).scores(texts) == want
+
+
+def test_spans_are_read_once_for_all_texts_and_endings_once_a_state(learned, monkeypatch):
+    rng, read, behind = random.Random(23), [], toxicity._behind
+    odd = ("gr1bble", "g r i b b l e", "a b c!", "ssseven", "thé–on", "İé ΑΣ", "s_n_a", "on$$$", "\x1cti\xa0er", "²x", "áb", "\0", "* a *b")
+    texts = [" ".join([prose(rng, rng.randint(0, 20)), *rng.choices(odd, k=3), prose(rng, 4)]) for _ in range(80)] + ["", "the on on"]
+    plain = toxicity.Restorer(learned[2].letters)
+    want = [sorted(set(toxicity._WORD.findall(plain(t)))) for t in texts]
+    monkeypatch.setattr(toxicity, "_behind", lambda *a: read.append(a[:3]) or behind(*a))
+    assert list(toxicity.Restorer(learned[2].letters).each(texts)) == want
+    assert len(read) == len(set(read)) < 60
+    read.clear()
+    words = [f"{w}ti$$$" for w in set(prose(rng, 300).split()) if not toxicity._SAID_AGAIN.search(w + "ti")]
+    restore = toxicity.Restorer(learned[2].letters)
+    assert all(restore.words(w) == {toxicity.decode(w, learned[2].letters)} for w in words) and len(words) > 50
+    assert len(read) == len(words) + 1
+
+
+def test_what_letters_kept_apart_end_with_is_found_first():
+    rng = random.Random(24)
+    for _ in range(20_000):
+        text = "".join(rng.choice("aab  .-_*~1!é,") for _ in range(rng.randint(0, 14)))
+        assert toxicity._LONELY.search(text) or not toxicity._KEPT_APART.search(text), text
+
+
+def test_frequent_parts_leave_a_task_once(monkeypatch):
+    docs = [(f"gribble snarkon w{i}x", i + 1) for i in range(40)]
+    schema = pa.schema([("words", pa.string()), *((c, pa.int64()) for c in toxicity._ADDS)])
+    batch = pa.RecordBatch.from_pylist([{"words": w, **dict.fromkeys(toxicity._ADDS, n)} for w, n in docs], schema)
+    want = Counter()
+    for words, n in docs:
+        for p in set().union(*map(toxicity.parts, words.split())):
+            want[p] += n
+    monkeypatch.setattr(toxicity, "GATHERED", 100)
+    for counted in (10**6, 40, 0):
+        monkeypatch.setattr(toxicity, "COUNTED", counted)
+        found = [(row["part"], row["c0"]) for out in toxicity._count_parts(iter([batch])) for row in out.to_pylist()]
+        got = Counter()
+        for part, n in found:
+            got[part] += n
+        assert got == want
+        if counted > 40:
+            assert all([p for p, _ in found].count(part) == 1 for part in toxicity.parts("gribble"))
