@@ -20,7 +20,7 @@ import pickle
 import re
 from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import compress, pairwise
+from itertools import compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +82,7 @@ _LONELY = re.compile(rf"[{_APART}][a-z{_SIGN}][{_APART}]++[a-z{_SIGN}](?!\w)")
 #: Runs of letters, digits and signs are what stays of UTF-8 between spaces, once what is neither and not ASCII is gone.
 _STRANGE = re.compile(r"[^\x00-\x7F\w]+")
 _RUNS = bytes(b if b >= 128 or re.match(rf"[\w{_SIGN}]", chr(b)) else 32 for b in range(256))
-_SAID_AGAIN = re.compile(r"([a-z])\1+")
-_AROUND = {**_CODE, " ": _EDGE}
+_CLASSES = bytes(_CLASS.tolist())
 #: Marks a letter that is said more than twice.
 _MORE = "\0"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -221,7 +220,7 @@ class Restorer:
         every = np.arange(SYMBOLS)
         # Between letters x and e, a letter that is said twice is likelier meant once: by x, letter, e.
         kept = model[:, every, every][:, :, None] + model[every, every, :][None]
-        self.once = (AGAIN + model > kept).ravel().tolist()
+        self.once = AGAIN + model > kept
         self.known: dict[tuple[int, str], str] = {}  # of `decode`
 
     def _read(self, span: str) -> str:
@@ -229,19 +228,22 @@ class Restorer:
             return f" {decode(span, self.model, self.known)} "
         return span
 
-    def _once(self, m: re.Match) -> str:
-        """What `decode` finds of a letter said twice: its two paths meet at the next letter, so its
-        neighbours settle it."""
-        i, j = m.span()
-        if j - i > 2:
-            return m.group() + _MORE
-        x, e = _AROUND.get(m.string[i - 1], _OTHER), _AROUND.get(m.string[j], _OTHER)
-        return m[1] if self.once[(x * SYMBOLS + _CODE[m[1]]) * SYMBOLS + e] else m.group()
+    def _of_letters(self, spans: Iterable[str]) -> list[str]:
+        """What `decode` finds in spans of letters: the two paths of a letter said twice meet at the
+        next letter, so its neighbours settle it.  Spans with a letter said more often are marked."""
+        text = f" {' '.join(spans)} ".encode()
+        letters = np.frombuffer(text.translate(_CLASSES), np.uint8)
+        again = np.flatnonzero((letters[1:] == letters[:-1]) & (letters[1:] < _OTHER)) + 1
+        read, stays = np.frombuffer(text, np.uint8).copy(), np.ones(len(text), bool)
+        stays[again] = ~self.once[letters[again - 2], letters[again], letters[again + 1]]
+        more = again[1:][np.diff(again) == 1]
+        read[more], stays[more] = ord(_MORE), True
+        return read[stays].tobytes().decode().split()
 
     def _of_spans(self, spans: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Words, and where those of each span begin and how many there are."""
         of_letters = np.fromiter(map(str.isalpha, spans), bool, len(spans))
-        words = _SAID_AGAIN.sub(self._once, f" {' '.join(compress(spans, of_letters.tolist()))} ").split()
+        words = self._of_letters(compress(spans, of_letters.tolist()))
         first, sizes = np.zeros(len(spans), np.int64), np.ones(len(spans), np.int64)
         first[of_letters] = np.arange(len(words))
         marked = np.flatnonzero(of_letters)[[k for k, word in enumerate(words) if _MORE in word]]
@@ -273,13 +275,12 @@ class Restorer:
             of = np.concatenate([of, np.repeat(owners, list(map(len, apart)))])
         spans, place = _numbered(spans)
         words, first, sizes = self._of_spans(spans)
-        number = dict(zip(dict.fromkeys(words), range(len(words))))
-        numbers = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        words, numbers = _numbered(pa.array(words, pa.string()))
         n = sizes[place]
         its = np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pairs = np.sort(np.repeat(of, n) * max(1, len(number)) + numbers[its])
-        of, found = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(1, len(number)))
-        return list(number), found, np.searchsorted(of, np.arange(len(texts) + 1))
+        pairs = np.sort(np.repeat(of, n) * max(1, len(words)) + numbers[its])
+        of, found = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(1, len(words)))
+        return words, found, np.searchsorted(of, np.arange(len(texts) + 1))
 
     def each(self, texts: list[str]) -> Iterator[list[str]]:
         """The distinct words of each restored text, in order."""
@@ -331,19 +332,25 @@ class _Evidence:
         order = np.argsort(keys)
         self.keys, self.weights = keys[order], weights[order]
         self.low = (1 << max(10, (8 * len(keys)).bit_length())) - 1
-        self.marked = np.zeros(self.low + 1, bool)  # the low bits of the keys: few other parts have them
-        self.marked[keys & self.low] = True
+        self.place = np.full(self.low + 1, -1, np.int32)  # by the low bits of the keys: few other parts have them
+        self.place[self.keys & self.low] = np.arange(len(keys))
+        self.behind = np.flatnonzero(self.place[self.keys & self.low] != np.arange(len(keys)))  # another key has their place
         self.known: dict[str, int] = {}  # rows of found
         self.found = np.zeros((0, *weights.shape[1:]))
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), *self.weights.shape[1:]))
         hashes, of = part_hashes(words)
-        some = np.flatnonzero(self.marked[hashes & self.low])
-        hashes = hashes[some]
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == hashes)
-        np.maximum.at(out, of[some[hit]], self.weights[at[hit]])
+        at = self.place[hashes & self.low]
+        some = np.flatnonzero(at >= 0)
+        hashes, of, at = hashes[some], of[some], at[some]
+        hit = self.keys[at] == hashes
+        np.maximum.at(out, of[hit], self.weights[at[hit]])
+        if len(self.behind):
+            hashes, of, keys = hashes[~hit], of[~hit], self.keys[self.behind]
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[at] == hashes
+            np.maximum.at(out, of[hit], self.weights[self.behind[at[hit]]])
         return out
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -351,15 +358,13 @@ class _Evidence:
         if not len(self.keys):
             return np.zeros((len(words), *self.weights.shape[1:]))
         known = self.known
-        rows = list(map(known.get, words))
-        new = [w for w, row in zip(words, rows) if row is None]
+        rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[k] for k in np.flatnonzero(rows < 0).tolist()]
         if len(self.found) and len(self.found) + len(new) > WORDS:
             known.clear()
-            self.found = self.found[:0]
-            new, rows = words, [None] * len(words)
+            self.found, new, rows[:] = self.found[:0], words, -1
         blocks = [self._look_up(new[at : at + WORDS_AT_ONCE]) for at in range(0, len(new), WORDS_AT_ONCE)]
         number = len(self.found)
-        rows = np.array([-1 if row is None else row for row in rows], np.int64)
         rows[rows < 0] = np.arange(number, number + len(new))
         known.update(zip(new, range(number, number + len(new))))
         self.found = np.concatenate([self.found, *blocks])
@@ -388,7 +393,7 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _numbered(words: pa.Array) -> tuple[list[str], np.ndarray]:
     """The distinct words, and the number of each."""
     coded = words.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
 
 
 def _together(texts: Iterable[str]) -> Iterator[list[str]]:
