@@ -257,22 +257,27 @@ class Restorer:
         """Distinct words, all those of the restored texts among them; the numbers of each text's, each
         once, text by text; and where those of a text end, after a 0.  A span is read once for all texts."""
         runs: list[bytes] = []
-        apart: list[list[str]] = []
+        sets: list[set[str]] = []  # spans of texts that are not split with the others
         owners: list[int] = []
         for k, text in enumerate(texts):
             text = text.lower()
             # Only letters that are kept apart reach over more than a run.
             if _LONELY.search(text) and _KEPT_APART.search(text):
                 owners.append(k)
-                apart.append(list(map(_SPAN, DISGUISED.finditer(text))))
+                sets.append(set(map(_SPAN, DISGUISED.finditer(text))))
                 text = ""
             elif not text.isascii():
                 text = _STRANGE.sub(" ", text)
-            runs.append(text.encode().translate(_RUNS))
+            run = text.encode().translate(_RUNS)
+            if len(run) > TOGETHER:
+                owners.append(k)
+                sets.append(set().union(*(_numbered(_split(pa.array([p], pa.binary()))[0])[0] for p in _pieces(run))))
+                run = b""
+            runs.append(run)
         spans, of = _split(pa.array(runs, pa.binary()))
-        if apart:
-            spans = pa.concat_arrays([spans, pa.array([s for some in apart for s in some], pa.string())])
-            of = np.concatenate([of, np.repeat(owners, list(map(len, apart)))])
+        if sets:
+            spans = pa.concat_arrays([spans, pa.array([s for some in sets for s in some], pa.string())])
+            of = np.concatenate([of, np.repeat(owners, list(map(len, sets)))])
         spans, place = _numbered(spans)
         words, first, sizes = self._of_spans(spans)
         words, numbers = _numbered(pa.array(words, pa.string()))
@@ -390,6 +395,16 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found.filter(some), of[some.to_numpy(zero_copy_only=False)]
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about TOGETHER bytes, cut before spaces."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + TOGETHER)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
 def _numbered(words: pa.Array) -> tuple[list[str], np.ndarray]:
     """The distinct words, and the number of each."""
     coded = words.dictionary_encode()

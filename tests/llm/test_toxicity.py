@@ -285,3 +285,14 @@ def test_parts_that_share_low_bits_are_told_apart(monkeypatch):
         got = toxicity._Evidence(keys, wide).of([f"w{k}" for k in range(len(asked) - 1)])
         want = [np.maximum(wide[0], wide[4]), *wide[1:], *np.zeros((3, *wide.shape[1:]))]
         assert np.array_equal(got, want)
+
+
+def test_a_long_text_is_split_in_pieces(learned, monkeypatch):
+    rng, sizes, split = random.Random(25), [], toxicity._split
+    texts = ["on the", f"{prose(rng, 400)} gr1bble {prose(rng, 300)} {'the' * 60}é–snarkon", "", "g r i b b l e " + prose(rng, 200), "er" * 500]
+    restore = toxicity.Restorer(learned[2].letters)
+    want = [sorted(set(toxicity._WORD.findall(restore(t)))) for t in texts]
+    monkeypatch.setattr(toxicity, "TOGETHER", 200)
+    monkeypatch.setattr(toxicity, "_split", lambda t: sizes.append(sum(map(len, t.to_pylist()))) or split(t))
+    assert list(restore.each(texts)) == want
+    assert len(sizes) > 10 and sorted(sizes)[-2] < 500
