@@ -63,3 +63,60 @@ def test_hits_move_once(spark):
     assert {r["category"]: r["matches"] for r in hits.collect()} == {"A": ["abcd", "ab", "cd", "ab"], "B": ["b"] * 3}
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def brute_matches(text, words):
+    kept, at = [], 0
+    while at < len(text):
+        here = max((w for w in words if text.startswith(w, at)), key=len, default="")
+        kept += [here] if here else []
+        at += len(here) or 1
+    return kept
+
+
+def test_words_are_found_where_texts_are_read(monkeypatch):
+    """Several texts at once, in pieces that cut through words; spans that chain over many steps too."""
+    import pyarrow as pa
+
+    from tapewire.operators import word_lookup
+
+    monkeypatch.setattr(word_lookup, "PIECE", 64)
+    monkeypatch.setattr(word_lookup, "STEPS", 2)
+    texts, words = texts_and_words(4)
+    texts, words = [t.lower() for t in texts if t] + ["\0a\0", "a"], [*words, "\0", "aa", "a"]
+    masks = [1 + 2 * (i % 3 == 0) for i in range(len(words))]
+    rows = pa.table({"word": words, "mask": pa.array(masks, pa.int64()), "share": [0.2] * len(words)})
+    table = word_lookup.word_table(rows, ["A", "B"], True)
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    got = {(r["key"], r["category"]): r["matches"] for found in word_lookup.lists(table, batch) for r in found.to_pylist()}
+    want = {(i, c): m for i, t in enumerate(texts) for c, bit in (("A", 1), ("B", 2)) if (m := brute_matches(t, [w for w, k in zip(words, masks) if k & bit]))}
+    assert got == want
+    for found in word_lookup.counts(table, batch):
+        for r in found.to_pylist():
+            m = want[r["key"], r["category"]]
+            assert (r["occurrences"], r["unique_matches"], round(r["total"], 9)) == (len(m), len(set(m)), round(0.2 * len(set(m)), 9))
+
+
+def test_parts_of_a_dictionary_and_shared_keys(spark, monkeypatch):
+    """Categories in several parts, one of them too large for a task, and two texts of one key: the same hits;
+    no hit moves where the text is alone with its key."""
+    words = [("A", "ab"), ("A", "cd ef"), ("B", "ab"), ("B", "b"), ("C", "a long one, of which a task holds nothing"), ("C", "cd")]
+    table = spark.createDataFrame(words, "category string, keyword string")
+    df = spark.createDataFrame([(1, "ab cd ef ab"), (2, "cd ab"), (2, "x ab"), (None, "b"), (None, "ab"), (3, None)], "doc_id int, text string")
+
+    def found():
+        hits = {(r["doc_id"], r["category"]): r["matches"] for r in keywords.table_hits(df, table, "text").collect()}
+        stats = {(r["doc_id"], r["category"]): tuple(r)[2:] for r in keywords.table_keyword_stats(df, table, "text").collect()}
+        assert stats.keys() == hits.keys() and all(stats[k][1] == len(hits[k]) for k in hits)
+        return hits, stats
+
+    whole = found()
+    assert whole[0][1, "A"] == ["ab", "cd ef", "ab"] and whole[0][1, "C"] == ["cd"] and whole[1][1, "A"][:3] == (2, 3, 2)
+    assert len([k for k in whole[0] if k[0] == 2]) == 3
+    monkeypatch.setattr(keywords, "LOOKUP_BYTES", 90)
+    assert found() == whole
+    monkeypatch.undo()
+    moved, inner = [], keywords.candidate_places
+    monkeypatch.setattr(keywords, "candidate_places", lambda df, *more: moved.append(df.count()) or inner(df, *more))
+    keywords.table_keyword_stats(df.where("doc_id = 1"), table, "text").collect()
+    assert sum(moved) == 0
