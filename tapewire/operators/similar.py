@@ -1,100 +1,83 @@
-"""Similar articles of every article at once: a top-n join of queries with impact-ordered postings.
+"""Similar articles of every article at once.
 
-Articles with the same key phrases and category ask the same question, so it is asked once.  The
-best postings of its terms give a score that the n-th result must reach; from it follows how deep
-each term's postings have to be read, and only the blocks down to there are.  What they name is
-scored in full.  A category alone adds its newest articles, a bounded list.
+Articles with the same key phrases and category ask the same question, so it is asked once.  Articles
+and their postings are dealt to shards of bounded size; every question goes through every shard, where
+postings lie in arrays, and only its best few articles there leave it (see `similar_shards`).  No pair
+of articles is moved or written otherwise; what grows with the number of pairs is arithmetic in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewire.fixed_values import SIMILAR_BOOSTS
+from tapewire.operators import similar_shards as shards
 from tapewire.operators.search import B, K1, SAME_CATEGORY_SCORE, TextIndex, tokens
 from tapewire.operators.search_spec import check_range
-from tapewire.operators.topn import top_n_per_key
 from tapewire.sources.sinks import stored
 
-#: Blocks of postings per halving of the impact, and the last block, which holds all the rest.
-PER_HALF, LAST_BLOCK = 8, 96
-#: More than rounding a score can add.
-SLACK = 1e-5
-
+#: Postings of a shard, about, a task holds some 40 bytes for each; and, while cores are idle, at least.
+SHARD_POSTINGS, LEAST_POSTINGS = 3_000_000, 500_000
+FIELDS = list(SIMILAR_BOOSTS)
 
-def _impacts(index: TextIndex, articles: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of the ``wanted`` terms: ``term, field, doc_id, category, impact, block``, and the
-    largest impact of each term and field.
 
-    The impact is what a single occurrence of the term in a query adds.  Block 0 has the largest
-    ones, each further block those down to another eighth of a halving.
-    """
+def _weights(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, list[float | None], int]:
+    """``asked`` with ``weights``, what one occurrence adds at most by field; the mean lengths of the
+    fields; and the number of postings.  One row a field goes through the driver."""
     boost = F
     for field, value in SIMILAR_BOOSTS.items():
         boost = boost.when(F.col("field") == field, F.lit(float(value)))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    vocabulary = index.vocabulary.where(F.col("field").isin(FIELDS))
     # field_stats has one row per text field, at most six.
-    terms = index.vocabulary.where(F.col("field").isin(*SIMILAR_BOOSTS)).join(F.broadcast(index.field_stats), "field")
-    terms = terms.join(wanted, "term").select("term", "field", "avg_dl", (boost * idf * (K1 + 1)).alias("weight"))
-    tf, dl = F.col("tf"), F.col("dl")
-    impact = F.col("weight") * (tf / (tf + K1 * (1 - B + B * dl / F.col("avg_dl"))))
-    found = index.postings.select("term", "field", "doc_id", "tf", "dl").join(terms, ["term", "field"])
-    found = found.select("term", "field", "doc_id", impact.alias("impact"))
-    top = found.groupBy("term", "field").agg(F.max("impact").alias("most"))
-    found = found.join(top, ["term", "field"]).join(articles.select("doc_id", "category"), "doc_id")
-    return found.select("term", "field", "doc_id", "category", "impact", _block(F.col("impact") / F.col("most")).alias("block")), top
-
-
-def _block(share: Column) -> Column:
-    """The block of postings whose impact is this share of the largest."""
-    depth = F.floor(-F.log2(F.greatest(share, F.lit(1e-300))) * PER_HALF)
-    return F.greatest(F.least(depth, F.lit(LAST_BLOCK)), F.lit(0)).cast("int")
-
+    terms = vocabulary.join(F.broadcast(index.field_stats), "field").withColumn("weight", boost * idf * (K1 + 1))
+    terms = terms.groupBy("term").agg(F.array(*[F.max(F.when(F.col("field") == f, F.col("weight"))) for f in FIELDS]).alias("weights"))
+    means = {r["field"]: r["avg_dl"] for r in index.field_stats.select("field", "avg_dl").collect()}
+    count = vocabulary.agg(F.sum("df")).first()[0] or 0
+    return asked.join(terms, "term"), [means.get(f) for f in FIELDS], count
 
-def _scored(candidates: DataFrame, asked: DataFrame, impacts: DataFrame, groups: DataFrame, articles: DataFrame) -> DataFrame:
-    """``gid, doc_id, score, publishedAt`` of distinct candidates, scored in full."""
-    parts = candidates.join(asked, "gid").join(impacts.select("term", "field", "doc_id", "impact"), ["term", "doc_id"])
-    sums = [F.coalesce(F.sum(F.when(F.col("field") == f, F.col("times") * F.col("impact"))), F.lit(0.0)) for f in SIMILAR_BOOSTS]
-    # Sums arrive in any order; without the last digits equal articles score equally.
-    best = parts.groupBy("gid", "doc_id").agg(F.round(F.greatest(*sums), 6).alias("score"))
-    best = best.join(groups.select("gid", F.col("category").alias("_mine")), "gid").join(articles, "doc_id")
-    return best.select("gid", "doc_id", (F.col("score") + _bonus(F.col("_mine"), F.col("category"))).alias("score"), "publishedAt")
 
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """Numbers of ``n`` shards that a hash partitioning into ``n`` deals to one task each."""
+    placed = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("id"))
+    placed = placed.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("to")).agg(F.min("id").alias("id"))
+    first = {r["to"]: r["id"] for r in placed.collect()}
+    rest = iter(set(range(-1, -n - 1, -1)))
+    return [first[i] if i in first else next(rest) for i in range(n)]
 
-def _bonus(a: Column, b: Column) -> Column:
-    return F.when(a == b, SAME_CATEGORY_SCORE).otherwise(0.0)
 
+def _named(asked: DataFrame, groups: DataFrame, postings: DataFrame, articles: DataFrame, asking: tuple) -> DataFrame:
+    """``gid, number, score, publishedAt``: of each question the best articles of each shard.
 
-def _depths(asked: DataFrame, top: DataFrame, floors: DataFrame, bonus: float) -> DataFrame:
-    """``gid, term, field, depth``: the last block of each term that can still matter.
-
-    A result has in some field parts that add up to the floor.  Terms whose largest impacts together
-    stay below it are left out, smallest first; of the others at least one must reach its share of
-    what is then missing.
+    ``asking``: how many of them, the mean lengths of the fields and the numbers of the shards.
     """
-    found = asked.join(top, "term").join(floors, "gid")
-    found = found.select("gid", "term", "field", (F.col("times") * F.col("most")).alias("most"), (F.col("floor") - bonus - SLACK).alias("need"))
-    upto = Window.partitionBy("gid", "field").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)  # the terms of one query
-    found = found.withColumn("_sum", F.sum("most").over(upto))
-    found = found.withColumn("_small", F.col("_sum") < F.col("need"))
-    whole = Window.partitionBy("gid", "field")
-    small = F.sum(F.when(F.col("_small"), F.col("most")).otherwise(0.0)).over(whole)
-    large = F.sum(F.when(~F.col("_small"), F.col("most")).otherwise(0.0)).over(whole)
-    found = found.withColumn("_share", (F.col("need") - small) / large).where(~F.col("_small"))
-    depth = F.when(F.col("need") > 0, _block(F.col("_share") * (1 - 1e-9))).otherwise(F.lit(LAST_BLOCK))
-    return found.select("gid", "term", "field", depth.alias("depth"))
-
-
-def _named(asked: DataFrame, groups: DataFrame, impacts: DataFrame, top: DataFrame, floors: DataFrame) -> DataFrame:
-    """``gid, doc_id``, distinct: what the blocks that can matter hold for each question."""
-
-    def blocks(bonus: float) -> DataFrame:
-        return _depths(asked, top, floors, bonus).withColumn("block", F.explode(F.sequence(F.lit(0), "depth"))).drop("depth")
-
-    found = blocks(0.0).join(impacts, ["term", "field", "block"]).select("gid", "doc_id")
-    mine = blocks(SAME_CATEGORY_SCORE).join(groups.select("gid", "category"), "gid")
-    return found.union(mine.join(impacts, ["term", "field", "block", "category"]).select("gid", "doc_id")).distinct()
+    most, means, keys = asking
+    of = lambda c: F.element_at(F.array(*map(F.lit, keys)), (F.pmod(F.xxhash64(c), F.lit(len(keys))) + 1).cast("int"))
+    lists = asked.groupBy("gid").agg(*[F.collect_list(F.struct("term", "times", "weights")).alias("asked")])
+    field = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(FIELDS) for x in (f, i)]), F.col("field"))
+    kinds = {
+        shards.ARTICLE: articles.select(of("doc_id").alias("shard"), F.col("doc_id").alias("id"), "number", F.col("category").alias("name"), F.col("publishedAt").alias("at")),
+        shards.POSTING: postings.where(F.col("field").isin(FIELDS)).select(of("doc_id").alias("shard"), F.col("doc_id").alias("id"), F.col("term").alias("name"), field.alias("field"), "tf", "dl"),
+        shards.QUESTION: groups.join(lists, "gid", "left").select(
+            F.explode(F.array(*map(F.lit, keys))).alias("shard"), F.col("gid").alias("number"), F.col("category").alias("name"),
+            F.col("asked.term").alias("terms"), F.col("asked.times").alias("times"), F.col("asked.weights").alias("weights"),
+        ),
+    }
+    union = None
+    for kind, rows in kinds.items():
+        columns = [(F.lit(kind) if c == "kind" else F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.strip().split(" ", 1) for x in shards.ROWS.split(","))]
+        union = rows.select(*columns) if union is None else union.unionByName(rows.select(*columns))
+    make = partial(shards.Shard, means, K1, B, most, SAME_CATEGORY_SCORE)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return shards.ask(batches, make)
+
+    return union.repartition(len(keys), "shard").sortWithinPartitions("shard", "kind").mapInArrow(ask, shards.FOUND)
 
 
 def similar_to_all(df: DataFrame, index: TextIndex, n: int = 5) -> DataFrame:
@@ -102,47 +85,36 @@ def similar_to_all(df: DataFrame, index: TextIndex, n: int = 5) -> DataFrame:
 
     Results and scores are those of `search.similar_articles`: the best field's BM25 score of the key
     phrases plus one for the same category, ties to the newer one, then the smaller id; articles that
-    share neither are never found.  ``doc_id`` must be unique.  No article is paired with another
-    but through a posting, or a category's list, that may be among its results.
+    share neither are never found.  ``doc_id`` must be unique: of rows that share one the postings add up,
+    as in a search.
     """
     check_range(n, 1, 20, "limit")
+    spark = df.sparkSession
     words = F.sort_array(F.coalesce(tokens(F.col("key_phrases")), F.array().cast("array<string>")))
     category = F.coalesce(F.concat(F.lit("="), F.col("category")), F.lit(""))
-    members = df.select("doc_id", "category", "publishedAt", words.alias("words"), F.sha2(F.concat(category, F.lit(" "), F.array_join(words, " ")), 256).alias("gid"))
+    members = df.select("doc_id", "category", "publishedAt", words.alias("words"), F.sha2(F.concat(category, F.lit(" "), F.array_join(words, " ")), 256).alias("question"))
     members = stored(members, "similar_members")
-    articles = members.select("doc_id", "category", "publishedAt")
-    groups = members.groupBy("gid").agg(F.first("category", True).alias("category"), F.first("words").alias("words"))
+    # Numbers in the order of ids take the place of the ids, and of the questions' hashes.
+    ids = members.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id")
+    ids = stored(ids.withColumn("number", F.monotonically_increasing_id()), "similar_ids")
+    articles = members.select("doc_id", "category", "publishedAt").join(ids, "doc_id")
+    groups = members.groupBy("question").agg(F.first("category", True).alias("category"), F.first("words").alias("words"))
+    groups = stored(groups.withColumn("gid", F.monotonically_increasing_id()), "similar_groups")
     asked = groups.select("gid", F.explode("words").alias("term")).groupBy("gid", "term").agg(F.count(F.lit(1)).alias("times"))
-    groups, asked = stored(groups, "similar_groups"), stored(asked, "similar_terms")
-    impacts, top = (stored(x, "similar_impacts") for x in _impacts(index, articles, asked.select("term").distinct()))
-
-    # The best postings of each term, and of each term in each category, make a floor.
-    best = [F.desc("impact"), F.asc("doc_id")]
-    heads = top_n_per_key(impacts, ["term", "field"], best, n + 1).select("term", "doc_id")
-    in_category = impacts.where(F.col("category").isNotNull())
-    own = top_n_per_key(in_category, ["term", "field", "category"], best, n + 1).select("term", "category", "doc_id")
-    first = asked.join(heads, "term").select("gid", "doc_id")
-    first = first.union(asked.join(groups.select("gid", "category"), "gid").join(own, ["term", "category"]).select("gid", "doc_id"))
-    rank = [F.desc("score"), F.desc_nulls_last("publishedAt"), F.asc("doc_id")]
-    newest = top_n_per_key(articles.where(F.col("category").isNotNull()), ["category"], rank[1:], n + 1)
-    newest = groups.select("gid", "category").join(newest, "category").select("gid", "doc_id", F.lit(SAME_CATEGORY_SCORE).alias("score"), "publishedAt")
-
-    def best_of(*found: DataFrame) -> DataFrame:
-        union = found[0]
-        for more in found[1:]:
-            union = union.unionByName(more)
-        one = union.groupBy("gid", "doc_id").agg(F.max("score").alias("score"), F.first("publishedAt").alias("publishedAt"))
-        return top_n_per_key(one.where("score > 0"), ["gid"], rank, n + 1, "rank")
-
-    floors = best_of(_scored(first.distinct(), asked, impacts, groups, articles), newest).where(F.col("rank") == n + 1)
-    floors = groups.select("gid").join(floors.select("gid", F.col("score").alias("floor")), "gid", "left").fillna(0.0, ["floor"])
-    floors = stored(floors, "similar_floors")
-
-    named = _named(asked, groups, impacts, top, floors)
-    found = best_of(_scored(named, asked, impacts, groups, articles), newest)
+    asked, means, postings = _weights(index, asked)
+    asked = stored(asked, "similar_terms")
+
+    idle = min(spark.sparkContext.defaultParallelism, postings // LEAST_POSTINGS)
+    keys = _keys(spark, max(1, idle, -(-postings // SHARD_POSTINGS)))
+    named = _named(asked, groups.select("gid", "category"), index.postings, articles, (n + 1, means, keys))
+    rank = [F.desc("score"), F.desc_nulls_last("publishedAt"), F.asc("number")]
+    # Of a question no more than n + 1 rows a shard.
+    found = named.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(*rank))).where(F.col("rank") <= n + 1)
+    found = found.join(ids, "number").select("gid", "rank", "doc_id", "score")
 
     # One more than wanted, as an article may have found itself; a list of n + 1 per question.
     listed = found.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("found"))
+    listed = listed.join(groups.select("gid", "question"), "gid")
     others = F.slice(F.filter("found", lambda x: x["doc_id"] != F.col("doc_id")), 1, n)
-    out = members.select("doc_id", "gid").join(listed, "gid").select("doc_id", F.posexplode(others).alias("at", "hit"))
+    out = members.select("doc_id", "question").join(listed, "question").select("doc_id", F.posexplode(others).alias("at", "hit"))
     return out.select("doc_id", (F.col("at") + 1).alias("rank"), F.col("hit.doc_id").alias("similar_id"), F.col("hit.score").alias("score"))

@@ -100,3 +100,35 @@ def test_only_blocks_that_can_matter_are_read(spark, monkeypatch):
     assert len(result(spark, rows, 5)) == 900
     assert named["all"] >= 100 * 900 > 5 * named["kept"]
     assert "NestedLoop" not in named["plan"] and "Cartesian" not in named["plan"]
+
+
+def test_what_leaves_a_shard_does_not_grow_with_the_pairs(spark, monkeypatch):
+    """All articles share a word, each has one of its own: no more than the best few of each question are moved."""
+    named, inner = [], similar._named
+    monkeypatch.setattr(similar, "_named", lambda *args: (named.append(inner(*args)), named[-1])[1])
+    rows = [(f"d{i:04}", "AB"[i % 2], i % 50, f"the u{i}", f"the u{i}", "the", 1, "x") for i in range(300)]
+    assert result(spark, rows, 5) == brute(rows, 5)
+    assert named[0].count() <= 300 * 6
+
+
+def test_shards_and_questions_of_many_words(spark, monkeypatch):
+    """Several shards, words that come twice, and questions of more words than are answered by parts."""
+    monkeypatch.setattr(similar, "SHARD_POSTINGS", 300)
+    rows = articles(90, 7)
+    rows += [(f"l{i}", "B", i, f"w1 w2 w3 w4 w5 w{i}, w1 w7", f"w2 w{i} w3", "w4 w1 the", 1, "x") for i in range(12)]
+    assert result(spark, rows, 4) == brute(rows, 4)
+
+
+def test_rows_of_one_id_are_one_article(spark):
+    rows = articles(40, 9)
+    twice = [*rows, (*rows[3][:1], "C", *rows[3][2:]), rows[5]]
+    df = spark.createDataFrame(twice, KIND)
+    index = search.build_index(df, FIELDS, ())
+    every = {}
+    for r in similar.similar_to_all(df, index, 4).collect():
+        every.setdefault(r["doc_id"], set()).add((r["similar_id"], round(r["score"], 5)))
+    for doc_id in sorted(every.keys() - {"d003", "d005"})[:4]:
+        best = {}
+        for r in search.similar_articles(df, index, doc_id, 20).collect():
+            best[r["doc_id"]] = max(best.get(r["doc_id"], 0.0), round(r["score"], 5))
+        assert all(best[d] == s for d, s in every[doc_id]) and len(every[doc_id]) == 4
