@@ -251,3 +251,20 @@ def test_a_saved_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
     (postings,) = [d for path, d in seen if path.endswith("/postings")]
     plan = postings._jdf.queryExecution().optimizedPlan().toString()
     assert "Rebalance" not in plan and "Sort" not in plan
+
+
+def test_postings_of_a_saved_index_stay_where_they_are(spark, tmp_path):
+    """The vocabulary is too large for a broadcast, the wanted terms are not: no posting is shuffled."""
+    rows = [(f"d{i:04}", " ".join(f"word{i * 5 + k}" for k in range(5)) + " the", "", "", "", "", "src") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id string, title string, description string, content string, key_phrases string, summary string, source string")
+    search.write_index(search.build_index(df), str(tmp_path / "index"), buckets=4)
+    index = search.read_index(spark, str(tmp_path / "index"))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "8k")
+    try:
+        hits = index.hits(search._weights(index, "the word7", search.SEARCH_BOOSTS, False))
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert hits.count() == 801
+    finally:
+        spark.conf.set(key, before)
