@@ -21,8 +21,8 @@ from tapewire.operators.search import B, K1, SAME_CATEGORY_SCORE, TextIndex, tok
 from tapewire.operators.search_spec import check_range
 from tapewire.sources.sinks import stored
 
-#: Postings of a shard, about, a task holds some 40 bytes for each; and, while cores are idle, at least.
-SHARD_POSTINGS, LEAST_POSTINGS = 3_000_000, 500_000
+#: Postings of a shard, about, of which a task takes some 110 bytes each at its peak; and, while cores are idle, at least.
+SHARD_POSTINGS, LEAST_POSTINGS = 2_500_000, 500_000
 FIELDS = list(SIMILAR_BOOSTS)
 
 

@@ -25,7 +25,7 @@ FOUND = "gid bigint, number bigint, score double, publishedAt bigint"
 
 
 #: Terms of a question up to which it is answered by its parts, and postings of parts that are remembered.
-MOST_TERMS, MOST_HELD = 4, 4_000_000
+MOST_TERMS, MOST_HELD = 4, 2_000_000
 
 
 class Part(NamedTuple):
@@ -89,7 +89,8 @@ class Shard:
         mean = np.array([np.nan if m is None else m for m in self.means])[field]
         kept = doc >= 0
         share = tf / (tf + self.k1 * (1 - self.b + self.b * dl / mean))
-        self.parts.append(tuple(x[kept] for x in (term.astype(np.int32), field, doc.astype(np.int32), share)))
+        place = (term * len(self.means) + field) << 32 | doc  # of a term and field, then of an article
+        self.parts.append((place[kept], share[kept]))
 
     @staticmethod
     def _coded(column: pa.Array, code) -> np.ndarray:
@@ -101,14 +102,16 @@ class Shard:
         if self.place is None:
             self._order()
         fields = len(self.means)
-        term, field, doc, share = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        place, share = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0))
         self.parts = []
-        order = np.lexsort((doc, field, term))
-        list_of, doc, share = (term.astype(np.int64) * fields + field)[order], doc[order], share[order]
-        if len(doc):  # postings of one id and term are added up
-            first = np.flatnonzero(np.append(True, (list_of[1:] != list_of[:-1]) | (doc[1:] != doc[:-1])))
-            share = np.add.reduceat(share, first)
-            list_of, doc = list_of[first], doc[first]
+        order = np.argsort(place, kind="stable")
+        place, share = place[order], share[order]
+        del order
+        if len(place):  # postings of one id and term are added up
+            first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            place, share = place[first], np.add.reduceat(share, first)
+        list_of, doc = place >> 32, (place & 0xFFFFFFFF).astype(np.int32)
+        del place
         self.doc, self.share = doc, share
         self.starts = np.searchsorted(list_of, np.arange(len(self.terms) * fields + 1))
         self.lengths = np.diff(self.starts).reshape(-1, fields).sum(axis=1)
